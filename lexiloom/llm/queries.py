@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiloom.llm import skeleton
+from lexiloom.llm import skeleton, spans
 from lexiloom.session import table
 
 
@@ -18,5 +18,28 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return tagged[0].unionByName(tagged[1]).unionByName(tagged[2])
 
 
-QUERIES = {"p6_found": p6_found}
-ORACLE: dict[str, str] = {}
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return spans.shared_spans(table(spark, d, "documents"))
+
+
+def p3_docs(spark: SparkSession, d: str) -> DataFrame:
+    """Per document, how much of it is shared elsewhere."""
+    docs = table(spark, d, "documents")
+    return spans.shared_amount(docs, spans.shared_spans(docs))
+
+
+QUERIES = {"p3_found": p3_found, "p3_docs": p3_docs, "p6_found": p6_found}
+
+_SPANS = """w AS (SELECT doc_id, unnest(range(0, length(text) - 99)) AS p, text FROM documents WHERE length(text) >= 100),
+r AS (SELECT doc_id, p, md5(substr(text, p + 1, 100)) AS h FROM w),
+s AS (SELECT doc_id, p FROM r WHERE h IN (SELECT h FROM r GROUP BY h HAVING min(doc_id) < max(doc_id))),
+m AS (SELECT doc_id, p, CASE WHEN p <= lag(p) OVER o + 100 THEN 0 ELSE 1 END AS fresh FROM s WINDOW o AS (PARTITION BY doc_id ORDER BY p)),
+i AS (SELECT doc_id, p, sum(fresh) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM m),
+spans AS (SELECT doc_id, min(p)::INT AS span_start, (max(p) + 100)::INT AS span_end FROM i GROUP BY doc_id, k)"""
+
+ORACLE: dict[str, str] = {
+    "p3_found": f"WITH {_SPANS} SELECT doc_id, span_start, span_end FROM spans",
+    "p3_docs": f"""WITH {_SPANS}, t AS (SELECT doc_id, sum(span_end - span_start) AS c, count(*) AS n, max(span_end - span_start) AS l FROM spans GROUP BY doc_id)
+SELECT d.doc_id, coalesce(length(text), 0)::BIGINT AS n_chars, coalesce(c, 0)::BIGINT AS shared_chars, coalesce(n, 0)::BIGINT AS n_spans, coalesce(l, 0)::BIGINT AS longest_span,
+CASE WHEN length(text) > 0 THEN coalesce(c, 0)::DOUBLE / length(text) ELSE 0.0 END AS shared_ratio FROM documents d LEFT JOIN t USING (doc_id)""",
+}
