@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiloom.llm import skeleton, spans
+from lexiloom.llm import leaks, skeleton, spans
 from lexiloom.session import table
 
 
@@ -28,7 +28,17 @@ def p3_docs(spark: SparkSession, d: str) -> DataFrame:
     return spans.shared_amount(docs, spans.shared_spans(docs))
 
 
-QUERIES = {"p3_found": p3_found, "p3_docs": p3_docs, "p6_found": p6_found}
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
+
+
+def p7_leaks(spark: SparkSession, d: str) -> DataFrame:
+    """Leaked items with score, share held, and whether the answer is there too."""
+    docs, items = table(spark, d, "documents"), table(spark, d, "eval_items")
+    return leaks.verified(leaks.leaks(docs, items), docs, items)
+
+
+QUERIES = {"p7_found": p7_found, "p7_leaks": p7_leaks, "p3_found": p3_found, "p3_docs": p3_docs, "p6_found": p6_found}
 
 _SPANS = """w AS (SELECT doc_id, unnest(range(0, length(text) - 99)) AS p, text FROM documents WHERE length(text) >= 100),
 r AS (SELECT doc_id, p, md5(substr(text, p + 1, 100)) AS h FROM w),
