@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiloom.llm import leaks, skeleton, spans
+from lexiloom.llm import leaks, sentences, skeleton, spans
 from lexiloom.session import table
 
 
@@ -38,7 +38,19 @@ def p7_leaks(spark: SparkSession, d: str) -> DataFrame:
     return leaks.verified(leaks.leaks(docs, items), docs, items)
 
 
-QUERIES = {"p7_found": p7_found, "p7_leaks": p7_leaks, "p3_found": p3_found, "p3_docs": p3_docs, "p6_found": p6_found}
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return sentences.sentence_units(table(spark, d, "documents")).select("doc_id", "sent_start", "sent_end")
+
+
+def p2_sentences(spark: SparkSession, d: str) -> DataFrame:
+    """The units of every document in order, with their number."""
+    return sentences.sentence_units(table(spark, d, "documents"))
+
+
+QUERIES = {
+    "p2_found": p2_found,
+    "p2_sentences": p2_sentences,
+    "p7_found": p7_found, "p7_leaks": p7_leaks, "p3_found": p3_found, "p3_docs": p3_docs, "p6_found": p6_found}
 
 _SPANS = """w AS (SELECT doc_id, unnest(range(0, length(text) - 99)) AS p, text FROM documents WHERE length(text) >= 100),
 r AS (SELECT doc_id, p, md5(substr(text, p + 1, 100)) AS h FROM w),
