@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiloom.llm import leaks, sentences, skeleton, spans
+from lexiloom.llm import leaks, sentences, skeleton, spans, stuffing
 from lexiloom.session import table
 
 
@@ -47,7 +47,18 @@ def p2_sentences(spark: SparkSession, d: str) -> DataFrame:
     return sentences.sentence_units(table(spark, d, "documents"))
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return stuffing.stuffed_pages(table(spark, d, "documents")).select("doc_id")
+
+
+def p9_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Perplexity and abnormal share of every page."""
+    return stuffing.page_scores(table(spark, d, "documents"))
+
+
 QUERIES = {
+    "p9_found": p9_found,
+    "p9_scores": p9_scores,
     "p2_found": p2_found,
     "p2_sentences": p2_sentences,
     "p7_found": p7_found, "p7_leaks": p7_leaks, "p3_found": p3_found, "p3_docs": p3_docs, "p6_found": p6_found}
