@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiloom.llm import leaks, sentences, skeleton, spans, stuffing
+from lexiloom.llm import leaks, mixing, sentences, skeleton, spans, stuffing
 from lexiloom.session import table
 
 
@@ -56,7 +56,18 @@ def p9_scores(spark: SparkSession, d: str) -> DataFrame:
     return stuffing.page_scores(table(spark, d, "documents"))
 
 
+def p8_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Target and actual share of every source."""
+    return mixing.shares(p8_mix(spark, d), table(spark, d, "mix_targets"))
+
+
 QUERIES = {
+    "p8_mix": p8_mix,
+    "p8_shares": p8_shares,
     "p9_found": p9_found,
     "p9_scores": p9_scores,
     "p2_found": p2_found,
