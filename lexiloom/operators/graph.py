@@ -213,7 +213,7 @@ def tree_layout(nodes: DataFrame, layers: DataFrame, aside: tuple[str, ...] = ()
         asked = side.withColumn("cell", F.explode(F.array(*[F.floor(F.col("y") / reach) + k for k in (-1, 0, 1)])))
         near = asked.join(cell, "cell").filter(F.abs(F.col("y") - F.col("near_y")) < reach).groupBy("row_no").agg(F.max("near_x").alias("near_x"))
         side = side.join(near, "row_no", "left").withColumn("x", F.greatest("x", F.coalesce("near_x", F.lit(0.0)) + 330)).drop("near_x")
-        done = main.unionByName(side.groupBy(F.lit(1)).applyInPandas(_pushed_right, side.schema))
+        done = main.unionByName(side.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(_pushed_right, side.schema))
     deepest = done.agg(F.coalesce(F.max("y"), F.lit(0.0)).alias("deepest"))
     rest = all_.filter("layer < 0").withColumn("i", F.row_number().over(Window.partitionBy("layer").orderBy("row_no")) - 1).join(F.broadcast(deepest))
     grid = rest.select("row_no", "key", "layer", (F.col("i") % 8 * 150 + 60.0).alias("x"), (F.col("deepest") + 120 + F.floor(F.col("i") / 8) * 54).alias("y"))
@@ -227,7 +227,7 @@ def _pushed_right(pdf: pd.DataFrame) -> pd.DataFrame:
     for i in range(len(x)):
         over = (np.abs(x[i + 1:] - x[i]) < 140) & (np.abs(y[i + 1:] - y[i]) < 44)
         x[i + 1:][over] = x[i] + 150
-    return pdf.assign(x=x)
+    return pdf.assign(x=x).drop(columns="_all")
 
 
 def direct_lineage(links: DataFrame, focus: str) -> DataFrame:

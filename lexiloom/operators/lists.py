@@ -33,8 +33,9 @@ def within_budget(rows: DataFrame, scope: str, used: str, size: str, budget: int
     return rows.withColumn("_sum", F.sum(size).over(w)).filter(F.col("_sum") <= budget).drop("_sum")
 
 
-def cooled_down(rows: DataFrame, key: str, at: str, seconds: int) -> DataFrame:
+def cooled_down(rows: DataFrame, key: str, at: str, seconds: int, *ties: str) -> DataFrame:
     """Events with ``shown``: whether the time since the key's event before is at least so long; the first is."""
-    w = Window.partitionBy(key).orderBy(at)
-    gap = F.unix_micros(at) - F.unix_micros(F.lag(at).over(w))
+    w = Window.partitionBy(key).orderBy(at, *ties)
+    micros = F.unix_micros(F.col(at).cast("timestamp"))
+    gap = micros - F.lag(micros).over(w)
     return rows.withColumn("shown", gap.isNull() | (gap >= seconds * 1_000_000))

@@ -181,8 +181,13 @@ def people_of_school(persons: DataFrame, school: str | None = None, q: str = "")
     return hit.filter(F.col("school") == school) if school else hit
 
 
-def mentions(documents: DataFrame, persons: DataFrame) -> DataFrame:
-    """person, doc_id, n: how often each document names each person, by any alias of two characters at least."""
-    alias = persons.select(F.get("names", F.lit(0)).alias("person"), F.explode("names").alias("pattern")).filter(F.length("pattern") >= 2).distinct()
+def mentions(documents: DataFrame, persons: DataFrame, words: int = 0) -> DataFrame:
+    """person, doc_id, n: how often each document names each person, by any alias of two characters at least.
+
+    ``words`` above 0 looks for single words of the aliases, of at least so many characters, too.
+    """
+    alias = persons.select(F.get("names", F.lit(0)).alias("person"), F.explode("names").alias("alias"))
+    parts = F.array("alias") if not words else F.array_union(F.array("alias"), F.filter(F.split("alias", " "), lambda w: F.length(w) >= words))
+    alias = alias.select("person", F.explode(parts).alias("pattern")).filter(F.length("pattern") >= 2).distinct()
     found = contained(documents.select("doc_id", "text"), alias).drop("text")
     return found.join(alias, "pattern").groupBy("person", "doc_id").agg(F.sum("n").alias("n"))

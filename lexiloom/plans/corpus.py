@@ -206,10 +206,10 @@ def alias_expansion(s: SparkSession, d: str) -> DataFrame:
     return search.titles_of_people(table(s, d, "masters"), table(s, d, "titles")).select("row_no", "path", "person_no", "alias_no")
 
 
-@query(f"""WITH {_ALIAS}, pat AS (SELECT DISTINCT person, alias FROM al WHERE length(alias) >= 2)
+@query(f"""WITH {_ALIAS}, pat AS (SELECT person, alias FROM al WHERE length(alias) >= 2 UNION SELECT person, w FROM (SELECT person, unnest(string_split(alias, ' ')) AS w FROM al) WHERE length(w) >= 7)
 SELECT person, doc_id, sum((length(text) - length(replace(text, alias, ''))) // length(alias))::BIGINT AS n FROM documents JOIN pat ON contains(text, alias) GROUP BY person, doc_id""")
 def person_mentions(s: SparkSession, d: str) -> DataFrame:
-    return search.mentions(table(s, d, "documents"), table(s, d, "masters"))
+    return search.mentions(table(s, d, "documents"), table(s, d, "masters"), 7)
 
 
 @query("SELECT doc_id, file_id, ((length(text) - length(replace(text, '鐘聲', ''))) // 2)::INT AS hits FROM documents WHERE contains(text, '鐘聲') ORDER BY hits DESC, doc_id LIMIT 300")
