@@ -175,3 +175,101 @@ def schema_changes(files: DataFrame) -> DataFrame:
     scopes = materialise(lists.select("feed", "file_seq", F.col("old").alias("scope_old"), F.col("new").alias("scope_new")).join(steps, ["feed", "file_seq"]), "scopes")
     inner = compared(scopes, "inner")
     return report(top).unionByName(report(inner, scopes.select("feed", "file_seq", "scope_old", "scope_new")))
+
+
+#: Most fields, of all files together, of which a table is made.
+UNION_FIELDS = 10_000
+
+
+def field_families(files: DataFrame, changes: DataFrame) -> DataFrame:
+    """scope, field, family: names of the same field under one name, the most frequent of them.
+
+    Two names belong together if they differ in case and underscores only, or if a rename
+    from one to the other was found in two files at least. ``scope`` is the family of the list,
+    '' at the top. The table has a row a name, however many files there are.
+    """
+    schemas = file_schemas(_exploded(read_lines(files))).groupBy("scope", "field").agg(F.count(F.lit(1)).alias("files"))
+    schemas = materialise(schemas, "names")
+    bare = lambda c: F.lower(F.regexp_replace(c, "[_-]", ""))
+    pair = changes.filter("change_kind = 'renamed'").groupBy("old_field", "new_field").agg(F.count(F.lit(1)).alias("n")).filter("n >= 2")
+    cut = lambda c, part: F.when(F.contains(c, F.lit(".")), F.substring_index(c, ".", part)).otherwise(F.lit("") if part == 1 else c)
+    pair = materialise(pair.select(cut(F.col("old_field"), 1).alias("scope"), cut(F.col("old_field"), -1).alias("a"), cut(F.col("new_field"), -1).alias("b")), "pairs")
+
+    def families(names: DataFrame, links: DataFrame) -> DataFrame:
+        """names: scope, field, files; links: scope, a, b. Least-label propagation over the names."""
+        both = links.unionByName(links.select("scope", F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+        rows = materialise(names.withColumn("label", bare(F.col("field"))), "labels")
+        while True:
+            near = both.join(rows.select("scope", F.col("field").alias("b"), F.col("label").alias("other")), ["scope", "b"]).groupBy("scope", F.col("a").alias("field")).agg(F.min("other").alias("other"))
+            step = rows.join(near, ["scope", "field"], "left").withColumn("least", F.least("label", F.coalesce("other", "label")))
+            group = step.groupBy("scope", "label").agg(F.min("least").alias("least"))
+            after = materialise(rows.join(group, ["scope", "label"]).select("scope", "field", "files", F.col("least").alias("label")), "labels")
+            changed = after.join(rows.select("scope", "field", F.col("label").alias("was")), ["scope", "field"]).filter("label <> was").limit(1).count()
+            rows = after
+            if not changed:
+                break
+        best = rows.groupBy("scope", "label").agg(F.max_by("field", F.struct("files", "field")).alias("family"))
+        return rows.join(best, ["scope", "label"]).select("scope", "field", "family")
+
+    top = materialise(families(schemas.filter("scope = ''"), pair.filter("scope = ''")), "top-families")
+    lists = top.select(F.col("field").alias("scope"), F.col("family").alias("list"))
+    inner = schemas.filter("scope <> ''").join(lists, "scope").groupBy(F.col("list").alias("scope"), "field").agg(F.sum("files").alias("files"))
+    links = pair.filter("scope <> ''").join(lists, "scope").select(F.col("list").alias("scope"), "a", "b").distinct()
+    return top.unionByName(families(inner, links))
+
+
+def unified(files: DataFrame, changes: DataFrame) -> DataFrame:
+    """One table of all readable lines under the union schema: feed, file_seq, line_no, and a column a family of fields.
+
+    Each column has the least type to which the lattice promotes all its files' types; values
+    of another type are cast: numbers to strings, comma-separated strings to lists, keyed
+    objects and lists of names to lists of objects, whose members have their family's names. A
+    record that a file holds twice is taken once, the last line. Columns of the key that
+    clash with a field's name keep the name, the field's gets ``field_`` before it.
+    """
+    families = materialise(field_families(files, changes), "families")
+    lines = read_lines(files)
+    once = Window.partitionBy("feed", "file_seq", F.coalesce("id", F.concat(F.lit("#"), "line_no"))).orderBy(F.col("line_no").desc())
+    lines = lines.withColumn("_r", F.row_number().over(once)).filter("_r = 1").drop("_r")
+    kinds = file_schemas(_exploded(read_lines(files))).filter("scope = ''").join(families.filter("scope = ''"), ["scope", "field"])
+    rows = kinds.groupBy("family").agg(F.collect_set("field").alias("fields"), F.collect_set("kind").alias("kinds")).orderBy("family").limit(UNION_FIELDS + 1).collect()
+    if len(rows) > UNION_FIELDS:
+        raise ValueError(f"more than {UNION_FIELDS} fields")
+    members = {r["scope"]: r["m"] for r in families.filter("scope <> ''").groupBy("scope").agg(F.map_from_entries(F.collect_list(F.struct("field", "family"))).alias("m")).collect()}
+    columns = []
+    for r in rows:
+        kind = reduce(promote, sorted(r["kinds"]), None) or "string"
+        name = r["family"] if r["family"] not in ("feed", "file_seq", "line_no") else f"field_{r['family']}"
+        values = [F.when(~F.isnull(v), v) for v in (_field(f) for f in sorted(r["fields"], key=lambda f: (f != r["family"], f)))]
+        columns.append(_cast(F.coalesce(*values), kind, members.get(r["family"], {})).alias(name))
+    return lines.select("feed", "file_seq", "line_no", *columns)
+
+
+def _field(name: str) -> Column:
+    path = '$["' + name.replace("\\", "\\\\").replace('"', '\\"') + '"]' if not name.isidentifier() else "$." + name
+    v = F.try_variant_get("doc", path, "variant")
+    return F.when(~F.is_variant_null(v), v)
+
+
+def _cast(v: Column, kind: str, members: dict[str, str]) -> Column:
+    json = F.to_json(v)
+    text = F.coalesce(F.try_variant_get(v, "$", "string"), json)
+    has = F.schema_of_variant(v)
+    if kind == "number":
+        return text.try_cast("double")
+    if kind == "boolean":
+        return text.try_cast("boolean")
+    if kind == "list of strings":
+        return F.when(has.startswith("ARRAY"), F.from_json(json, "array<string>")).when(v.isNotNull(), F.split(text, ", "))
+    if kind in ("list of objects", "object"):
+        one = F.transform(F.from_json(json, "array<string>"), lambda x: F.from_json(x, "map<string,string>"))
+        keyed = F.map_values(F.from_json(json, "map<string,map<string,string>>"))
+        named = F.transform(F.from_json(json, "array<string>"), lambda x: F.create_map(F.lit(members.get("name", "name")), x))
+        rows = F.when(has.startswith("ARRAY<OBJECT") | (has == "ARRAY<VOID>"), one).when(has.startswith("ARRAY"), named).when(has.startswith("OBJECT"), keyed)
+        if not members:
+            return rows
+        to = F.create_map(*[F.lit(x) for kv in sorted(members.items()) for x in kv])
+        return F.transform(rows, lambda m: F.map_from_entries(F.transform(
+            F.array_sort(F.map_entries(F.map_filter(m, lambda k, x: (F.coalesce(to[k], k) == k) | ~F.map_contains_key(m, F.coalesce(to[k], k))))),
+            lambda e: F.struct(F.coalesce(to[e["key"]], e["key"]).alias("key"), e["value"].alias("value")))))
+    return text

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lexiloom.functions.ids import stem_of_path
 from lexiloom.functions.text import life_dates, text_or_empty
 from lexiloom.operators.hierarchy import hierarchy, latest_state
+from lexiloom.operators.lines import with_ordinal
 
 # Radius, growth by degree and its cap by node type, and types of relation without direction.
 RADIUS = ((10, 12, 14, 12, 14, 14, 12), (2, 2, 1.5, 1.5, 2, 2, 1.5), (12, 14, 10, 10, 12, 12, 10))
@@ -123,14 +124,23 @@ def bounds(nodes: DataFrame, by: list[str], x: str = "x", y: str = "y", least: i
     return box.filter(F.col("n") >= least)
 
 
-def pushed_down(rows: DataFrame, by: list[str], y: str, order: str, gap: float) -> DataFrame:
+def pushed_down(rows: DataFrame, by: list[str], y: str, order: str, gap: float, span: int = 1 << 14) -> DataFrame:
     """Rows with ``placed``: y, pushed down where less than ``gap`` below the row before of the same group.
 
-    Closed form of the running push: i * gap + max(y - i * gap) over the rows so far.
+    Closed form of the running push, i * gap + max(y - i * gap) over the rows so far. Place and
+    maximum are first taken within parts of a group (equal y, near in ``order``), then carried
+    over the parts, so that no task holds a whole group.
     """
-    w = Window.partitionBy(*by).orderBy(y, order)
-    rows = rows.withColumn("_i", F.row_number().over(w) - 1)
-    return rows.withColumn("placed", F.col("_i") * gap + F.max(F.col(y) - F.col("_i") * gap).over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_i")
+    part = [*by, y, "_part"]
+    rows = rows.withColumn("_part", F.floor(F.col(order) / span))
+    inside = Window.partitionBy(*part).orderBy(order)
+    over = Window.partitionBy(*by).orderBy(y, "_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = rows.groupBy(*part).agg(F.count(F.lit(1)).alias("_n")).withColumn("_base", F.coalesce(F.sum("_n").over(over), F.lit(0)))
+    # Within a part y is the same, so that its first row has the greatest y - i * gap.
+    parts = parts.withColumn("_before", F.max(F.col(y) - F.col("_base") * gap).over(over)).drop("_n")
+    rows = rows.withColumn("_in", F.row_number().over(inside) - 1).join(parts, part)
+    placed = (F.col("_base") + F.col("_in")) * gap + F.greatest(F.coalesce("_before", F.col(y) - F.col("_base") * gap), F.col(y) - F.col("_base") * gap)
+    return rows.withColumn("placed", placed).drop("_part", "_in", "_base", "_before")
 
 
 def force_layout(nodes: DataFrame, edges: DataFrame, rounds: int = 150) -> DataFrame:
@@ -215,7 +225,7 @@ def tree_layout(nodes: DataFrame, layers: DataFrame, aside: tuple[str, ...] = ()
         side = side.join(near, "row_no", "left").withColumn("x", F.greatest("x", F.coalesce("near_x", F.lit(0.0)) + 330)).drop("near_x")
         done = main.unionByName(side.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(_pushed_right, side.schema))
     deepest = done.agg(F.coalesce(F.max("y"), F.lit(0.0)).alias("deepest"))
-    rest = all_.filter("layer < 0").withColumn("i", F.row_number().over(Window.partitionBy("layer").orderBy("row_no")) - 1).join(F.broadcast(deepest))
+    rest = with_ordinal(all_.filter("layer < 0"), "layer", "row_no", "i").join(F.broadcast(deepest))
     grid = rest.select("row_no", "key", "layer", (F.col("i") % 8 * 150 + 60.0).alias("x"), (F.col("deepest") + 120 + F.floor(F.col("i") / 8) * 54).alias("y"))
     return done.unionByName(grid).select("key", "layer", "x", "y")
 

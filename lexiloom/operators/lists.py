@@ -27,15 +27,30 @@ def unexpired(rows: DataFrame, at_ms: str, ttl_ms: str, now_ms: int) -> DataFram
     return rows.filter(F.col(ttl_ms).isNull() | (F.lit(now_ms) <= F.col(at_ms) + F.col(ttl_ms)))
 
 
-def within_budget(rows: DataFrame, scope: str, used: str, size: str, budget: int) -> DataFrame:
-    """Rows that stay if the least recently used leave until the rest fits the budget, scope by scope."""
-    w = Window.partitionBy(scope).orderBy(F.col(used).desc()).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("_sum", F.sum(size).over(w)).filter(F.col("_sum") <= budget).drop("_sum")
+def _parts(rows: DataFrame, at: str, seconds: int) -> DataFrame:
+    """Rows with ``_part``, a stretch of time: what a task takes of a key at once."""
+    return rows.withColumn("_part", F.floor(F.unix_micros(F.col(at).cast("timestamp")) / (seconds * 1_000_000)))
 
 
-def cooled_down(rows: DataFrame, key: str, at: str, seconds: int, *ties: str) -> DataFrame:
+def within_budget(rows: DataFrame, scope: str, used: str, size: str, budget: int, *ties: str, part_seconds: int = 86_400) -> DataFrame:
+    """Rows that stay if the least recently used leave until the rest fits the budget, scope by scope.
+
+    Sizes are summed by stretches of time first, so that a scope may be any size.
+    """
+    rows = _parts(rows, used, part_seconds)
+    later = Window.partitionBy(scope).orderBy(F.col("_part").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    base = rows.groupBy(scope, "_part").agg(F.sum(size).alias("_n")).withColumn("_base", F.coalesce(F.sum("_n").over(later), F.lit(0))).drop("_n")
+    inside = Window.partitionBy(scope, "_part").orderBy(F.col(used).desc(), *[F.col(t).desc() for t in ties]).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_sum", F.sum(size).over(inside)).join(base, [scope, "_part"])
+    return rows.filter(F.col("_sum") + F.col("_base") <= budget).drop("_sum", "_base", "_part")
+
+
+def cooled_down(rows: DataFrame, key: str, at: str, seconds: int, *ties: str, part_seconds: int = 86_400) -> DataFrame:
     """Events with ``shown``: whether the time since the key's event before is at least so long; the first is."""
-    w = Window.partitionBy(key).orderBy(at, *ties)
+    rows = _parts(rows, at, part_seconds)
     micros = F.unix_micros(F.col(at).cast("timestamp"))
-    gap = micros - F.lag(micros).over(w)
-    return rows.withColumn("shown", gap.isNull() | (gap >= seconds * 1_000_000))
+    inside = Window.partitionBy(key, "_part").orderBy(at, *ties)
+    before = rows.groupBy(key, "_part").agg(F.max(micros).alias("_end")).withColumn("_end", F.lag("_end").over(Window.partitionBy(key).orderBy("_part")))
+    rows = rows.withColumn("_last", F.lag(micros).over(inside)).join(before, [key, "_part"])
+    gap = micros - F.coalesce("_last", "_end")
+    return rows.withColumn("shown", gap.isNull() | (gap >= seconds * 1_000_000)).drop("_last", "_end", "_part")

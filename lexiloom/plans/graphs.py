@@ -248,8 +248,8 @@ def last_write(s: SparkSession, d: str) -> DataFrame:
 
 @query("""SELECT event_id, user_id FROM (SELECT *, sum(length(coalesce(props, '')) * 2) OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC ROWS UNBOUNDED PRECEDING) AS size FROM events) WHERE size <= 400""")
 def cache_budget(s: SparkSession, d: str) -> DataFrame:
-    rows = table(s, d, "events").withColumn("used", F.struct("ts", "event_id")).withColumn("size", F.length(F.coalesce("props", F.lit(""))) * 2)
-    return lists.within_budget(rows, "user_id", "used", "size", 400).select("event_id", "user_id")
+    rows = table(s, d, "events").withColumn("size", F.length(F.coalesce("props", F.lit(""))) * 2)
+    return lists.within_budget(rows, "user_id", "ts", "size", 400, "event_id").select("event_id", "user_id")
 
 
 @query("SELECT event_id FROM events WHERE epoch_ms(ts) + 86400000 >= (SELECT max(epoch_ms(ts)) FROM events)")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiloom.operators.drift import schema_changes
+from lexiloom.operators.drift import schema_changes, unified
 from lexiloom.operators.hierarchy import collection_links, hierarchy, labelled_pairs, latest_state, person_links
 from lexiloom.operators.nested import flatten_nested
 from lexiloom.session import table
@@ -58,7 +58,13 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return schema_changes(table(spark, d, "collection_files"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_paths": p1_paths, "p4_found": p4_found, "p4_objects": p4_objects, "p5_found": p5_found}
+def p5_table(spark: SparkSession, d: str) -> DataFrame:
+    """All readable records of all exports in one table."""
+    files = table(spark, d, "collection_files")
+    return unified(files, schema_changes(files))
+
+
+QUERIES = {"p5_table": p5_table, "p1_found": p1_found, "p1_paths": p1_paths, "p4_found": p4_found, "p4_objects": p4_objects, "p5_found": p5_found}
 
 _NAME = "lower(trim(translate({}, '_-', '  ')))"
 
