@@ -15,7 +15,7 @@ def parsed_entries(lines: DataFrame, order: str = "row_no", line: str = "line")
     """row_no, trad, simp, pinyin, defs of ``trad simp [pinyin] /a/b/`` lines; comments and lines without sense left out."""
     t = F.trim(line)
     rest = F.regexp_extract(t, r"^\S+ \S+ (.*)$", 1)
-    defs = F.filter(F.transform(F.split(F.regexp_extract(rest, r"^[^/]*/(.*)$", 1), "/"), F.trim), lambda x: x != "")
+    defs = F.filter(F.transform(F.split(F.regexp_extract(rest, r"^[^/]*/(.*)$", 1), "/"), lambda x: F.trim(x)), lambda x: x != "")
     rows = lines.filter(~F.startswith(t, F.lit("#")) & (t != "")).select(
         F.col(order).alias("row_no"), F.regexp_extract(t, r"^(\S+) ", 1).alias("trad"), F.regexp_extract(t, r"^\S+ (\S+) ", 1).alias("simp"),
         F.regexp_extract(rest, r"\[([^\]]*)\]", 1).alias("pinyin"), defs.alias("defs"))

@@ -231,7 +231,7 @@ def unified(files: DataFrame, changes: DataFrame) -> DataFrame:
     lines = read_lines(files)
     once = Window.partitionBy("feed", "file_seq", F.coalesce("id", F.concat(F.lit("#"), "line_no"))).orderBy(F.col("line_no").desc())
     lines = lines.withColumn("_r", F.row_number().over(once)).filter("_r = 1").drop("_r")
-    kinds = file_schemas(_exploded(read_lines(files))).filter("scope = ''").join(families.filter("scope = ''"), ["scope", "field"])
+    kinds = _exploded(read_lines(files)).filter("scope = ''").select("scope", "field", "kind").distinct().join(families.filter("scope = ''"), ["scope", "field"])
     rows = kinds.groupBy("family").agg(F.collect_set("field").alias("fields"), F.collect_set("kind").alias("kinds")).orderBy("family").limit(UNION_FIELDS + 1).collect()
     if len(rows) > UNION_FIELDS:
         raise ValueError(f"more than {UNION_FIELDS} fields")
