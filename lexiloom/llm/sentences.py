@@ -43,10 +43,13 @@ MAYBE = frozenset("jr sr etc al c.e b.c.e a.d b.c a.m p.m inc ltd co ibid fols".
 # Words that begin a sentence rather than go on with one.
 STARTERS = frozenset(
     "a an the this that these those some every no one another in on at see it he she they we who why where when how what which according section there here if as".split())
+# Those that begin one even in lower case, after a word that may be shortened.
+DETERMINERS = frozenset("a an the this that some every no another one see".split())
 
 _EVENT = re.compile('[\n  .．…!?。！？｡།-༒༔|॥/　“”‘’«»「」『』()（）［］\\[\\]"＂]')
 _WORD = re.compile(r"([A-Za-zÀ-ɏḀ-ỿ]+(?:\.[A-Za-zÀ-ɏḀ-ỿ]+)*)\n?$")
-_ENUM = re.compile(r"(?:^|\n)\s*(?:(?:chapter|part|book|section|vol|no)\.?\s+)?(?:\d+(?:\.\d+)*|[ivxlcdm]+|[a-h])$", re.I)
+_NUMBERING = r"\s*(?:(?:chapter|part|book|section|vol|no)\.?\s+)?(?:\d+(?:\.\d+)*|[ivxlcdm]+|[a-h])$"
+_ENUM = (re.compile(r"(?:^|\n)" + _NUMBERING, re.I), re.compile(r"(?:^|\n[^\S\n]*\n)" + _NUMBERING, re.I))  # by layout
 _DOTS = re.compile(r"(?:\.(?: \.){2,}|[.．…!?。！？｡]+(?: ?[.!?。！？])*)")
 _SHADS = re.compile(r"[།-༒༔]+(?:[  ]*[།-༒༔]+)*")
 _STROKES = re.compile(r"(?:\|\||॥|//)(?:\s{0,3}[0-9०-९]{1,6}\s{0,3}(?:\|\||॥|//))?")
@@ -147,7 +150,9 @@ def _stop(text: str, i: int, end: int, wrapped: bool) -> bool:
     left = text[max(0, i - CONTEXT): i]
     if wrapped and text[end: end + 1] == "\n" and following.isdigit() and j == end + 1 and re.search(r"[^\x00-ɏ]\s?\d{1,4}$", left):
         return False  # a decimal cut by the line
-    if _ENUM.search(("" if i > CONTEXT else "\n") + left):
+    if i > CONTEXT:
+        left = "\0" + left  # not the beginning
+    if _ENUM[wrapped].search(left):
         return False
     m = _WORD.search(left)
     if not m:
@@ -161,7 +166,7 @@ def _stop(text: str, i: int, end: int, wrapped: bool) -> bool:
     nxt = _NEXTWORD.match(text, j)
     starter = nxt is not None and nxt.group().lower() in STARTERS
     if word in MAYBE:
-        return not following or not following.islower() or starter
+        return not following or not following.islower() or nxt is not None and nxt.group() in DETERMINERS
     if len(upper) == 1 and upper.isupper() and upper.isascii() and (m.start(1) == 0 or not left[m.start(1) - 1].isalnum() or _ideographic(left[m.start(1) - 1])):
         return not following or starter or following.islower() or not following.isalpha()
     return True

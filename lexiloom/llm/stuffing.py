@@ -252,6 +252,9 @@ def _normal(sequences: DataFrame, model) -> tuple[np.ndarray, np.ndarray]:
     share = np.cumsum(hist, 1) / np.maximum(total, 1)
     low = np.where(total[:, 0] > 0, (share <= BELOW).sum(1) * WIDTH / 2, 0.0)
     high = np.where(total[:, 0] > 0, ((share < 1 - ABOVE).sum(1) + 1) * WIDTH, np.inf)
+    for k in range(BUCKETS - 2, -1, -1):  # without prose of a length, that of the next length counts
+        if not total[k, 0]:
+            low[k], high[k] = low[k + 1], high[k + 1]
     return low, high
 
 
