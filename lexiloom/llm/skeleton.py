@@ -101,10 +101,24 @@ def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     return size, start, np.concatenate([np.arange(top, dtype=np.uint32), np.array(more, np.uint32)]), mark
 
 
+#: Characters that go through the table at a time.
+BLOCK = 1 << 21
+
+
 def skeletons(texts: list[str]) -> list[str]:
     """Skeletons of many texts at once, by table over their code points."""
-    if not texts:
-        return []
+    out: list[str] = []
+    block, total = [], 0
+    for t in texts:
+        block.append(t)
+        total += len(t)
+        if total >= BLOCK:
+            out += _skeletons(block)
+            block, total = [], 0
+    return out + _skeletons(block) if block else out
+
+
+def _skeletons(texts: list[str]) -> list[str]:
     size, start, flat, mark = _tables()
     cp = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
     ends = np.cumsum([len(t) for t in texts])

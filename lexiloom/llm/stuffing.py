@@ -163,6 +163,18 @@ def _bucket(sizes: np.ndarray) -> np.ndarray:
 BUCKETS, BINS, WIDTH = 6, 400, 0.05
 
 
+#: Tokens that are scored at a time.
+BLOCK = 1 << 21
+
+
+def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The rows of batches in blocks of at most BLOCK tokens, or one row."""
+    for pdf in batches:
+        group = (pdf["seq"].str.len().cumsum() // BLOCK).to_numpy()
+        for k in np.unique(group):
+            yield pdf[group == k].reset_index(drop=True)
+
+
 def _gathered(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """seq, stretch sizes, stretch characters, and the row of each stretch."""
     seq = np.frombuffer(b"".join(pdf["seq"]), np.uint8).astype(np.int64)
@@ -209,7 +221,7 @@ def class_sequences(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
 def _train(sequences: DataFrame) -> np.ndarray:
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in _blocks(batches):
             seq, sizes, _, _ = _gathered(pdf)
             if len(sizes):
                 start, own = _spans(seq, sizes)
@@ -234,7 +246,7 @@ def _normal(sequences: DataFrame, model) -> tuple[np.ndarray, np.ndarray]:
     """By length bucket the lowest and highest mean score of prose, from a histogram of all prose lines."""
 
     def binned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in _blocks(batches):
             got = _score(pdf, model.value)
             if got:
                 seq, start, sizes, _, _, mean = got
@@ -272,7 +284,7 @@ def page_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     low, high = _normal(sequences, model)
 
     def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in _blocks(batches):
             n = len(pdf)
             sums, tokens, odd, every = np.zeros(n), np.zeros(n), np.zeros(n), np.zeros(n)
             got = _score(pdf, model.value)
