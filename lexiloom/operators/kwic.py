@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiloom.functions.text import is_ideographic
@@ -12,13 +12,17 @@ from lexiloom.operators.lines import neighbours, real_lines, with_margin, with_o
 CHUNK_LINES = 512
 
 
-def chunked(rows: DataFrame, margin: int, size: int = CHUNK_LINES) -> DataFrame:
+def chunked(rows: DataFrame, margin: int, gap: int, size: int = CHUNK_LINES) -> DataFrame:
     """file_id, chunk, rows: chunks of ordinal lines in order, with ``margin`` lines to either side.
 
-    A written table of it serves any number of terms whose contexts keep within the margin.
+    Each line has the place at which it begins in the chunk's text, lines being ``gap``
+    characters apart. A written table of it serves any number of terms whose contexts keep
+    within the margin.
     """
     cut = with_margin(rows, max(size, margin), margin)
-    return cut.groupBy("file_id", "chunk").agg(F.sort_array(F.collect_list(F.struct("ordinal", "line_no", "line_id", "text", "own"))).alias("rows"))
+    before = Window.partitionBy("file_id", "chunk").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1)
+    cut = cut.withColumn("begin", F.coalesce(F.sum(F.length("text") + gap).over(before), F.lit(0)).cast("int"))
+    return cut.groupBy("file_id", "chunk").agg(F.sort_array(F.collect_list(F.struct("ordinal", "line_no", "line_id", "text", "begin", "own"))).alias("rows"))
 
 
 def positions(text: Column, term: str) -> Column:
@@ -53,30 +57,25 @@ def kwic(lines: DataFrame, term: str, context: int = 40) -> DataFrame:
         rows, term = rows.filter(F.lit(False)), " "
     ids = with_ordinal(rows)
     # Every line of the margin adds a character at least: the separator, or itself where there is none.
-    chunks = chunked(ids if not cjk else with_ordinal(rows.filter("text <> ''")), context)
+    chunks = chunked(ids if not cjk else with_ordinal(rows.filter("text <> ''")), context, 0 if cjk else 1)
     has = F.exists("rows", lambda r: r["own"] & F.contains(r["text"] if cjk else F.lower(r["text"]), F.lit(term if cjk else term.lower())))
     chunks = chunks.filter(has)
-    gap = 0 if cjk else 1
-    starts = F.aggregate(
-        F.transform("rows", lambda r: F.length(r["text"])), F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all")),
-        lambda acc, n: F.struct((acc["at"] + n + gap).alias("at"), F.concat(acc["all"], F.array(acc["at"])).alias("all")))["all"]
-    chunks = chunks.select("file_id", "rows", starts.alias("starts"), F.array_join(F.transform("rows", lambda r: r["text"]), "" if cjk else " ").alias("whole"))
+    chunks = chunks.select("file_id", "rows", F.array_join(F.transform("rows", lambda r: r["text"]), "" if cjk else " ").alias("whole"))
     k = len(term)
 
-    def hit(r: Column, begin: Column, p: Column) -> Column:
-        at = begin + p
-        left = F.substr("whole", F.greatest(at - context, F.lit(0)) + 1, F.least(at, F.lit(context)))
-        right = F.substr("whole", at + k + 1, F.lit(context))
-        if not cjk:
-            i = F.instr(left, " ")
-            left = F.when((F.length(left) == context) & (i > 1) & (i < F.length(left)), F.substr(left, i + 1, F.lit(context))).otherwise(left)
-            j = F.length(right) - F.instr(F.reverse(right), " ")
-            right = F.when((F.length(right) == context) & (F.instr(right, " ") > 0) & (j > 0), F.substr(right, F.lit(1), j)).otherwise(right)
-        return F.struct(r["line_no"].alias("line_no"), r["line_id"].alias("line_id"), p.alias("pos"), left.alias("left"), F.substr(r["text"], p + 1, F.lit(k)).alias("match"), right.alias("right"))
-
-    own = F.filter(F.arrays_zip("rows", "starts"), lambda z: z["rows"]["own"])
-    each = F.flatten(F.transform(own, lambda z: F.transform(positions(z["rows"]["text"], term), lambda p: hit(z["rows"], z["starts"], p))))
-    hits = chunks.select("file_id", F.explode(each).alias("h")).select("file_id", "h.*")
+    # Of a line with hits goes on what lies within reach of it, not the chunk.
+    own = F.filter("rows", lambda r: r["own"] & F.contains(r["text"] if cjk else F.lower(r["text"]), F.lit(term if cjk else term.lower())))
+    reach = lambda r: F.substr("whole", F.greatest(r["begin"] - context, F.lit(0)) + 1, F.length(r["text"]) + F.least(r["begin"], F.lit(context)) + context)
+    found = chunks.select("file_id", F.explode(F.transform(own, lambda r: F.struct(r["line_no"].alias("line_no"), r["line_id"].alias("line_id"), r["text"].alias("text"), F.least(r["begin"], F.lit(context)).alias("lead"), reach(r).alias("around")))).alias("r")).select("file_id", "r.*")
+    found = found.withColumn("pos", F.explode(positions(F.col("text"), term)))
+    at = F.col("lead") + F.col("pos")
+    found = found.withColumn("left", F.substr("around", F.greatest(at - context, F.lit(0)) + 1, F.least(at, F.lit(context)))).withColumn("right", F.substr("around", at + k + 1, F.lit(context)))
+    if not cjk:
+        i = F.instr("left", " ")
+        found = found.withColumn("left", F.when((F.length("left") == context) & (i > 1) & (i < F.length("left")), F.substr("left", i + 1, F.lit(context))).otherwise(F.col("left")))
+        j = F.length("right") - F.instr(F.reverse("right"), " ")
+        found = found.withColumn("right", F.when((F.length("right") == context) & (F.instr("right", " ") > 0) & (j > 0), F.substr("right", F.lit(1), j)).otherwise(F.col("right")))
+    hits = found.select("file_id", "line_no", "line_id", "pos", "left", F.substr("text", F.col("pos") + 1, F.lit(k)).alias("match"), "right")
     near = neighbours(ids, {"_b2": ("line_id", -2), "_b1": ("line_id", -1), "_a1": ("line_id", 1), "_a2": ("line_id", 2)})
     near = near.select("file_id", "line_no", F.coalesce("_b2", "_b1", "line_id").alias("start_id"), F.coalesce("_a2", "_a1", "line_id").alias("end_id"))
     return hits.join(near, ["file_id", "line_no"])
