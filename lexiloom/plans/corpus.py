@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lexiloom.functions import ids, routes, text
 from lexiloom.operators import align, dictionary, kwic, lines, search
+from lexiloom.plans import pages
 from lexiloom.plans.index import index_records, postings, search_documents
 from lexiloom.session import table
 from lexiloom.sources import files, markup
@@ -441,3 +442,76 @@ def index_postings(s: SparkSession, d: str) -> DataFrame:
 @query("""SELECT coalesce(source, '') AS side, count(*) AS docs FROM documents WHERE text <> '' GROUP BY 1 UNION ALL SELECT 'title', count(*) FROM titles WHERE coalesce(zh, en) <> ''""")
 def index_families(s: SparkSession, d: str) -> DataFrame:
     return index_records(table(s, d, "documents"), table(s, d, "titles"), _lines(s, d)).groupBy("side").agg(F.count(F.lit(1)).alias("docs"))
+
+
+# Pages
+
+_ESC = "replace(replace(replace(replace(replace(coalesce({0}, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '\'\'', '&#39;')"
+_PERSON = """one AS (SELECT *, coalesce(floruit, 0) AS f, coalesce(death, 0) AS e FROM masters WHERE names[1] IS NOT NULL QUALIFY row_number() OVER (PARTITION BY lower(trim(translate(names[1], '_-', '  '))) ORDER BY row_no) = 1)"""
+
+
+@query(f"""WITH {_PERSON} SELECT row_no, names[1] AS name, concat_ws(' | ', CASE WHEN school <> '' THEN 'School: ' || {_ESC.format('school')} END, CASE WHEN f <> 0 AND e <> 0 THEN f || '-' || e WHEN e <> 0 THEN 'd. ' || e END,
+CASE WHEN teacher <> '' THEN 'Teacher: ' || {_ESC.format('teacher')} END, CASE WHEN array_to_string(students, ', ') <> '' THEN 'Students: ' || {_ESC.format("array_to_string(students, ', ')")} END) AS facts FROM one""")
+def person_facts(s: SparkSession, d: str) -> DataFrame:
+    return pages.person_facts(table(s, d, "masters")).select("row_no", "name", "facts")
+
+
+@query(f"""WITH {_PERSON} SELECT row_no, {_ESC.format("concat_ws(' ', names[1], nullif(names[2], ''))")} AS heading, {_ESC.format('school')} AS school, {_ESC.format('teacher')} AS teacher, array_to_string(list_filter(string_split({_ESC.format("array_to_string(students, ', ')")}, ', '), lambda x: x <> ''), ', ') AS students FROM one""")
+def person_scrape(s: SparkSession, d: str) -> DataFrame:
+    """Pages written and read back."""
+    got = pages.scraped(pages.person_facts(table(s, d, "masters")).select("row_no", "html"))
+    return got.select("row_no", "heading", "school", "teacher", F.array_join("students", ", ").alias("students"))
+
+
+@query(f"""WITH {_PERSON}, r AS (SELECT '' AS route UNION ALL SELECT DISTINCT fileId FROM titles WHERE fileId <> '' UNION ALL SELECT 'person/' || regexp_replace(replace(names[1], '\'\'', ''), '\s+', '_', 'g') FROM one)
+SELECT route, '<url><loc>https://x.example/' || route || '</loc><lastmod>2026-01-01</lastmod><priority>' || CASE WHEN route = '' THEN '1.0' WHEN starts_with(route, 'person/') THEN '0.6' ELSE '0.8' END || '</priority></url>' AS line FROM r""")
+def sitemap(s: SparkSession, d: str) -> DataFrame:
+    return pages.sitemap(pages.routes_of(table(s, d, "masters"), table(s, d, "titles")), "https://x.example", "2026-01-01")
+
+
+@query("""WITH t AS (SELECT *, coalesce(nullif(en, ''), nullif(enShort, ''), '') AS e, coalesce(zh, '') AS z FROM titles WHERE fileId <> '' QUALIFY row_number() OVER (PARTITION BY fileId ORDER BY row_no) = 1)
+SELECT fileId AS file_id, CASE WHEN e <> '' THEN e || ' (' || z || ')' ELSE z END || ' - Library' AS title, 'Read ' || CASE WHEN e <> '' THEN e || ' (' || z || ')' ELSE z END || ' on Library.' AS description FROM t""")
+def title_pages(s: SparkSession, d: str) -> DataFrame:
+    return pages.title_pages(table(s, d, "titles"), "Library")
+
+
+@query()
+def person_index(s: SparkSession, d: str) -> DataFrame:
+    """Persons in the order of Unicode's rules, for which the reference database here has no collation."""
+    return pages.person_index(table(s, d, "masters"))
+
+
+@query(ORACLE["person_mentions"].replace("SELECT person, doc_id, sum(", "SELECT person, count(DISTINCT doc_id) AS documents, sum(").replace("GROUP BY person, doc_id", "GROUP BY person").replace("::BIGINT AS n", "::BIGINT AS total_mentions"))
+def person_shards(s: SparkSession, d: str) -> DataFrame:
+    return pages.person_shards(search.mentions(table(s, d, "documents"), table(s, d, "masters"), 7)).select("person", "documents", "total_mentions")
+
+
+@query("""WITH c AS (SELECT file_id, count(*)::INT AS stars FROM apparatus GROUP BY file_id) SELECT row_no, fileId, coalesce(stars, 0)::INT AS stars FROM titles LEFT JOIN c ON file_id = fileId""")
+def star_counts(s: SparkSession, d: str) -> DataFrame:
+    counts = table(s, d, "apparatus").groupBy(F.col("file_id").alias("fileId")).agg(F.count(F.lit(1)).cast("int").alias("stars"))
+    return pages.starred(table(s, d, "titles").select("row_no", "fileId"), counts, "fileId")
+
+
+@query("""SELECT fileId, relPath FROM (SELECT DISTINCT fileId FROM titles WHERE fileId <> '') t JOIN (SELECT DISTINCT p.sourceRelPath AS relPath FROM (SELECT unnest(passages) AS p FROM collections) WHERE p.sourceRelPath IS NOT NULL) r
+ON lower(relPath) = lower(fileId) || '.xml' OR ends_with(lower(relPath), '/' || lower(fileId) || '.xml') OR (contains(fileId, '.') AND (lower(relPath) = lower(split_part(fileId, '.', 2)) || '.xml' OR ends_with(lower(relPath), '/' || lower(split_part(fileId, '.', 2)) || '.xml')))""")
+def path_match(s: SparkSession, d: str) -> DataFrame:
+    """Paths that collections quote from, however written, with the works they name: by file name first, then verified."""
+    works = table(s, d, "titles").filter("fileId <> ''").select("fileId").distinct()
+    names = F.array_distinct(F.array(F.lower("fileId"), F.when(F.contains("fileId", F.lit(".")), F.lower(F.regexp_extract("fileId", r"^[^.]+\.([^.]+)", 1)))))
+    works = works.withColumn("name", F.explode(F.filter(names, lambda x: x.isNotNull())))
+    paths = table(s, d, "collections").select(F.explode("passages").alias("p")).select(F.col("p.sourceRelPath").alias("relPath")).filter("relPath is not null").distinct()
+    paths = paths.withColumn("name", F.lower(ids.stem_of_path(F.col("relPath"))))
+    return works.join(paths, "name").filter(ids.same_work(F.col("relPath"), F.col("fileId"))).select("fileId", "relPath").distinct()
+
+
+@query("""WITH a AS (SELECT DISTINCT file_id FROM text_lines WHERE file_id IS NOT NULL), b AS (SELECT DISTINCT file_id FROM documents WHERE file_id IS NOT NULL)
+SELECT file_id, file_id IN (SELECT * FROM a) AS in_lines, file_id IN (SELECT * FROM b) AS in_documents FROM (SELECT * FROM a UNION SELECT * FROM b)""")
+def id_sets(s: SparkSession, d: str) -> DataFrame:
+    one = lambda t, c: table(s, d, t).filter("file_id is not null").select("file_id", F.lit(c == 0).alias("a"), F.lit(c == 1).alias("b"))
+    return one("text_lines", 0).unionByName(one("documents", 1)).groupBy("file_id").agg(F.bool_or("a").alias("in_lines"), F.bool_or("b").alias("in_documents"))
+
+
+@query()
+def random_pick(s: SparkSession, d: str) -> DataFrame:
+    """One title, picked by seed."""
+    return pages.picked(table(s, d, "titles").select("row_no", "path"), "row_no", 7)

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from lexiloom.functions.text import iso_day, line_range, safe_color, stars
 from lexiloom.operators import align, graph, lists
+from lexiloom.plans import pages
 from lexiloom.operators.hierarchy import collection_links, latest_state, person_links
 from lexiloom.session import materialise, table
 from lexiloom.streaming.jsonl import drained, json_stream
@@ -167,6 +168,19 @@ def graph_layout(s: SparkSession, d: str) -> DataFrame:
     return graph.force_layout(*_graph(s, d))
 
 
+@query(f"WITH {_GRAPH} SELECT cid AS collection_id, nid AS node_id, label FROM nd WHERE contains(lower(label), 'no')")
+def node_search(s: SparkSession, d: str) -> DataFrame:
+    return pages.labelled(graph.graph_nodes(table(s, d, "collections")), "no").select("collection_id", "node_id", "label")
+
+
+@query()
+def graph_positions(s: SparkSession, d: str) -> DataFrame:
+    """Places of nodes: saved ones of the first collection's graph, those of the layout elsewhere."""
+    nodes, edges = _graph(s, d)
+    saved = nodes.join(nodes.agg(F.min("collection_id").alias("collection_id")), "collection_id").select("collection_id", "node_id", F.length("label").cast("double").alias("x"), F.lit(1.0).alias("y"))
+    return pages.placed(nodes.select("collection_id", "node_id"), saved, graph.force_layout(nodes, edges))
+
+
 @query(f"""WITH {_NOW}, l AS (SELECT id, lower(trim(id)) AS k, lower(trim(parentCollectionId)) AS p FROM c)
 SELECT a.id, CASE WHEN b.id IS NULL THEN '' ELSE a.p END AS parent, (SELECT count(*) FROM l x WHERE x.p = a.k) AS children FROM l a LEFT JOIN l b ON a.p = b.k""")
 def collection_tree(s: SparkSession, d: str) -> DataFrame:

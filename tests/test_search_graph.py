@@ -95,3 +95,18 @@ def test_property_graph(spark):
     place = graph.force_layout(nodes, edges).collect()
     assert len(place) == nodes.count() and all(abs(r["x"]) < 1e6 for r in place)
     assert graph.ego(edges, spark.createDataFrame([("c", "p2")], "collection_id string, node_id string")).count() == 1
+
+
+def test_pages_round_trip(spark):
+    from lexiloom.plans import pages
+
+    rows = [(0, ["A & B", "安"], "S1", 700, 0, "T", ["x", "y"], "No<te", [("https://e.example", "L")]), (1, ["O'C  D"], None, None, 801, None, None, None, None), (2, None, "S", 1, 2, None, None, None, None), (3, ["a & b"], "late", 1, 2, None, None, None, None)]
+    df = spark.createDataFrame(rows, "row_no long, names array<string>, school string, floruit int, death int, teacher string, students array<string>, notes string, links array<struct<url:string,label:string>>")
+    facts = {r["row_no"]: (r["slug"], r["facts"]) for r in pages.person_facts(df).collect()}
+    assert facts == {0: ("A_&_B", "School: S1 | Teacher: T | Students: x, y"), 1: ("OC_D", "d. 801")}
+    back = {r["row_no"]: (r["heading"], r["teacher"], r["students"]) for r in pages.scraped(pages.person_facts(df)).collect()}
+    assert back == {0: ("A &amp; B 安", "T", ["x", "y"]), 1: ("O&#39;C  D", "", [])}
+    routes = spark.createDataFrame([("",), ("person/x",), ("T1",)], "route string")
+    assert sorted(r["line"].split("<priority>")[1][:3] for r in pages.sitemap(routes, "https://x.example", "2026-01-01").collect()) == ["0.6", "0.8", "1.0"]
+    n = spark.createDataFrame([("p", 1, 5), ("p", 2, 7), ("q", 3, 1)], "person string, doc_id long, n long")
+    assert {r["person"]: (r["documents"], r["total_mentions"], r["top"]) for r in pages.person_shards(n, 1).collect()} == {"p": (2, 12, [2]), "q": (1, 1, [3])}
