@@ -17,6 +17,7 @@ from __future__ import annotations
 import functools
 import itertools
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexiloom.llm.skeleton import skeletons
 from lexiloom.session import materialise
 
 #: Characters of a chunk, and those the lexer may look at beyond it.
@@ -50,7 +52,7 @@ _EVENT = re.compile('[\n  .．…!?。！？｡།-༒༔|॥/　“”‘
 _WORD = re.compile(r"([A-Za-zÀ-ɏḀ-ỿ]+(?:\.[A-Za-zÀ-ɏḀ-ỿ]+)*)\n?$")
 _NUMBERING = r"\s*(?:(?:chapter|part|book|section|vol|no)\.?\s+)?(?:\d+(?:\.\d+)*|[ivxlcdm]+|[a-h])$"
 _ENUM = (re.compile(r"(?:^|\n)" + _NUMBERING, re.I), re.compile(r"(?:^|\n[^\S\n]*\n)" + _NUMBERING, re.I))  # by layout
-_DOTS = re.compile(r"(?:\.(?: \.){2,}|[.．…!?。！？｡]+(?: ?[.!?。！？])*)")
+_DOTS = tuple(re.compile(rf"(?:\.(?:{b}\.){{2,}}|[.．…!?。！？｡]+(?:{b}?[.!?。！？])*)") for b in (r"[^\S\n]", r"\s"))  # by layout
 _SHADS = re.compile(r"[།-༒༔]+(?:[  ]*[།-༒༔]+)*")
 _STROKES = re.compile(r"(?:\|\||॥|//)(?:\s{0,3}[0-9०-९]{1,6}\s{0,3}(?:\|\||॥|//))?")
 _CLOSERS = re.compile("[”’»」』)）\\]］\"＂]+")
@@ -144,7 +146,7 @@ def _stop(text: str, i: int, end: int, wrapped: bool) -> bool:
     if not after.isspace() and not _CLOSERS.match(after):
         return _ideographic(after) and (_ideographic(before) or "가" <= before <= "힣") and end - i >= 1
     j = end
-    while j < n and text[j].isspace() and j - end < CONTEXT:
+    while j < n and (text[j].isspace() or text[j] in _UNSEEN) and j - end < CONTEXT:
         j += 1
     following = text[j] if j < n else ""
     left = text[max(0, i - CONTEXT): i]
@@ -155,6 +157,10 @@ def _stop(text: str, i: int, end: int, wrapped: bool) -> bool:
     if _ENUM[wrapped].search(left):
         return False
     m = _WORD.search(left)
+    k = m.start(1) - 1 if m else len(left) - 1
+    if k >= 0 and (left[k] in _UNSEEN or left[k].isalpha() and not _ideographic(left[k]) and not "가" <= left[k] <= "힣"):
+        left = unicodedata.normalize("NFC", skeletons([left])[0])  # letters of another shape or hidden signs within the word
+        m = _WORD.search(left)
     if not m:
         return not (before.isspace() and following.isdigit())
     word = m.group(1).lower()
@@ -167,8 +173,8 @@ def _stop(text: str, i: int, end: int, wrapped: bool) -> bool:
     starter = nxt is not None and nxt.group().lower() in STARTERS
     if word in MAYBE:
         return not following or not following.islower() or nxt is not None and nxt.group() in DETERMINERS
-    if len(upper) == 1 and upper.isupper() and upper.isascii() and (m.start(1) == 0 or not left[m.start(1) - 1].isalnum() or _ideographic(left[m.start(1) - 1])):
-        return not following or starter or following.islower() or not following.isalpha()
+    if len(upper) == 1 and upper not in "ai" and upper.isascii() and (m.start(1) == 0 or not left[m.start(1) - 1].isalnum() or _ideographic(left[m.start(1) - 1])):
+        return not following or starter or not following.isalpha()
     return True
 
 
@@ -190,7 +196,7 @@ def symbols(text: str, wrapped: bool, begin: int = 0, stop: int | None = None) -
                 skip = blank.end()
             out.append((PARA, i, max(skip, i + 1)))
         elif ch in _ENDS:
-            run = _DOTS.match(text, i)
+            run = _DOTS[wrapped].match(text, i)
             end = skip = run.end()
             cluster = run.group()
             if not _HARD.isdisjoint(cluster):
@@ -205,7 +211,7 @@ def symbols(text: str, wrapped: bool, begin: int = 0, stop: int | None = None) -
                 while j < n and text[j].isspace():
                     j += 1
                 ok = "……" not in cluster and j > end and j < n and (text[j].isupper() or text[j] in "“‘«\"")
-                if ok and len(cluster) > 3 and cluster.endswith(" ."):
+                if ok and len(cluster) > 3 and cluster[-2].isspace():
                     ok = text[j].isupper()
             if ok:
                 closers = _CLOSERS.match(text, end)
@@ -241,7 +247,7 @@ def symbols(text: str, wrapped: bool, begin: int = 0, stop: int | None = None) -
                 j = i
                 while j and (text[j - 1] == "\n" and wrapped or text[j - 1] in "”’»」』"):
                     j -= 1
-                ended = j > 0 and text[j - 1] in _HARD | {"."}
+                ended = j > 0 and text[j - 1] in _ENDS
                 out.append((_symbol(kind, 2 if ended and _begins(text, i + 1, wrapped) else 1), i + 1, i + 1))
     return out
 
