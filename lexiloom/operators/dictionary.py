@@ -59,3 +59,9 @@ def longest_prefix(texts: DataFrame, entries: DataFrame, longest: int = 4, key:
     words = entries.select(F.col("trad").alias("found")).unionByName(entries.select(F.col("simp").alias("found"))).filter("found <> ''").distinct()
     prefixes = texts.select(key, F.explode(F.transform(F.sequence(F.lit(1), F.lit(longest)), lambda n: F.substr(F.col(text), F.lit(1), n))).alias("found")).distinct()
     return prefixes.join(words, "found").groupBy(key).agg(F.max_by("found", F.length("found")).alias("found"))
+
+
+def with_grammar(terms: DataFrame, grammar: DataFrame) -> DataFrame:
+    """Terms with the functions of a grammar table (char, functions); null for terms of more than one character and unknown ones."""
+    g = grammar.groupBy(F.col("char").alias("_c")).agg(F.first("functions").alias("functions"))
+    return terms.join(g, (F.length("term") == 1) & (F.col("term") == F.col("_c")), "left").drop("_c")

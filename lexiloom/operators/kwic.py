@@ -40,19 +40,21 @@ def positions(text: Column, term: str) -> Column:
     return F.when(F.contains(F.lower(text), F.lit(low)), step["all"]).otherwise(F.array().cast("array<int>"))
 
 
-def kwic(lines: DataFrame, term: str, context: int = 40) -> DataFrame:
+def kwic(lines: DataFrame, term: str, context: int = 40, only: DataFrame | None = None) -> DataFrame:
     """file_id, line_no, line_id, pos, left, match, right, start_id, end_id of every hit.
 
     Hits lie within a line; the contexts run on into the lines beside, joined without
     separator for ideographic terms and with a blank for others, whose partial words at
     a full context's edge are dropped. start_id and end_id are the lines two before and
     after. Synthetic lines take no part, null text is empty, an empty term finds nothing. Offsets
-    count code points.
+    count code points. ``only``, a table with file_id, restricts the search to its files.
     """
     if context < 1:
         raise ValueError("context must be at least 1")
     cjk = is_ideographic(term)
     rows = real_lines(lines)
+    if only is not None:
+        rows = rows.join(only.select("file_id").distinct(), "file_id", "left_semi")
     if not term:
         rows, term = rows.filter(F.lit(False)), " "
     ids = with_ordinal(rows)

@@ -79,6 +79,13 @@ def kwic_cjk(s: SparkSession, d: str) -> DataFrame:
     return kwic.kwic(_lines(s, d), CJK_TERM)
 
 
+@query(_kwic_sql(LATIN_TERM, False) + " WHERE x.file_id IN (SELECT fileId FROM titles WHERE contains(lower(coalesce(en, '')), 'of'))")
+def kwic_of_files(s: SparkSession, d: str) -> DataFrame:
+    """Hits in the texts of the titles found alone."""
+    only = table(s, d, "titles").filter(F.contains(F.lower("en"), F.lit("of"))).select(F.col("fileId").alias("file_id"))
+    return kwic.kwic(_lines(s, d), LATIN_TERM, only=only)
+
+
 @query(f"WITH {_CLEAN} SELECT file_id, line_no, line_id, text FROM rl WHERE o < 5")
 def first_lines(s: SparkSession, d: str) -> DataFrame:
     return lines.first_lines(_lines(s, d), 5)

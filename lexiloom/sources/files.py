@@ -65,3 +65,29 @@ def write_by_person(rows: DataFrame, name: str, path: str) -> None:
 
 def write_text(lines: DataFrame, column: str, path: str) -> None:
     lines.select(F.col(column).alias("value")).write.mode("overwrite").text(path)
+
+
+def read_character(spark: SparkSession, path: str, character: str) -> DataFrame:
+    """Dictionary entries of one first character, from the bucket that has it; none if there is no such bucket."""
+    bucket = ord(character[0]) % 201 if character else -1
+    return spark.read.json(path).filter((F.col("bucket") == bucket) & (F.col("first_char") == character[:1]))
+
+
+def owners(files: DataFrame, suffix: str = ".jsonl") -> DataFrame:
+    """owner: the users of a folder of files, by file name or, for other files, by the folder they are in."""
+    name = F.element_at(F.split("path", "/"), -1)
+    folder = F.url_decode(F.coalesce(F.try_element_at(F.split("path", "/"), F.lit(-2)), F.lit("")))
+    own = F.when(F.endswith(name, F.lit(suffix)), F.url_decode(F.substring(name, F.lit(1), F.length(name) - len(suffix)))).otherwise(folder)
+    return files.select(own.alias("owner")).filter("owner <> ''").distinct()
+
+
+def listed_ids(json: DataFrame, column: str) -> DataFrame:
+    """fileId of every path in an array column: the file name without .xml."""
+    from lexiloom.functions.ids import stem_of_path
+
+    return json.select(F.explode(column).alias("path")).select(stem_of_path(F.col("path")).alias("fileId")).filter("fileId <> ''").distinct()
+
+
+def people_of(json: DataFrame, column: str = "masters") -> DataFrame:
+    """row_no and the members of every person in an array column, in the order of the file."""
+    return json.select(F.posexplode(column).alias("row_no", "p")).select(F.col("row_no").cast("long").alias("row_no"), "p.*")

@@ -58,6 +58,7 @@ def test_synthetic_repeats_nulls_and_empty(spark):
     df = spark.createDataFrame(rows, SCHEMA)
     assert [(h[0], h[6], h[7]) for h in hits(K.kwic(df, "q"))] == [(0, "a", "c"), (3, "a", "c")]
     assert K.kwic(df.filter("false"), "q").count() == 0 and K.kwic(df, "").count() == 0
+    assert K.kwic(df, "q", only=spark.createDataFrame([("g",)], "file_id string")).count() == 0
 
 
 def test_ordinals_are_exact_with_gaps(spark):

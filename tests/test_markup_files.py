@@ -79,3 +79,30 @@ def test_writers(spark, tmp_path):
     files.write_by_person(spark.createDataFrame([("Old Ann", 1)], "name string, n int"), "name", str(tmp_path / "p"))
     assert (tmp_path / "p" / "slug=old_ann").exists()
     assert json.loads(spark.read.text(str(tmp_path / "p")).first()[0])["n"] == 1
+
+
+def test_small_readers(spark, tmp_path):
+    e = spark.createDataFrame([("菩提", "b"), ("菩", "c"), ("水", "d")], "trad string, x string")
+    files.write_by_character(e, str(tmp_path / "d"))
+    assert sorted(r["x"] for r in files.read_character(spark, str(tmp_path / "d"), "菩").collect()) == ["b", "c"]
+    assert files.read_character(spark, str(tmp_path / "d"), "").count() == 0
+    paths = spark.createDataFrame([("file:/a/Some%20One.jsonl",), ("file:/a/Bo/x.xml",), ("file:/a/Bo/y.xml",)], "path string")
+    assert sorted(r["owner"] for r in files.owners(paths).collect()) == ["Bo", "Some One"]
+    j = spark.createDataFrame([(["T/T1.xml", "T/T1.xml", "x.xml"], [(["A"], 1), (["B"], None)])], "Zen array<string>, masters array<struct<names:array<string>,death:int>>")
+    assert sorted(r["fileId"] for r in files.listed_ids(j, "Zen").collect()) == ["T1", "x"]
+    assert [(r["row_no"], r["names"]) for r in files.people_of(j).collect()] == [(0, ["A"]), (1, ["B"])]
+    c = spark.createDataFrame([('{"a": 2, "b": 0, "c": -1}',), (None,)], "j string")
+    assert [(r["key"], r["n"]) for r in files.counts_of(c, "j").collect()] == [("a", 2.0)]
+
+
+def test_grammar_and_index(spark):
+    from lexiloom.operators.dictionary import with_grammar
+    from lexiloom.plans.index import phrase_candidates, postings
+
+    g = spark.createDataFrame([("也", ["end"])], "char string, functions array<string>")
+    t = spark.createDataFrame([("也",), ("也乎",), (None,)], "term string")
+    assert {(r["term"], tuple(r["functions"] or [])) for r in with_grammar(t, g).collect()} == {("也", ("end",)), ("也乎", ()), (None, ())}
+    d = spark.createDataFrame([(1, "Old reed, old reed"), (2, "reed"), (3, None), (4, "")], "doc_id long, text string")
+    p = postings(d)
+    assert {(r["token"], r["doc_id"], r["n"]) for r in p.collect()} == {("old", 1, 2), ("reed", 1, 2), ("reed", 2, 1)}
+    assert [r["doc_id"] for r in phrase_candidates(p, ["Old", "reed"]).collect()] == [1]
