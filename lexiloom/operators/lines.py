@@ -88,8 +88,21 @@ def slice_between(lines: DataFrame, ranges: DataFrame) -> DataFrame:
     good = F.col("a").isNotNull() & end.isNotNull() & (end >= F.col("a"))
     every = blank("from_id") & blank("to_id")
     bounds = named.select("range_id", "file_id", F.when(good, F.col("a")).alias("a"), F.when(good, end).alias("b"), (~good & ~every).alias("fallback"))
-    hit = bounds.join(rows, "file_id").filter(F.col("a").isNull() | F.col("line_no").between(F.col("a"), F.col("b")))
-    return hit.select("range_id", "file_id", "line_no", "line_id", "text", "fallback")
+    part = in_ranges(bounds.filter("a is not null"), rows, "line_no")
+    whole = bounds.filter("a is null").join(rows, "file_id")
+    pick = lambda d: d.select("range_id", "file_id", "line_no", "line_id", "text", "fallback")
+    return pick(part).unionByName(pick(whole))
+
+
+def in_ranges(ranges: DataFrame, rows: DataFrame, order: str, span: int = 4096) -> DataFrame:
+    """Rows of each file whose ``order`` lies between a and b of its ranges.
+
+    Both sides are cut into stretches of the order, so that a range meets the lines about
+    it and not the file.
+    """
+    cut = ranges.withColumn("_cell", F.explode(F.sequence(F.floor(F.col("a") / span), F.floor(F.col("b") / span))))
+    near = cut.join(rows.withColumn("_cell", F.floor(F.col(order) / span)), ["file_id", "_cell"])
+    return near.filter(F.col(order).between(F.col("a"), F.col("b"))).drop("_cell")
 
 
 def first_lines(lines: DataFrame, n: int) -> DataFrame:
@@ -131,9 +144,11 @@ def snippets(lines: DataFrame, ranges: DataFrame, enough: int = 160, shown: int
         .join(at.select("file_id", F.col("line_id").alias("to_id"), F.col("ordinal").alias("b")), ["file_id", "to_id"], "left"))
     b = F.when(F.col("b") >= F.col("a"), F.col("b")).otherwise(F.col("a"))
     named = named.withColumn("b", b)
-    # Each line has at least one character, else it does not count, so that the range can be cut beforehand.
-    full = rows.filter("text <> ''").select("file_id", F.col("ordinal").alias("o"), "text")
-    part = named.filter("a is not null").join(full, "file_id").filter("o between a and b")
+    # Lines that count have a character at least, so that the first ``enough`` of them are enough.
+    full = with_ordinal(rows.filter("text <> ''"), name="place").select("file_id", F.col("ordinal").alias("o"), "place", "text")
+    part = in_ranges(named.filter("a is not null").select("range_id", "file_id", "a", "b"), full, "o")
+    first = part.groupBy("range_id").agg(F.min("place").alias("first"))
+    part = part.join(first, "range_id").filter(F.col("place") < F.col("first") + enough)
     w = Window.partitionBy("range_id").orderBy("o").rowsBetween(Window.unboundedPreceding, -1)
     part = part.withColumn("before", F.coalesce(F.sum(F.length("text")).over(w), F.lit(0))).filter(F.col("before") < enough)
     joined = part.groupBy("range_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("o", "text"))), lambda x: x["text"]), " ").alias("s"))

@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,3 +45,19 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def ship(spark: SparkSession) -> None:
+    """Send the package to the executors, once a context, so that their Python finds it wherever it is run."""
+    context = spark.sparkContext
+    if getattr(context, "_lexiloom_sent", False):
+        return
+    package = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="lexiloom-py-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    target = f"{folder}/lexiloom.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    context.addPyFile(target)
+    context._lexiloom_sent = True
