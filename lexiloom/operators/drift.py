@@ -41,23 +41,23 @@ def promote(a: str | None, b: str | None) -> str | None:
     return PROMOTED.get(tuple(sorted((a, b))), "json")
 
 
-def _kind(v: str) -> str:
-    """SQL: type of a variant value, null for what says nothing."""
+def _kind(v: str, shape: str) -> str:
+    """SQL: type of a variant value from its schema ``shape``, null for what says nothing."""
     return f"""CASE WHEN is_variant_null({v}) THEN NULL
-        WHEN schema_of_variant({v}) LIKE 'OBJECT%' THEN 'object'
-        WHEN schema_of_variant({v}) LIKE 'ARRAY<OBJECT%' THEN 'list of objects'
-        WHEN schema_of_variant({v}) = 'ARRAY<STRING>' THEN 'list of strings'
-        WHEN schema_of_variant({v}) = 'ARRAY<VOID>' THEN NULL
-        WHEN schema_of_variant({v}) LIKE 'ARRAY%' THEN 'list of values'
-        WHEN schema_of_variant({v}) = 'STRING' THEN 'string'
-        WHEN schema_of_variant({v}) = 'BOOLEAN' THEN 'boolean' ELSE 'number' END"""
+        WHEN startswith({shape}, 'OBJECT') THEN 'object'
+        WHEN startswith({shape}, 'ARRAY<OBJECT') THEN 'list of objects'
+        WHEN {shape} = 'ARRAY<STRING>' THEN 'list of strings'
+        WHEN {shape} = 'ARRAY<VOID>' THEN NULL
+        WHEN startswith({shape}, 'ARRAY') THEN 'list of values'
+        WHEN {shape} = 'STRING' THEN 'string'
+        WHEN {shape} = 'BOOLEAN' THEN 'boolean' ELSE 'number' END"""
 
 
-def _leaves(v: str) -> str:
-    """SQL: the scalar values inside a variant, spelled alike whatever their type."""
+def _leaves(json: str) -> str:
+    """SQL: the scalar values inside a JSON text, spelled alike whatever their type."""
     token = r'''"(?:[^"\\\\]|\\\\.)*"\\s*:?|-?\\d[\\d.eE+-]*|true|false'''
     bare = r'''regexp_replace(t, '^"|"$', '')'''
-    flat = f"flatten(transform(filter(regexp_extract_all(to_json({v}), '{token}', 0), t -> NOT endswith(t, ':')), t -> split({bare}, ', ')))"
+    flat = f"flatten(transform(filter(regexp_extract_all({json}, '{token}', 0), t -> NOT endswith(t, ':')), t -> split({bare}, ', ')))"
     return f"""array_distinct(transform({flat}, t -> CASE t WHEN 'true' THEN 'yes' WHEN 'false' THEN 'no' ELSE
         CASE WHEN t RLIKE '^[0-9]{{13}}$' THEN date_format(timestamp_millis(CAST(t AS BIGINT)), "yyyy-MM-dd'T'HH:mm:ss'Z'") ELSE t END END))"""
 
@@ -69,17 +69,16 @@ def read_lines(files: DataFrame) -> DataFrame:
 
 
 def _exploded(lines: DataFrame) -> DataFrame:
-    """One row per line and field that has a value; ``scope`` is the list for fields of its objects, else ''."""
+    """One row per line and field that has a value; ``scope`` is the list for fields of its objects, else ''. ``json`` is the value."""
     spark = lines.sparkSession
     top = spark.sql(
-        """SELECT feed, file_seq, line_no, id, '' AS scope, -1 AS pos, f.key AS field, f.value AS v
+        """SELECT feed, file_seq, line_no, id, '' AS scope, -1 AS pos, f.key AS field, f.value AS v, schema_of_variant(f.value) AS shape
            FROM {lines}, LATERAL variant_explode(doc) AS f WHERE NOT is_variant_null(f.value)""", lines=lines)
-    lists = top.filter("schema_of_variant(v) LIKE 'ARRAY<OBJECT%'")
+    lists = top.filter("startswith(shape, 'ARRAY<OBJECT')")
     inner = spark.sql(
-        """SELECT feed, file_seq, line_no, id, field AS scope, o.pos AS pos, f.key AS field, f.value AS v
-           FROM {lists}, LATERAL variant_explode(v) AS o, LATERAL variant_explode(o.value) AS f
-           WHERE schema_of_variant(o.value) LIKE 'OBJECT%' AND NOT is_variant_null(f.value)""", lists=lists)
-    return top.unionByName(inner).selectExpr("feed", "file_seq", "line_no", "id", "scope", "pos", "field", f"{_kind('v')} AS kind", f"{_leaves('v')} AS leaves")
+        """SELECT feed, file_seq, line_no, id, field AS scope, o.pos AS pos, f.key AS field, f.value AS v, schema_of_variant(f.value) AS shape
+           FROM {lists}, LATERAL variant_explode(v) AS o, LATERAL variant_explode(o.value) AS f WHERE NOT is_variant_null(f.value)""", lists=lists)
+    return top.unionByName(inner).selectExpr("feed", "file_seq", "line_no", "id", "scope", "pos", "field", f"{_kind('v', 'shape')} AS kind", "to_json(v) AS json")
 
 
 def file_schemas(values: DataFrame) -> DataFrame:
@@ -102,7 +101,7 @@ def _renames(gone: DataFrame, come: DataFrame, values: DataFrame, tag: str) -> D
     side = lambda d, seq, scope, name: (
         values.join(d.select("feed", F.col(seq).alias("file_seq"), F.col(scope).alias("scope"), "field", F.col("file_seq").alias("at"), F.col("scope_old").alias("pair_scope"), F.col("kind").alias(f"kind_{name}")), ["feed", "file_seq", "scope", "field"])
         .groupBy("feed", "at", "pair_scope", "id", "pos", F.col("field").alias(name), f"kind_{name}")
-        .agg(F.max_by("leaves", "line_no").alias(f"leaves_{name}"))
+        .agg(F.max_by("json", "line_no").alias("json")).withColumn(f"leaves_{name}", F.expr(_leaves("json"))).drop("json")
     )
     both = side(gone, "before", "scope_old", "old").join(side(come, "file_seq", "scope_new", "new"), ["feed", "at", "pair_scope", "id", "pos"])
     same = both.groupBy("feed", "at", "pair_scope", "old", "new", "kind_old", "kind_new").agg(
