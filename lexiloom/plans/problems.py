@@ -54,6 +54,12 @@ def p4_objects(spark: SparkSession, d: str) -> DataFrame:
     return _nested(spark, d).objects
 
 
+def p4_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Occurrences of each entity, and distinct objects among them by Merkle identity."""
+    bridge = _nested(spark, d).bridge
+    return bridge.groupBy("entity").agg(F.count(F.lit(1)).alias("occurrences"), F.count_distinct("object_id").alias("objects"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return schema_changes(table(spark, d, "collection_files"))
 
@@ -64,12 +70,11 @@ def p5_table(spark: SparkSession, d: str) -> DataFrame:
     return unified(files, schema_changes(files))
 
 
-QUERIES = {"p5_table": p5_table, "p1_found": p1_found, "p1_paths": p1_paths, "p4_found": p4_found, "p4_objects": p4_objects, "p5_found": p5_found}
+QUERIES = {"p4_counts": p4_counts, "p5_table": p5_table, "p1_found": p1_found, "p1_paths": p1_paths, "p4_found": p4_found, "p4_objects": p4_objects, "p5_found": p5_found}
 
 _NAME = "lower(trim(translate({}, '_-', '  ')))"
 
-ORACLE = {
-    "p1_found": f"""
+_TREES = f"""
 WITH RECURSIVE rows AS (SELECT {_NAME.format('names[1]')} AS k, * FROM masters WHERE names[1] IS NOT NULL),
 person AS (SELECT k, arg_min(names[1], row_no) AS label FROM rows GROUP BY k),
 alias AS (SELECT {_NAME.format('n')} AS a, min(k) AS k FROM (SELECT k, unnest(names) AS n FROM rows) GROUP BY 1),
@@ -80,9 +85,17 @@ col AS (SELECT id, lower(trim(id)) AS k, lower(trim(parentCollectionId)) AS p FR
 edge AS (SELECT 'masters' AS tree, c, min(p) AS p FROM said GROUP BY c
   UNION ALL SELECT 'collections', k, p FROM col WHERE p IN (SELECT k FROM col)),
 up AS (SELECT tree, c, p FROM edge UNION SELECT u.tree, u.c, e.p FROM up u JOIN edge e ON u.tree = e.tree AND u.p = e.c),
-label AS (SELECT 'masters' AS tree, k, label FROM person UNION ALL SELECT 'collections', k, id FROM col)
+label AS (SELECT 'masters' AS tree, k, label FROM person UNION ALL SELECT 'collections', k, id FROM col)"""
+
+ORACLE = {
+    "p1_found": f"""{_TREES}
 SELECT u.tree, a.label AS ancestor_key, n.label AS node_key FROM up u
 JOIN label a ON a.tree = u.tree AND a.k = u.p JOIN label n ON n.tree = u.tree AND n.k = u.c""",
+    "p1_paths": f"""{_TREES},
+ring AS (SELECT tree, c AS k, min(p) AS ring_id FROM up WHERE (tree, c) IN (SELECT tree, c FROM up WHERE c = p) GROUP BY tree, c),
+path AS (SELECT tree, k, k AS path, 0 AS depth, k AS root FROM label WHERE (tree, k) NOT IN (SELECT tree, c FROM edge) OR (tree, k) IN (SELECT tree, k FROM ring)
+  UNION ALL SELECT e.tree, e.c, path || ' > ' || e.c, depth + 1, root FROM path JOIN edge e ON e.tree = path.tree AND e.p = path.k WHERE (e.tree, e.c) NOT IN (SELECT tree, k FROM ring))
+SELECT path.tree, path.k AS key, path, depth::INT AS depth, root, (SELECT count(*) FROM up WHERE up.tree = path.tree AND up.p = path.k) AS n_descendants, ring_id FROM path LEFT JOIN ring ON ring.tree = path.tree AND ring.k = root""",
     "p4_found": """
 WITH c AS (SELECT * FROM collections QUALIFY row_number() OVER (PARTITION BY id ORDER BY modifiedUtc DESC NULLS LAST, row_no) = 1),
 p AS (SELECT id, x, i - 1 AS i FROM (SELECT id, unnest(passages) AS x, unnest(range(1, len(passages) + 1)) AS i FROM c) WHERE x IS NOT NULL),
@@ -100,4 +113,18 @@ UNION ALL SELECT 'concept_tag', id, i, j - 1, -1 FROM (SELECT id, i, unnest(x.ta
 UNION ALL SELECT 'link', id, i - 1, -1, -1 FROM (SELECT id, unnest(links) AS y, unnest(range(1, len(links) + 1)) AS i FROM c) WHERE y IS NOT NULL
 UNION ALL SELECT 'extra_master', id, i - 1, -1, -1 FROM (SELECT id, unnest(ExtraMasters) AS y, unnest(range(1, len(ExtraMasters) + 1)) AS i FROM c) WHERE y IS NOT NULL)
 SELECT entity, id AS collection_id, i0::INT AS i0, i1::INT AS i1, i2::INT AS i2 FROM r""",
+    "p4_counts": """
+WITH c AS (SELECT * FROM collections QUALIFY row_number() OVER (PARTITION BY id ORDER BY modifiedUtc DESC NULLS LAST, row_no) = 1),
+p AS (SELECT unnest(passages) AS x FROM c), k AS (SELECT unnest(concepts) AS x FROM c), a AS (SELECT unnest(x.apparatus) AS x FROM p),
+e AS (SELECT 'passages' AS entity, count(x) AS n, count(DISTINCT x) AS m FROM p
+UNION ALL SELECT 'concepts', count(x), count(DISTINCT x) FROM k
+UNION ALL SELECT 'links', count(x), count(DISTINCT x) FROM (SELECT unnest(links) AS x FROM c)
+UNION ALL SELECT 'ExtraMasters', count(x), count(DISTINCT x) FROM (SELECT unnest(ExtraMasters) AS x FROM c)
+UNION ALL SELECT 'passages.tags', count(x), count(DISTINCT x) FROM (SELECT unnest(x.tags) AS x FROM p)
+UNION ALL SELECT 'passages.masterNames', count(x), count(DISTINCT x) FROM (SELECT unnest(x.masterNames) AS x FROM p)
+UNION ALL SELECT 'passages.linkedTexts', count(x), count(DISTINCT x) FROM (SELECT unnest(x.linkedTexts) AS x FROM p)
+UNION ALL SELECT 'passages.apparatus', count(x), count(DISTINCT x) FROM a
+UNION ALL SELECT 'passages.apparatus.readings', count(x), count(DISTINCT x) FROM (SELECT unnest(x.readings) AS x FROM a)
+UNION ALL SELECT 'concepts.tags', count(x), count(DISTINCT x) FROM (SELECT unnest(x.tags) AS x FROM k))
+SELECT entity, n AS occurrences, m AS objects FROM e WHERE n > 0""",
 }
