@@ -7,6 +7,7 @@ once; where each of them occurs is kept in bridge rows (root, parent, ordinals).
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -14,48 +15,51 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def _canonical(x: Column, kind: T.DataType) -> Column:
-    """JSON of the value with fields in name order and arrays of elements as arrays of identities."""
-    if not isinstance(kind, T.StructType):
-        return F.to_json(F.struct(x.alias("value")))
-    parts = []
-    for f in sorted(kind.fields, key=lambda f: f.name):
-        v = x.getField(f.name)
-        if isinstance(f.dataType, T.ArrayType):
-            v = F.transform(v, lambda y, e=f.dataType.elementType: identity(y, e))
-        elif isinstance(f.dataType, T.StructType):
-            v = identity(v, f.dataType)
-        parts.append(v.alias(f.name))
-    return F.to_json(F.struct(*parts))
+_ROWS = "array<struct<entity:string,ordinals:array<int>,parent_id:string,object_id:string,body:string>>"
 
 
-def identity(x: Column, kind: T.DataType) -> Column:
-    """Merkle identity of a value, null for null. Null and missing fields are the same, empty arrays are not null."""
-    return F.when(x.isNotNull(), F.sha2(_canonical(x, kind), 256))
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), lambda v: use(v)), F.lit(0))
 
 
-def _occurrences(x: Column, kind: T.DataType, at: str, parent: Column, above: Column) -> Column:
-    """Array of (entity, ordinals, parent_id, object_id, body) of all non-null elements below array ``x``."""
+def _annotated(y: Column, kind: T.DataType, at: str) -> Column:
+    """struct(id, body, rows) of a value that is not null.
 
-    def each(y: Column, i: Column) -> Column:
-        ordinals, own = F.concat(above, F.array(i)), identity(y, kind)
-        row = F.struct(F.lit(at).alias("entity"), ordinals.alias("ordinals"), parent.alias("parent_id"), own.alias("object_id"), _canonical(y, kind).alias("body"))
-        return F.when(y.isNotNull(), F.concat(F.array(row), *_below(y, kind, at, own, ordinals))).otherwise(F.array().cast(_ROWS))
+    body: JSON with the fields in name order and arrays of elements as arrays of their
+    identities; id: its hash; rows: all non-null elements below, places counted from here.
+    Null and missing fields are the same, empty arrays are not null.
+    """
+    if not isinstance(kind, T.StructType):
+        return _let(F.to_json(F.struct(y.alias("value"))), lambda b: F.struct(F.sha2(b, 256).alias("id"), b.alias("body"), F.array().cast(_ROWS).alias("rows")))
+    name = {f.name: f"{at}.{f.name}" if at else f.name for f in kind.fields}
+    lists = [f for f in kind.fields if isinstance(f.dataType, T.ArrayType)]
 
-    return F.coalesce(F.flatten(F.transform(x, each)), F.array().cast(_ROWS))
+    def element(f: T.StructField) -> Callable[[Column], Column]:
+        return lambda z: F.when(z.isNotNull(), _annotated(z, f.dataType.elementType, name[f.name]))
 
+    def part(f: T.StructField, kids: Column) -> Column:
+        if isinstance(f.dataType, T.ArrayType):
+            return F.transform(kids.getField(f.name), lambda a: a["id"]).alias(f.name)
+        v = y.getField(f.name)
+        if isinstance(f.dataType, T.StructType):
+            return F.when(v.isNotNull(), _annotated(v, f.dataType, name[f.name])["id"]).alias(f.name)
+        return v.alias(f.name)
 
-_ROWS = "array<struct<entity:string,ordinals:array<int>,parent_id:string,object_id:string,body:string>>"
+    def below(f: T.StructField, kids: Column, own: Column) -> Column:
+        def each(a: Column, i: Column) -> Column:
+            row = F.struct(F.lit(name[f.name]).alias("entity"), F.array(i).alias("ordinals"), own.alias("parent_id"), a["id"].alias("object_id"), a["body"].alias("body"))
+            deeper = F.transform(a["rows"], lambda r: F.struct(r["entity"].alias("entity"), F.concat(F.array(i), r["ordinals"]).alias("ordinals"), r["parent_id"].alias("parent_id"), r["object_id"].alias("object_id"), r["body"].alias("body")))
+            return F.when(a.isNotNull(), F.concat(F.array(row), deeper)).otherwise(F.array().cast(_ROWS))
 
+        return F.coalesce(F.flatten(F.transform(kids.getField(f.name), each)), F.array().cast(_ROWS))
 
-def _below(x: Column, kind: T.DataType, at: str, own: Column, ordinals: Column) -> list[Column]:
-    if not isinstance(kind, T.StructType):
-        return []
-    return [
-        _occurrences(x.getField(f.name), f.dataType.elementType, f"{at}.{f.name}" if at else f.name, own, ordinals)
-        for f in kind.fields
-        if isinstance(f.dataType, T.ArrayType)
-    ]
+    def whole(kids: Column) -> Column:
+        body = F.to_json(F.struct(*[part(f, kids) for f in sorted(kind.fields, key=lambda f: f.name)]))
+        return _let(body, lambda b: _let(F.sha2(b, 256), lambda own: F.struct(
+            own.alias("id"), b.alias("body"), (F.concat(*[below(f, kids, own) for f in lists]) if lists else F.array().cast(_ROWS)).alias("rows"))))
+
+    return _let(F.struct(*[F.transform(y.getField(f.name), element(f)).alias(f.name) for f in lists] or [F.lit(0).alias("none")]), whole)
 
 
 @dataclass
@@ -107,7 +111,5 @@ def flatten_nested(rows: DataFrame, key: str) -> FlatTables:
 
     collect(rows.schema, "")
     whole = F.struct(*[F.col(f"`{c}`") for c in rows.columns])
-    parts = _below(whole, rows.schema, "", identity(whole, rows.schema), F.array().cast("array<int>"))
-    all_rows = F.concat(*parts) if parts else F.array().cast(_ROWS)
-    occurrences = rows.select(F.col(f"`{key}`").cast("string").alias("root_key"), F.explode(all_rows).alias("o")).select("root_key", "o.*")
+    occurrences = rows.select(F.col(f"`{key}`").cast("string").alias("root_key"), F.explode(_annotated(whole, rows.schema, "")["rows"]).alias("o")).select("root_key", "o.*")
     return FlatTables(occurrences, kinds)
