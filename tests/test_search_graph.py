@@ -11,7 +11,7 @@ def persons(spark):
 
 @pytest.fixture(scope="module")
 def titles(spark):
-    rows = [(0, "T/a.xml", "a", "伯老語", "On Reeds", None, "cbeta"), (1, "T/b.xml", "b", None, "Ann Lee's way", "Way", "cbeta"), (2, "ws/c/c.xml", "ws.c", "", "Third", None, "second"), (3, "T/b.xml", "b", None, "Again", None, "cbeta"), (4, None, None, None, None, None, None)]
+    rows = [(0, "T/a.xml", "a", "伯老語", "On Reeds", None, "first"), (1, "T/b.xml", "b", None, "Ann Lee's way", "Way", "first"), (2, "ws/c/c.xml", "ws.c", "", "Third", None, "second"), (3, "T/b.xml", "b", None, "Again", None, "first"), (4, None, None, None, None, None, None)]
     return spark.createDataFrame(rows, "row_no long, path string, fileId string, zh string, en string, enShort string, corpus string")
 
 
