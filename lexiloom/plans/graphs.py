@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +12,7 @@ from lexiloom.functions.text import iso_day, line_range, safe_color, stars
 from lexiloom.operators import align, graph, lists
 from lexiloom.plans import pages
 from lexiloom.operators.hierarchy import collection_links, latest_state, person_links
-from lexiloom.session import materialise, table
+from lexiloom.session import materialise, own_dir, table
 from lexiloom.streaming.jsonl import drained, json_stream
 
 QUERIES: dict = {}
@@ -289,9 +289,7 @@ def json_dual_case(s: SparkSession, d: str) -> DataFrame:
 @query("SELECT body->>'$.id' AS id, body->>'$.studyNotes' AS studyNotes FROM collection_files WHERE json_valid(body) AND trim(body) <> ''")
 def stream_jsonl(s: SparkSession, d: str) -> DataFrame:
     """Exported lines written as text files and read as a stream, to the end."""
-    from lexiloom.session import shared_dir
-
-    base = f"{shared_dir(s)}/lexiloom/stream-{tempfile.mktemp(prefix='', dir='')[-8:]}"
+    base = f"{own_dir(s)}/stream-{uuid.uuid4().hex}"
     table(s, d, "collection_files").filter("body is not null").select("body").write.text(base + "/in")
     rows = json_stream(s, base + "/in", T.StructType([T.StructField("id", T.StringType()), T.StructField("studyNotes", T.StringType())]))
     drained(rows, base + "/checkpoint", lambda batch, _: batch.write.mode("append").parquet(base + "/out"))

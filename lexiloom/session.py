@@ -31,6 +31,27 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def own_dir(spark: SparkSession) -> str:
+    """This application's folder in the shared one; it goes when the driver's Python ends."""
+    context = spark.sparkContext
+    path = f"{shared_dir(spark)}/lexiloom/{context.applicationId}"
+    if not getattr(context, "_lexiloom_own", None):
+        context._lexiloom_own = path
+        atexit.register(forget, spark)
+    return path
+
+
+def forget(spark: SparkSession) -> None:
+    """Delete the intermediate tables of this application. DataFrames that read them are void then."""
+    path = getattr(spark.sparkContext, "_lexiloom_own", None)
+    if path and spark.sparkContext._jsc is not None:
+        try:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        except Exception:  # noqa: BLE001  (the session may be gone already)
+            pass
+
+
 def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
@@ -38,7 +59,7 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     ``checkpoint()`` it is columnar and compressed, so later reads prune columns.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lexiloom/{tag}-{uuid.uuid4().hex}"
+    path = f"{own_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
