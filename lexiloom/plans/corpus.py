@@ -453,7 +453,7 @@ def index_families(s: SparkSession, d: str) -> DataFrame:
 
 # Pages
 
-_ESC = "replace(replace(replace(replace(replace(coalesce({0}, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '\'\'', '&#39;')"
+_ESC = "replace(replace(replace(replace(replace(coalesce({0}, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(34), '&quot;'), chr(39), '&#39;')"
 _PERSON = """one AS (SELECT *, coalesce(floruit, 0) AS f, coalesce(death, 0) AS e FROM masters WHERE names[1] IS NOT NULL QUALIFY row_number() OVER (PARTITION BY lower(trim(translate(names[1], '_-', '  '))) ORDER BY row_no) = 1)"""
 
 
@@ -470,7 +470,7 @@ def person_scrape(s: SparkSession, d: str) -> DataFrame:
     return got.select("row_no", "heading", "school", "teacher", F.array_join("students", ", ").alias("students"))
 
 
-@query(f"""WITH {_PERSON}, r AS (SELECT '' AS route UNION ALL SELECT DISTINCT fileId FROM titles WHERE fileId <> '' UNION ALL SELECT 'person/' || regexp_replace(replace(names[1], '\'\'', ''), '\s+', '_', 'g') FROM one)
+@query(f"""WITH {_PERSON}, r AS (SELECT '' AS route UNION ALL SELECT DISTINCT fileId FROM titles WHERE fileId <> '' UNION ALL SELECT 'person/' || regexp_replace(replace(names[1], chr(39), ''), '\\s+', '_', 'g') FROM one)
 SELECT route, '<url><loc>https://x.example/' || route || '</loc><lastmod>2026-01-01</lastmod><priority>' || CASE WHEN route = '' THEN '1.0' WHEN starts_with(route, 'person/') THEN '0.6' ELSE '0.8' END || '</priority></url>' AS line FROM r""")
 def sitemap(s: SparkSession, d: str) -> DataFrame:
     return pages.sitemap(pages.routes_of(table(s, d, "masters"), table(s, d, "titles")), "https://x.example", "2026-01-01")
