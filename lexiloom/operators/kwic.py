@@ -22,7 +22,8 @@ def chunked(rows: DataFrame, margin: int, gap: int, size: int = CHUNK_LINES) ->
     cut = with_margin(rows, max(size, margin), margin)
     before = Window.partitionBy("file_id", "chunk").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1)
     cut = cut.withColumn("begin", F.coalesce(F.sum(F.length("text") + gap).over(before), F.lit(0)).cast("int"))
-    return cut.groupBy("file_id", "chunk").agg(F.sort_array(F.collect_list(F.struct("ordinal", "line_no", "line_id", "text", "begin", "own"))).alias("rows"))
+    kept = [c for c in rows.columns if c not in ("file_id", "ordinal")]
+    return cut.groupBy("file_id", "chunk").agg(F.sort_array(F.collect_list(F.struct("ordinal", *kept, "begin", "own"))).alias("rows"))
 
 
 def positions(text: Column, term: str) -> Column:
@@ -57,9 +58,10 @@ def kwic(lines: DataFrame, term: str, context: int = 40, only: DataFrame | None
         rows = rows.join(only.select("file_id").distinct(), "file_id", "left_semi")
     if not term:
         rows, term = rows.filter(F.lit(False)), " "
-    ids = with_ordinal(rows)
+    ids = neighbours(with_ordinal(rows), {"_b2": ("line_id", -2), "_b1": ("line_id", -1), "_a1": ("line_id", 1), "_a2": ("line_id", 2)})
+    ids = ids.select("file_id", "line_no", "line_id", "text", "ordinal", F.coalesce("_b2", "_b1", "line_id").alias("start_id"), F.coalesce("_a2", "_a1", "line_id").alias("end_id"))
     # Every line of the margin adds a character at least: the separator, or itself where there is none.
-    chunks = chunked(ids if not cjk else with_ordinal(rows.filter("text <> ''")), context, 0 if cjk else 1)
+    chunks = chunked(with_ordinal(ids.drop("ordinal").filter("text <> ''")) if cjk else ids, context, 0 if cjk else 1)
     has = F.exists("rows", lambda r: r["own"] & F.contains(r["text"] if cjk else F.lower(r["text"]), F.lit(term if cjk else term.lower())))
     chunks = chunks.filter(has)
     chunks = chunks.select("file_id", "rows", F.array_join(F.transform("rows", lambda r: r["text"]), "" if cjk else " ").alias("whole"))
@@ -68,7 +70,7 @@ def kwic(lines: DataFrame, term: str, context: int = 40, only: DataFrame | None
     # Of a line with hits goes on what lies within reach of it, not the chunk.
     own = F.filter("rows", lambda r: r["own"] & F.contains(r["text"] if cjk else F.lower(r["text"]), F.lit(term if cjk else term.lower())))
     reach = lambda r: F.substr("whole", F.greatest(r["begin"] - context, F.lit(0)) + 1, F.length(r["text"]) + F.least(r["begin"], F.lit(context)) + context)
-    found = chunks.select("file_id", F.explode(F.transform(own, lambda r: F.struct(r["line_no"].alias("line_no"), r["line_id"].alias("line_id"), r["text"].alias("text"), F.least(r["begin"], F.lit(context)).alias("lead"), reach(r).alias("around")))).alias("r")).select("file_id", "r.*")
+    found = chunks.select("file_id", F.explode(F.transform(own, lambda r: F.struct(r["line_no"].alias("line_no"), r["line_id"].alias("line_id"), r["start_id"].alias("start_id"), r["end_id"].alias("end_id"), r["text"].alias("text"), F.least(r["begin"], F.lit(context)).alias("lead"), reach(r).alias("around")))).alias("r")).select("file_id", "r.*")
     found = found.withColumn("pos", F.explode(positions(F.col("text"), term)))
     at = F.col("lead") + F.col("pos")
     found = found.withColumn("left", F.substr("around", F.greatest(at - context, F.lit(0)) + 1, F.least(at, F.lit(context)))).withColumn("right", F.substr("around", at + k + 1, F.lit(context)))
@@ -77,7 +79,4 @@ def kwic(lines: DataFrame, term: str, context: int = 40, only: DataFrame | None
         found = found.withColumn("left", F.when((F.length("left") == context) & (i > 1) & (i < F.length("left")), F.substr("left", i + 1, F.lit(context))).otherwise(F.col("left")))
         j = F.length("right") - F.instr(F.reverse("right"), " ")
         found = found.withColumn("right", F.when((F.length("right") == context) & (F.instr("right", " ") > 0) & (j > 0), F.substr("right", F.lit(1), j)).otherwise(F.col("right")))
-    hits = found.select("file_id", "line_no", "line_id", "pos", "left", F.substr("text", F.col("pos") + 1, F.lit(k)).alias("match"), "right")
-    near = neighbours(ids, {"_b2": ("line_id", -2), "_b1": ("line_id", -1), "_a1": ("line_id", 1), "_a2": ("line_id", 2)})
-    near = near.select("file_id", "line_no", F.coalesce("_b2", "_b1", "line_id").alias("start_id"), F.coalesce("_a2", "_a1", "line_id").alias("end_id"))
-    return hits.join(near, ["file_id", "line_no"])
+    return found.select("file_id", "line_no", "line_id", "pos", "left", F.substr("text", F.col("pos") + 1, F.lit(k)).alias("match"), "right", "start_id", "end_id")
