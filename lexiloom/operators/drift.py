@@ -19,6 +19,8 @@ from lexiloom.session import materialise
 SAME_CONTENT = 0.5
 #: Share that is enough where the names differ in case and underscores only.
 SAME_CONTENT_ALIKE = 0.15
+#: Records that must agree, over all files, for a rename to make two names one column.
+AGREEING = 2
 
 # Groups of types between which content can pass.
 PASSES = (("string", "number"), ("string", "boolean"), ("string", "list of strings"), ("object", "list of objects"), ("list of strings", "list of objects"))
@@ -106,7 +108,7 @@ def _renames(gone: DataFrame, come: DataFrame, values: DataFrame, tag: str) -> D
     both = side(gone, "before", "scope_old", "old").join(side(come, "file_seq", "scope_new", "new"), ["feed", "at", "pair_scope", "id", "pos"])
     same = both.groupBy("feed", "at", "pair_scope", "old", "new", "kind_old", "kind_new").agg(
         (F.sum(F.size(F.array_intersect("leaves_old", "leaves_new"))) / F.greatest(F.sum(F.least(F.size("leaves_old"), F.size("leaves_new"))), F.lit(1))).alias("same"),
-        F.count(F.lit(1)).alias("records"))
+        F.count(F.lit(1)).alias("records"), F.count_if(F.arrays_overlap("leaves_old", "leaves_new")).alias("agreeing"))
     bare = lambda c: F.lower(F.regexp_replace(c, "[_-]", ""))
     same = same.withColumn("alike", bare(F.col("old")) == bare(F.col("new")))
     same = same.filter(_may_pass(F.col("kind_old"), F.col("kind_new")) & ((F.col("same") >= SAME_CONTENT) | F.col("alike") & (F.col("same") >= SAME_CONTENT_ALIKE)))
@@ -121,16 +123,17 @@ def _renames(gone: DataFrame, come: DataFrame, values: DataFrame, tag: str) -> D
         found.append(best)
         for c in ("old", "new"):
             left = left.join(best.select("feed", "at", "pair_scope", c), ["feed", "at", "pair_scope", c], "left_anti")
-    return materialise(reduce(DataFrame.unionByName, found), tag + "-found").select("feed", F.col("at").alias("file_seq"), F.col("pair_scope").alias("scope_old"), "old", "new", "kind_old", "kind_new")
+    return materialise(reduce(DataFrame.unionByName, found), tag + "-found").select("feed", F.col("at").alias("file_seq"), F.col("pair_scope").alias("scope_old"), "old", "new", "kind_old", "kind_new", "agreeing")
 
 
 def schema_changes(files: DataFrame) -> DataFrame:
-    """feed, file_seq, change_kind, old_field, new_field: every change of a file against the file before it in its feed.
+    """feed, file_seq, change_kind, old_field, new_field, agreeing: every change of a file against the file before it in its feed.
 
     files: feed, file_seq, line_no, body. Unreadable and empty lines give no field; a file
     without readable lines has no fields. Repeated lines count once for content (the last
-    of a record's lines counts). Fields of objects in a list are written ``list.field``. An
-    empty table gives no changes.
+    of a record's lines counts). Fields of objects in a list are written ``list.field``.
+    ``agreeing``, of renames only, is in how many records, or objects of a list, the two have
+    content in common. An empty table gives no changes.
     """
     values = materialise(_exploded(read_lines(files)), "values")
     schemas = materialise(file_schemas(values), "schemas")
@@ -150,7 +153,7 @@ def schema_changes(files: DataFrame) -> DataFrame:
         k = ["feed", "file_seq", "scope_old"]
         gone = gone.join(renamed.select(*k, F.col("old").alias("field")), [*k, "field"], "left_anti")
         come = come.join(renamed.select(*k, F.col("new").alias("field")), [*k, "field"], "left_anti")
-        kept = both.filter("in_old = 1 AND in_new = 1").select(*k, F.col("field").alias("old"), F.col("field").alias("new"), "kind_old", "kind_new")
+        kept = both.filter("in_old = 1 AND in_new = 1").select(*k, F.col("field").alias("old"), F.col("field").alias("new"), "kind_old", "kind_new", F.lit(None).cast("long").alias("agreeing"))
         return kept, gone, come, renamed
 
     def report(parts: tuple[DataFrame, DataFrame, DataFrame, DataFrame], scope_new: DataFrame | None = None) -> DataFrame:
@@ -160,12 +163,13 @@ def schema_changes(files: DataFrame) -> DataFrame:
         else:
             kept, renamed = (x.withColumn("scope_new", F.lit("")) for x in (kept, renamed))
         name = lambda scope, c: F.when(F.col(scope) == "", F.col(c)).otherwise(F.concat_ws(".", scope, c))
-        row = lambda d, kind, old, new: d.select("feed", "file_seq", F.lit(kind).alias("change_kind"), old.alias("old_field"), new.alias("new_field"))
+        none = F.lit(None).cast("long")
+        row = lambda d, kind, old, new, agreeing=none: d.select("feed", "file_seq", F.lit(kind).alias("change_kind"), old.alias("old_field"), new.alias("new_field"), agreeing.alias("agreeing"))
         pairs = kept.unionByName(renamed).filter("kind_old <> kind_new")
         return reduce(DataFrame.unionByName, [
             row(gone, "removed", name("scope_old", "field"), F.lit("")),
             row(come, "added", F.lit(""), name("scope_new", "field")),
-            row(renamed, "renamed", name("scope_old", "old"), name("scope_new", "new")),
+            row(renamed, "renamed", name("scope_old", "old"), name("scope_new", "new"), F.col("agreeing")),
             row(pairs, "retyped", name("scope_old", "old"), name("scope_new", "new")),
         ])
 
@@ -183,16 +187,30 @@ UNION_FIELDS = 10_000
 def field_families(files: DataFrame, changes: DataFrame) -> DataFrame:
     """scope, field, family: names of the same field under one name, the most frequent of them.
 
-    Two names belong together if they differ in case and underscores only, or if a rename
-    from one to the other was found in two files at least. ``scope`` is the family of the list,
-    '' at the top. The table has a row a name, however many files there are.
+    Two names belong together if they differ in case and underscores only, or if renames
+    between them, be it in one file, were found by at least AGREEING records that agree, and
+    no record, or object of a list, has both. ``scope`` is the family of the list, '' at the
+    top. The table has a row a name, however many files there are. changes: as of schema_changes.
     """
-    schemas = file_schemas(_exploded(read_lines(files))).groupBy("scope", "field").agg(F.count(F.lit(1)).alias("files"))
-    schemas = materialise(schemas, "names")
+    values = _exploded(read_lines(files)).select("feed", "file_seq", "line_no", "scope", "pos", "field", "kind")
+    by_file = materialise(file_schemas(values).drop("kind"), "names-by-file")
+    schemas = materialise(by_file.groupBy("scope", "field").agg(F.count(F.lit(1)).alias("files")), "names")
     bare = lambda c: F.lower(F.regexp_replace(c, "[_-]", ""))
-    pair = changes.filter("change_kind = 'renamed'").groupBy("old_field", "new_field").agg(F.count(F.lit(1)).alias("n")).filter("n >= 2")
+    pair = changes.filter("change_kind = 'renamed'").groupBy("old_field", "new_field").agg(F.sum("agreeing").alias("agreeing"))
     cut = lambda c, part: F.when(F.contains(c, F.lit(".")), F.substring_index(c, ".", part)).otherwise(F.lit("") if part == 1 else c)
-    pair = materialise(pair.select(cut(F.col("old_field"), 1).alias("scope"), cut(F.col("old_field"), -1).alias("a"), cut(F.col("new_field"), -1).alias("b")), "pairs")
+    pair = materialise(pair.select(cut(F.col("old_field"), 1).alias("scope"), cut(F.col("old_field"), -1).alias("a"), cut(F.col("new_field"), -1).alias("b"), "agreeing"), "pairs")
+
+    def supported(links: DataFrame, lists: DataFrame) -> DataFrame:
+        """links: scope, a, b, agreeing; lists: scope, list (the names of a list, and its family). Returns the scope, a, b that hold."""
+        links = links.select("scope", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "agreeing")
+        links = links.groupBy("scope", "a", "b").agg(F.sum("agreeing").alias("agreeing")).filter(F.col("agreeing") >= AGREEING).drop("agreeing")
+        at = ["feed", "file_seq", "list", "a", "b"]
+        near = by_file.join(lists, "scope").select("feed", "file_seq", F.col("scope").alias("list"), F.col("list").alias("scope"), "field")
+        both = near.join(links.withColumn("field", F.explode(F.array("a", "b"))), ["scope", "field"]).groupBy("scope", *at).agg(F.count(F.lit(1)).alias("n")).filter("n = 2")
+        seen = values.select("feed", "file_seq", "line_no", F.col("scope").alias("list"), "pos", "field").distinct()
+        seen = seen.join(both.withColumn("field", F.explode(F.array("a", "b"))), ["feed", "file_seq", "list", "field"])
+        apart = seen.groupBy("scope", *at, "line_no", "pos").agg(F.count(F.lit(1)).alias("n")).filter("n = 2").select("scope", "a", "b").distinct()
+        return materialise(links.join(apart, ["scope", "a", "b"], "left_anti"), "links")
 
     def families(names: DataFrame, links: DataFrame) -> DataFrame:
         """names: scope, field, files; links: scope, a, b. Least-label propagation over the names."""
@@ -210,11 +228,12 @@ def field_families(files: DataFrame, changes: DataFrame) -> DataFrame:
         best = rows.groupBy("scope", "label").agg(F.max_by("field", F.struct("files", "field")).alias("family"))
         return rows.join(best, ["scope", "label"]).select("scope", "field", "family")
 
-    top = materialise(families(schemas.filter("scope = ''"), pair.filter("scope = ''")), "top-families")
+    root = schemas.filter("scope = ''").select("scope", F.col("scope").alias("list")).distinct()
+    top = materialise(families(schemas.filter("scope = ''"), supported(pair.filter("scope = ''"), root)), "top-families")
     lists = top.select(F.col("field").alias("scope"), F.col("family").alias("list"))
     inner = schemas.filter("scope <> ''").join(lists, "scope").groupBy(F.col("list").alias("scope"), "field").agg(F.sum("files").alias("files"))
-    links = pair.filter("scope <> ''").join(lists, "scope").select(F.col("list").alias("scope"), "a", "b").distinct()
-    return top.unionByName(families(inner, links))
+    links = pair.filter("scope <> ''").join(lists, "scope").select(F.col("list").alias("scope"), "a", "b", "agreeing")
+    return top.unionByName(families(inner, supported(links, lists)))
 
 
 def unified(files: DataFrame, changes: DataFrame) -> DataFrame:

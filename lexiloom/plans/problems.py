@@ -61,7 +61,7 @@ def p4_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return schema_changes(table(spark, d, "collection_files"))
+    return schema_changes(table(spark, d, "collection_files")).drop("agreeing")
 
 
 def p5_table(spark: SparkSession, d: str) -> DataFrame:

@@ -80,3 +80,22 @@ def test_content_of_unified_has_no_duplicates(spark):
     f = files(spark, {1: [{"id": "x", "n": 1}, {"id": "x", "n": 1}, {"id": "y", "n": "2"}]})
     got = unified(f, schema_changes(f)).select("id", F.col("n").cast("string").alias("n")).collect()
     assert sorted((r["id"], r["n"]) for r in got) == [("x", "1"), ("y", "2")]
+
+
+def test_one_rename_joins_the_columns(spark):
+    v = {
+        1: [{"id": i, "about": f"text {i}", "links": [{"weight": f"w{i}"}], "odd": "o", "left": f"l {i}"} for i in "xy"],
+        2: [{"id": i, "notes": f"text {i}", "links": [{"strength": f"w{i}"}], "right": f"l {i}"} for i in "xy"],
+        3: [{"id": "z", "left": "a", "right": "b", "notes": "n"}],
+    }
+    f = files(spark, v)
+    rows = unified(f, schema_changes(f)).collect()
+    assert {"about", "notes"} & set(rows[0].asDict()) == {"notes"} and {r["notes"] for r in rows if r["id"] in ("x", "y")} == {"text x", "text y"}
+    assert len({tuple(m) for r in rows for one in r["links"] or [] for m in [one.keys()]}) == 1
+    last = next(r for r in rows if r["file_seq"] == 3)
+    assert (last["left"], last["right"]) == ("a", "b")  # in one record both: two fields
+
+
+def test_rename_of_one_record_keeps_columns(spark):
+    f = files(spark, {1: [{"id": "x", "a": "1"}], 2: [{"id": "x", "b": "1"}]})
+    assert {"a", "b"} <= set(unified(f, schema_changes(f)).columns)
