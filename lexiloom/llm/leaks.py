@@ -31,7 +31,7 @@ INDEX_ITEMS = 50_000
 PASSAGE = 512
 #: Characters handled at a time.
 BATCH_CHARS = 400_000
-#: Least BM25 score, as a share of the item's score against itself.
+#: Least BM25 score, as a share of the score against itself of the item, or of its part of at most PASSAGE tokens.
 RETRIEVE = 0.14
 #: Least share of an item's tokens that a document holds in at most two pieces.
 HELD = 0.5
@@ -105,10 +105,15 @@ def _spread(begin: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 @dataclass
 class Index:
-    """Inverted index of the items, as arrays that travel as one broadcast."""
+    """Inverted index of the items, as arrays that travel as one broadcast.
+
+    Items longer than a passage are indexed in equal parts of at most PASSAGE tokens, the
+    others as one part; ``item`` is the number of the part, places are those in the whole item.
+    """
 
     ids: np.ndarray
     n_tokens: np.ndarray
+    part_off: np.ndarray  # by item, into the parts
     filter: np.ndarray
     terms: np.ndarray
     block_off: np.ndarray  # by term, into the block postings
@@ -127,7 +132,11 @@ class Index:
         h, at = shingles(tok, owner)
         first = np.cumsum(n_tokens) - n_tokens
         terms, term = np.unique(h, return_inverse=True)
-        item, place = owner[at], at - first[owner[at]]
+        place = at - first[owner[at]]
+        n_parts = np.maximum(1, -(-n_tokens // PASSAGE))
+        part_off = np.append(0, np.cumsum(n_parts))
+        n_all = int(part_off[-1])
+        item = part_off[owner[at]] + place * n_parts[owner[at]] // n_tokens[owner[at]]
         order = np.lexsort((place, item, term))
         term, item, place = term[order], item[order], place[order]
         new = np.ones(len(term), bool)
@@ -136,10 +145,10 @@ class Index:
         tf = np.diff(np.append(p, len(term)))
         p_term, p_item = term[p], item[p]
         df = np.bincount(p_term, minlength=len(terms))
-        length = np.bincount(item, minlength=len(ids)).astype(float)
-        idf = np.log1p((len(ids) - df + 0.5) / (df + 0.5))
+        length = np.bincount(item, minlength=n_all).astype(float)
+        idf = np.log1p((n_all - df + 0.5) / (df + 0.5))
         w = idf[p_term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[p_item] / max(1.0, length.mean() if len(length) else 1.0)))
-        own = np.bincount(p_item, weights=w, minlength=len(ids))
+        own = np.bincount(p_item, weights=w, minlength=n_all)
         w = w / own[p_item]
         blk = p_item // BLOCK_ITEMS
         newb = np.ones(len(p), bool)
@@ -148,7 +157,7 @@ class Index:
         bmax = np.maximum.reduceat(w, bp) if len(bp) else np.zeros(0)
         bits = np.zeros(1 << 22, bool)
         bits[(terms & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
-        return Index(np.array(ids, np.int64), n_tokens, bits, terms, np.searchsorted(p_term[bp], np.arange(len(terms) + 1)), blk[bp].astype(np.int32), bmax.astype(np.float32),
+        return Index(np.array(ids, np.int64), n_tokens, part_off, bits, terms, np.searchsorted(p_term[bp], np.arange(len(terms) + 1)), blk[bp].astype(np.int32), bmax.astype(np.float32),
                      np.append(bp, len(p)), p_item.astype(np.int32), w.astype(np.float32), np.append(p, len(term)), place.astype(np.int32))
 
     def lookup(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -160,28 +169,30 @@ class Index:
         return maybe[hit], t[hit]
 
     def search(self, query: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """query, item, score of all pairs that reach RETRIEVE, from (query, term) pairs."""
+        """query, part, score of all pairs that reach RETRIEVE, from (query, term) pairs."""
+        n_parts = int(self.part_off[-1])
         key = np.unique(query * len(self.terms) + term)
         query, term = key // len(self.terms), key % len(self.terms)
         row, bp = _spread(self.block_off[term], self.block_off[term + 1] - self.block_off[term])
-        n_blocks = len(self.ids) // BLOCK_ITEMS + 1
+        n_blocks = n_parts // BLOCK_ITEMS + 1
         where, inverse = np.unique(query[row] * n_blocks + self.block[bp], return_inverse=True)
         bound = np.bincount(inverse, weights=self.block_max[bp], minlength=len(where))
         opened = bound[inverse] >= RETRIEVE
         row, bp = row[opened], bp[opened]
         again, p = _spread(self.post_off[bp], self.post_off[bp + 1] - self.post_off[bp])
-        pair, inverse = np.unique(query[row[again]] * len(self.ids) + self.item[p], return_inverse=True)
+        pair, inverse = np.unique(query[row[again]] * n_parts + self.item[p], return_inverse=True)
         score = np.bincount(inverse, weights=self.weight[p], minlength=len(pair))
         good = score >= RETRIEVE
-        return pair[good] // len(self.ids), pair[good] % len(self.ids), score[good]
+        return pair[good] // n_parts, pair[good] % n_parts, score[good]
 
     def places(self, term: np.ndarray, item: int) -> tuple[np.ndarray, np.ndarray]:
         """Row of ``term`` and place in the item of every occurrence of the terms in it."""
         row, bp = _spread(self.block_off[term], self.block_off[term + 1] - self.block_off[term])
-        own = self.block[bp] == item // BLOCK_ITEMS
+        low, high = self.part_off[item], self.part_off[item + 1]
+        own = (self.block[bp] >= low // BLOCK_ITEMS) & (self.block[bp] <= (high - 1) // BLOCK_ITEMS)
         row, bp = row[own], bp[own]
         again, p = _spread(self.post_off[bp], self.post_off[bp + 1] - self.post_off[bp])
-        own = self.item[p] == item
+        own = (self.item[p] >= low) & (self.item[p] < high)
         row, p = row[again[own]], p[own]
         again, s = _spread(self.seen_off[p], self.seen_off[p + 1] - self.seen_off[p])
         return row[again], self.place[s]
@@ -230,7 +241,8 @@ def _pairs(index: Index, ids: list[int], texts: list[str]) -> list[tuple[int, in
     base = np.cumsum(halves) - halves
     q = base[doc] + place // half
     query = np.concatenate([q, q + 1])
-    found, item, score = index.search(query, np.concatenate([term, term]))
+    found, part, score = index.search(query, np.concatenate([term, term]))
+    item = np.searchsorted(index.part_off, part, "right") - 1
     of = np.searchsorted(base, found, "right") - 1
     pair, inverse = np.unique(of * len(index.ids) + item, return_inverse=True)
     top = np.zeros(len(pair))
@@ -252,7 +264,8 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str =
 
     docs: ids and texts; items: item_id, text. An item counts as contained if a document
     holds at least HELD of its tokens in one or two pieces, whatever its case, accents, line
-    breaks, punctuation or look-alike characters. Rows without id or text, texts without
+    breaks, punctuation or look-alike characters. ``score`` is the best of a passage
+    against the item, or against one part of an item longer than a passage. Rows without id or text, texts without
     letters and items of fewer than three tokens give no row; rows repeated under their own
     id count once; an empty table on either side gives none. The corpus is read once for
     each INDEX_ITEMS items, and is not shuffled.

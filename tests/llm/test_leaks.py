@@ -71,3 +71,14 @@ def test_index_in_parts(spark, monkeypatch):
     assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == {(i, i) for i in range(30)}
     answers = it.selectExpr("item_id", "substring(text, 1, 12) AS answer")
     assert L.verified(got, docs, answers).filter("answer_found").count() == 30
+
+
+def test_long_item_is_found():
+    rng = random.Random(5)
+    word = lambda n: " ".join("".join(rng.choice("bdgklmnprst") + rng.choice("aeiou") for _ in range(4)) for _ in range(n))
+    items = [word(6000), word(40), word(1300)]
+    index = L.Index.of([3, 4, 5], items)
+    docs = [word(300) + " " + items[0], " ".join(items[0].split()[1000:4600]), " ".join(items[2].split()[:800]) + " " + items[1], " ".join(items[0].split()[:1500])]
+    got = L._pairs(index, [10, 11, 12, 13], docs)
+    assert {(d, i) for d, i, *_ in got} == {(10, 3), (11, 3), (12, 5), (12, 4)}
+    assert abs(dict(((d, i), h) for d, i, _, h in got)[11, 3] - 0.6) < 0.01
