@@ -29,6 +29,8 @@ BLOCK_ITEMS = 32
 INDEX_ITEMS = 50_000
 #: Tokens of a passage; half of it is shared with the next.
 PASSAGE = 512
+#: Cells of pieces by item places that are compared at a time.
+COVER_CELLS = 4_000_000
 #: Characters handled at a time.
 BATCH_CHARS = 400_000
 #: Least BM25 score, as a share of the score against itself of the item, or of its part of at most PASSAGE tokens.
@@ -213,17 +215,39 @@ def held_share(i: np.ndarray, j: np.ndarray, n: int) -> float:
     order = np.lexsort((j, group))
     i, j, group = i[order], j[order], group[order]
     piece = np.cumsum(np.concatenate([[0], (np.diff(group) != 0) | (np.diff(j) > 24)]))
-    best: list[np.ndarray] = []
-    for k in np.argsort(-np.bincount(piece))[:8]:
-        at = np.unique(i[piece == k])
-        cover = np.zeros(n + 1, bool)
-        gap = np.diff(at)
-        for a, g in zip(at[:-1], gap):
-            cover[a: a + (g if g <= 4 + SHINGLE else SHINGLE)] = True
-        cover[at[-1]: at[-1] + SHINGLE] = True
-        best.append(cover[:n])
-    first = max(best, key=lambda c: c.sum())
-    return max(float((first | c).sum()) for c in best) / n
+    # By piece and item place, and how far each match reaches until the next of its piece.
+    key = np.unique(piece * (n + 1) + i)
+    piece, i = key // (n + 1), key % (n + 1)
+    last = np.append(piece[1:] != piece[:-1], True)
+    gap = np.append(i[1:] - i[:-1], 0)
+    reach = np.where(last | (gap > 4 + SHINGLE), SHINGLE, gap)
+    begin = np.nonzero(np.append(True, last[:-1]))[0]
+    size = np.add.reduceat(reach, begin)
+    # Copies of one piece count once.
+    mark = np.add.reduceat(_mixed(i.astype(np.uint64)), begin)
+    once = np.unique(np.stack([mark, size.astype(np.uint64)]), axis=1, return_index=True)[1]
+    once = once[np.argsort(-size[once], kind="stable")]
+    size, begin, count = size[once], begin[once], np.diff(np.append(begin, len(i)))[once]
+
+    def covers(a: int, b: int) -> np.ndarray:
+        row, at = _spread(begin[a:b], count[a:b])
+        edge = np.zeros((b - a, n + 1), np.int8)
+        np.add.at(edge, (row, i[at]), 1)
+        np.add.at(edge, (row, np.minimum(i[at] + reach[at], n)), -1)
+        return np.cumsum(edge, axis=1, dtype=np.int8)[:, :n] > 0
+
+    # Best pair: a partner counts only if the two sizes together exceed the best so far.
+    best = int(size[0])
+    some = max(1, COVER_CELLS // (n + 1))
+    for a in range(len(size)):
+        if best >= n or a + 1 == len(size) or size[a] + size[a + 1] <= best:
+            break
+        first, b = covers(a, a + 1)[0], a + 1
+        while b < len(size) and size[a] + size[b] > best:
+            to = min(b + some, int(np.searchsorted(-size, size[a] - best, "left")))
+            best = max(best, int(size[a] + (covers(b, to) & ~first).sum(axis=1).max()))
+            b = to
+    return best / n
 
 
 def _pairs(index: Index, ids: list[int], texts: list[str]) -> list[tuple[int, int, float, float]]:

@@ -82,3 +82,32 @@ def test_long_item_is_found():
     got = L._pairs(index, [10, 11, 12, 13], docs)
     assert {(d, i) for d, i, *_ in got} == {(10, 3), (11, 3), (12, 5), (12, 4)}
     assert abs(dict(((d, i), h) for d, i, _, h in got)[11, 3] - 0.6) < 0.01
+
+
+def test_held_share_keeps_pieces_beside_a_refrain():
+    refrain = [(np.arange(38), 1000 * k + np.arange(38)) for k in range(1, 10)]
+    i = np.concatenate([x for x, _ in refrain] + [np.arange(60, 83)])
+    j = np.concatenate([y for _, y in refrain] + [20_000 + np.arange(23)])
+    assert L.held_share(i, j, 100) == 0.65
+    # The best pair need not hold the widest piece.
+    i = np.r_[20:60, 0:38, 50:88]
+    assert L.held_share(i, np.r_[1000:1040, 3000:3038, 5000:5038], 90) == 80 / 90
+
+
+def test_held_share_is_that_of_the_best_pair(monkeypatch):
+    monkeypatch.setattr(L, "COVER_CELLS", 90)
+    rng = random.Random(2)
+    for _ in range(200):
+        n, places, sets = 40, [], []
+        for k in range(rng.randrange(1, 14)):
+            at = sorted(rng.sample(range(n - 2), rng.randrange(1, 7)))
+            places += [(x, 1000 * k + x) for x in at]
+            parts, own = [], []
+            for x, y in zip(at, at[1:] + [10**6]):
+                own += list(range(x, y if y - x <= 7 else x + 3))
+                if y - x > 24:
+                    parts.append(set(own))
+                    own = []
+            sets += parts
+        want = max(len(a | b) for a in sets for b in sets) / n
+        assert abs(L.held_share(*(np.array(x) for x in zip(*places)), n) - want) < 1e-9
