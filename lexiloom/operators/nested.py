@@ -27,39 +27,44 @@ def _annotated(y: Column, kind: T.DataType, at: str) -> Column:
     """struct(id, body, rows) of a value that is not null.
 
     body: JSON with the fields in name order and arrays of elements as arrays of their
-    identities; id: its hash; rows: all non-null elements below, places counted from here.
+    identities; id: its hash; rows: all non-null elements and objects below, places counted from here.
     Null and missing fields are the same, empty arrays are not null.
     """
     if not isinstance(kind, T.StructType):
         return _let(F.to_json(F.struct(y.alias("value"))), lambda b: F.struct(F.sha2(b, 256).alias("id"), b.alias("body"), F.array().cast(_ROWS).alias("rows")))
     name = {f.name: f"{at}.{f.name}" if at else f.name for f in kind.fields}
-    lists = [f for f in kind.fields if isinstance(f.dataType, T.ArrayType)]
+    nested = [f for f in kind.fields if isinstance(f.dataType, (T.ArrayType, T.StructType))]
 
-    def element(f: T.StructField) -> Callable[[Column], Column]:
-        return lambda z: F.when(z.isNotNull(), _annotated(z, f.dataType.elementType, name[f.name]))
+    def child(f: T.StructField) -> Column:
+        v = y.getField(f.name)
+        if isinstance(f.dataType, T.StructType):
+            return F.when(v.isNotNull(), _annotated(v, f.dataType, name[f.name]))
+        return F.transform(v, lambda z: F.when(z.isNotNull(), _annotated(z, f.dataType.elementType, name[f.name])))
 
     def part(f: T.StructField, kids: Column) -> Column:
         if isinstance(f.dataType, T.ArrayType):
             return F.transform(kids.getField(f.name), lambda a: a["id"]).alias(f.name)
-        v = y.getField(f.name)
         if isinstance(f.dataType, T.StructType):
-            return F.when(v.isNotNull(), _annotated(v, f.dataType, name[f.name])["id"]).alias(f.name)
-        return v.alias(f.name)
+            return kids.getField(f.name)["id"].alias(f.name)
+        return y.getField(f.name).alias(f.name)
 
     def below(f: T.StructField, kids: Column, own: Column) -> Column:
-        def each(a: Column, i: Column) -> Column:
-            row = F.struct(F.lit(name[f.name]).alias("entity"), F.array(i).alias("ordinals"), own.alias("parent_id"), a["id"].alias("object_id"), a["body"].alias("body"))
-            deeper = F.transform(a["rows"], lambda r: F.struct(r["entity"].alias("entity"), F.concat(F.array(i), r["ordinals"]).alias("ordinals"), r["parent_id"].alias("parent_id"), r["object_id"].alias("object_id"), r["body"].alias("body")))
+        def each(a: Column, i: Column | None) -> Column:
+            here = F.array().cast("array<int>") if i is None else F.array(i)
+            row = F.struct(F.lit(name[f.name]).alias("entity"), here.alias("ordinals"), own.alias("parent_id"), a["id"].alias("object_id"), a["body"].alias("body"))
+            deeper = F.transform(a["rows"], lambda r: F.struct(r["entity"].alias("entity"), (r["ordinals"] if i is None else F.concat(here, r["ordinals"])).alias("ordinals"), r["parent_id"].alias("parent_id"), r["object_id"].alias("object_id"), r["body"].alias("body")))
             return F.when(a.isNotNull(), F.concat(F.array(row), deeper)).otherwise(F.array().cast(_ROWS))
 
+        if isinstance(f.dataType, T.StructType):
+            return each(kids.getField(f.name), None)
         return F.coalesce(F.flatten(F.transform(kids.getField(f.name), each)), F.array().cast(_ROWS))
 
     def whole(kids: Column) -> Column:
         body = F.to_json(F.struct(*[part(f, kids) for f in sorted(kind.fields, key=lambda f: f.name)]))
         return _let(body, lambda b: _let(F.sha2(b, 256), lambda own: F.struct(
-            own.alias("id"), b.alias("body"), (F.concat(*[below(f, kids, own) for f in lists]) if lists else F.array().cast(_ROWS)).alias("rows"))))
+            own.alias("id"), b.alias("body"), (F.concat(*[below(f, kids, own) for f in nested]) if nested else F.array().cast(_ROWS)).alias("rows"))))
 
-    return _let(F.struct(*[F.transform(y.getField(f.name), element(f)).alias(f.name) for f in lists] or [F.lit(0).alias("none")]), whole)
+    return _let(F.struct(*[child(f).alias(f.name) for f in nested] or [F.lit(0).alias("none")]), whole)
 
 
 @dataclass
@@ -92,22 +97,22 @@ class FlatTables:
 
 
 def flatten_nested(rows: DataFrame, key: str) -> FlatTables:
-    """Flat tables of all arrays of ``rows``, at any depth, as the schema has them.
+    """Flat tables of all arrays and objects of ``rows``, at any depth, as the schema has them.
 
     Entities are named by path (``passages.tags``). ``ordinals`` are the positions from
-    0, outer array first; null elements keep their position and give no row; null and empty
-    arrays give none. Rows with a null key stay, with a null ``root_key``. A table without
+    0, outer array first; an object that is no element has those of what it lies in. Null elements keep their position and give no row; null and empty
+    arrays and null objects give none. Rows with a null key stay, with a null ``root_key``. A table without
     rows, or without arrays, gives empty tables. One pass over the rows, without shuffle.
     """
     kinds: dict[str, T.DataType] = {}
 
     def collect(kind: T.StructType, at: str) -> None:
         for f in kind.fields:
-            if isinstance(f.dataType, T.ArrayType):
+            if isinstance(f.dataType, (T.ArrayType, T.StructType)):
                 name = f"{at}.{f.name}" if at else f.name
-                kinds[name] = f.dataType.elementType
-                if isinstance(f.dataType.elementType, T.StructType):
-                    collect(f.dataType.elementType, name)
+                kinds[name] = f.dataType.elementType if isinstance(f.dataType, T.ArrayType) else f.dataType
+                if isinstance(kinds[name], T.StructType):
+                    collect(kinds[name], name)
 
     collect(rows.schema, "")
     whole = F.struct(*[F.col(f"`{c}`") for c in rows.columns])

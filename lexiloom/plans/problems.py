@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,6 +62,17 @@ def p4_counts(spark: SparkSession, d: str) -> DataFrame:
     return bridge.groupBy("entity").agg(F.count(F.lit(1)).alias("occurrences"), F.count_distinct("object_id").alias("objects"))
 
 
+def p4_tables(spark: SparkSession, d: str) -> DataFrame:
+    """The flat tables of all entities in one: typed columns, named by entity and field, of an entity's rows; null in the others'."""
+    flat = _nested(spark, d)
+    keys = ["root_key", "ordinals", "parent_id", "object_id"]
+    parts = []
+    for name in sorted(flat.kinds):
+        rows = flat.table(name)
+        parts.append(rows.select(F.lit(name).alias("entity"), *keys, *[F.col(f"`{c}`").alias(f"{name}.{c}".replace(".", "_")) for c in rows.columns if c not in keys]))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return schema_changes(table(spark, d, "collection_files")).drop("agreeing")
 
@@ -70,7 +83,7 @@ def p5_table(spark: SparkSession, d: str) -> DataFrame:
     return unified(files, schema_changes(files))
 
 
-QUERIES = {"p4_counts": p4_counts, "p5_table": p5_table, "p1_found": p1_found, "p1_paths": p1_paths, "p4_found": p4_found, "p4_objects": p4_objects, "p5_found": p5_found}
+QUERIES = {"p4_counts": p4_counts, "p5_table": p5_table, "p1_found": p1_found, "p1_paths": p1_paths, "p4_found": p4_found, "p4_objects": p4_objects, "p4_tables": p4_tables, "p5_found": p5_found}
 
 _NAME = "lower(trim(translate({}, '_-', '  ')))"
 

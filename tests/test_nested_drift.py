@@ -99,3 +99,16 @@ def test_one_rename_joins_the_columns(spark):
 def test_rename_of_one_record_keeps_columns(spark):
     f = files(spark, {1: [{"id": "x", "a": "1"}], 2: [{"id": "x", "b": "1"}]})
     assert {"a", "b"} <= set(unified(f, schema_changes(f)).columns)
+
+
+def test_plain_objects_have_rows(spark):
+    kind = "id string, meta struct<n:int,tags:array<string>,in:struct<k:string>>, xs array<struct<m:struct<t:array<int>>>>"
+    rows = [("a", (1, ["t", None, "u"], ("v",)), [None, (([7],),), (None,)]), ("b", None, None)]
+    flat = flatten_nested(spark.createDataFrame(rows, kind), "id")
+    bridge = flat.bridge.collect()
+    assert sorted((r["root_key"], r["entity"], list(r["ordinals"])) for r in bridge) == sorted([
+        ("a", "meta", []), ("a", "meta.tags", [0]), ("a", "meta.tags", [2]), ("a", "meta.in", []), ("a", "xs", [1]), ("a", "xs", [2]), ("a", "xs.m", [1]), ("a", "xs.m.t", [1, 0])])
+    ids = {(r["entity"], tuple(r["ordinals"])): r for r in bridge}
+    assert ids["meta.tags", (0,)]["parent_id"] == ids["meta.in", ()]["parent_id"] == ids["meta", ()]["object_id"]
+    assert ids["xs.m.t", (1, 0)]["parent_id"] == ids["xs.m", (1,)]["object_id"]
+    assert [r["n"] for r in flat.table("meta").collect()] == [1] and [r["k"] for r in flat.table("meta.in").collect()] == ["v"]
