@@ -14,8 +14,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Entity of the records themselves.
+ROOT = "(root)"
 
 _ROWS = "array<struct<entity:string,ordinals:array<int>,parent_id:string,object_id:string,body:string>>"
+_JSON = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "allowNonNumericNumbers": "true"}
+_NESTED = (T.ArrayType, T.StructType)
 
 
 def _let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -23,48 +27,80 @@ def _let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), lambda v: use(v)), F.lit(0))
 
 
+def _by_key(a: Column, b: Column) -> Column:
+    return F.when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0)
+
+
+def _viewed(v: Column, kind: T.DataType, element: bool = False) -> tuple[Column, T.DataType]:
+    """A value and its type as objects and lists: a map as the list of its entries in key order, a list in a list as an object with ``items``."""
+    if isinstance(kind, T.VariantType):
+        v, kind = F.to_json(v), T.StringType()
+    if isinstance(kind, T.MapType):
+        entry = T.StructType([T.StructField("key", kind.keyType), T.StructField("value", kind.valueType)])
+        v, kind = F.array_sort(F.map_entries(v), _by_key), T.ArrayType(entry)
+    if element and isinstance(kind, T.ArrayType):
+        return F.when(v.isNotNull(), F.struct(v.alias("items"))), T.StructType([T.StructField("items", kind)])
+    return v, kind
+
+
+def _fields(kind: T.StructType) -> list[tuple[str, T.DataType]]:
+    """Names and viewed types of the fields."""
+    return [(f.name, _viewed(F.lit(None), f.dataType)[1]) for f in kind.fields]
+
+
+def _element(kind: T.ArrayType) -> T.DataType:
+    return _viewed(F.lit(None), kind.elementType, True)[1]
+
+
 def _annotated(y: Column, kind: T.DataType, at: str) -> Column:
-    """struct(id, body, rows) of a value that is not null.
+    """struct(id, body, rows) of a viewed value that is not null.
 
     body: JSON with the fields in name order and arrays of elements as arrays of their
     identities; id: its hash; rows: all non-null elements and objects below, places counted from here.
     Null and missing fields are the same, empty arrays are not null.
     """
     if not isinstance(kind, T.StructType):
-        return _let(F.to_json(F.struct(y.alias("value"))), lambda b: F.struct(F.sha2(b, 256).alias("id"), b.alias("body"), F.array().cast(_ROWS).alias("rows")))
-    name = {f.name: f"{at}.{f.name}" if at else f.name for f in kind.fields}
-    nested = [f for f in kind.fields if isinstance(f.dataType, (T.ArrayType, T.StructType))]
-
-    def child(f: T.StructField) -> Column:
-        v = y.getField(f.name)
-        if isinstance(f.dataType, T.StructType):
-            return F.when(v.isNotNull(), _annotated(v, f.dataType, name[f.name]))
-        return F.transform(v, lambda z: F.when(z.isNotNull(), _annotated(z, f.dataType.elementType, name[f.name])))
-
-    def part(f: T.StructField, kids: Column) -> Column:
-        if isinstance(f.dataType, T.ArrayType):
-            return F.transform(kids.getField(f.name), lambda a: a["id"]).alias(f.name)
-        if isinstance(f.dataType, T.StructType):
-            return kids.getField(f.name)["id"].alias(f.name)
-        return y.getField(f.name).alias(f.name)
-
-    def below(f: T.StructField, kids: Column, own: Column) -> Column:
+        return _let(F.to_json(F.struct(y.alias("value")), _JSON), lambda b: F.struct(F.sha2(b, 256).alias("id"), b.alias("body"), F.array().cast(_ROWS).alias("rows")))
+    views = {f.name: _viewed(y.getField(f.name), f.dataType) for f in kind.fields}
+    name = {f: f"{at}.{f}" if at else f for f in views}
+    nested = [f for f, (_, k) in views.items() if isinstance(k, _NESTED)]
+
+    def child(f: str) -> Column:
+        v, k = views[f]
+        if isinstance(k, T.StructType):
+            return F.when(v.isNotNull(), _annotated(v, k, name[f]))
+
+        def each(z: Column) -> Column:
+            e, kind_of = _viewed(z, k.elementType, True)
+            return F.when(z.isNotNull(), _annotated(e, kind_of, name[f]))
+
+        return F.transform(v, each)
+
+    def part(f: str, kids: Column) -> Column:
+        v, k = views[f]
+        if isinstance(k, T.ArrayType):
+            return F.transform(kids.getField(f), lambda a: a["id"]).alias(f)
+        if isinstance(k, T.StructType):
+            return kids.getField(f)["id"].alias(f)
+        return v.alias(f)
+
+    def below(f: str, kids: Column, own: Column) -> Column:
         def each(a: Column, i: Column | None) -> Column:
             here = F.array().cast("array<int>") if i is None else F.array(i)
-            row = F.struct(F.lit(name[f.name]).alias("entity"), here.alias("ordinals"), own.alias("parent_id"), a["id"].alias("object_id"), a["body"].alias("body"))
+            row = F.struct(F.lit(name[f]).alias("entity"), here.alias("ordinals"), own.alias("parent_id"), a["id"].alias("object_id"), a["body"].alias("body"))
             deeper = F.transform(a["rows"], lambda r: F.struct(r["entity"].alias("entity"), (r["ordinals"] if i is None else F.concat(here, r["ordinals"])).alias("ordinals"), r["parent_id"].alias("parent_id"), r["object_id"].alias("object_id"), r["body"].alias("body")))
             return F.when(a.isNotNull(), F.concat(F.array(row), deeper)).otherwise(F.array().cast(_ROWS))
 
-        if isinstance(f.dataType, T.StructType):
-            return each(kids.getField(f.name), None)
-        return F.coalesce(F.flatten(F.transform(kids.getField(f.name), each)), F.array().cast(_ROWS))
+        if isinstance(views[f][1], T.StructType):
+            return each(kids.getField(f), None)
+        return F.coalesce(F.flatten(F.transform(kids.getField(f), each)), F.array().cast(_ROWS))
 
     def whole(kids: Column) -> Column:
-        body = F.to_json(F.struct(*[part(f, kids) for f in sorted(kind.fields, key=lambda f: f.name)]))
+        body = F.to_json(F.struct(*[part(f, kids) for f in sorted(views)] or [F.lit(None).alias("none")]), _JSON)
         return _let(body, lambda b: _let(F.sha2(b, 256), lambda own: F.struct(
             own.alias("id"), b.alias("body"), (F.concat(*[below(f, kids, own) for f in nested]) if nested else F.array().cast(_ROWS)).alias("rows"))))
 
-    return _let(F.struct(*[child(f).alias(f.name) for f in nested] or [F.lit(0).alias("none")]), whole)
+    return _let(F.struct(*[child(f).alias(f) for f in nested] or [F.lit(0).alias("none")]), whole)
 
 
 @dataclass
@@ -76,7 +112,7 @@ class FlatTables:
 
     @property
     def bridge(self) -> DataFrame:
-        """One row per occurrence of a non-null element, repeated ones included."""
+        """One row per occurrence of a non-null element or object, and per record (entity ROOT, no parent), repeated ones included."""
         return self.occurrences.drop("body")
 
     @property
@@ -88,33 +124,43 @@ class FlatTables:
         """The flat table of one entity: an occurrence a row, typed scalar columns, and the way back to its parent."""
         kind = self.kinds[entity]
         if isinstance(kind, T.StructType):
-            own = T.StructType([f for f in kind.fields if not isinstance(f.dataType, (T.ArrayType, T.StructType))])
+            own = T.StructType([T.StructField(f, k) for f, k in _fields(kind) if not isinstance(k, _NESTED)])
         else:
             own = T.StructType([T.StructField("value", kind)])
         rows = self.occurrences.filter(F.col("entity") == entity)
         cols = [F.col("_v").getField(f.name).alias(f"field_{f.name}" if f.name in ("root_key", "ordinals", "parent_id", "object_id") else f.name) for f in own.fields]
-        return rows.withColumn("_v", F.from_json("body", own)).select("root_key", "ordinals", "parent_id", "object_id", *cols)
+        return rows.withColumn("_v", F.from_json("body", own, _JSON)).select("root_key", "ordinals", "parent_id", "object_id", *cols)
 
 
 def flatten_nested(rows: DataFrame, key: str) -> FlatTables:
-    """Flat tables of all arrays and objects of ``rows``, at any depth, as the schema has them.
-
-    Entities are named by path (``passages.tags``). ``ordinals`` are the positions from
-    0, outer array first; an object that is no element has those of what it lies in. Null elements keep their position and give no row; null and empty
-    arrays and null objects give none. Rows with a null key stay, with a null ``root_key``. A table without
-    rows, or without arrays, gives empty tables. One pass over the rows, without shuffle.
+    """Flat tables of all arrays, maps and objects of ``rows``, at any depth, as the schema has them.
+
+    Entities are named by path (``passages.tags``); the records themselves are entity ROOT,
+    whose rows have no parent. ``ordinals`` are the positions from 0, outer array first; an
+    object that is no element has those of what it lies in. Entries of a map are objects of
+    ``key`` and ``value``, placed in key order; an array in an array is an object whose
+    ``items`` are elements below it; a variant is its JSON text. Null elements keep their
+    position and give no row; null and empty arrays and null objects give none. Rows with a
+    null key stay, with a null ``root_key``. A table without rows gives empty tables, one
+    without arrays only records. One pass over the rows, without shuffle.
     """
-    kinds: dict[str, T.DataType] = {}
+    kinds: dict[str, T.DataType] = {ROOT: rows.schema}
 
     def collect(kind: T.StructType, at: str) -> None:
-        for f in kind.fields:
-            if isinstance(f.dataType, (T.ArrayType, T.StructType)):
-                name = f"{at}.{f.name}" if at else f.name
-                kinds[name] = f.dataType.elementType if isinstance(f.dataType, T.ArrayType) else f.dataType
+        for f, k in _fields(kind):
+            if isinstance(k, _NESTED):
+                name = f"{at}.{f}" if at else f
+                kinds[name] = _element(k) if isinstance(k, T.ArrayType) else k
                 if isinstance(kinds[name], T.StructType):
                     collect(kinds[name], name)
 
     collect(rows.schema, "")
     whole = F.struct(*[F.col(f"`{c}`") for c in rows.columns])
-    occurrences = rows.select(F.col(f"`{key}`").cast("string").alias("root_key"), F.explode(_annotated(whole, rows.schema, "")["rows"]).alias("o")).select("root_key", "o.*")
+
+    def every(a: Column) -> Column:
+        record = F.struct(F.lit(ROOT).alias("entity"), F.array().cast("array<int>").alias("ordinals"), F.lit(None).cast("string").alias("parent_id"), a["id"].alias("object_id"), a["body"].alias("body"))
+        return F.concat(F.array(record), a["rows"])
+
+    found = F.explode(_let(_annotated(whole, rows.schema, ""), every)).alias("o")
+    occurrences = rows.select(F.col(f"`{key}`").cast("string").alias("root_key"), found).select("root_key", "o.*")
     return FlatTables(occurrences, kinds)

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiloom.operators.drift import schema_changes, unified
 from lexiloom.operators.hierarchy import collection_links, hierarchy, labelled_pairs, latest_state, person_links
-from lexiloom.operators.nested import flatten_nested
+from lexiloom.operators.nested import ROOT, flatten_nested
 from lexiloom.session import table
 
 #: Entity names of the result, by path.
@@ -40,6 +40,10 @@ def p1_paths(spark: SparkSession, d: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
+def _places() -> list[Column]:
+    return [F.coalesce(F.get("ordinals", F.lit(k)), F.lit(-1)).alias(f"i{k}") for k in range(3)]
+
+
 def _nested(spark: SparkSession, d: str):
     rows = latest_state(table(spark, d, "collections"))
     return flatten_nested(rows.select("id", "passages", "concepts", "links", "ExtraMasters"), "id")
@@ -47,18 +51,22 @@ def _nested(spark: SparkSession, d: str):
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     name = F.element_at(F.create_map(*[F.lit(x) for kv in ENTITIES.items() for x in kv]), F.col("entity"))
-    at = [F.coalesce(F.get("ordinals", F.lit(k)), F.lit(-1)).alias(f"i{k}") for k in range(3)]
-    return _nested(spark, d).bridge.select(name.alias("entity"), F.col("root_key").alias("collection_id"), *at)
+    return _nested(spark, d).bridge.filter(F.col("entity") != ROOT).select(name.alias("entity"), F.col("root_key").alias("collection_id"), *_places())
 
 
 def p4_objects(spark: SparkSession, d: str) -> DataFrame:
-    """Every distinct nested object once, by Merkle identity."""
+    """Every distinct object once, by Merkle identity, the collections themselves included."""
     return _nested(spark, d).objects
 
 
+def p4_bridge(spark: SparkSession, d: str) -> DataFrame:
+    """Every occurrence of an object: where it lies, its parent's identity and its own."""
+    return _nested(spark, d).bridge.select("root_key", "entity", *_places(), "parent_id", "object_id")
+
+
 def p4_counts(spark: SparkSession, d: str) -> DataFrame:
     """Occurrences of each entity, and distinct objects among them by Merkle identity."""
-    bridge = _nested(spark, d).bridge
+    bridge = _nested(spark, d).bridge.filter(F.col("entity") != ROOT)
     return bridge.groupBy("entity").agg(F.count(F.lit(1)).alias("occurrences"), F.count_distinct("object_id").alias("objects"))
 
 
@@ -69,7 +77,8 @@ def p4_tables(spark: SparkSession, d: str) -> DataFrame:
     parts = []
     for name in sorted(flat.kinds):
         rows = flat.table(name)
-        parts.append(rows.select(F.lit(name).alias("entity"), *keys, *[F.col(f"`{c}`").alias(f"{name}.{c}".replace(".", "_")) for c in rows.columns if c not in keys]))
+        own = [F.col(f"`{c}`").alias(f"{name}.{c}".replace(".", "_").strip("()")) for c in rows.columns if c not in keys]
+        parts.append(rows.select(F.lit(name).alias("entity"), "root_key", *_places(), "parent_id", "object_id", *own))
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
@@ -83,7 +92,7 @@ def p5_table(spark: SparkSession, d: str) -> DataFrame:
     return unified(files, schema_changes(files))
 
 
-QUERIES = {"p4_counts": p4_counts, "p5_table": p5_table, "p1_found": p1_found, "p1_paths": p1_paths, "p4_found": p4_found, "p4_objects": p4_objects, "p4_tables": p4_tables, "p5_found": p5_found}
+QUERIES = {"p4_counts": p4_counts, "p5_table": p5_table, "p1_found": p1_found, "p1_paths": p1_paths, "p4_found": p4_found, "p4_objects": p4_objects, "p4_bridge": p4_bridge, "p4_tables": p4_tables, "p5_found": p5_found}
 
 _NAME = "lower(trim(translate({}, '_-', '  ')))"
 
@@ -100,7 +109,67 @@ edge AS (SELECT 'masters' AS tree, c, min(p) AS p FROM said GROUP BY c
 up AS (SELECT tree, c, p FROM edge UNION SELECT u.tree, u.c, e.p FROM up u JOIN edge e ON u.tree = e.tree AND u.p = e.c),
 label AS (SELECT 'masters' AS tree, k, label FROM person UNION ALL SELECT 'collections', k, id FROM col)"""
 
-ORACLE = {
+# The nested columns of collections; None is a scalar, a list holds the form of its elements.
+_APP = {"lem": None, "readings": [{"wit": None, "text": None}]}
+_PASSAGE = {k: None for k in ("id", "sourceRelPath", "zhText", "enText", "fromLb", "toLb", "summary", "importance", "annotationType")} | {
+    "tags": [None], "masterNames": [None], "linkedTexts": [{"relPath": None, "note": None}], "apparatus": [_APP]}
+_CONCEPT = {"id": None, "name": None, "description": None, "status": None, "tags": [None]}
+_LINK = {k: None for k in ("fromPassageId", "toPassageId", "relationType", "weight", "colorHex")}
+_SHAPE = {"id": None, "passages": [_PASSAGE], "concepts": [_CONCEPT], "links": [_LINK], "ExtraMasters": [None]}
+
+
+def _body(shape: dict | None, x: str, depth: int = 0) -> str:
+    """SQL: the canonical JSON of ``x``, lists as lists of their elements' hashes."""
+    if shape is None:
+        return f"""('{{"value":' || to_json({x})::VARCHAR || '}}')"""
+    parts = []
+    for f in sorted(shape):
+        v, z = f'{x}."{f}"', f"z{depth}"
+        if shape[f] is None:
+            parts.append(f"""CASE WHEN {v} IS NOT NULL THEN '"{f}":' || to_json({v})::VARCHAR END""")
+        else:
+            ids = f"""list_transform({v}, lambda {z}: CASE WHEN {z} IS NULL THEN 'null' ELSE '"' || sha256({_body(shape[f][0], z, depth + 1)}) || '"' END)"""
+            parts.append(f"""CASE WHEN {v} IS NOT NULL THEN '"{f}":[' || coalesce(array_to_string({ids}, ','), '') || ']' END""")
+    return f"('{{' || coalesce(array_to_string([{', '.join(parts)}], ','), '') || '}}')"
+
+
+def _occurrences() -> tuple[str, dict[str, tuple[str, dict | None]]]:
+    """SQL of one CTE an entity (root_key, pos, parent_id, x, body, object_id), and each entity's CTE and form."""
+    fields = ", ".join(f'"{f}" := "{f}"' for f in _SHAPE)
+    ctes = [f"""c AS (SELECT id AS root_key, []::INT[] AS pos, NULL::VARCHAR AS parent_id, struct_pack({fields}) AS x FROM collections QUALIFY id IS NULL OR row_number() OVER (PARTITION BY id ORDER BY modifiedUtc DESC NULLS LAST, row_no) = 1)""",
+            f"""e0 AS (SELECT *, sha256(body) AS object_id FROM (SELECT *, {_body(_SHAPE, 'x')} AS body FROM c))"""]
+    known: dict[str, tuple[str, dict | None]] = {ROOT: ("e0", _SHAPE)}
+
+    def below(name: str, cte: str, shape: dict) -> None:
+        for f, inner in shape.items():
+            if inner is not None:
+                own, path = f"e{len(known)}", f if name == ROOT else f"{name}.{f}"
+                known[path] = (own, inner[0])
+                ctes.append(f"""{own} AS (SELECT *, sha256(body) AS object_id FROM (SELECT root_key, pos, parent_id, x, {_body(inner[0], 'x')} AS body FROM (
+  SELECT root_key, list_append(pos, i - 1) AS pos, parent_id, x FROM (SELECT root_key, pos, object_id AS parent_id, unnest(x."{f}") AS x, unnest(range(1, len(x."{f}") + 1)) AS i FROM {cte})) WHERE x IS NOT NULL))""")
+                if inner[0] is not None:
+                    below(path, own, inner[0])
+
+    below(ROOT, "e0", _SHAPE)
+    return "WITH " + ",\n".join(ctes), known
+
+
+def _nested_sql() -> dict[str, str]:
+    ctes, known = _occurrences()
+    places = ", ".join(f"coalesce(pos[{k + 1}], -1)::INT AS i{k}" for k in range(3))
+    columns = {name: [(f"{name}_{f}".replace(".", "_").strip("()"), f'x."{f}"') for f in shape if shape[f] is None] if shape else [(f"{name}_value".replace(".", "_"), "x")] for name, (_, shape) in known.items()}
+    typed = []
+    for name, (cte, _) in known.items():
+        own = ", ".join(f'{v} AS "{c}"' for c, v in columns[name])
+        typed.append(f"SELECT '{name}' AS entity, root_key, {places}, parent_id, object_id{', ' + own if own else ''} FROM {cte}")
+    return {
+        "p4_objects": ctes + "\nSELECT DISTINCT * FROM (" + " UNION ALL ".join(f"SELECT '{name}' AS entity, object_id, body FROM {cte}" for name, (cte, _) in known.items()) + ")",
+        "p4_bridge": ctes + "\n" + " UNION ALL ".join(f"SELECT root_key, '{name}' AS entity, {places}, parent_id, object_id FROM {cte}" for name, (cte, _) in known.items()),
+        "p4_tables": ctes + "\n" + " UNION ALL BY NAME ".join(typed),
+    }
+
+
+ORACLE = _nested_sql() | {
     "p1_found": f"""{_TREES}
 SELECT u.tree, a.label AS ancestor_key, n.label AS node_key FROM up u
 JOIN label a ON a.tree = u.tree AND a.k = u.p JOIN label n ON n.tree = u.tree AND n.k = u.c""",

@@ -1,10 +1,13 @@
+import datetime
 import json
+import random
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lexiloom.operators.drift import promote, schema_changes, unified
 from lexiloom.operators.hierarchy import latest_state
-from lexiloom.operators.nested import flatten_nested
+from lexiloom.operators.nested import ROOT, flatten_nested
 
 
 def test_flatten_keeps_places_and_shares_objects(spark):
@@ -12,7 +15,7 @@ def test_flatten_keeps_places_and_shares_objects(spark):
     rows = [("a", "q", [(1, ["t", None, "t"], [("k",), None]), None, (1, ["t", None, "t"], [("k",), None])], []), (None, None, None, [None, "y"]), ("b", None, [(1, ["t", None, "t"], [("k",)])], None)]
     flat = flatten_nested(spark.createDataFrame(rows, kind), "id")
     bridge = [(r["root_key"], r["entity"], list(r["ordinals"])) for r in flat.bridge.collect()]
-    assert sorted(x for x in bridge if x[0] == "a") == sorted([("a", "xs", [0]), ("a", "xs", [2]), *[("a", "xs.tags", [i, j]) for i in (0, 2) for j in (0, 2)], ("a", "xs.deep", [0, 0]), ("a", "xs.deep", [2, 0])])
+    assert sorted(x for x in bridge if x[0] == "a" and x[1] != ROOT) == sorted([("a", "xs", [0]), ("a", "xs", [2]), *[("a", "xs.tags", [i, j]) for i in (0, 2) for j in (0, 2)], ("a", "xs.deep", [0, 0]), ("a", "xs.deep", [2, 0])])
     assert (None, "ys", [1]) in bridge
     ids = {(r["root_key"], tuple(r["ordinals"])): r["object_id"] for r in flat.bridge.filter("entity = 'xs'").collect()}
     assert ids["a", (0,)] == ids["a", (2,)] != ids["b", (0,)]  # a null element makes a difference
@@ -21,7 +24,7 @@ def test_flatten_keeps_places_and_shares_objects(spark):
     parents = {r["object_id"] for r in flat.bridge.filter("entity = 'xs'").collect()}
     assert {r["parent_id"] for r in flat.bridge.filter("entity = 'xs.tags'").collect()} == parents
     assert flatten_nested(spark.createDataFrame([], kind), "id").bridge.count() == 0
-    assert flatten_nested(spark.createDataFrame([("a", 1)], "id string, n int"), "id").bridge.count() == 0
+    assert [r["entity"] for r in flatten_nested(spark.createDataFrame([("a", 1)], "id string, n int"), "id").bridge.collect()] == [ROOT]
 
 
 def test_latest_state_ties(spark):
@@ -105,10 +108,79 @@ def test_plain_objects_have_rows(spark):
     kind = "id string, meta struct<n:int,tags:array<string>,in:struct<k:string>>, xs array<struct<m:struct<t:array<int>>>>"
     rows = [("a", (1, ["t", None, "u"], ("v",)), [None, (([7],),), (None,)]), ("b", None, None)]
     flat = flatten_nested(spark.createDataFrame(rows, kind), "id")
-    bridge = flat.bridge.collect()
+    bridge = flat.bridge.filter("parent_id is not null").collect()
     assert sorted((r["root_key"], r["entity"], list(r["ordinals"])) for r in bridge) == sorted([
         ("a", "meta", []), ("a", "meta.tags", [0]), ("a", "meta.tags", [2]), ("a", "meta.in", []), ("a", "xs", [1]), ("a", "xs", [2]), ("a", "xs.m", [1]), ("a", "xs.m.t", [1, 0])])
     ids = {(r["entity"], tuple(r["ordinals"])): r for r in bridge}
     assert ids["meta.tags", (0,)]["parent_id"] == ids["meta.in", ()]["parent_id"] == ids["meta", ()]["object_id"]
     assert ids["xs.m.t", (1, 0)]["parent_id"] == ids["xs.m", (1,)]["object_id"]
     assert [r["n"] for r in flat.table("meta").collect()] == [1] and [r["k"] for r in flat.table("meta.in").collect()] == ["v"]
+
+
+DEEP = "id string, n int, xs array<array<struct<a:double,b:array<string>>>>, m map<string,array<int>>, s struct<t:timestamp,u:struct<v:array<struct<w:boolean>>>>, e array<map<string,string>>"
+DEEP_ROWS = [
+    ("a", 1, [[(0.5, ["x", None]), None], None, []], {"k": [1, None], "j": None}, (datetime.datetime(2020, 1, 2, 3, 4, 5, 678901), ([(True,), (None,)],)), [{"p": "q"}, None, {}]),
+    ("a", 1, [[(0.5, ["x", None]), None], None, []], {"j": None, "k": [1, None]}, None, None),
+    (None, None, None, {}, (None, None), []),
+    ("c", 2, [], None, (None, (None,)), [{"z": None, "y": "1"}]),
+]
+
+
+def rebuilt(bodies, kinds, entity, object_id):
+    """The object from the distinct objects alone, as plain values without nulls."""
+    out, view = {}, {k for k in kinds}
+    for f, v in json.loads(bodies[entity, object_id]).items():
+        name = f if entity == ROOT else f"{entity}.{f}"
+        if name in view:
+            v = [None if x is None else rebuilt(bodies, kinds, name, x) for x in v] if isinstance(v, list) else rebuilt(bodies, kinds, name, v)
+        out[f] = v
+    return out["value"] if entity != ROOT and set(out) == {"value"} and not isinstance(kinds[entity], T.StructType) else out
+
+
+def plain(v, kind):
+    """The same form of a value as it was read."""
+    if isinstance(kind, T.MapType):
+        return [{k: x for k, x in (("key", a), ("value", plain(b, kind.valueType))) if x is not None} for a, b in sorted(v.items())] if v is not None else None
+    if isinstance(kind, T.ArrayType):
+        inner = isinstance(kind.elementType, (T.ArrayType, T.MapType))
+        return [None if x is None else {"items": plain(x, kind.elementType)} if inner else plain(x, kind.elementType) for x in v] if v is not None else None
+    if isinstance(kind, T.StructType):
+        return {f.name: plain(x, f.dataType) for f, x in zip(kind.fields, v) if x is not None} if v is not None else None
+    return v.strftime("%Y-%m-%dT%H:%M:%S.%fZ") if isinstance(v, datetime.datetime) else v
+
+
+def test_objects_rebuild_every_record(spark):
+    rows = spark.createDataFrame(DEEP_ROWS, DEEP)
+    flat = flatten_nested(rows, "id")
+    bodies = {(r["entity"], r["object_id"]): r["body"] for r in flat.objects.collect()}
+    bridge = flat.bridge.collect()
+    known = {o for _, o in bodies}
+    assert all(r["object_id"] in known and (r["parent_id"] in known or r["entity"] == ROOT) for r in bridge)
+    roots = [r for r in bridge if r["entity"] == ROOT]
+    assert all(r["parent_id"] is None and r["ordinals"] == [] for r in roots) and len(roots) == len(DEEP_ROWS)
+    got = sorted((json.dumps(rebuilt(bodies, flat.kinds, ROOT, r["object_id"]), sort_keys=True) for r in roots))
+    assert got == sorted(json.dumps(plain(tuple(r), rows.schema), sort_keys=True) for r in rows.collect())
+    for name in flat.kinds:
+        flat.table(name).collect()
+
+
+def test_objects_rebuild_records_of_any_shape(spark):
+    rng = random.Random(5)
+
+    def value(kind):
+        if rng.random() < 0.2:
+            return None
+        if isinstance(kind, T.StructType):
+            return tuple(value(f.dataType) for f in kind.fields)
+        if isinstance(kind, T.ArrayType):
+            return [value(kind.elementType) for _ in range(rng.randrange(4))]
+        if isinstance(kind, T.MapType):
+            return {f"k{i}": value(kind.valueType) for i in range(rng.randrange(3))}
+        return rng.choice(["", "a", 'q"\\', "禪", "\n"])
+
+    kind = T._parse_datatype_string("id string, a array<struct<b:map<string,array<array<string>>>,c:struct<d:string,e:array<struct<f:string>>>>>, g map<string,struct<h:array<string>>>")
+    rows = spark.createDataFrame([value(kind) or (None, None, None) for _ in range(60)], kind)
+    flat = flatten_nested(rows, "id")
+    bodies = {(r["entity"], r["object_id"]): r["body"] for r in flat.objects.collect()}
+    got = sorted(json.dumps(rebuilt(bodies, flat.kinds, ROOT, r["object_id"]), sort_keys=True) for r in flat.bridge.filter(F.col("entity") == ROOT).collect())
+    assert got == sorted(json.dumps(plain(tuple(r), rows.schema), sort_keys=True) for r in rows.collect())
