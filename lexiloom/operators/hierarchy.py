@@ -1,34 +1,40 @@
 """Parent-child links to full hierarchies.
 
 Method: rake and compress. Every round sets childless nodes aside (each hangs by one
-link from a node that stays), puts the rest into fragments of bounded size, follows
-the parent chains inside each fragment up to the first node outside it (the fragment's
-exit), and keeps only the exits as a smaller quotient forest. The quotient is solved
-by the same step until it fits one fragment; then paths are expanded back, round by
-round, by one equi-join each. A ring inside a fragment shows as a chain that returns;
-a ring across fragments shrinks with the quotient until it lies in one fragment.
+link from a node that stays), spreads the rest over fragments, a partition each, follows
+the parent chains inside each partition up to the first node outside it (the fragment's
+exit), and keeps only the exits as a smaller quotient forest. The quotient is solved by
+the same step; once it fits one fragment the recursion ends. Then paths are expanded
+back, round by round, by one equi-join each. A ring inside a fragment shows as a chain
+that returns; a ring across fragments shrinks with the quotient until it lies in one.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiloom.session import materialise
 
 #: Nodes that one task holds while it follows chains.
 FRAGMENT_ROWS = 50_000
-#: A child moves into its parent's fragment only below this many siblings.
-FRAGMENT_SIBLINGS = 1_000
+#: Siblings that move together: those of a parent with more are spread by salt, and only the first part stays with it.
+TOGETHER = 1_000
 
 _CHAIN = "key string, exit string, seg array<string>, ring_id string, ring array<string>"
 
 
-def _follow(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Chains of one fragment: for every node the exit, the keys below it, and its ring if it is on one."""
+def _followed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Chains of one fragment, a partition: for every node the exit, the keys below it, and its ring if it is on one."""
+    parts = list(batches)
+    if not parts:
+        return
+    pdf = pd.concat(parts, ignore_index=True)
     keys, parents, segs = pdf["key"].tolist(), pdf["parent"].tolist(), [list(s) for s in pdf["seg"]]
     at = {k: i for i, k in enumerate(keys)}
     n = len(keys)
@@ -56,7 +62,7 @@ def _follow(pdf: pd.DataFrame) -> pd.DataFrame:
             else:
                 exits[v], out[v] = exits[p], out[p] + segs[v]
             state[v] = 2
-    return pd.DataFrame({"key": keys, "exit": exits, "seg": out, "ring_id": ring_id, "ring": ring}, dtype=object)
+    yield pd.DataFrame({"key": keys, "exit": exits, "seg": out, "ring_id": ring_id, "ring": ring}, dtype=object)
 
 
 @dataclass
@@ -87,23 +93,22 @@ class Hierarchy:
 
 
 def _solve(nodes: DataFrame, fragment_rows: int, rings: list[DataFrame], level: int) -> DataFrame:
-    """nodes: key, parent (null at a root), seg. Returns key, path."""
+    """nodes: key, parent (null at a root), seg. Returns key, path. A fragment has ``fragment_rows`` nodes on average."""
     kids = nodes.filter("parent is not null").groupBy(F.col("parent").alias("key")).agg(F.count(F.lit(1)).alias("kids"))
     inner = materialise(nodes.join(kids, "key"), f"inner{level}")
     leaves = nodes.join(kids, "key", "left_anti")
-    n = inner.count()
-    fragments = -(-n // fragment_rows)
-    if fragments <= 1:
-        split = inner.withColumn("fragment", F.lit(0))
-    else:
-        # A coin per node and round: children of a "centre" that are none themselves share its fragment.
-        centre = lambda c: F.pmod(F.xxhash64(c, F.lit(level)), F.lit(2)) == 0
-        few = inner.select(F.col("key").alias("parent"), (F.col("kids") <= FRAGMENT_SIBLINGS).alias("few"))
-        own = F.when(F.col("few") & centre(F.col("parent")) & ~centre(F.col("key")), F.col("parent")).otherwise(F.col("key"))
-        split = inner.join(few, "parent", "left").withColumn("fragment", F.pmod(F.xxhash64(own), F.lit(fragments)))
-    chains = materialise(split.select("fragment", "key", "parent", "seg").groupBy("fragment").applyInPandas(_follow, _CHAIN), f"chains{level}")
+    whole = max(1, -(-inner.count() // fragment_rows))
+    # The links as given are always cut, one fragment a core at least; only a quotient may fit one.
+    fragments = max(whole, nodes.sparkSession.sparkContext.defaultParallelism) if level == 0 else whole
+    # A coin per node and round: children of a "centre" that are none themselves share its fragment.
+    centre = lambda c: F.pmod(F.xxhash64(c, F.lit(level)), F.lit(2)) == 0
+    broods = inner.select(F.col("key").alias("parent"), (F.floor((F.col("kids") - 1) / TOGETHER) + 1).alias("broods"))
+    salt = F.pmod(F.xxhash64("key", F.lit(-1 - level)), F.col("broods"))
+    own = F.when(centre(F.col("parent")) & ~centre(F.col("key")), F.when(salt > 0, F.concat_ws("#", "parent", salt)).otherwise(F.col("parent"))).otherwise(F.col("key"))
+    split = inner.join(broods, "parent", "left").select(F.pmod(F.xxhash64(own), F.lit(fragments)).cast("int").alias("fragment"), "key", "parent", "seg")
+    chains = materialise(split.repartitionById(fragments, "fragment").mapInPandas(_followed, _CHAIN), f"chains{level}")
     rings.append(chains.filter("ring is not null").select("ring_id", F.explode("ring").alias("key")))
-    if fragments <= 1:
+    if fragments == 1:
         solved = chains.select("key", F.col("seg").alias("path"))
     else:
         exits = chains.filter("exit is not null").select(F.col("exit").alias("key")).distinct()
@@ -126,8 +131,8 @@ def hierarchy(nodes: DataFrame, key: str = "key", parent: str = "parent", fragme
     """Full hierarchy of a parent-child table of unknown depth.
 
     nodes: one or more rows per ``key`` (other columns are ignored). Rows without key are
-    no nodes; repeated rows count once; if a key states several parents the smallest counts;
-    a parent that is no key is no link; a node that names itself is a ring of one. An empty
+    no nodes; repeated rows count once; if a key states several parents the smallest counts
+    (``conflicts`` lists the others); a parent that is no key is no link; a node that names itself is a ring of one. An empty
     table gives an empty hierarchy.
 
     Returns path (array, root first, the node itself last), depth (0 at a root), root and
@@ -159,20 +164,38 @@ def plain_name(c):
     return F.lower(F.regexp_replace(F.translate(c, "_-", "  "), r"(?U)^\s+|\s+$", ""))
 
 
+def conflicts(statements: DataFrame, key: str = "key", parent: str = "parent") -> DataFrame:
+    """key, kept, parent: every stated parent that a hierarchy does not follow, and the one it follows instead.
+
+    Repeated statements count once; a key with one parent, or none, gives no row.
+    """
+    said = statements.select(F.col(key).alias("key"), F.col(parent).alias("parent")).filter("key is not null and parent is not null").distinct()
+    kept = said.groupBy("key").agg(F.min("parent").alias("kept"), F.max("parent").alias("last")).filter("kept < last").drop("last")
+    return said.join(kept, "key").filter("parent > kept").select("key", "kept", "parent")
+
+
+def person_statements(persons: DataFrame) -> DataFrame:
+    """key, parent (both plain names): every statement of a teacher or student in any row of a persons table.
+
+    ``names[0]`` is the person; teacher and students may use any alias, of several persons
+    with it the first counts. Statements of students are turned round. Names of no row are no link.
+    """
+    rows = persons.select("names", "teacher", "students").withColumn("key", plain_name(F.get("names", F.lit(0)))).filter("key is not null")
+    alias = rows.select(F.explode(F.transform("names", plain_name)).alias("alias"), "key").filter("alias is not null").groupBy("alias").agg(F.min("key").alias("person"))
+    taught = rows.select("key", plain_name(F.col("teacher")).alias("alias"), F.lit(False).alias("turned"))
+    teaches = rows.select("key", F.explode(F.transform("students", plain_name)).alias("alias"), F.lit(True).alias("turned"))
+    said = taught.unionByName(teaches).filter("alias != ''").join(alias, "alias")
+    return said.select(F.when(F.col("turned"), F.col("person")).otherwise(F.col("key")).alias("key"), F.when(F.col("turned"), F.col("key")).otherwise(F.col("person")).alias("parent"))
+
+
 def person_links(persons: DataFrame) -> DataFrame:
-    """key, parent (both plain names), label, from all rows of a persons table.
+    """key, parent (both plain names), label: a row a person, from all rows of a persons table.
 
-    ``names[0]`` is the person; teacher and students may use any alias. Statements of all
-    rows count, those of students turned round. Names of no row are no link.
+    Of several stated parents the smallest is kept; ``conflicts(person_statements(persons))`` lists the others.
     """
-    rows = persons.select("names", "teacher", "students", "row_no").withColumn("key", plain_name(F.get("names", F.lit(0)))).filter("key is not null")
+    rows = persons.select("names", "row_no").withColumn("key", plain_name(F.get("names", F.lit(0)))).filter("key is not null")
     label = rows.groupBy("key").agg(F.min_by(F.get("names", F.lit(0)), "row_no").alias("label"))
-    alias = rows.select(F.explode(F.transform("names", plain_name)).alias("alias"), "key").filter("alias is not null").groupBy("alias").agg(F.min("key").alias("person"))
-    taught = rows.select("key", plain_name(F.col("teacher")).alias("alias")).filter("alias != ''")
-    teaches = rows.select(F.col("key").alias("person"), F.explode(F.transform("students", plain_name)).alias("alias")).filter("alias != ''")
-    said = taught.join(alias, "alias").select("key", F.col("person").alias("parent")).unionByName(
-        teaches.withColumnRenamed("person", "parent").join(alias, "alias").select(F.col("person").alias("key"), "parent"))
-    parent = said.groupBy("key").agg(F.min("parent").alias("parent"))
+    parent = person_statements(persons).groupBy("key").agg(F.min("parent").alias("parent"))
     return label.join(parent, "key", "left").select("key", "parent", "label")
 
 
@@ -191,13 +214,32 @@ def collection_links(collections: DataFrame) -> DataFrame:
         F.min_by(fold(F.col("parentCollectionId")), "id").alias("parent"), F.min("id").alias("label"))
 
 
-def labelled_pairs(links: DataFrame, tree: str, fragment_rows: int = FRAGMENT_ROWS) -> DataFrame:
-    """tree, ancestor_key, node_key with the labels of ``links`` in place of the folded keys."""
-    links = materialise(links, "labelled")
-    pairs = hierarchy(links, fragment_rows=fragment_rows).pairs()
-    names = links.select("key", "label")
+_BREAK = "\x01"
+
+
+def forest(trees: dict[str, DataFrame], fragment_rows: int = FRAGMENT_ROWS) -> Hierarchy:
+    """The hierarchy of several tables of links (key, parent) at once; its keys have the tree's name and a break before them."""
+    tagged = [t.select(*[F.when(F.col(c).isNotNull(), F.concat(F.lit(name + _BREAK), c)).alias(c) for c in ("key", "parent")]) for name, t in trees.items()]
+    return hierarchy(reduce(DataFrame.unionByName, tagged), fragment_rows=fragment_rows)
+
+
+def tree_of(c: str) -> Column:
+    """The tree's name in a key of a forest."""
+    return F.substring_index(c, _BREAK, 1)
+
+
+def bare_key(c: str | Column) -> Column:
+    """A key of a forest without the tree's name."""
+    return F.substr(c, F.instr(c, _BREAK) + 1)
+
+
+def labelled_pairs(trees: dict[str, DataFrame], fragment_rows: int = FRAGMENT_ROWS) -> DataFrame:
+    """tree, ancestor_key, node_key with the labels of ``trees`` (key, parent, label; unique keys) in place of the folded keys."""
+    trees = {name: materialise(t, "labelled") for name, t in trees.items()}
+    pairs = forest(trees, fragment_rows).pairs()
+    names = reduce(DataFrame.unionByName, [t.select(F.concat(F.lit(name + _BREAK), "key").alias("key"), "label") for name, t in trees.items()])
     return (
         pairs.join(names.select(F.col("key"), F.col("label").alias("node_key")), "key")
         .join(names.select(F.col("key").alias("ancestor"), F.col("label").alias("ancestor_key")), "ancestor")
-        .select(F.lit(tree).alias("tree"), "ancestor_key", "node_key")
+        .select(tree_of("key").alias("tree"), "ancestor_key", "node_key")
     )

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiloom.operators.drift import schema_changes, unified
-from lexiloom.operators.hierarchy import collection_links, hierarchy, labelled_pairs, latest_state, person_links
+from lexiloom.operators.hierarchy import bare_key, collection_links, conflicts, forest, labelled_pairs, latest_state, person_links, person_statements, tree_of
 from lexiloom.operators.nested import ROOT, flatten_nested
 from lexiloom.session import table
 
@@ -27,17 +27,27 @@ ENTITIES = {
 }
 
 
+def _trees(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    return {"masters": person_links(table(spark, d, "masters")), "collections": collection_links(table(spark, d, "collections"))}
+
+
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    persons = labelled_pairs(person_links(table(spark, d, "masters")), "masters")
-    return persons.unionByName(labelled_pairs(collection_links(table(spark, d, "collections")), "collections"))
+    return labelled_pairs(_trees(spark, d))
 
 
 def p1_paths(spark: SparkSession, d: str) -> DataFrame:
     """Every node's path, depth, root, number of descendants and ring."""
-    parts = []
-    for tree, links in (("masters", person_links(table(spark, d, "masters"))), ("collections", collection_links(table(spark, d, "collections")))):
-        parts.append(hierarchy(links).summary().select(F.lit(tree).alias("tree"), "key", F.array_join("path", " > ").alias("path"), "depth", "root", "n_descendants", "ring_id"))
-    return parts[0].unionByName(parts[1])
+    rows = forest(_trees(spark, d)).summary()
+    path = F.array_join(F.transform("path", bare_key), " > ").alias("path")
+    return rows.select(tree_of("key").alias("tree"), bare_key("key").alias("key"), path, "depth", bare_key("root").alias("root"), "n_descendants", bare_key("ring_id").alias("ring_id"))
+
+
+def p1_statements(spark: SparkSession, d: str) -> DataFrame:
+    """By person the statements of a teacher, the different teachers named, the one followed, and the number of those not followed."""
+    said = person_statements(table(spark, d, "masters"))
+    lost = conflicts(said).groupBy("key").agg(F.count(F.lit(1)).alias("not_followed"))
+    each = said.groupBy("key").agg(F.count(F.lit(1)).alias("statements"), F.count_distinct("parent").alias("teachers"), F.min("parent").alias("kept"))
+    return each.join(lost, "key", "left").fillna(0, ["not_followed"])
 
 
 def _places() -> list[Column]:
@@ -92,7 +102,7 @@ def p5_table(spark: SparkSession, d: str) -> DataFrame:
     return unified(files, schema_changes(files))
 
 
-QUERIES = {"p4_counts": p4_counts, "p5_table": p5_table, "p1_found": p1_found, "p1_paths": p1_paths, "p4_found": p4_found, "p4_objects": p4_objects, "p4_bridge": p4_bridge, "p4_tables": p4_tables, "p5_found": p5_found}
+QUERIES = {"p4_counts": p4_counts, "p5_table": p5_table, "p1_found": p1_found, "p1_paths": p1_paths, "p1_statements": p1_statements, "p4_found": p4_found, "p4_objects": p4_objects, "p4_bridge": p4_bridge, "p4_tables": p4_tables, "p5_found": p5_found}
 
 _NAME = "lower(trim(translate({}, '_-', '  ')))"
 
@@ -173,6 +183,8 @@ ORACLE = _nested_sql() | {
     "p1_found": f"""{_TREES}
 SELECT u.tree, a.label AS ancestor_key, n.label AS node_key FROM up u
 JOIN label a ON a.tree = u.tree AND a.k = u.p JOIN label n ON n.tree = u.tree AND n.k = u.c""",
+    "p1_statements": f"""{_TREES.replace('UNION SELECT a.k, s.k', 'UNION ALL SELECT a.k, s.k')}
+SELECT c AS key, count(*) AS statements, count(DISTINCT p) AS teachers, min(p) AS kept, count(DISTINCT p) - 1 AS not_followed FROM said GROUP BY c""",
     "p1_paths": f"""{_TREES},
 ring AS (SELECT tree, c AS k, min(p) AS ring_id FROM up WHERE (tree, c) IN (SELECT tree, c FROM up WHERE c = p) GROUP BY tree, c),
 path AS (SELECT tree, k, k AS path, 0 AS depth, k AS root FROM label WHERE (tree, k) NOT IN (SELECT tree, c FROM edge) OR (tree, k) IN (SELECT tree, k FROM ring)

@@ -62,11 +62,25 @@ def test_ring_over_fragments(spark):
 
 def test_empty_and_ties(spark):
     assert solve(spark, []).pairs().count() == 0
+    rows = [("c", "b"), ("c", "a"), ("c", "a"), ("a", None), ("b", None), (None, "a")]
+    assert [tuple(r) for r in H.conflicts(spark.createDataFrame(rows, "key string, parent string")).collect()] == [("c", "a", "b")]
     assert pairs(solve(spark, [("c", "b"), ("c", "a"), ("a", None), ("b", None)])) == {("a", "c")}
 
 
 def test_persons_by_alias_and_spelling(spark):
     rows = [(0, ["Ann_Lee", "Old Ann"], None, [" bo-ro "]), (1, ["Bo Ro"], None, None), (2, ["Cy"], "OLD ANN", []), (3, ["Ann_Lee"], "Nobody", None), (4, None, "Cy", None), (5, ["Di", None], "bo ro", [None])]
     m = spark.createDataFrame(rows, "row_no long, names array<string>, teacher string, students array<string>")
-    got = {(r["ancestor_key"], r["node_key"]) for r in H.labelled_pairs(H.person_links(m), "masters").collect()}
+    got = {(r["ancestor_key"], r["node_key"]) for r in H.labelled_pairs({"m": H.person_links(m)}).collect()}
     assert got == {("Ann_Lee", "Bo Ro"), ("Ann_Lee", "Cy"), ("Ann_Lee", "Di"), ("Bo Ro", "Di")}
+
+
+def test_hot_parent_and_deep_chain(spark, monkeypatch):
+    monkeypatch.setattr(H, "TOGETHER", 5)
+    parent = {"r": None} | {f"k{i:02}": "r" for i in range(80)} | {f"g{i:02}": f"k{i:02}" for i in range(80)} | {f"d{i:03}": f"d{i - 1:03}" if i else "g79" for i in range(150)}
+    assert pairs(solve(spark, list(parent.items()), fragment_rows=10)) == brute(parent)
+
+
+def test_trees_of_equal_keys_stay_apart(spark):
+    one = spark.createDataFrame([("a", None, "A"), ("b", "a", "B")], "key string, parent string, label string")
+    two = spark.createDataFrame([("b", None, "b"), ("a", "b", "a")], "key string, parent string, label string")
+    assert {tuple(r) for r in H.labelled_pairs({"x": one, "y": two}).collect()} == {("x", "A", "B"), ("y", "b", "a")}
