@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiloom.operators.drift import schema_changes, unified
+from lexiloom.operators.drift import ABOVE, BOTTOM, file_schemas, read_lines, schema_changes, unified
 from lexiloom.operators.hierarchy import bare_key, collection_links, conflicts, forest, labelled_pairs, latest_state, person_links, person_statements, tree_of
 from lexiloom.operators.nested import ROOT, flatten_nested
 from lexiloom.session import table
@@ -96,13 +96,17 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return schema_changes(table(spark, d, "collection_files")).drop("agreeing")
 
 
+def p5_schemas(spark: SparkSession, d: str) -> DataFrame:
+    """Every file's fields, at the top and in lists, with the type that its lines' types fold to."""
+    return file_schemas(read_lines(table(spark, d, "collection_files"))).drop("mask")
+
+
 def p5_table(spark: SparkSession, d: str) -> DataFrame:
     """All readable records of all exports in one table."""
-    files = table(spark, d, "collection_files")
-    return unified(files, schema_changes(files))
+    return unified(table(spark, d, "collection_files"))
 
 
-QUERIES = {"p4_counts": p4_counts, "p5_table": p5_table, "p1_found": p1_found, "p1_paths": p1_paths, "p1_statements": p1_statements, "p4_found": p4_found, "p4_objects": p4_objects, "p4_bridge": p4_bridge, "p4_tables": p4_tables, "p5_found": p5_found}
+QUERIES = {"p4_counts": p4_counts, "p5_table": p5_table, "p5_schemas": p5_schemas, "p1_found": p1_found, "p1_paths": p1_paths, "p1_statements": p1_statements, "p4_found": p4_found, "p4_objects": p4_objects, "p4_bridge": p4_bridge, "p4_tables": p4_tables, "p5_found": p5_found}
 
 _NAME = "lower(trim(translate({}, '_-', '  ')))"
 
@@ -179,7 +183,21 @@ def _nested_sql() -> dict[str, str]:
     }
 
 
+_BITS = " ".join(f"WHEN '{k}' THEN {m}" for k, m in ABOVE.items())
+_TYPES = " ".join(f"WHEN {m} THEN '{k}'" for k, m in ABOVE.items())
+_KIND = """CASE json_type({0}) WHEN 'OBJECT' THEN 'object' WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'ARRAY' THEN
+  CASE list_sort(list_distinct([json_type(e) FOR e IN json_extract({0}, '$[*]') IF json_type(e) <> 'NULL'])) WHEN [] THEN NULL WHEN ['OBJECT'] THEN 'list of objects' WHEN ['VARCHAR'] THEN 'list of strings' ELSE 'list of values' END ELSE 'number' END"""
+
 ORACLE = _nested_sql() | {
+    "p5_schemas": f"""
+WITH l AS (SELECT feed, file_seq, CASE WHEN json_valid(body) THEN body END AS b FROM collection_files),
+t AS (SELECT feed, file_seq, k AS field, json_extract(b, '$."' || k || '"') AS v FROM (SELECT feed, file_seq, b, unnest(json_keys(b)) AS k FROM l WHERE json_type(b) = 'OBJECT')),
+top AS (SELECT feed, file_seq, field, v, {_KIND.format('v')} AS kind FROM t WHERE json_type(v) <> 'NULL'),
+o AS (SELECT feed, file_seq, field AS scope, unnest(json_extract(v, '$[*]')) AS e FROM top WHERE kind = 'list of objects'),
+i AS (SELECT feed, file_seq, scope, k AS field, json_extract(e, '$."' || k || '"') AS v FROM (SELECT *, unnest(json_keys(e)) AS k FROM o WHERE json_type(e) = 'OBJECT')),
+r AS (SELECT feed, file_seq, '' AS scope, field, kind FROM top UNION ALL SELECT feed, file_seq, scope, field, {_KIND.format('v')} FROM i WHERE json_type(v) <> 'NULL'),
+m AS (SELECT feed, file_seq, scope, field, bit_and(CASE kind {_BITS} ELSE {BOTTOM} END) AS mask FROM r GROUP BY ALL)
+SELECT feed, file_seq, scope, field, CASE mask {_TYPES} END AS kind FROM m""",
     "p1_found": f"""{_TREES}
 SELECT u.tree, a.label AS ancestor_key, n.label AS node_key FROM up u
 JOIN label a ON a.tree = u.tree AND a.k = u.p JOIN label n ON n.tree = u.tree AND n.k = u.c""",

@@ -1,11 +1,12 @@
 import datetime
+import itertools
 import json
 import random
 
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexiloom.operators.drift import promote, schema_changes, unified
+from lexiloom.operators.drift import COVERED_BY, promote, schema_changes, unified
 from lexiloom.operators.hierarchy import latest_state
 from lexiloom.operators.nested import ROOT, flatten_nested
 
@@ -67,13 +68,16 @@ def test_swapped_ends_are_told_apart_by_place(spark):
 
 def test_lattice():
     assert promote(None, "number") == "number" and promote("number", "string") == "string" == promote("boolean", "number")
-    assert promote("object", "list of objects") == "list of objects" and promote("number", "object") == "json"
+    assert promote("object", "list of objects") == "list of objects" == promote("number", "object") and promote("list of values", "object") == "json"
+    kinds = [None, *COVERED_BY]
+    for a, b, c in itertools.product(kinds, repeat=3):
+        assert promote(a, a) == a and promote(a, b) == promote(b, a) and promote(promote(a, b), c) == promote(a, promote(b, c))
 
 
 def test_union_table(spark):
     v = {1: [{"id": "x", "links": [{"a": "p", "Weight": 1}], "tags": "u, v", "feed": 1}], 2: [{"id": "x", "Links": {"e0": {"a": "p", "weight": "1"}}, "tags": ["w"], "feed": 2}, {"id": "x", "tags": ["z"]}]}
     f = files(spark, v)
-    rows = {r["file_seq"]: r.asDict(True) for r in unified(f, schema_changes(f)).collect()}
+    rows = {r["file_seq"]: r.asDict(True) for r in unified(f).collect()}
     name = "links" if "links" in rows[1] else "Links"
     assert rows[1]["tags"] == ["u", "v"] and rows[2]["tags"] == ["z"] and rows[2][name] is None and rows[1]["field_feed"] == 1.0
     assert [sorted(k.lower() for k in m) for m in rows[1][name]] == [["a", "weight"]]
@@ -81,7 +85,7 @@ def test_union_table(spark):
 
 def test_content_of_unified_has_no_duplicates(spark):
     f = files(spark, {1: [{"id": "x", "n": 1}, {"id": "x", "n": 1}, {"id": "y", "n": "2"}]})
-    got = unified(f, schema_changes(f)).select("id", F.col("n").cast("string").alias("n")).collect()
+    got = unified(f).select("id", F.col("n").cast("string").alias("n")).collect()
     assert sorted((r["id"], r["n"]) for r in got) == [("x", "1"), ("y", "2")]
 
 
@@ -92,7 +96,7 @@ def test_one_rename_joins_the_columns(spark):
         3: [{"id": "z", "left": "a", "right": "b", "notes": "n"}],
     }
     f = files(spark, v)
-    rows = unified(f, schema_changes(f)).collect()
+    rows = unified(f).collect()
     assert {"about", "notes"} & set(rows[0].asDict()) == {"notes"} and {r["notes"] for r in rows if r["id"] in ("x", "y")} == {"text x", "text y"}
     assert len({tuple(m) for r in rows for one in r["links"] or [] for m in [one.keys()]}) == 1
     last = next(r for r in rows if r["file_seq"] == 3)
@@ -101,7 +105,7 @@ def test_one_rename_joins_the_columns(spark):
 
 def test_rename_of_one_record_keeps_columns(spark):
     f = files(spark, {1: [{"id": "x", "a": "1"}], 2: [{"id": "x", "b": "1"}]})
-    assert {"a", "b"} <= set(unified(f, schema_changes(f)).columns)
+    assert {"a", "b"} <= set(unified(f).columns)
 
 
 def test_plain_objects_have_rows(spark):
@@ -184,3 +188,23 @@ def test_objects_rebuild_records_of_any_shape(spark):
     bodies = {(r["entity"], r["object_id"]): r["body"] for r in flat.objects.collect()}
     got = sorted(json.dumps(rebuilt(bodies, flat.kinds, ROOT, r["object_id"]), sort_keys=True) for r in flat.bridge.filter(F.col("entity") == ROOT).collect())
     assert got == sorted(json.dumps(plain(tuple(r), rows.schema), sort_keys=True) for r in rows.collect())
+
+
+def test_chain_of_competing_renames_is_matched_to_the_end(spark):
+    # Every field's best partner prefers another: six rounds of mutual best pairs.
+    n = 6
+    shared = lambda i, j: [f"v{i}-{j}-{k}" for k in range(20 - 2 * i if i == j else 19 - 2 * max(i, j) if abs(i - j) == 1 else 0)]
+    old = {"id": "x"} | {f"old{i}": [f"o{i}", *shared(i, i), *(shared(i, i - 1) if i else [])] for i in range(n)}
+    new = {"id": "x"} | {f"new{i}": [f"n{i}", *shared(i, i), *(shared(i + 1, i) if i + 1 < n else [])] for i in range(n)}
+    got = changes(spark, {1: [old], 2: [new]})
+    assert [x for x in got if x[1] == "renamed"] == [(2, "renamed", f"old{i}", f"new{i}") for i in range(n)]
+
+
+def test_a_file_of_several_types_has_the_least_that_holds_them(spark):
+    assert changes(spark, {1: [{"id": "x", "n": 1}, {"id": "y", "n": "a"}, {"id": "z", "n": 2}], 2: [{"id": "x", "n": 1}], 3: [{"id": "x", "n": []}], 4: [{"id": "x", "n": ["q"]}]}) == [(2, "retyped", "n", "n")]
+
+
+def test_rare_fields_share_a_map(spark):
+    f = files(spark, {1: [{"id": "x", "a": 1, "b": "t"}, {"id": "y", "a": 2}], 2: [{"id": "x", "a": 3, "c": {"d": None}}]})
+    rows = {(r["file_seq"], r["id"]): r for r in unified(f, columns=2).collect()}
+    assert rows[1, "x"]["a"] == 1.0 and rows[1, "x"]["other_fields"] == {"b": '"t"'} and rows[2, "x"]["other_fields"] == {"c": '{"d":null}'} and rows[1, "y"]["other_fields"] == {}
