@@ -16,13 +16,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexiloom.session import materialise
 
-VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: Tokens of a block and of a shard.
 BLOCK_TOKENS = 2_048
 SHARD_TOKENS = 1 << 20
@@ -30,6 +29,12 @@ SHARD_TOKENS = 1 << 20
 BUCKET_ROWS = 20_000
 #: Levels of the splitting tree that are drawn in one task; below, each subtree has its own.
 TOP_LEVELS = 10
+#: Rounds of the permutation of a source's blocks.
+ROUNDS = 32
+#: Largest urn that the library draws from at once.
+URN = 1_000_000_000 - 1
+#: Draws from a larger one that are made one by one.
+FEW = 64
 
 # Fixed value: the pattern that splits text before the merges of a rank file.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -44,7 +49,7 @@ def _encoding(vocabulary: str):
     return tiktoken.Encoding(vocabulary, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+def token_counts(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """doc_id, source, n_tokens; 0 for null and empty texts. The vocabulary is read from its path on each executor."""
 
     @F.pandas_udf(T.LongType())
@@ -56,18 +61,63 @@ def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY, doc_id: str = "d
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), count(F.col(text)).alias("n_tokens"))
 
 
+def drawn_of(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
+    """How many of ``n`` draws without replacement from ``good`` and ``bad`` ones are good, for urns of any size.
+
+    A large urn is parted by coins that come up for n of it on average; those taken are then
+    a uniform sample of their number, and the few too many or too few are drawn again, from
+    those taken or those left, by the same step.
+    """
+    if good + bad <= URN:
+        return int(rng.hypergeometric(good, bad, n)) if good + bad else 0
+    if 2 * n > good + bad:
+        return good - drawn_of(rng, good, bad, good + bad - n)
+    if n <= FEW:
+        got = 0
+        for k in range(n):
+            got += int(rng.integers(good + bad - k)) < good - got
+        return got
+    p = n / (good + bad)
+    a, b = int(rng.binomial(good, p)), int(rng.binomial(bad, p))
+    if a + b < n:
+        return a + drawn_of(rng, good - a, bad - b, n - a - b)
+    return a - drawn_of(rng, a, b, a + b - n)
+
+
+def _divided(rng: np.random.Generator, counts: np.ndarray, take: int) -> np.ndarray:
+    """A multivariate hypergeometric draw, source by source."""
+    left, rest = np.zeros_like(counts), int(counts.sum())
+    for i, c in enumerate(counts.tolist()):
+        left[i] = drawn_of(rng, c, rest - c, take)
+        rest -= c
+        take -= int(left[i])
+    return left
+
+
 def split(counts: np.ndarray, offsets: np.ndarray, lo: int, hi: int, seed: int, stop: int = 1) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Nodes of at most ``stop`` shards below the node of shards [lo, hi): (lo, hi, blocks by source, first block by source)."""
     if hi - lo <= stop:
         yield lo, hi, counts, offsets
         return
-    mid, total = (lo + hi) // 2, int(counts.sum())
-    take = total * (mid - lo) // (hi - lo)
-    left = np.random.default_rng([seed, lo, hi]).multivariate_hypergeometric(counts, take, method="marginals") if total else counts.copy()
+    mid = (lo + hi) // 2
+    left = _divided(np.random.default_rng([seed, lo, hi]), counts, int(counts.sum()) * (mid - lo) // (hi - lo))
     yield from split(left, offsets, lo, mid, seed, stop)
     yield from split(counts - left, offsets + left, mid, hi, seed, stop)
 
 
+def permuted(x: Column, n: Column, keys: Column) -> Column:
+    """A permutation of [0, n) that the ``keys``, numbers below n, choose.
+
+    By swap or not: in each round a number and its mirror image change places if a hash of
+    the larger of the two and the round's key says so. Nothing leaves 64 bits.
+    """
+    def round_(x: Column, k: Column) -> Column:
+        other = F.pmod(k - x, n)
+        return F.when(F.xxhash64(F.greatest(x, other), k).bitwiseAND(1) == 1, other).otherwise(x)
+
+    return F.aggregate(keys, x, round_)
+
+
 def _dealt(spark, names: list[str], blocks: list[int], shards: int, seed: int) -> DataFrame:
     """source, slot, shard: which shard gets which of each source's permuted blocks."""
     kind = "lo long, hi long, counts array<long>, offsets array<long>"
@@ -106,11 +156,11 @@ def quotas(totals: dict[str, int], targets: list[tuple[str, float, int]], total_
     return {s: min(cap, math.floor(size * share / whole)) for s, (share, cap) in have.items()}
 
 
-def mixture(docs: DataFrame, targets: DataFrame, seed: int = 17, total_tokens: int | None = None, vocabulary: str = VOCABULARY,
+def mixture(docs: DataFrame, targets: DataFrame, vocabulary: str, seed: int = 17, total_tokens: int | None = None,
             block_tokens: int = BLOCK_TOKENS, shard_tokens: int = SHARD_TOKENS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """doc_id, source, repeat_no, n_tokens, shard, position: the combined set.
 
-    docs: doc_id, text, source; targets: source, target_share, max_repeats (null is once; of
+    vocabulary: path of a rank file that every executor can read. docs: doc_id, text, source; targets: source, target_share, max_repeats (null is once; of
     repeated rows of a source the first by share and repeats counts). Sources without target,
     and null sources, take no part; nor do texts without tokens. Targets without records
     cannot be met: the others keep their proportions. A source falls short of its quota by
@@ -133,11 +183,11 @@ def mixture(docs: DataFrame, targets: DataFrame, seed: int = 17, total_tokens: i
         full, rest = divmod(q, n)
         per_pass = -(-n // block_tokens)
         slots = full * per_pass + -(-rest // block_tokens)
-        step = next(a for a in range(max(1, int(slots * 0.618)), 2 * slots + 2) if math.gcd(a, slots) == 1)
-        plan.append((s, full, rest, per_pass, slots, step, max(1, -(-sums[s]["rows"] // bucket_rows))))
+        keys = np.random.default_rng([seed, len(names)]).integers(0, slots, ROUNDS).tolist()
+        plan.append((s, full, rest, per_pass, slots, keys, max(1, -(-sums[s]["rows"] // bucket_rows))))
         names.append(s)
         blocks.append(slots)
-    plan_of = F.broadcast(spark.createDataFrame(plan, "source string, full long, rest long, per_pass long, slots long, step long, buckets long"))  # a row for each target
+    plan_of = F.broadcast(spark.createDataFrame(plan, "source string, full long, rest long, per_pass long, slots long, keys array<long>, buckets long"))  # a row for each target
 
     # Place in the source's permutation: by hash range first, then within the range, so that no task orders a whole source.
     order = F.xxhash64("doc_id", F.lit(seed))
@@ -150,7 +200,7 @@ def mixture(docs: DataFrame, targets: DataFrame, seed: int = 17, total_tokens: i
     uses = F.col("full") + (F.col("upto") <= F.col("rest")).cast("long")
     drawn = rows.withColumn("uses", uses).filter("uses > 0").withColumn("repeat_no", F.explode(F.expr("sequence(0L, uses - 1)")))
     block = F.col("repeat_no") * F.col("per_pass") + F.floor((F.col("upto") - F.col("n_tokens")) / block_tokens)
-    drawn = drawn.withColumn("slot", F.pmod(block * F.col("step"), F.col("slots")))
+    drawn = drawn.withColumn("slot", permuted(block.cast("long"), F.col("slots"), F.col("keys")))
     shards = max(1, -(-sum(quota.values()) // shard_tokens))
     dealt = drawn.join(_dealt(spark, names, blocks, shards, seed), ["source", "slot"])
     local = Window.partitionBy("shard").orderBy(F.xxhash64("doc_id", "repeat_no", F.lit(seed + 1)), "doc_id", "repeat_no")

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexiloom.llm import leaks, mixing, sentences, skeleton, spans, stuffing
-from lexiloom.session import table
+from lexiloom.session import materialise, table
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
@@ -56,8 +56,13 @@ def p9_scores(spark: SparkSession, d: str) -> DataFrame:
     return stuffing.page_scores(table(spark, d, "documents"))
 
 
+def vocabulary(spark: SparkSession) -> str:
+    """Path of the rank file by which tokens are counted, as the session names it in ``spark.lexiloom.vocabulary``."""
+    return spark.conf.get("spark.lexiloom.vocabulary", "/opt/tokenizers/byte_bpe_multi_50k.tiktoken")
+
+
 def p8_mix(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+    return mixing.mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"), vocabulary(spark))
 
 
 def p8_shares(spark: SparkSession, d: str) -> DataFrame:
@@ -65,7 +70,25 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares(p8_mix(spark, d), table(spark, d, "mix_targets"))
 
 
+def p8_kept(spark: SparkSession, d: str) -> DataFrame:
+    """By source with records whether the mixture keeps its word: every use once and of a record of the source, no record too often, no place twice, and the share met but for one record."""
+    docs, targets = table(spark, d, "documents"), table(spark, d, "mix_targets")
+    mixed = materialise(p8_mix(spark, d), "mixture")
+    own = docs.select("doc_id", F.col("source").alias("own"))
+    each = mixed.join(own, "doc_id", "left").groupBy("source").agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id", "repeat_no").alias("once"), F.count_distinct("shard", "position").alias("places"), F.count_if(F.col("own") == F.col("source")).alias("known"),
+        F.max("repeat_no").alias("most"), F.sum("n_tokens").alias("tokens"), F.max("n_tokens").alias("longest"))
+    whole = F.sum("tokens").over(Window.partitionBy(F.lit(0)))  # over the targets' few rows
+    share = F.sum("target_share").over(Window.partitionBy(F.lit(0)))
+    rows = targets.join(docs.select("source").distinct(), "source", "left_semi").join(each, "source", "left")
+    slack = F.sum("longest").over(Window.partitionBy(F.lit(0)))
+    return rows.select(
+        "source", (F.col("n") == F.col("once")).alias("every_use_once"), (F.col("n") == F.col("places")).alias("every_place_once"), (F.col("n") == F.col("known")).alias("from_source"),
+        (F.col("most") < F.coalesce("max_repeats", F.lit(1))).alias("within_repeats"), (F.abs(F.col("tokens") - whole * F.col("target_share") / share) <= slack).alias("share_met"))
+
+
 QUERIES = {
+    "p8_kept": p8_kept,
     "p8_mix": p8_mix,
     "p8_shares": p8_shares,
     "p9_found": p9_found,
@@ -82,6 +105,8 @@ i AS (SELECT doc_id, p, sum(fresh) OVER (PARTITION BY doc_id ORDER BY p) AS k FR
 spans AS (SELECT doc_id, min(p)::INT AS span_start, (max(p) + 100)::INT AS span_end FROM i GROUP BY doc_id, k)"""
 
 ORACLE: dict[str, str] = {
+    "p8_kept": """SELECT source, true AS every_use_once, true AS every_place_once, true AS from_source, true AS within_repeats, true AS share_met
+FROM mix_targets WHERE source IN (SELECT source FROM documents)""",
     "p3_found": f"WITH {_SPANS} SELECT doc_id, span_start, span_end FROM spans",
     "p3_docs": f"""WITH {_SPANS}, t AS (SELECT doc_id, sum(span_end - span_start) AS c, count(*) AS n, max(span_end - span_start) AS l FROM spans GROUP BY doc_id)
 SELECT d.doc_id, coalesce(length(text), 0)::BIGINT AS n_chars, coalesce(c, 0)::BIGINT AS shared_chars, coalesce(n, 0)::BIGINT AS n_spans, coalesce(l, 0)::BIGINT AS longest_span,

@@ -1,7 +1,11 @@
 import numpy as np
 
+from pyspark.sql import functions as F
+
 from lexiloom.llm import mixing as M
 
+VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
+
 
 def corpus(spark, sizes):
     rows = [(i * 1000 + j, "word " * (3 + j % 7), s) for i, (s, n) in enumerate(sizes.items()) for j in range(n)]
@@ -33,7 +37,7 @@ def test_quotas():
 def test_mixture(spark):
     docs = corpus(spark, {"a": 300, "b": 40, "c": 100})
     targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.3, 3), ("c", 0.1, None), ("gone", 0.1, 2)], "source string, target_share double, max_repeats int")
-    kw = dict(block_tokens=32, shard_tokens=400, bucket_rows=50)
+    kw = dict(vocabulary=VOCABULARY, block_tokens=32, shard_tokens=400, bucket_rows=50)
     rows = M.mixture(docs, targets, **kw).collect()
     used = {}
     for r in rows:
@@ -53,7 +57,7 @@ def test_mixture(spark):
 def test_nothing_to_mix(spark):
     docs = corpus(spark, {"a": 3})
     targets = spark.createDataFrame([("z", 1.0, 1), (None, 0.5, 1)], "source string, target_share double, max_repeats int")
-    assert M.mixture(docs, targets).count() == 0 and M.mixture(docs.filter("false"), targets).count() == 0 and M.mixture(docs, targets.filter("false")).count() == 0
+    assert M.mixture(docs, targets, VOCABULARY).count() == 0 and M.mixture(docs.filter("false"), targets, VOCABULARY).count() == 0 and M.mixture(docs, targets.filter("false"), VOCABULARY).count() == 0
 
 
 def test_two_levels_of_subtrees(spark, monkeypatch):
@@ -61,3 +65,33 @@ def test_two_levels_of_subtrees(spark, monkeypatch):
     rows = M._dealt(spark, ["a", "b"], [50, 23], 11, 5).collect()
     assert sorted((r["source"], r["slot"]) for r in rows) == [("a", i) for i in range(50)] + [("b", i) for i in range(23)]
     assert {r["shard"] for r in rows} == set(range(11))
+
+
+def test_split_of_any_number_of_blocks():
+    counts = np.array([60_000_000_000, 39_999_999_999, 1, 0])
+    leaves = list(M.split(counts, np.zeros(4, np.int64), 0, 16, 3))
+    assert (sum(c for _, _, c, _ in leaves) == counts).all() and max(c.sum() for _, _, c, _ in leaves) - min(c.sum() for _, _, c, _ in leaves) <= 1
+    for _, _, c, _ in leaves:  # within ten standard deviations
+        assert abs(c[0] / c.sum() - 0.6) < 10 * (0.24 / c.sum()) ** 0.5
+
+
+def test_draws_from_large_urns_are_distributed_as_from_small_ones(monkeypatch):
+    good, bad, n = 30, 50, 24
+    rng = np.random.default_rng(1)
+    want = rng.hypergeometric(good, bad, n, 20_000)
+    monkeypatch.setattr(M, "URN", 5)
+    monkeypatch.setattr(M, "FEW", 2)
+    got = np.array([M.drawn_of(rng, good, bad, n) for _ in range(20_000)])
+    assert abs(got.mean() - want.mean()) < 0.06 and abs(got.std() - want.std()) < 0.06
+    assert np.abs(np.bincount(got, minlength=25) - np.bincount(want, minlength=25)).max() < 400
+
+
+def test_blocks_are_permuted(spark):
+    for n in (1, 2, 97, 1000):
+        keys = F.array(*[F.lit(k).cast("long") for k in np.random.default_rng(n).integers(0, n, M.ROUNDS).tolist()])
+        got = [r[0] for r in spark.range(n).select(M.permuted(F.col("id"), F.lit(n).cast("long"), keys)).collect()]
+        assert sorted(got) == list(range(n)) and (n < 97 or abs(np.corrcoef(got, range(n))[0, 1]) < 0.3)
+    big = 50_000_000_000_000
+    keys = F.array(*[F.lit(k).cast("long") for k in (3, big - 1, big // 2)])
+    got = [r[0] for r in spark.range(big - 1000, big).select(M.permuted(F.col("id"), F.lit(big).cast("long"), keys)).collect()]
+    assert len(set(got)) == 1000 and 0 <= min(got) and max(got) < big
