@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,13 +11,24 @@ from lexiloom.llm import leaks, mixing, sentences, skeleton, spans, stuffing
 from lexiloom.session import materialise, table
 
 
+def _looks(spark: SparkSession, d: str):
+    """Source, rows, key and text of what is compared by look."""
+    yield "documents", table(spark, d, "documents"), F.col("doc_id").cast("string"), "text"
+    yield "text_lines", table(spark, d, "text_lines").filter("text <> ''"), F.concat_ws("#", "file_id", "line_no"), "text"
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    pairs = skeleton.look_alike_pairs(table(spark, d, "documents"), F.col("doc_id").cast("string"), "text")
-    lines = table(spark, d, "text_lines").filter("text <> ''")
-    line_pairs = skeleton.look_alike_pairs(lines, F.concat_ws("#", "file_id", "line_no"), "text")
-    readings = skeleton.look_alike_readings(table(spark, d, "apparatus"))
-    tagged = [x.select(F.lit(src).alias("src"), "key_a", "key_b") for src, x in (("documents", pairs), ("text_lines", line_pairs), ("apparatus", readings))]
-    return tagged[0].unionByName(tagged[1]).unionByName(tagged[2])
+    shapes = skeleton.prototypes(skeleton.public_table(spark))
+    tagged = [skeleton.look_alike_pairs(rows, key, text, shapes).select(F.lit(src).alias("src"), "key_a", "key_b") for src, rows, key, text in _looks(spark, d)]
+    readings = skeleton.look_alike_readings(table(spark, d, "apparatus"), shapes)
+    return tagged[0].unionByName(tagged[1]).unionByName(readings.select(F.lit("apparatus").alias("src"), "key_a", "key_b"))
+
+
+def p6_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Every row whose text has another form that looks the same, with its class, and the forms and rows of that."""
+    shapes = skeleton.prototypes(skeleton.public_table(spark))
+    tagged = [skeleton.look_classes(rows, key, text, shapes).select(F.lit(src).alias("src"), "key", "class", "forms", "members") for src, rows, key, text in _looks(spark, d)]
+    return tagged[0].unionByName(tagged[1])
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -95,7 +108,7 @@ QUERIES = {
     "p9_scores": p9_scores,
     "p2_found": p2_found,
     "p2_sentences": p2_sentences,
-    "p7_found": p7_found, "p7_leaks": p7_leaks, "p3_found": p3_found, "p3_docs": p3_docs, "p6_found": p6_found}
+    "p7_found": p7_found, "p7_leaks": p7_leaks, "p3_found": p3_found, "p3_docs": p3_docs, "p6_found": p6_found, "p6_classes": p6_classes}
 
 _SPANS = """w AS (SELECT doc_id, unnest(range(0, length(text) - 99)) AS p, text FROM documents WHERE length(text) >= 100),
 r AS (SELECT doc_id, p, md5(substr(text, p + 1, 100)) AS h FROM w),
@@ -104,7 +117,27 @@ m AS (SELECT doc_id, p, CASE WHEN p <= lag(p) OVER o + 100 THEN 0 ELSE 1 END AS
 i AS (SELECT doc_id, p, sum(fresh) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM m),
 spans AS (SELECT doc_id, min(p)::INT AS span_start, (max(p) + 100)::INT AS span_end FROM i GROUP BY doc_id, k)"""
 
-ORACLE: dict[str, str] = {
+
+
+def _looks_sql() -> dict[str, str]:
+    """Skeletons as a join of characters with the built-in table; canonically equal forms are left to nfc_normalize."""
+    shapes = {c: to for c, to in skeleton.prototypes().items() if unicodedata.normalize("NFC", to) != unicodedata.normalize("NFC", c)}
+    listed = ", ".join(f"({ord(c)}, '{to.replace(chr(39), chr(39) * 2)}')" for c, to in sorted(shapes.items()))
+    ctes = f"""WITH shape(cp, form) AS (VALUES {listed}),
+t AS (SELECT 'documents' AS src, doc_id::VARCHAR AS key, text FROM documents WHERE text IS NOT NULL UNION SELECT 'text_lines', file_id || '#' || line_no, text FROM text_lines WHERE text <> ''
+  UNION SELECT 'lem', file_id || '#' || seq, lem FROM apparatus WHERE lem IS NOT NULL UNION SELECT 'apparatus', file_id || '#' || seq || '#' || r.wit, r.text FROM (SELECT file_id, seq, unnest(readings) AS r FROM apparatus) WHERE r.text IS NOT NULL AND r.wit IS NOT NULL),
+u AS (SELECT DISTINCT text FROM t), c AS (SELECT text, unnest(string_split(nfc_normalize(text), '')) AS ch, unnest(range(length(nfc_normalize(text)))) AS i FROM u),
+s AS (SELECT text, nfc_normalize(coalesce(string_agg(coalesce(form, ch), '' ORDER BY i), '')) AS look FROM c LEFT JOIN shape ON cp = unicode(ch) GROUP BY text),
+l AS (SELECT src, key, t.text, coalesce(look, '') AS look FROM t LEFT JOIN s USING (text))"""
+    return {
+        "p6_found": f"""{ctes} SELECT DISTINCT a.src, a.key AS key_a, b.key AS key_b FROM l a JOIN l b ON a.src = b.src AND a.look = b.look AND a.text <> b.text AND a.key < b.key WHERE a.src IN ('documents', 'text_lines')
+UNION ALL SELECT DISTINCT 'apparatus', a.key, substr(b.key, length(a.key) + 2) FROM l a JOIN l b ON a.src = 'lem' AND b.src = 'apparatus' AND a.look = b.look AND a.text <> b.text AND starts_with(b.key, a.key || '#')""",
+        "p6_classes": f"""{ctes}, k AS (SELECT src, look, min(key) AS class, count(DISTINCT text) AS forms, count(*) AS members FROM l GROUP BY src, look HAVING count(DISTINCT text) > 1)
+SELECT src, key, class, forms, members FROM l JOIN k USING (src, look) WHERE src IN ('documents', 'text_lines')""",
+    }
+
+
+ORACLE: dict[str, str] = _looks_sql() | {
     "p8_kept": """SELECT source, true AS every_use_once, true AS every_place_once, true AS from_source, true AS within_repeats, true AS share_met
 FROM mix_targets WHERE source IN (SELECT source FROM documents)""",
     "p3_found": f"WITH {_SPANS} SELECT doc_id, span_start, span_end FROM spans",

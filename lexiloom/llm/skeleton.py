@@ -2,18 +2,20 @@
 
 The skeleton of a text: decompose, replace every character by the prototype of its
 shape, decompose again. What stays visible stays apart: letter case, accents, simplified
-forms, raised and circled signs.
+forms, raised and circled signs. The built-in table of shapes is short; ``public_table``
+is the whole public one.
 """
 
 from __future__ import annotations
 
 import functools
 import unicodedata
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -59,67 +61,131 @@ def _decompose(ch: str) -> str:
     return "".join(_decompose(chr(int(x, 16))) for x in parts)
 
 
-def _prototype(ch: str) -> str:
+def _blank_or_unseen(ch: str) -> str | None:
+    """' ' for a blank, '' for what is not seen, None for all else."""
     kind = unicodedata.category(ch)
     if ch not in _KEPT_BLANKS and (kind == "Zs" or ch == "\t"):
         return " "
     if kind == "Cf" or "︀" <= ch <= "️" or "\U000e0100" <= ch <= "\U000e01ef" or ch in "͏ᅟᅠㅤﾠ឴឵᠋᠌᠍":
         return ""
-    return LOOK_ALIKE.get(ch, ch)
+    return None
 
 
-def skeleton_of(ch: str) -> str:
-    if unicodedata.category(ch) == "Cs":
-        return ch
-    blank = _prototype(ch)  # blanks and invisible signs first: some decompose into a blank and a mark
-    if blank in ("", " "):
-        return blank
-    replaced = "".join(_prototype(x) for x in _decompose(ch))
-    return "".join(_decompose(x) for x in replaced)
+def public_table(spark: SparkSession) -> dict[str, str]:
+    """The public table of confusable characters, as the Unicode library that comes with Spark holds it: character, prototype.
 
+    Characters that decompose are left out, their parts are listed. About 5,000 entries.
+    """
+    listed = [c for c in map(chr, range(0x21, 0x32000)) if unicodedata.category(c) not in ("Cs", "Co", "Cn") and unicodedata.normalize("NFD", c) == c]
+    found = spark._jvm.com.ibm.icu.text.SpoofChecker.Builder().build().getSkeleton("\n".join(listed)).split("\n")
+    return {c: to for c, to in zip(listed, found) if to and to != c}
 
-@functools.lru_cache(1)
-def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """By code point: number of prototype characters, where they begin in a flat list, that list, and whether it is a mark."""
+
+def prototypes(table: dict[str, str] | None = None) -> dict[str, str]:
+    """What each character becomes, where it is not itself: decomposed, by prototype, decomposed again.
+
+    table: character and prototype, beside LOOK_ALIKE, which goes first. Characters that any entry or
+    decomposition makes equal are one class and become the same.
+    """
+    listed = [*range(0x80, 0x3400), *range(0xA000, 0xD800), *range(0xF900, 0x20000), *range(0x2F800, 0x32000)]
+    pairs: list[tuple[str, str]] = []
+    direct: dict[str, str] = {"\t": " "}
+    for ch in map(chr, [*listed, *range(0xE0000, 0xE01F0)]):
+        blank = _blank_or_unseen(ch)  # blanks and invisible signs first: some decompose into a blank and a mark
+        to = _decompose(ch) if blank is None else blank
+        if to == ch:
+            continue
+        if blank is not None or "가" <= ch <= "힣" or not unicodedata.decomposition(ch).startswith("<") and len(to) > 1:
+            direct[ch] = to  # and pieces that nothing else is equal to
+        else:
+            pairs.append((ch, to))
+    pairs += [*LOOK_ALIKE.items(), *(x for x in (table or {}).items() if x[0] not in LOOK_ALIKE)]
+    up: dict[str, str] = {}
+
+    def head(c: str) -> str:
+        while c in up:
+            c = up[c]
+        return c
+
+    for a, b in pairs:
+        b = direct.get(b, b)
+        if len(b) == 1 and a not in direct and b not in direct and head(a) != head(b):
+            # Of a class a small letter stands for all, then another ASCII character, then the least.
+            x, y = sorted((head(a), head(b)), key=lambda c: (not c.isascii(), not c.islower(), c))
+            up[y] = x
+    several: dict[str, str] = {}
+    for a, b in pairs:
+        if len(b) > 1 and a not in direct and head(a) not in map(head, b):  # a mark beside its spacing form stays itself
+            several.setdefault(head(a), b)
+
+    def becomes(text: str, within: tuple[str, ...]) -> str:
+        out = []
+        for c in text:
+            h = head(c)
+            if c in direct:
+                out.append(becomes(direct[c], within) if len(direct[c]) > 1 else direct[c])
+            elif h in several and h not in within:
+                out.append(becomes(several[h], (*within, h)))
+            else:
+                out.append(_decompose(h))
+        return "".join(out)
+
+    own = {*direct, *(a for a, _ in pairs), *up.values(), *several, *up}
+    return {c: to for c in own if unicodedata.category(c) != "Cs" and (to := becomes(c, ())) != c}
+
+
+def _arrays(table: dict[str, str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """By code point: number of characters it becomes, where they begin in a flat list, that list, and whether it is a mark."""
     top = 0x110000
     size, start, mark = np.ones(top, np.int8), np.arange(top, dtype=np.int32), np.zeros(top, bool)
     more: list[int] = []
-    for cp in range(0x80, 0x32000):
-        ch = chr(cp)
-        if 0x3400 <= cp <= 0x9FFF or 0x20000 <= cp <= 0x2F7FF or 0xD800 <= cp <= 0xF8FF:
-            continue  # characters that are their own prototype
-        mark[cp] = unicodedata.combining(ch) > 0
-        to = skeleton_of(ch)
-        if to != ch:
-            size[cp], start[cp] = len(to), top + len(more)
-            more += map(ord, to)
-    for cp in [9, *range(0xE0000, 0xE01F0)]:
-        to = skeleton_of(chr(cp))
-        if to != chr(cp):
-            size[cp], start[cp] = len(to), top + len(more)
-            more += map(ord, to)
+    for cp in range(0x300, 0x20000):
+        mark[cp] = unicodedata.combining(chr(cp)) > 0
+    for c, to in table.items():
+        size[ord(c)], start[ord(c)] = len(to), top + len(more)
+        more += map(ord, to)
     return size, start, np.concatenate([np.arange(top, dtype=np.uint32), np.array(more, np.uint32)]), mark
 
 
+@functools.lru_cache(1)
+def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    return _arrays(prototypes())
+
+
+_made: dict[int, tuple] = {}
+
+
+def _tables_of(table: dict[str, str] | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Arrays of a table of prototypes, made once in a Python worker."""
+    if table is None:
+        return _tables()
+    name = zlib.crc32(repr(sorted(table.items())).encode())
+    if name not in _made:
+        _made.clear()
+        _made[name] = _arrays(table)
+    return _made[name]
+
+
 #: Characters that go through the table at a time.
 BLOCK = 1 << 21
 
 
-def skeletons(texts: list[str]) -> list[str]:
+def skeletons(texts: list[str], tables: tuple | None = None) -> list[str]:
     """Skeletons of many texts at once, by table over their code points."""
+    tables = tables or _tables()
     out: list[str] = []
     block, total = [], 0
     for t in texts:
         block.append(t)
         total += len(t)
         if total >= BLOCK:
-            out += _skeletons(block)
+            out += _skeletons(block, tables)
             block, total = [], 0
-    return out + _skeletons(block) if block else out
+    return out + _skeletons(block, tables) if block else out
 
 
-def _skeletons(texts: list[str]) -> list[str]:
-    size, start, flat, mark = _tables()
+def _skeletons(texts: list[str], tables: tuple) -> list[str]:
+    size, start, flat, mark = tables
     cp = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
     ends = np.cumsum([len(t) for t in texts])
     n = size[cp]
@@ -144,55 +210,69 @@ def _skeletons(texts: list[str]) -> list[str]:
     return result
 
 
-@F.pandas_udf(T.StringType())
-def skeleton(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """The skeleton as a column; null for null, '' for ''."""
-    for s in texts:
-        has = s.notna()
-        out = pd.Series([None] * len(s), dtype=object)
-        out[has.to_numpy()] = skeletons(s[has].tolist())
-        yield out
+def _udf(kind: T.DataType, of: Callable[[str], object], table: dict[str, str] | None) -> Callable[[Column], Column]:
+    @F.pandas_udf(kind)
+    def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        tables = _tables_of(table)
+        for s in texts:
+            has = s.notna()
+            out = pd.Series([None] * len(s), dtype=object)
+            out[has.to_numpy()] = [of(t) for t in skeletons(s[has].tolist(), tables)]
+            yield out
 
+    return run
 
-@F.pandas_udf(T.BinaryType())
-def skeleton_key(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """128-bit key of the skeleton, so that texts need not travel."""
+
+def skeleton(text: Column | str, table: dict[str, str] | None = None) -> Column:
+    """The skeleton as a column; null for null, '' for ''. table: as of ``prototypes``, the built-in one by default."""
+    return _udf(T.StringType(), str, table)(text)
+
+
+def _key(text: str) -> bytes:
     import xxhash
 
-    for s in texts:
-        has = s.notna()
-        out = pd.Series([None] * len(s), dtype=object)
-        out[has.to_numpy()] = [xxhash.xxh3_128_digest(t.encode("utf-8", "surrogatepass")) for t in skeletons(s[has].tolist())]
-        yield out
+    return xxhash.xxh3_128_digest(text.encode("utf-8", "surrogatepass"))
+
+
+def skeleton_key(text: Column | str, table: dict[str, str] | None = None) -> Column:
+    """128-bit key of the skeleton, so that texts need not travel."""
+    return _udf(T.BinaryType(), _key, table)(text)
 
 
-def looks(rows: DataFrame, key: Column, text: str) -> DataFrame:
+def looks(rows: DataFrame, key: Column, text: str, table: dict[str, str] | None = None) -> DataFrame:
     """key, look (skeleton's key), stored (key of the text as stored). Rows without key or text are left out; rows equal in all count once."""
-    return rows.filter(F.col(text).isNotNull()).select(key.alias("key"), skeleton_key(text).alias("look"), F.unhex(F.md5(text)).alias("stored")).filter("key is not null")
+    return rows.filter(F.col(text).isNotNull()).select(key.alias("key"), skeleton_key(text, table).alias("look"), F.unhex(F.md5(text)).alias("stored")).filter("key is not null")
+
 
+def look_classes(rows: DataFrame, key: Column, text: str, table: dict[str, str] | None = None) -> DataFrame:
+    """key, class, forms, members: a row per key and stored text of which another form exists.
 
-def look_classes(rows: DataFrame, key: Column, text: str) -> DataFrame:
-    """One row per key: ``look`` is the class of texts that look the same, ``forms`` the number of its stored forms."""
-    each = materialise(looks(rows, key, text), "looks")
-    forms = each.groupBy("look").agg(F.count_distinct("stored").alias("forms"))
-    return each.join(forms, "look").select("key", F.hex("look").alias("look"), F.hex("stored").alias("stored"), "forms")
+    ``class`` is the least key of all that look the same, ``forms`` the number of its stored
+    forms, ``members`` that of its rows. Whatever the size of a class its rows stay as many:
+    the way to use for texts that stand in very many places.
+    """
+    each = materialise(looks(rows, key, text, table), "looks").distinct()
+    forms = each.groupBy("look").agg(F.min("key").alias("class"), F.min("stored").alias("a"), F.max("stored").alias("b"), F.count(F.lit(1)).alias("members")).filter("a <> b").drop("a", "b")
+    some = each.join(forms, "look")
+    n = some.select("look", "stored").distinct().groupBy("look").agg(F.count(F.lit(1)).alias("forms"))
+    return some.join(n, "look").select("key", "class", "forms", "members")
 
 
-def look_alike_pairs(rows: DataFrame, key: Column, text: str) -> DataFrame:
+def look_alike_pairs(rows: DataFrame, key: Column, text: str, table: dict[str, str] | None = None) -> DataFrame:
     """key_a < key_b of rows whose texts look the same but differ as stored.
 
     Texts travel as 128-bit keys only. Looks of a single stored form, whatever their
     number of rows, leave before anything is paired.
     """
-    each = materialise(looks(rows, key, text), "looks")
+    each = materialise(looks(rows, key, text, table), "looks")
     several = each.groupBy("look").agg(F.min("stored").alias("a"), F.max("stored").alias("b")).filter("a <> b").select("look")
     kept = each.join(several, "look", "left_semi").distinct()
     other = kept.select("look", F.col("key").alias("key_b"), F.col("stored").alias("stored_b"))
     return kept.join(other, "look").filter("stored <> stored_b AND key < key_b").select(F.col("key").alias("key_a"), "key_b").distinct()
 
 
-def look_alike_readings(apparatus: DataFrame) -> DataFrame:
+def look_alike_readings(apparatus: DataFrame, table: dict[str, str] | None = None) -> DataFrame:
     """key_a (``file_id#seq``), key_b (wit): readings that look like their lemma but differ as stored."""
     one = apparatus.filter("lem is not null").select("file_id", "seq", "lem", F.explode("readings").alias("r")).filter("r.text is not null and r.text <> lem")
-    near = one.select(F.concat_ws("#", "file_id", "seq").alias("key_a"), F.col("r.wit").alias("key_b"), skeleton("lem").alias("a"), skeleton(F.col("r.text")).alias("b"))
+    near = one.select(F.concat_ws("#", "file_id", "seq").alias("key_a"), F.col("r.wit").alias("key_b"), skeleton("lem", table).alias("a"), skeleton(F.col("r.text"), table).alias("b"))
     return near.filter("a = b AND key_b is not null").select("key_a", "key_b").distinct()

@@ -34,8 +34,8 @@ def test_pairs_of_rows(spark):
     df = spark.createDataFrame(rows, "k string, text string")
     got = sorted((r["key_a"], r["key_b"]) for r in S.look_alike_pairs(df, F.col("k"), "text").collect())
     assert got == [("a", "b"), ("b", "c"), ("f", "g")]
-    classes = {r["key"]: r["forms"] for r in S.look_classes(df, F.col("k"), "text").collect()}
-    assert classes["a"] == 2 and classes["d"] == 1
+    classes = sorted(tuple(r) for r in S.look_classes(df, F.col("k"), "text").collect())
+    assert classes == [("a", "a", 2, 3), ("b", "a", 2, 3), ("c", "a", 2, 3), ("f", "f", 2, 2), ("g", "f", 2, 2)]
     assert S.look_alike_pairs(df.filter("false"), F.col("k"), "text").count() == 0
 
 
@@ -45,3 +45,18 @@ def test_readings(spark):
     rows = [("f", 1, gold, [("A", other), ("B", gold), ("C", None), (None, other)]), ("f", 1, gold, [("A", other)]), ("f", 2, None, [("A", "x")]), ("f", 3, "x", None)]
     got = [tuple(r) for r in S.look_alike_readings(spark.createDataFrame(rows, kind)).collect()]
     assert got == [("f#1", "A")]
+
+
+def test_public_table(spark):
+    table = S.prototypes(S.public_table(spark))
+    assert len(table) > 8_000
+    arrays = S._arrays(table)
+    same = lambda a, b: S.skeletons([a], arrays) == S.skeletons([b], arrays)
+    for a, b in [*SAME, ("l", "I"), ("1", "l"), ("0", "O"), ("m", "rn"), ("\u13a0", "D"), ("\u2c9f", "o"), ("\ua4d0", "B"), ("\U00010404", "O"), ("\u2019", "'"), ("\u2ec4", "\u897f")]:
+        assert same(a, b), (a, b)
+    for a, b in [p for p in DIFFERENT if p not in [("\u2013", "-")]]:
+        assert not same(a, b), (a, b)
+    assert not same("i", "l") and not same("i", "I")
+    listed = [*map(chr, range(0x20, 0x3000))]
+    once = S.skeletons(listed, arrays)
+    assert S.skeletons(once, arrays) == once
