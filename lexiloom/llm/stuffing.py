@@ -26,6 +26,8 @@ SHARE = 0.5
 #: Share of prose lines that may lie above, and below, what counts as normal. Litanies are
 #: the most predictable prose, so that abnormally low is below half of their perplexity's logarithm.
 ABOVE, BELOW = 0.002, 0.0005
+#: A word that is more than one in so many words of the page so far is common on it.
+COMMON = 10
 #: Longest stretch scored at once; longer lines are scored piece by piece.
 STRETCH = 64
 
@@ -36,8 +38,12 @@ FUNCTION_WORDS = (
     "is was are were be been has had have do did does will would shall should can could may might must not "
     "who whom whose which what when where why how it its he his him she her they their them we our us you your i my me there here said asked replied says").split()
 
+# Function words of romanised Sanskrit, and Tibetan particles of a syllable.
+FUNCTION_WORDS += "ca na iti eva tu hi api vā atha tatra yathā tathā sa tad yad".split()
+TIBETAN_PARTICLES = frozenset("གི ཀྱི གྱི ཡི གིས ཀྱིས གྱིས ཡིས ལ ན དུ ཏུ རུ སུ ནས ལས དང ཅིང ཞིང ཤིང ཏེ དེ སྟེ ནི ཡང".split())
+
 CLASSES = (
-    ["\n", "word", "word+", "num", "url", "tag", "tag+", "markup", "han1", "han2", "han4", "han8", "han16", "han+", "kana", "hangul", "hangul+", "hangul.", "tibetan", "letters"]
+    ["\n", "word", "word+", "word=", "num", "url", "tag", "tag+", "markup", "han1", "han2", "han4", "han8", "han16", "han+", "kana", "hangul", "hangul+", "hangul.", "tibetan", "tibetanf", "letters"]
     + list(".,;:!?…|/*#()[]<>{}\"'-–=&+_%$@~") + ["“", "”", "‘", "’", "«", "»", "。", "，", "、", "；", "：", "！", "？", "「", "」", "『", "』", "（", "）", "།", "༎", "॥", "other"]
 )
 _AT = {c: i for i, c in enumerate(CLASSES)}
@@ -55,9 +61,20 @@ def classes(text: str) -> tuple[list[int], list[int], list[int]]:
     seq: list[int] = []
     tokens_in, chars_in = [], []
     seen: set[str] = set()
+    met: set = set()
+    times: dict[str, int] = {}
+    words = 0
     before = ""
     count = size = 0
     add = seq.append
+
+    def known(t: str | list[str]) -> bool:
+        """Whether at least a third of a run's stretches of three came before on the page; the run's are added."""
+        own = {t[i: i + 3] if isinstance(t, str) else tuple(t[i: i + 3]) for i in range(len(t) - 2)}
+        new = own - met
+        met.update(new)
+        return len(new) * 3 <= (len(t) - 2) * 2
+
     for m in _TOKEN.finditer(text):
         kind = m.lastgroup
         t = m.group()
@@ -73,6 +90,7 @@ def classes(text: str) -> tuple[list[int], list[int], list[int]]:
         if kind == "word":
             low = t.lower()
             k = _WORDS_AT.get(low)
+            words += 1
             if k is not None:
                 add(k)
                 before = ""
@@ -83,7 +101,8 @@ def classes(text: str) -> tuple[list[int], list[int], list[int]]:
                 again = pair in seen
                 seen.add(pair)
             before = low
-            add(_AT["word+" if again else "word"])
+            n = times[low] = times.get(low, 0) + 1
+            add(_AT["word+" if again else "word=" if n > 2 and n * COMMON > words else "word"])
             continue
         if kind == "hangul":
             pair = before + " " + t
@@ -96,10 +115,24 @@ def classes(text: str) -> tuple[list[int], list[int], list[int]]:
             n = len(t)
             if n <= 6 and t in seen:
                 add(_AT["han+"])
+            elif n > 6 and known(t):  # words without anything between them
+                seq += [_AT["han+"]] * (n // 3)
+                count += n // 3 - 1
             else:
                 if n <= 6:
                     seen.add(t)
                 add(_AT["han1" if n == 1 else "han2" if n < 4 else "han4" if n < 8 else "han8" if n < 16 else "han16"])
+        elif kind == "kana" and len(t) > 2:
+            again = t in seen if len(t) < 7 else known(t)
+            seen.add(t)
+            add(_AT["han+" if again else "kana"])
+        elif kind == "tibetan":
+            parts = t.strip("་").split("་")
+            if len(parts) > 4 and known(parts):
+                seq += [_AT["han+"]] * (len(parts) // 2)
+                count += len(parts) // 2 - 1
+            else:
+                add(_AT["tibetan" if TIBETAN_PARTICLES.isdisjoint(parts) else "tibetanf"])
         elif kind == "tag":
             bare = t.rstrip("0123456789")
             add(_AT["tag+" if bare in seen else "tag"])
@@ -117,7 +150,7 @@ def classes(text: str) -> tuple[list[int], list[int], list[int]]:
 _F0 = len(CLASSES)
 _AGAIN = np.array([_AT[c] for c in ("word+", "tag+", "han+", "hangul+")])
 _LINKS = np.array([_AT[c] for c in ("url", "tag", "tag+", "markup")])
-_LATIN = np.array([_AT[c] for c in ("word", "word+")])
+_LATIN = np.array([_AT[c] for c in ("word", "word+", "word=")])
 
 
 def _pieces(tokens_in: np.ndarray, chars_in: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -190,11 +223,10 @@ def _gathered(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     return seq, np.concatenate(sizes), np.concatenate(chars), np.concatenate(rows)
 
 
-def trained(counts: dict[int, int]) -> np.ndarray:
+def trained(code: np.ndarray, count: np.ndarray) -> np.ndarray:
     """Negative log probabilities of all trigrams, by Witten-Bell interpolation; half of what an unseen context gives is uniform."""
     tri = np.zeros(V * V * V, np.float32)
-    if counts:
-        tri[np.fromiter(counts.keys(), np.int64)] = np.fromiter(counts.values(), np.float64)
+    tri[code] = count
     tri = tri.reshape(V, V, V)
     bi = tri.sum(0)
     uni = bi.sum(0)
@@ -228,9 +260,9 @@ def _train(sequences: DataFrame) -> np.ndarray:
                 code, n = np.unique(_codes(seq, start)[_is_prose(seq, start, sizes)[own]], return_counts=True)
                 yield pd.DataFrame({"code": code, "n": n})
 
-    # At most V ** 3 rows, whatever the corpus.
-    counts = sequences.mapInPandas(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toPandas()
-    return trained(dict(zip(counts["code"].tolist(), counts["n"].tolist())))
+    # At most V ** 3 rows of 12 bytes, whatever the corpus.
+    counts = sequences.mapInPandas(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).select(F.col("code").cast("int"), "n").toArrow()
+    return trained(counts["code"].to_numpy(), counts["n"].to_numpy())
 
 
 def _score(pdf: pd.DataFrame, model: np.ndarray):

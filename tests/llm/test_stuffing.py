@@ -18,7 +18,7 @@ def keywords(rng, n, sep=" / "):
 
 
 def test_model_is_a_distribution():
-    p = np.exp(-S.trained({5: 3, S.V + 7: 2, 9: 1})).reshape(S.V, S.V, S.V).sum(2)
+    p = np.exp(-S.trained(np.array([5, S.V + 7, 9]), np.array([3, 2, 1]))).reshape(S.V, S.V, S.V).sum(2)
     assert np.allclose(p, 1, atol=1e-3)
 
 
@@ -29,6 +29,8 @@ def test_classes():
     assert name("https://x.example/a b-c.test #tag #tag1 <a href='q'>") == ["url", "url", "tag", "tag+", "markup"]
     assert name("廊報 廊報、") == ["han2", "han+", "、"] and name("") == []
     assert S.classes("a b\n\nc")[1] == [2, 1]
+    assert name("瓦敲光東雨臨書跋瓦敲光東雨臨書跋瓦敲光東") == ["han+"] * 6 and name("瓦敲光東雨臨書跋醒斤內徒") == ["han8"]
+    assert name("kéhā mist | kéhā oil | kéhā bow | kéhā axe")[-2:] == ["word=", "word"] and name("རིན་ཐང་རིན་ཐང་རིན་ཐང་") == ["han+"] * 3 and name("ཐོན་ནས") == ["tibetanf"]
 
 
 def test_pages(spark):
