@@ -2,18 +2,25 @@
 
 The test items are indexed once: shingles of three tokens with their BM25 weights, in
 blocks of items with the greatest weight of each term in each block. Every passage of
-every document is a query. As in block-max WAND, a block is opened only if the block
-maxima of the passage's terms can reach the threshold; in opened blocks the exact scores
-decide, and all items above the threshold are retrieved, however many. Queries run set at
-a time over arrays. Retrieved pairs are then verified token by token.
+every document is a query. As in block-max WAND, a passage is skipped if its terms' greatest
+weights together stay below the threshold, then a block if the block maxima do; in opened
+blocks the exact scores decide, and all items above the threshold are retrieved, however
+many. Queries run set at a time over arrays. Retrieved pairs are then verified token by
+token: how much of the question the document holds, and whether it has the answer too.
+
+The corpus is read and tokenised once, whatever the number of items: what may be a term of
+some item goes on as positions and hashes, to one part of the index after the other.
 """
 
 from __future__ import annotations
 
 import functools
+import pickle
 import unicodedata
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -22,11 +29,14 @@ from pyspark.sql import functions as F
 
 from lexiloom.llm.skeleton import skeletons
 from lexiloom.llm.spans import _mixed, _power
+from lexiloom.session import materialise
 
 SHINGLE = 3
-#: Items of an index block, and of an index (larger test sets are indexed in parts).
+#: Items of an index block, and characters of items in an index (larger test sets are indexed in parts).
 BLOCK_ITEMS = 32
-INDEX_ITEMS = 50_000
+INDEX_CHARS = 1 << 25
+#: Cells of the filter of terms: FILTER_CELLS at most, a byte each.
+FILTER_CELLS = 1 << 27
 #: Tokens of a passage; half of it is shared with the next.
 PASSAGE = 512
 #: Cells of pieces by item places that are compared at a time.
@@ -35,8 +45,9 @@ COVER_CELLS = 4_000_000
 BATCH_CHARS = 400_000
 #: Least BM25 score, as a share of the score against itself of the item, or of its part of at most PASSAGE tokens.
 RETRIEVE = 0.14
-#: Least share of an item's tokens that a document holds in at most two pieces.
-HELD = 0.5
+#: Least share of an item's tokens that a document holds in at most two pieces, but for the two
+#: whole tokens that shingles cannot see beside an altered one at the end of a piece.
+HELD = 0.6
 K1, B = 1.2, 0.75
 
 
@@ -105,19 +116,71 @@ def _spread(begin: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return row, np.arange(len(row)) - first[row] + begin[row]
 
 
+def grams(tok: np.ndarray, owner: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of ``size`` consecutive tokens of one text, told apart by size, and where each begins."""
+    n = len(tok) - size + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    h = tok[:n] ^ np.uint64(size)
+    for i in range(1, size):
+        h = (h * np.uint64(0x9E3779B97F4A7C15)) ^ tok[i: i + n]
+    at = np.nonzero(owner[:n] == owner[size - 1:])[0]
+    return _mixed(h[at] * np.uint64(0xD6E8FEB86659FD93)), at
+
+
+def terms_of(tok: np.ndarray, owner: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Terms of texts of ``sizes`` tokens: shingles, or the whole of a text of fewer tokens than those have."""
+    h, at = shingles(tok, owner)
+    for size in range(1, SHINGLE):
+        g, p = grams(tok, owner, size)
+        own = sizes[owner[p]] == size
+        h, at = np.concatenate([h, g[own]]), np.concatenate([at, p[own]])
+    order = np.argsort(at, kind="stable")
+    return h[order], at[order]
+
+
+@dataclass
+class Hits:
+    """What texts have of terms that may be items': text, place (its token) and hash, in order of text and place; and the texts' tokens."""
+
+    doc: np.ndarray
+    place: np.ndarray
+    h: np.ndarray
+    n_tokens: np.ndarray
+
+    @staticmethod
+    def of(texts: list[str], cells: np.ndarray) -> Hits:
+        tok, owner = tokens(texts)
+        n = np.bincount(owner, minlength=len(texts))
+        first = np.cumsum(n) - n
+        found = []
+        for h, at in [shingles(tok, owner), *(grams(tok, owner, size) for size in range(1, SHINGLE))]:
+            keep = np.nonzero(cells[_cell(h, len(cells))])[0]
+            found.append((at[keep], h[keep]))
+        at, h = (np.concatenate(x) for x in zip(*found))
+        order = np.argsort(at, kind="stable")
+        at, h = at[order], h[order]
+        return Hits(owner[at], at - first[owner[at]], h, n)
+
+
+def _cell(h: np.ndarray, cells: int) -> np.ndarray:
+    return ((h ^ (h >> np.uint64(32))) & np.uint64(cells - 1)).astype(np.int64)
+
+
 @dataclass
 class Index:
     """Inverted index of the items, as arrays that travel as one broadcast.
 
     Items longer than a passage are indexed in equal parts of at most PASSAGE tokens, the
     others as one part; ``item`` is the number of the part, places are those in the whole item.
+    Answers are kept as the hashes of their terms, one after the other.
     """
 
     ids: np.ndarray
     n_tokens: np.ndarray
     part_off: np.ndarray  # by item, into the parts
-    filter: np.ndarray
     terms: np.ndarray
+    term_max: np.ndarray
     block_off: np.ndarray  # by term, into the block postings
     block: np.ndarray
     block_max: np.ndarray
@@ -126,12 +189,14 @@ class Index:
     weight: np.ndarray
     seen_off: np.ndarray  # by posting, into the places
     place: np.ndarray
+    answer_off: np.ndarray  # by item, into the answers
+    answer: np.ndarray
 
     @staticmethod
-    def of(ids: list[int], texts: list[str]) -> Index:
+    def of(ids: list[int], texts: list[str], answers: list[str | None] | None = None) -> Index:
         tok, owner = tokens(texts)
         n_tokens = np.bincount(owner, minlength=len(ids))
-        h, at = shingles(tok, owner)
+        h, at = terms_of(tok, owner, n_tokens)
         first = np.cumsum(n_tokens) - n_tokens
         terms, term = np.unique(h, return_inverse=True)
         place = at - first[owner[at]]
@@ -157,24 +222,37 @@ class Index:
         newb[1:] = (p_term[1:] != p_term[:-1]) | (blk[1:] != blk[:-1])
         bp = np.nonzero(newb)[0]
         bmax = np.maximum.reduceat(w, bp) if len(bp) else np.zeros(0)
-        bits = np.zeros(1 << 22, bool)
-        bits[(terms & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
-        return Index(np.array(ids, np.int64), n_tokens, part_off, bits, terms, np.searchsorted(p_term[bp], np.arange(len(terms) + 1)), blk[bp].astype(np.int32), bmax.astype(np.float32),
-                     np.append(bp, len(p)), p_item.astype(np.int32), w.astype(np.float32), np.append(p, len(term)), place.astype(np.int32))
+        tmax = np.zeros(len(terms))
+        np.maximum.at(tmax, p_term, w)
+        a_tok, a_owner = tokens([a or "" for a in answers or [""] * len(ids)])
+        answer, at = terms_of(a_tok, a_owner, np.bincount(a_owner, minlength=len(ids)))
+        answer_off = np.searchsorted(a_owner[at], np.arange(len(ids) + 1))
+        return Index(np.array(ids, np.int64), n_tokens, part_off, terms, tmax.astype(np.float32), np.searchsorted(p_term[bp], np.arange(len(terms) + 1)), blk[bp].astype(np.int32), bmax.astype(np.float32),
+                     np.append(bp, len(p)), p_item.astype(np.int32), w.astype(np.float32), np.append(p, len(term)), place.astype(np.int32), answer_off, answer)
+
+    def cells(self, size: int) -> np.ndarray:
+        """The filter: which cells hold a term of an item or of an answer."""
+        out = np.zeros(size, bool)
+        out[_cell(self.terms, size)] = True
+        out[_cell(self.answer, size)] = True
+        return out
 
     def lookup(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Which of the hashes are terms, and which terms."""
-        maybe = np.nonzero(self.filter[(h & np.uint64((1 << 22) - 1)).astype(np.int64)])[0]
-        t = np.searchsorted(self.terms, h[maybe])
+        t = np.searchsorted(self.terms, h)
         t[t == len(self.terms)] = 0
-        hit = self.terms[t] == h[maybe]
-        return maybe[hit], t[hit]
+        hit = np.nonzero(self.terms[t] == h)[0]
+        return hit, t[hit]
 
     def search(self, query: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """query, part, score of all pairs that reach RETRIEVE, from (query, term) pairs."""
         n_parts = int(self.part_off[-1])
         key = np.unique(query * len(self.terms) + term)
         query, term = key // len(self.terms), key % len(self.terms)
+        asked, inverse = np.unique(query, return_inverse=True)
+        bound = np.bincount(inverse, weights=self.term_max[term], minlength=len(asked))
+        able = bound[inverse] >= RETRIEVE
+        query, term = query[able], term[able]
         row, bp = _spread(self.block_off[term], self.block_off[term + 1] - self.block_off[term])
         n_blocks = n_parts // BLOCK_ITEMS + 1
         where, inverse = np.unique(query[row] * n_blocks + self.block[bp], return_inverse=True)
@@ -250,18 +328,29 @@ def held_share(i: np.ndarray, j: np.ndarray, n: int) -> float:
     return best / n
 
 
-def _pairs(index: Index, ids: list[int], texts: list[str]) -> list[tuple[int, int, float, float]]:
-    tok, owner = tokens(texts)
-    h, at = shingles(tok, owner)
-    hit, term = index.lookup(h)
+def has_answer(answer: np.ndarray, place: np.ndarray, h: np.ndarray) -> bool:
+    """Whether a text with terms ``h`` at ``place`` has the answer's terms one after the other."""
+    if not len(answer):
+        return False
+    begins = place[h == answer[0]]
+    for k in range(1, len(answer)):
+        if not len(begins):
+            return False
+        begins = begins[np.isin(begins + k, place[h == answer[k]])]
+    return len(begins) > 0
+
+
+def _pairs(index: Index, ids: list[int], hits: Hits) -> list[tuple[int, int, float, float, bool]]:
+    """doc_id, item_id, score, held, answer_found of all pairs."""
+    if not len(index.terms):
+        return []
+    hit, term = index.lookup(hits.h)
     if not len(hit):
         return []
-    at, doc = at[hit], owner[at[hit]]
-    start = np.searchsorted(owner, np.arange(len(ids) + 1))
-    place = at - start[doc]
+    doc, place = hits.doc[hit], hits.place[hit]
     # Every place lies in two passages that overlap by half.
     half = PASSAGE // 2
-    halves = (np.diff(start) // half) + 2
+    halves = hits.n_tokens // half + 2
     base = np.cumsum(halves) - halves
     q = base[doc] + place // half
     query = np.concatenate([q, q + 1])
@@ -271,63 +360,106 @@ def _pairs(index: Index, ids: list[int], texts: list[str]) -> list[tuple[int, in
     pair, inverse = np.unique(of * len(index.ids) + item, return_inverse=True)
     top = np.zeros(len(pair))
     np.maximum.at(top, inverse, score)
-    lo = np.searchsorted(doc, np.arange(len(ids) + 1))
+    lo, all_lo = np.searchsorted(doc, np.arange(len(ids) + 1)), np.searchsorted(hits.doc, np.arange(len(ids) + 1))
     out = []
     for key, s in zip(pair.tolist(), top.tolist()):
         d, it = divmod(key, len(index.ids))
         a, b = lo[d], lo[d + 1]
         row, i = index.places(term[a:b], it)
-        share = held_share(i.astype(np.int64), place[a:b][row], int(index.n_tokens[it]))
-        if share >= HELD:
-            out.append((ids[d], int(index.ids[it]), s, share))
+        n = int(index.n_tokens[it])
+        share = 1.0 if n < SHINGLE else held_share(i.astype(np.int64), place[a:b][row], n)
+        if share >= HELD - (SHINGLE - 1) / n:
+            own = slice(all_lo[d], all_lo[d + 1])
+            answer = has_answer(index.answer[index.answer_off[it]: index.answer_off[it + 1]], hits.place[own], hits.h[own])
+            out.append((ids[d], int(index.ids[it]), s, share, answer))
     return out
 
 
+_FOUND = "doc_id long, item_id long, score double, held double, answer_found boolean"
+
+
 def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, item_id, score, held: the documents that contain test items, with all items they contain.
-
-    docs: ids and texts; items: item_id, text. An item counts as contained if a document
-    holds at least HELD of its tokens in one or two pieces, whatever its case, accents, line
-    breaks, punctuation or look-alike characters. ``score`` is the best of a passage
-    against the item, or against one part of an item longer than a passage. Rows without id or text, texts without
-    letters and items of fewer than three tokens give no row; rows repeated under their own
-    id count once; an empty table on either side gives none. The corpus is read once for
-    each INDEX_ITEMS items, and is not shuffled.
+    """doc_id, item_id, score, held, answer_found: the documents that contain test items, with all items they contain.
+
+    docs: ids and texts; items: item_id, text, and answer if there is one. An item counts as
+    contained if a document holds at least HELD of its tokens in one or two pieces, whatever
+    its case, accents, line breaks, punctuation or look-alike characters; one of fewer tokens
+    than a shingle if the document has it whole. ``score`` is the best of a passage
+    against the item, or against one part of an item longer than a passage; ``answer_found``
+    tells whether the document has the answer's tokens too, one after the other. Rows
+    without id or text, texts without letters and items without any give no row; rows repeated
+    under their own id count once; an empty table on either side gives none. The corpus is
+    read and tokenised once and is not shuffled. Of items of more than INDEX_CHARS characters
+    together, indexes are built in parts, in parallel, and sent one at a time.
     """
     spark = docs.sparkSession
-    tests = items.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("item_id is not null and text is not null")
-    parts = max(1, -(-tests.count() // INDEX_ITEMS))
+    answer = F.col("answer") if "answer" in items.columns else F.lit(None).cast("string")
+    tests = items.select(F.col("item_id").cast("long").alias("item_id"), "text", answer.alias("answer")).filter("item_id is not null and text is not null")
+    tests = tests.groupBy("item_id").agg(F.max(F.struct("text", "answer")).alias("t")).select("item_id", "t.*")
+    chars = tests.agg(F.sum(F.length("text"))).first()[0] or 0
+    parts = max(1, -(-chars // INDEX_CHARS))
+    size = 1 << min(FILTER_CELLS.bit_length() - 1, max(16, (16 * chars).bit_length()))
+
+    def build(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("item_id")
+        index = Index.of(pdf["item_id"].tolist(), pdf["text"].tolist(), pdf["answer"].tolist())
+        return pd.DataFrame({"part": [int(pdf["part"].iloc[0])], "index": [pickle.dumps(index)], "cells": [zlib.compress(np.packbits(index.cells(size)).tobytes(), 1)]})
+
+    built = tests.withColumn("part", F.pmod(F.xxhash64("item_id"), F.lit(parts)).cast("int")).groupBy("part").applyInPandas(build, "part int, index binary, cells binary")
+    built = materialise(built, "index")
+    cells = np.zeros(size // 8, np.uint8)
+    for row in built.select("cells").toLocalIterator():  # one part at a time
+        cells |= np.frombuffer(zlib.decompress(row[0]), np.uint8)
+    cells_of = spark.sparkContext.broadcast(cells)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).filter("doc_id is not null and text is not null")
-    found = None
-    for part in range(parts):
-        own = tests if parts == 1 else tests.filter(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == part)
-        listed = own.groupBy("item_id").agg(F.max("text").alias("text")).orderBy("item_id").collect()
-        index = spark.sparkContext.broadcast(Index.of([r[0] for r in listed], [r[1] for r in listed]))
-
-        def run(batches: Iterator[pd.DataFrame], index=index) -> Iterator[pd.DataFrame]:
-            ids, texts, size = [], [], 0
-
-            def flush() -> pd.DataFrame:
-                return pd.DataFrame(_pairs(index.value, ids, texts), columns=["doc_id", "item_id", "score", "held"])
 
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[list[int], Hits]]:
+        filter_ = np.unpackbits(cells_of.value).view(bool)
+        ids, texts, chars = [], [], 0
+        for pdf in batches:
+            for i, t in zip(pdf["doc_id"], pdf["text"]):
+                ids.append(i)
+                texts.append(t)
+                chars += len(t)
+                if chars >= BATCH_CHARS:
+                    yield ids, Hits.of(texts, filter_)
+                    ids, texts, chars = [], [], 0
+        if ids:
+            yield ids, Hits.of(texts, filter_)
+
+    def of_part(part: int):
+        row = built.filter(F.col("part") == part).select("index").first()
+        return spark.sparkContext.broadcast(row[0]) if row else None
+
+    def told(index, held: Iterator[tuple[list[int], Hits]]) -> Iterator[pd.DataFrame]:
+        for ids, hits in held:
+            yield pd.DataFrame(_pairs(index, ids, hits), columns=["doc_id", "item_id", "score", "held", "answer_found"])
+
+    if parts == 1:
+        whole = of_part(0)
+        if whole is None:
+            return spark.createDataFrame([], _FOUND)
+        found = rows.mapInPandas(lambda batches: told(pickle.loads(whole.value), read(batches)), _FOUND)
+    else:
+        def kept(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for ids, hits in read(batches):
+                at = np.searchsorted(hits.doc, np.arange(len(ids) + 1))
+                some = np.nonzero(np.diff(at))[0]
+                yield pd.DataFrame({"doc_id": [ids[d] for d in some], "n": hits.n_tokens[some], "place": [hits.place[at[d]: at[d + 1]] for d in some], "h": [hits.h[at[d]: at[d + 1]].view(np.int64) for d in some]})
+
+        hits_of = materialise(rows.mapInPandas(kept, "doc_id long, n long, place array<long>, h array<long>"), "hits")
+
+        def again(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[list[int], Hits]]:
             for pdf in batches:
-                for i, t in zip(pdf["doc_id"], pdf["text"]):
-                    ids.append(i)
-                    texts.append(t)
-                    size += len(t)
-                    if size >= BATCH_CHARS:
-                        yield flush()
-                        ids, texts, size = [], [], 0
-            if ids and len(index.value.terms):
-                yield flush()
-
-        each = rows.mapInPandas(run, "doc_id long, item_id long, score double, held double")
-        found = each if found is None else found.unionByName(each)
-    return found.groupBy("doc_id", "item_id").agg(F.max("score").alias("score"), F.max("held").alias("held"))
-
-
-def verified(found: DataFrame, docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Adds ``answer_found``: the document also has the item's answer, letters compared without case."""
-    near = found.join(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.lower(text).alias("_text")), "doc_id")
-    near = near.join(items.select("item_id", F.lower("answer").alias("_answer")), "item_id", "left")
-    return near.withColumn("answer_found", F.coalesce(F.contains("_text", "_answer") & (F.col("_answer") != ""), F.lit(False))).drop("_text", "_answer")
+                if len(pdf):
+                    sizes = pdf["place"].str.len().to_numpy()
+                    yield pdf["doc_id"].tolist(), Hits(np.repeat(np.arange(len(pdf)), sizes), np.concatenate(pdf["place"].tolist()), np.concatenate(pdf["h"].tolist()).view(np.uint64), pdf["n"].to_numpy())
+
+        each = []
+        for part in range(parts):
+            own = of_part(part)
+            if own is not None:
+                each.append(materialise(hits_of.mapInPandas(lambda batches, own=own: told(pickle.loads(own.value), again(batches)), _FOUND), f"found{part}"))
+                own.unpersist()
+        found = reduce(DataFrame.unionByName, each)
+    return found.groupBy("doc_id", "item_id").agg(F.max("score").alias("score"), F.max("held").alias("held"), F.max("answer_found").alias("answer_found"))

@@ -47,8 +47,7 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p7_leaks(spark: SparkSession, d: str) -> DataFrame:
     """Leaked items with score, share held, and whether the answer is there too."""
-    docs, items = table(spark, d, "documents"), table(spark, d, "eval_items")
-    return leaks.verified(leaks.leaks(docs, items), docs, items)
+    return leaks.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:

@@ -99,8 +99,10 @@ def prototypes(table: dict[str, str] | None = None) -> dict[str, str]:
             direct[ch] = to  # and pieces that nothing else is equal to
         else:
             pairs.append((ch, to))
-    pairs += [*LOOK_ALIKE.items(), *(x for x in (table or {}).items() if x[0] not in LOOK_ALIKE)]
+    parted = {a for a, _ in pairs}  # decomposition goes before shape
+    pairs += [x for x in ((table or {}) | LOOK_ALIKE).items() if x[0] not in parted]
     up: dict[str, str] = {}
+    known = set(LOOK_ALIKE.values())
 
     def head(c: str) -> str:
         while c in up:
@@ -110,8 +112,8 @@ def prototypes(table: dict[str, str] | None = None) -> dict[str, str]:
     for a, b in pairs:
         b = direct.get(b, b)
         if len(b) == 1 and a not in direct and b not in direct and head(a) != head(b):
-            # Of a class a small letter stands for all, then another ASCII character, then the least.
-            x, y = sorted((head(a), head(b)), key=lambda c: (not c.isascii(), not c.islower(), c))
+            # Of a class a small ASCII letter stands for all, then another ASCII character, a prototype, the least.
+            x, y = sorted((head(a), head(b)), key=lambda c: (not c.isascii(), not c.islower(), c not in known, c))
             up[y] = x
     several: dict[str, str] = {}
     for a, b in pairs:

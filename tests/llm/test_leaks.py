@@ -45,7 +45,7 @@ def test_held_share():
 
 def test_leaks(spark):
     rng = random.Random(9)
-    items = [(i, sentence(rng, 40)) for i in range(60)] + [(60, "a b"), (61, ""), (62, None)]
+    items = [(i, sentence(rng, 40)) for i in range(60)] + [(60, "a b"), (61, ""), (62, None), (63, "禪"), (64, "Uno")]
     words = items[5][1].split()
     altered = [w.upper() if k % 3 else w for k, w in enumerate(words)]
     altered[17] = "changed"
@@ -53,24 +53,25 @@ def test_leaks(spark):
         (1, sentence(rng, 50) + "\n" + "\n".join(altered) + "! " + sentence(rng, 20)),
         (2, " ".join(items[7][1].split()[:13]) + " " + sentence(rng, 80) + " " + " ".join(items[7][1].split()[13:26])),
         (3, " ".join(items[8][1].split()[:12]) + " " + sentence(rng, 80)),
-        (4, None), (5, ""), (None, items[1][1]), (6, items[1][1] + " " + sentence(rng, 1500) + " " + items[2][1]), (6, items[1][1]), (7, sentence(rng, 300)),
+        (4, None), (5, ""), (None, items[1][1]), (6, items[1][1] + " " + sentence(rng, 1500) + " " + items[2][1]), (6, items[1][1]), (7, sentence(rng, 300)), (8, "b a, b. unos"), (9, "A-B 参禪"), (10, "(uno)"),
     ]
     df, it = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
-    want = {(1, 5), (2, 7), (6, 1), (6, 2)}
+    want = {(1, 5), (2, 7), (6, 1), (6, 2), (8, 60), (9, 60), (9, 63), (10, 64)}
     assert {(r["doc_id"], r["item_id"]) for r in L.leaks(df, it).collect()} == want
     assert L.leaks(df.filter("false"), it).count() == 0 and L.leaks(df, it.filter("false")).count() == 0
 
 
 def test_index_in_parts(spark, monkeypatch):
-    monkeypatch.setattr(L, "INDEX_ITEMS", 7)
+    monkeypatch.setattr(L, "INDEX_CHARS", 700)
     rng = random.Random(11)
     items = [(i, sentence(rng, 30)) for i in range(30)]
     it = spark.createDataFrame(items, "item_id long, text string")
-    docs = spark.createDataFrame([(i, t) for i, t in items], "doc_id long, text string")
-    got = L.leaks(docs, it)
-    assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == {(i, i) for i in range(30)}
-    answers = it.selectExpr("item_id", "substring(text, 1, 12) AS answer")
-    assert L.verified(got, docs, answers).filter("answer_found").count() == 30
+    docs = spark.createDataFrame([(i, t + " " + sentence(rng, 900)) for i, t in items], "doc_id long, text string")
+    it = it.selectExpr("item_id", "text", "CASE WHEN item_id % 3 = 0 THEN substring_index(text, ' ', 1 + item_id % 5) WHEN item_id % 3 = 1 THEN 'zz yy' END AS answer")
+    got = sorted(map(tuple, L.leaks(docs, it).collect()))
+    assert [(d, i, a) for d, i, _, _, a in got] == [(i, i, i % 3 == 0) for i in range(30)]
+    monkeypatch.setattr(L, "INDEX_CHARS", 10**6)
+    assert [(d, i, h, a) for d, i, _, h, a in got] == [(d, i, h, a) for d, i, _, h, a in sorted(map(tuple, L.leaks(docs, it).collect()))]
 
 
 def test_long_item_is_found():
@@ -79,9 +80,9 @@ def test_long_item_is_found():
     items = [word(6000), word(40), word(1300)]
     index = L.Index.of([3, 4, 5], items)
     docs = [word(300) + " " + items[0], " ".join(items[0].split()[1000:4600]), " ".join(items[2].split()[:800]) + " " + items[1], " ".join(items[0].split()[:1500])]
-    got = L._pairs(index, [10, 11, 12, 13], docs)
+    got = L._pairs(index, [10, 11, 12, 13], L.Hits.of(docs, index.cells(1 << 20)))
     assert {(d, i) for d, i, *_ in got} == {(10, 3), (11, 3), (12, 5), (12, 4)}
-    assert abs(dict(((d, i), h) for d, i, _, h in got)[11, 3] - 0.6) < 0.01
+    assert abs(dict(((d, i), h) for d, i, _, h, _ in got)[11, 3] - 0.6) < 0.01
 
 
 def test_held_share_keeps_pieces_beside_a_refrain():
