@@ -59,6 +59,16 @@ def p2_sentences(spark: SparkSession, d: str) -> DataFrame:
     return sentences.sentence_units(table(spark, d, "documents"))
 
 
+def p2_cover(spark: SparkSession, d: str) -> DataFrame:
+    """By document with units: the characters seen in them, and whether none overlaps the one before it or begins or ends with white space."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    rows = p2_sentences(spark, d).join(docs, "doc_id")
+    unit = F.substring("text", F.col("sent_start") + 1, F.col("sent_end") - F.col("sent_start"))
+    after = F.lag("sent_end").over(Window.partitionBy("doc_id").orderBy("sent_no"))
+    each = rows.select("doc_id", F.length(F.translate(unit, sentences.OUTER, "")).alias("seen"), ((F.coalesce(after, F.lit(0)) <= F.col("sent_start")) & (F.length(unit) == F.length(F.trim(unit)))).alias("parted"))
+    return each.groupBy("doc_id").agg(F.sum("seen").alias("seen"), F.bool_and("parted").alias("parted"))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return stuffing.stuffed_pages(table(spark, d, "documents")).select("doc_id")
 
@@ -107,6 +117,7 @@ QUERIES = {
     "p9_scores": p9_scores,
     "p2_found": p2_found,
     "p2_sentences": p2_sentences,
+    "p2_cover": p2_cover,
     "p7_found": p7_found, "p7_leaks": p7_leaks, "p3_found": p3_found, "p3_docs": p3_docs, "p6_found": p6_found, "p6_classes": p6_classes}
 
 _SPANS = """w AS (SELECT doc_id, unnest(range(0, length(text) - 99)) AS p, text FROM documents WHERE length(text) >= 100),
@@ -136,7 +147,10 @@ SELECT src, key, class, forms, members FROM l JOIN k USING (src, look) WHERE src
     }
 
 
+_OUTER = " || ".join(f"chr({ord(c)})" for c in sentences.OUTER)
+
 ORACLE: dict[str, str] = _looks_sql() | {
+    "p2_cover": f"""SELECT doc_id, sum(length(translate(text, {_OUTER}, '')))::BIGINT AS seen, true AS parted FROM documents WHERE length(translate(text, {_OUTER}, '')) > 0 GROUP BY doc_id""",
     "p8_kept": """SELECT source, true AS every_use_once, true AS every_place_once, true AS from_source, true AS within_repeats, true AS share_met
 FROM mix_targets WHERE source IN (SELECT source FROM documents)""",
     "p3_found": f"WITH {_SPANS} SELECT doc_id, span_start, span_end FROM spans",

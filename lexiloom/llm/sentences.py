@@ -1,15 +1,17 @@
 """Sentence boundaries across languages and scripts.
 
 The boundary rules are compiled into a finite transducer. A lexer, which looks at most
-CONTEXT characters to either side, turns a text into symbols (ends, openings, closings,
-paragraph breaks, wide spaces); the transducer's state is the stack of open quotes and
-brackets; its output are boundaries, marked with whether a quotation was open. At the end
-of a paragraph its boundaries are settled: those outside quotations, or all of them if a
-quotation was left open; wide spaces in a paragraph without sentence marks.
-
-A long document is cut into chunks. Each chunk is a function from the state before it to
-the state after it; the functions are composed by a parallel prefix scan (doubling), which
-gives each chunk its first state, and then all chunks run at once.
+CONTEXT characters to either side of a run of marks, turns a text into symbols (ends,
+openings, closings, paragraph breaks, wide spaces); the transducer's state is the stack of
+open quotes and brackets; its output are boundaries, marked with whether a quotation was
+open. At the end of a paragraph its boundaries are settled: those outside quotations, or
+all of them if a quotation was left open; wide spaces in a paragraph without sentence marks.
+
+Every document is cut into chunks, between two letters, where no run of marks and no white
+space can lie. Each chunk is a function from the state before it to the state after it; the
+functions are composed by a parallel prefix scan (doubling), which gives each chunk its
+first state, and then all chunks run at once. Paragraphs within a chunk are settled there,
+those that go over chunks from what their chunks have of them: marks, not text.
 """
 
 from __future__ import annotations
@@ -19,23 +21,26 @@ import itertools
 import re
 import unicodedata
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiloom.llm.skeleton import skeletons
 from lexiloom.session import materialise
 
-#: Characters of a chunk, and those the lexer may look at beyond it.
-CHUNK = 1 << 16
+#: Characters of a chunk, up to the next place for a cut, and those the lexer may look at before and after it.
+CHUNK = 1 << 12
 CONTEXT = 96
+AHEAD = 64
 
 # Quotes and brackets that pair, by type.
 PAIRS = ("“”", "‘’", "«»", "「」", "『』", "()", '""', "<>")
 BRACKET, STRAIGHT, ASIDE = 5, 6, 7  # ASIDE: a bracket opened where a sentence begins
-DEPTH = 3
+#: Open ones that are told apart by kind, and further ones that are counted.
+DEPTH, OVER = 3, 4
 
 # Words before a full stop that does not end a sentence.
 ALWAYS = frozenset("st mr mrs ms mss dr rev ven prof vs cf i.e e.g viz ed eds tr trans fol fols hon gen".split())
@@ -57,11 +62,12 @@ _SHADS = re.compile(r"[།-༒༔]+(?:[  ]*[།-༒༔]+)*")
 _STROKES = re.compile(r"(?:\|\||॥|//)(?:\s{0,3}[0-9०-९]{1,6}\s{0,3}(?:\|\||॥|//))?")
 _CLOSERS = re.compile("[”’»」』)）\\]］\"＂]+")
 _BLANKLINE = re.compile(r"\n[^\S\n]*\n\s*")
-_NEXTWORD = re.compile(r"[^\W\d_]+")
+_NEXTWORD = re.compile(r"[^\W\d_]{1,24}")
 _CJK = re.compile("[⺀-⿟぀-㆏㐀-䶿一-鿿豈-﫿\U00020000-\U000323af]")
 _MARKS = re.compile("[。！？｡!?]")
 _UNSEEN = "\u00ad\u200b\u200c\u200d\u200e\u200f\u2060\ufe00\ufe01\ufeff\U000e0100\U000e0101"
-_OUTER = "".join(c for c in map(chr, range(0x3001)) if c.isspace()) + _UNSEEN
+OUTER = "".join(c for c in map(chr, range(0x3001)) if c.isspace()) + _UNSEEN
+_OUTER_SET = frozenset(OUTER)
 _HARD = frozenset("!?。！？｡")
 _ENDS = frozenset(".．…!?。！？｡")
 
@@ -88,18 +94,23 @@ def transducer() -> tuple[list[list[int]], list[list[str]]]:
     'p' paragraph closed in order, 'u' closed with a quotation open.
     """
     stacks = [s for n in range(DEPTH + 1) for s in itertools.product(range(len(PAIRS)), repeat=n)]
-    number = {s: i for i, s in enumerate(stacks)}
+    states = [(s, 0) for s in stacks] + [(s, more) for s in stacks if len(s) == DEPTH for more in range(1, OVER + 1)]
+    number = {s: i for i, s in enumerate(states)}
     nexts, outs = [], []
-    for s in stacks:
-        to, out = [0, number[s], number[s]], ["u" if s else "p", "i" if s else "o", "w"]
+    for i, (s, more) in enumerate(states):
+        to, out = [0, i, i], ["u" if s else "p", "i" if s else "o", "w"]
         for kind in range(len(PAIRS)):
-            to.append(number[s + (kind,) if len(s) < DEPTH else s])
+            to.append(number[(s + (kind,), 0) if len(s) < DEPTH else (s, min(more + 1, OVER))])
             out.append("")
+            if more:  # the innermost one, of whatever kind
+                to += [number[s, more - 1]] * 2
+                out += ["", "i"]
+                continue
             # A closing pops down to its opening; one that was never opened changes nothing.
-            match = [i for i, x in enumerate(s) if x == kind or kind == BRACKET and x == ASIDE]
+            match = [k for k, x in enumerate(s) if x == kind or kind == BRACKET and x == ASIDE]
             rest = s[: match[-1]] if match else s
-            aside = bool(match) and s[match[-1]] in (BRACKET,)
-            to += [number[rest]] * 2
+            aside = bool(match) and s[match[-1]] == BRACKET
+            to += [number[rest, 0]] * 2
             out += ["", "" if aside else ("i" if rest else "o")]
         nexts.append(to)
         outs.append(out)
@@ -252,74 +263,128 @@ def symbols(text: str, wrapped: bool, begin: int = 0, stop: int | None = None) -
     return out
 
 
-def run(events: list[tuple[int, int, int]], state: int = 0) -> tuple[list[tuple[str, int, int]], int]:
-    """Outputs (kind, end of the unit before, first place after) and the last state."""
+def cuts(text: str, chunk: int) -> list[int]:
+    """Where the chunks of a text begin, and its end. A cut lies between two letters."""
+    out, n, at = [0], len(text), chunk
+    while at < n:
+        while at < n and not (text[at - 1].isalpha() and text[at].isalpha()):
+            at += 1
+        if at < n:
+            out.append(at)
+        at += chunk
+    return [*out, n]
+
+
+def run(symbols_: list[int], state: int = 0) -> tuple[str, int]:
+    """Output of each symbol, ``-`` for none, and the last state."""
     nexts, outs = transducer()
     result = []
-    for symbol, a, b in events:
-        out = outs[state][symbol]
+    for symbol in symbols_:
+        result.append(outs[state][symbol] or "-")
         state = nexts[state][symbol]
-        if out:
-            result.append((out, a, b))
-    return result, state
+    return "".join(result), state
 
 
-def chunk_function(events: list[tuple[int, int, int]]) -> list[int]:
-    """State after the events by state before them."""
-    nexts = np.array(transducer()[0])
+@functools.lru_cache(1)
+def _next_array() -> np.ndarray:
+    return np.array(transducer()[0], np.int16)
+
+
+def chunk_function(symbols_: list[int]) -> list[int]:
+    """State after the symbols by state before them."""
+    nexts = _next_array()
     f = np.arange(len(nexts))
-    for symbol, _, _ in events:
+    for symbol in symbols_:
         f = nexts[f, symbol]
     return f.tolist()
 
 
-def settle(text: str, outputs: list[tuple[str, int, int]]) -> list[tuple[int, int]]:
-    """Units of a text from the transducer's outputs, paragraph by paragraph, without outer white space."""
+def _left(text: str, at: int, floor: int) -> int:
+    """The end of what is seen before ``at``."""
+    while at > floor and text[at - 1].isspace():
+        at -= 1
+    return at
+
+
+def _right(text: str, at: int) -> int:
+    """The begin of what is seen from ``at``."""
+    n = len(text)
+    while at < n and text[at] in _OUTER_SET:
+        at += 1
+    return at
+
+
+@dataclass
+class Lexed:
+    """A chunk without its text: symbols, where the unit before each ends and the next begins, and of each stretch between paragraph breaks whether it has marks (1) and ideographs (2)."""
+
+    first: int
+    symbols: list[int]
+    ends: list[int]
+    begins: list[int]
+    has: list[int]
+
+
+def lexed(text: str, wrapped: bool, begin: int, stop: int, off: int, last: bool) -> Lexed:
+    """text[begin:stop] as a chunk; places count from ``off`` before the text. The end of a text closes its paragraph."""
+    out = Lexed(_right(text, begin) + off, [], [], [], [])
+    events = symbols(text, wrapped, begin, stop)
+    if last:
+        events.append((PARA, stop, stop))
+    since, wide = begin, False
+    for symbol, e, b in events:
+        cut = e if symbol in (PARA, WIDE) else max(e, b)
+        out.symbols.append(symbol)
+        out.ends.append(_left(text, cut, begin) + off)
+        out.begins.append(_right(text, b if symbol in (PARA, WIDE) else cut) + off)
+        wide = wide or symbol == WIDE
+        if symbol == PARA:
+            out.has.append(_has(text, since, e) if wide or not out.has else 0)
+            since, wide = b, False
+    out.has.append(_has(text, since, stop))
+    return out
+
+
+def _has(text: str, a: int, b: int) -> int:
+    return (_MARKS.search(text, a, b) is not None) + 2 * (_CJK.search(text, a, b) is not None)
+
+
+def settled(first: int, outputs: str, ends: list[int], begins: list[int], has: int) -> list[tuple[int, int]]:
+    """Units of a paragraph that begins at ``first``; its last output, ``p`` or ``u``, is its end."""
     units: list[tuple[int, int]] = []
+    at, whole = first, outputs[-1] == "p"
+    by_space = "w" in outputs and has == 2
+    for k, e, b in zip(outputs, ends, begins):
+        if k == "-" or (k not in "wpu" if by_space else k == "w" or k == "i" and whole):
+            continue
+        if e > at:
+            units.append((at, e))
+        at = max(at, b)
+    return units
 
-    def add(a: int, b: int) -> None:
-        piece = text[a:b]
-        left = len(piece) - len(piece.lstrip(_OUTER))
-        size = len(piece.rstrip()) - left
-        if size > 0:
-            units.append((a + left, a + left + size))
-
-    def paragraph(a: int, b: int, inside: list[tuple[str, int, int]], whole: bool) -> None:
-        if any(k == "w" for k, _, _ in inside):
-            body = text[a:b]
-            if not _MARKS.search(body) and _CJK.search(body):
-                for k, e, s in inside:
-                    if k == "w":
-                        add(a, e)
-                        a = s
-                add(a, b)
-                return
-        for k, e, s in inside:
-            if k == "w" or k == "i" and whole:
-                continue
-            cut = max(e, s) if k in "oi" else e
-            if cut <= a:
-                continue
-            add(a, cut)
-            a = cut
-        add(a, b)
-
-    start, inside = 0, []
-    for k, e, s in outputs:
-        if k in "pu":
-            paragraph(start, e, inside, k == "p")
-            start, inside = s, []
+
+def _parted(chunk: Lexed, outputs: str) -> tuple[list[tuple[int, int]], list[tuple[int, str, list[int], list[int], int]]]:
+    """Units of the paragraphs that lie within the chunk, or end its document's first; and what it has of others: (first, outputs, ends, begins, has), the head before the tail."""
+    units, pieces, since, first = [], [], 0, chunk.first
+    breaks = [i for i, k in enumerate(outputs) if k in "pu"]
+    for n, i in enumerate([*breaks, len(outputs) - 1]):
+        closed = n < len(breaks)
+        piece = (first, outputs[since: i + 1], chunk.ends[since: i + 1], chunk.begins[since: i + 1], chunk.has[n])
+        if closed and n:
+            units += settled(*piece)
         else:
-            inside.append((k, e, s))
-    paragraph(start, len(text), inside, True)
-    return units
+            pieces.append(piece)
+        if closed:
+            since, first = i + 1, chunk.begins[i]
+    return units, pieces
 
 
 def units(text: str, wrapped: bool) -> list[tuple[int, int]]:
-    """(start, end) of every sentence unit of a text."""
-    outputs, state = run(symbols(text, wrapped))
-    outputs.append(("u" if state else "p", len(text), len(text)))
-    return settle(text, outputs)
+    """(start, end) of every sentence unit of a text, as one chunk."""
+    chunk = lexed(text, wrapped, 0, len(text), 0, True)
+    outputs, _ = run(chunk.symbols)
+    within, (head, *_) = _parted(chunk, outputs)
+    return settled(*head) + within
 
 
 _UNITS = "doc_id long, starts array<int>, ends array<int>"
@@ -337,53 +402,70 @@ def _short(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _long(rows: DataFrame, chunk: int) -> DataFrame:
-    """Units of long texts: chunks as functions, a prefix scan of them, and the chunks' outputs from their first states."""
-    cut = materialise(
-        rows.select("doc_id", "wrapped", "text", F.explode(F.sequence(F.lit(0), ((F.length("text") - 1) / chunk).cast("int"))).alias("k"))
-        .select("doc_id", "wrapped", "k", F.greatest(F.col("k") * chunk - CONTEXT, F.lit(0)).alias("off"),
-                F.expr(f"substring(text, greatest(k * {chunk} - {CONTEXT}, 0) + 1, {chunk} + {2 * CONTEXT})").alias("text")), "chunks")
-
-    def lexed(t: str, w: bool, k: int, off: int) -> list[tuple[int, int, int]]:
-        return symbols(t, w, k * chunk - off, min(len(t), (k + 1) * chunk - off))
-
-    def functions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """row, doc_id, sent_start, sent_end of texts of several chunks: chunks as functions, a prefix scan of them, and the chunks' outputs from their first states."""
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for r, i, t, w in zip(pdf["row"], pdf["doc_id"], pdf["text"], pdf["wrapped"]):
+                at = cuts(t, chunk)
+                off = [max(0, a - CONTEXT - 1) for a in at[:-1]]
+                n = len(off)
+                yield pd.DataFrame({"row": [r] * n, "doc_id": [i] * n, "wrapped": [w] * n, "k": range(n), "off": off, "begin": at[:-1], "stop": at[1:], "last": [k == n - 1 for k in range(n)],
+                                    "text": [t[o: b + AHEAD] for o, b in zip(off, at[1:])]})
+
+    pieces = rows.withColumn("row", F.monotonically_increasing_id()).mapInPandas(cut, "row long, doc_id long, wrapped boolean, k int, off int, begin int, stop int, last boolean, text string")
+    pieces = materialise(pieces, "chunks")
+    read = "row long, doc_id long, k int, first int, symbols array<int>, ends array<int>, begins array<int>, has array<int>, breaks boolean, f array<short>"
+
+    def lex(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "k": pdf["k"], "f": [chunk_function(lexed(t, w, k, o)) for t, w, k, o in zip(pdf["text"], pdf["wrapped"], pdf["k"], pdf["off"])]})
+            got = [lexed(t, w, a - o, b - o, o, z) for t, w, a, b, o, z in zip(pdf["text"], pdf["wrapped"], pdf["begin"], pdf["stop"], pdf["off"], pdf["last"])]
+            yield pdf[["row", "doc_id", "k"]].assign(
+                first=[x.first for x in got], symbols=[x.symbols for x in got], ends=[x.ends for x in got], begins=[x.begins for x in got], has=[x.has for x in got],
+                breaks=[PARA in x.symbols for x in got], f=[chunk_function(x.symbols) for x in got])
 
-    scan = materialise(cut.repartition("doc_id", "k").mapInPandas(functions, "doc_id long, k int, f array<int>"), "scan0")
+    chunks = materialise(pieces.repartition("row", "k").mapInPandas(lex, read), "lexed")
+    scan = chunks.select("row", "k", "f")
     most = scan.agg(F.max("k")).first()[0] or 0
     step = 1
     while step <= most:
-        prior = scan.select("doc_id", (F.col("k") + step).alias("k"), F.col("f").alias("g"))
+        prior = scan.select("row", (F.col("k") + step).alias("k"), F.col("f").alias("g"))
         scan = materialise(
-            scan.join(prior, ["doc_id", "k"], "left").select("doc_id", "k", F.when(F.col("g").isNull(), F.col("f")).otherwise(F.expr("transform(g, s -> f[s])")).alias("f")), f"scan{step}")
+            scan.join(prior, ["row", "k"], "left").select("row", "k", F.when(F.col("g").isNull(), F.col("f")).otherwise(F.expr("transform(g, s -> f[s])")).alias("f")), f"scan{step}")
         step *= 2
-    first = scan.select("doc_id", (F.col("k") + 1).alias("k"), F.col("f")[0].alias("state"))
+    first = scan.select("row", (F.col("k") + 1).alias("k"), F.col("f")[0].alias("state"))
+    # The paragraph that is open where a chunk begins, by number.
+    before = Window.partitionBy("row").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
+    opened = chunks.select("row", "k", F.coalesce(F.sum(F.col("breaks").cast("int")).over(before), F.lit(0)).alias("paragraph"))
+    told = chunks.drop("f", "breaks").join(first, ["row", "k"], "left").fillna(0, ["state"]).join(opened, ["row", "k"])
+    told_as = "row long, doc_id long, k int, paragraph long, first int, outputs string, ends array<int>, begins array<int>, has int"
 
     def outputs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for t, w, k, o, s in zip(pdf["text"], pdf["wrapped"], pdf["k"], pdf["off"], pdf["state"]):
-                got, last = run(lexed(t, w, k, o), s)
-                out.append(("".join(x for x, _, _ in got), [a + o for _, a, _ in got], [b + o for _, _, b in got], last))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "k": pdf["k"], "kinds": [x[0] for x in out], "a": [x[1] for x in out], "b": [x[2] for x in out], "last": [x[3] for x in out]})
-
-    told = cut.join(first, ["doc_id", "k"], "left").fillna(0, ["state"]).mapInPandas(outputs, "doc_id long, k int, kinds string, a array<int>, b array<int>, last int")
-    each = told.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("k", "kinds", "a", "b", "last"))).alias("parts"))
-
-    def settled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for r in pdf.itertuples():
+                c = Lexed(r.first, list(r.symbols), list(map(int, r.ends)), list(map(int, r.begins)), list(map(int, r.has)))
+                within, parts = _parted(c, run(c.symbols, r.state)[0])
+                if within:  # settled already: the starts and ends of units
+                    out.append((r.row, r.doc_id, r.k, -1, 0, None, [b for _, b in within], [a for a, _ in within], 0))
+                out += [(r.row, r.doc_id, r.k, r.paragraph + n, *piece) for n, piece in enumerate(parts)]
+            yield pd.DataFrame(out, columns=["row", "doc_id", "k", "paragraph", "first", "outputs", "ends", "begins", "has"])
+
+    told = materialise(told.mapInPandas(outputs, told_as), "told")
+    done = told.filter("paragraph < 0").select("row", "doc_id", F.explode(F.arrays_zip("begins", "ends")).alias("u")).select("row", "doc_id", F.col("u.begins").alias("sent_start"), F.col("u.ends").alias("sent_end"))
+    whole = told.filter("paragraph >= 0").groupBy("row", "doc_id", "paragraph").agg(F.sort_array(F.collect_list(F.struct("k", "first", "outputs", "ends", "begins", "has"))).alias("pieces"))
+
+    def joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            ids, starts, ends = [], [], []
-            for i, t, parts in zip(pdf["doc_id"], pdf["text"], pdf["parts"]):
-                got = [x for p in parts for x in zip(p["kinds"], map(int, p["a"]), map(int, p["b"]))]
-                got.append(("u" if parts[-1]["last"] else "p", len(t), len(t)))
-                u = settle(t, got)
-                ids.append(i)
-                starts.append([a for a, _ in u])
-                ends.append([b for _, b in u])
-            yield pd.DataFrame({"doc_id": ids, "starts": starts, "ends": ends})
+            out = []
+            for r, i, parts in zip(pdf["row"], pdf["doc_id"], pdf["pieces"]):
+                kinds = "".join(p["outputs"] for p in parts)
+                if kinds and kinds[-1] in "pu":
+                    has = functools.reduce(lambda a, p: a | p["has"], parts, 0)
+                    got = settled(int(parts[0]["first"]), kinds, [int(x) for p in parts for x in p["ends"]], [int(x) for p in parts for x in p["begins"]], has)
+                    out += [(r, i, a, b) for a, b in got]
+            yield pd.DataFrame(out, columns=["row", "doc_id", "sent_start", "sent_end"])
 
-    return rows.join(each, "doc_id").select("doc_id", "text", "parts").mapInPandas(settled, _UNITS)
+    return done.unionByName(whole.mapInPandas(joined, "row long, doc_id long, sent_start int, sent_end int"))
 
 
 def sentence_units(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", layout: str = "layout", chunk: int = CHUNK) -> DataFrame:
@@ -392,15 +474,16 @@ def sentence_units(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     Offsets count code points from 0, end exclusive, without outer white space. In layout
     ``wrapped`` only a blank line parts paragraphs, in any other every line break does.
     Rows without id or text and texts of white space have no unit; rows that come twice are
-    segmented twice. An empty table gives no rows. Texts above ``chunk`` characters are
-    segmented by chunks, with the same result.
+    segmented twice, with texts of their own or the same. An empty table gives no rows. A text
+    of up to ``chunk`` characters is one chunk; where a text is cut does not change its units.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), (F.coalesce(F.col(layout), F.lit("")) == "wrapped").alias("wrapped"))
     rows = rows.filter("doc_id is not null and text is not null")
-    short = rows.filter(F.length("text") <= chunk).mapInPandas(_short, _UNITS)
-    every = short
+    every = rows.filter(F.length("text") <= chunk).mapInPandas(_short, _UNITS)
+    every = every.select("doc_id", F.posexplode(F.arrays_zip("starts", "ends")).alias("sent_no", "u")).select(
+        "doc_id", "sent_no", F.col("u.starts").alias("sent_start"), F.col("u.ends").alias("sent_end"))
     above = rows.filter(F.length("text") > chunk)
     if not above.isEmpty():
-        every = short.unionByName(_long(above.dropDuplicates(["doc_id"]), chunk))
-    return every.select("doc_id", F.posexplode(F.arrays_zip("starts", "ends")).alias("sent_no", "u")).select(
-        "doc_id", "sent_no", F.col("u.starts").alias("sent_start"), F.col("u.ends").alias("sent_end"))
+        number = F.row_number().over(Window.partitionBy("row").orderBy("sent_start")) - 1
+        every = every.unionByName(_long(above, chunk).withColumn("sent_no", number).select("doc_id", "sent_no", "sent_start", "sent_end"))
+    return every

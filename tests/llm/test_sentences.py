@@ -63,12 +63,54 @@ def test_transducer_is_total():
 def test_functions_compose():
     rng = random.Random(1)
     text = "".join(rng.choice("ab. “”‘’「」()\n。？!　\"") for _ in range(400))
-    ev = S.symbols(text, False)
+    ev = [x for x, _, _ in S.symbols(text, False)]
     f, g, h = S.chunk_function(ev[:40]), S.chunk_function(ev[40:]), S.chunk_function(ev)
     assert [g[x] for x in f] == h
     assert all(S.run(ev, s)[1] == h[s] for s in range(0, len(h), 37))
 
 
+def in_chunks(text, wrapped, chunk):
+    """Units by chunks, one after the other."""
+    at = S.cuts(text, chunk)
+    state, number, done, open_ = 0, 0, [], {}
+    for k, (a, b) in enumerate(zip(at, at[1:])):
+        off = max(0, a - S.CONTEXT - 1)
+        c = S.lexed(text[off: b + S.AHEAD], wrapped, a - off, b - off, off, k == len(at) - 2)
+        outputs, state = S.run(c.symbols, state)
+        within, parts = S._parted(c, outputs)
+        done += within
+        for n, part in enumerate(parts):
+            open_.setdefault(number + n, []).append(part)
+        number += S.PARA in c.symbols
+    for parts in open_.values():
+        kinds = "".join(p[1] for p in parts)
+        if kinds and kinds[-1] in "pu":
+            has = 0
+            for p in parts:
+                has |= p[4]
+            done += S.settled(parts[0][0], kinds, sum((p[2] for p in parts), []), sum((p[3] for p in parts), []), has)
+    return sorted(done)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_any_cut_gives_the_same_units(seed):
+    rng = random.Random(seed)
+    marks = ["。", "？", "!", ".", "...", ". . .", "…", "……", " ", "  ", "\n", "\n\n", "\n \n", "　", "“", "”", "‘", "’", "「", "」", "『", "』", "(", ")", '"', "།", "༎", " ། ", "||", "॥ 12 ॥", "//", "\u200b", "\u2028", ", ", "; "]
+    words = ["ab", "Lee", "Mr", "e.g", "No", "the", "xv", "師", "問何", "は", "가다", "བབ", "नम", "10", "3.5", "a" * 30, "Abcdefghijklmnopqrstuvwxyz"]
+    for _ in range(250):
+        text = "".join(rng.choice(marks) if rng.random() < rng.choice([0.3, 0.6]) else rng.choice(words) for _ in range(rng.randrange(1, 120)))
+        for wrapped in (False, True):
+            want = S.units(text, wrapped)
+            assert all(a < b and not text[a].isspace() and not text[b - 1].isspace() for a, b in want) and want == sorted(want)
+            for chunk in (1, rng.randrange(2, 40), 200):
+                assert in_chunks(text, wrapped, chunk) == want, (text, wrapped, chunk)
+
+
+def test_deep_quotations():
+    assert split("「甲『乙「丙『丁』。戊」己。庚』辛。」壬。癸") == ["「甲『乙「丙『丁』。戊」己。庚』辛。」", "壬。", "癸"]
+    assert split("He said “A «b ‘c (d “e «f (g? h) i! j» k. l” m? n) o! p’ q. r» s. t” and left. U.") == ["He said “A «b ‘c (d “e «f (g? h) i! j» k. l” m? n) o! p’ q. r» s. t” and left.", "U."]
+
+
 SCHEMA = "doc_id long, text string, layout string, sent_no int"
 
 
@@ -81,4 +123,7 @@ def test_chunks_and_edge_rows(spark):
     whole = {tuple(r) for r in S.sentence_units(df).collect()}
     parts = {tuple(r) for r in S.sentence_units(df, chunk=150).collect()}
     assert whole == parts and {r[0] for r in whole} == {*range(6), 12}
+    twice = [(1, rows[0][1], "flow", 1), (1, rows[0][1], "flow", 1), (1, rows[2][1], "flow", 1)]
+    one, two, three = (sorted(tuple(r) for r in S.sentence_units(spark.createDataFrame(x, SCHEMA), chunk=c).collect()) for x, c in ((twice, 10**6), (twice, 150), (twice[:1], 150)))
+    assert one == two and len(one) > 2 * len(three)
     assert S.sentence_units(df.filter("false")).count() == 0
