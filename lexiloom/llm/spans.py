@@ -5,7 +5,9 @@ repeated in another text alone are extended to twice the length, and so on up to
 wanted length, where every position that is left is compared. Below the wanted length
 a level compares only windows chosen by content (the least hash in every stretch of the
 wanted length), which holds at least one window of every shared stretch, so nothing is
-lost. Records equal as a whole are settled first and take part once.
+lost. Records equal as a whole are settled first and take part once. Windows are told apart
+by 64-bit hashes, at the wanted length by 128 bits: among 10**14 windows two different ones
+are then taken for equal with a probability below 10**-10.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ from lexiloom.session import materialise
 BLOCK = 1 << 21
 
 _BASE = 0x9E3779B97F4A7C15 | 1
+_BASES = (_BASE, 0xC2B2AE3D27D4EB4F)
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -36,30 +39,29 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_powers: dict[int, tuple[int, np.ndarray, np.ndarray]] = {}
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
+def _power(n: int, base: int = _BASE) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse, modulo 2**64."""
     size = 1 << max(10, n.bit_length())
-    if size not in _powers:
+    if _powers.get(base, (0,))[0] != size:
         pair = []
-        for b in (_BASE, pow(_BASE, -1, 1 << 64)):
+        for b in (base, pow(base, -1, 1 << 64)):
             p = np.full(size, b, np.uint64)
             p[0] = 1
             pair.append(np.multiply.accumulate(p))
-        _powers.clear()
-        _powers[size] = (pair[0], pair[1])
-    return _powers[size]
+        _powers[base] = (size, pair[0], pair[1])
+    return _powers[base][1:]
 
 
-def rolling(codes: np.ndarray, k: int) -> np.ndarray:
+def rolling(codes: np.ndarray, k: int, base: int = _BASE) -> np.ndarray:
     """64-bit hashes of all windows of ``k`` code points."""
     n = len(codes)
     if n < k:
         return np.zeros(0, np.uint64)
-    up, down = _power(n + 1)
-    x = _mixed(codes.astype(np.uint64) + np.uint64(_BASE)) * up[:n]
+    up, down = _power(n + 1, base)
+    x = _mixed(codes.astype(np.uint64) + np.uint64(base)) * up[:n]
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(x, out=sums[1:])
     return _mixed((sums[k:] - sums[: n + 1 - k]) * down[: n - k + 1])
@@ -97,7 +99,7 @@ def chosen(codes: np.ndarray, piece: np.ndarray, k: int, length: int) -> tuple[n
 
 
 def _windows(pieces: DataFrame, k: int, length: int) -> DataFrame:
-    """h, doc_id, off (of the piece), pos (in the text) of the windows of ``k`` characters to compare."""
+    """h, g (both are the hash; g is 0 below the wanted length), doc_id, pos (in the text) of the windows of ``k`` characters to compare."""
 
     def block(ids: list[int], offs: list[int], texts: list[str]) -> pa.RecordBatch:
         codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -107,9 +109,10 @@ def _windows(pieces: DataFrame, k: int, length: int) -> DataFrame:
         at, h = chosen(codes, piece, k, length)
         own = piece[at]
         base = np.array(offs, np.int64)[own]
+        g = rolling(codes, k, _BASES[1])[at] if k == length else np.zeros(len(at), np.uint64)
         return pa.RecordBatch.from_arrays(
-            [pa.array(h.view(np.int64)), pa.array(np.array(ids, np.int64)[own]), pa.array(base.astype(np.int32)), pa.array((at - begin[own] + base).astype(np.int32))],
-            names=["h", "doc_id", "off", "pos"])
+            [pa.array(h.view(np.int64)), pa.array(g.view(np.int64)), pa.array(np.array(ids, np.int64)[own]), pa.array((at - begin[own] + base).astype(np.int32))],
+            names=["h", "g", "doc_id", "pos"])
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, offs, texts, size = [], [], [], 0
@@ -127,13 +130,14 @@ def _windows(pieces: DataFrame, k: int, length: int) -> DataFrame:
         if texts:
             yield block(ids, offs, texts)
 
-    return pieces.select("doc_id", "off", "text").mapInArrow(hashed, "h long, doc_id long, off int, pos int")
+    return pieces.select("doc_id", "off", "text").mapInArrow(hashed, "h long, g long, doc_id long, pos int")
 
 
 def _repeated(windows: DataFrame) -> DataFrame:
-    """Windows that occur in texts of two records; hot windows shrink to a row a task before the shuffle."""
-    twice = windows.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("h")
-    return windows.join(twice, "h", "left_semi")
+    """Windows that occur in texts of two records, hashed once; hot windows shrink to a row a task before the shuffle."""
+    windows = materialise(windows, "windows")
+    twice = windows.groupBy("h", "g").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("h", "g")
+    return windows.join(twice, ["h", "g"], "left_semi")
 
 
 def _islands(at: DataFrame, before: int, after: int) -> DataFrame:
