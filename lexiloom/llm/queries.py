@@ -110,9 +110,9 @@ def p8_kept(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "p8_kept": p8_kept,
     "p8_mix": p8_mix,
     "p8_shares": p8_shares,
+    "p8_kept": p8_kept,
     "p9_found": p9_found,
     "p9_scores": p9_scores,
     "p2_found": p2_found,
