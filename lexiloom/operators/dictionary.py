@@ -10,16 +10,20 @@ from lexiloom.functions.ids import first_codepoint_bucket
 #: Most entries of a first character that a reader is given.
 CHARACTER_ENTRIES = 20_000
 
+_ENTRY = r"^([^\s]+) ([^\s]+) [^\[]*\[([^\]]*)\][^/]*/(.*)$"
+
 
 def parsed_entries(lines: DataFrame, order: str = "row_no", line: str = "line") -> DataFrame:
-    """row_no, trad, simp, pinyin, defs of ``trad simp [pinyin] /a/b/`` lines; comments and lines without sense left out."""
+    """row_no, trad, simp, pinyin, defs of ``trad simp [pinyin] /a/b/`` lines.
+
+    Senses begin at the first slash after the brackets, so that brackets may hold slashes.
+    Comments, lines without brackets and lines without sense are left out.
+    """
     t = F.trim(line)
-    rest = F.regexp_extract(t, r"^\S+ \S+ (.*)$", 1)
-    defs = F.filter(F.transform(F.split(F.regexp_extract(rest, r"^[^/]*/(.*)$", 1), "/"), lambda x: F.trim(x)), lambda x: x != "")
-    rows = lines.filter(~F.startswith(t, F.lit("#")) & (t != "")).select(
-        F.col(order).alias("row_no"), F.regexp_extract(t, r"^(\S+) ", 1).alias("trad"), F.regexp_extract(t, r"^\S+ (\S+) ", 1).alias("simp"),
-        F.regexp_extract(rest, r"\[([^\]]*)\]", 1).alias("pinyin"), defs.alias("defs"))
-    return rows.filter((F.col("trad") != "") & (F.size("defs") > 0))
+    part = lambda k: F.regexp_extract(t, _ENTRY, k)
+    defs = F.filter(F.transform(F.split(part(4), "/"), lambda x: F.trim(x)), lambda x: x != "")
+    rows = lines.filter(~F.startswith(t, F.lit("#")) & t.rlike(_ENTRY)).select(F.col(order).alias("row_no"), part(1).alias("trad"), part(2).alias("simp"), part(3).alias("pinyin"), defs.alias("defs"))
+    return rows.filter(F.size("defs") > 0)
 
 
 def by_character(entries: DataFrame, most: int = CHARACTER_ENTRIES) -> DataFrame:

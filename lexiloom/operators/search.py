@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -120,23 +121,73 @@ def titles_of_people(found: DataFrame, rows: DataFrame, top: int | None = None)
     return near.orderBy("person_no", "alias_no", "row_no").limit(top) if top else near
 
 
-def federated(persons: DataFrame, title_rows: DataFrame, documents: DataFrame, q: str, corpus: str | None = None, only: DataFrame | None = None) -> dict[str, DataFrame]:
-    """people, titles (those found, then those of the people found, 50 in all) and full text of one query."""
+def federated(persons: DataFrame, title_rows: DataFrame, documents: DataFrame, q: str, corpus: str | None = None, only: DataFrame | None = None, index: DataFrame | None = None, facets: dict[str, object] | None = None) -> dict[str, DataFrame]:
+    """people, titles (those found, then those of the people found, 50 in all) and full text of one query.
+
+    ``only`` (a table with a fileId column) restricts titles and full text; ``index`` and ``facets`` are those of ``fulltext``.
+    """
     who = people(persons, q)
     own = titles(title_rows, q, corpus, only).withColumn("_from", F.lit(0))
     more = titles_of_people(who, title_rows).join(own.select("path"), "path", "left_anti").withColumn("_from", F.lit(1))
+    if only is not None:
+        more = more.join(only.select("fileId").distinct(), "fileId", "left_semi")
     both = own.unionByName(more, allowMissingColumns=True).orderBy("_from", "person_no", "alias_no", "row_no").limit(50).drop("person_no", "alias_no", "_from")
-    return {"people": who, "titles": both, "fulltext": fulltext(documents, q)}
+    return {"people": who, "titles": both, "fulltext": fulltext(documents, q, index=index, only=only, facets=facets)}
+
+
+# A word of Latin letters or digits, and a run of other letters.
+_WORD = r"[\p{IsLatin}\p{Nd}][\p{IsLatin}\p{M}\p{Nd}]*"
+_RUN = r"[^\p{IsLatin}\p{M}\p{Nd}\p{P}\p{S}\p{Z}\p{C}][^\p{IsLatin}\p{Nd}\p{P}\p{S}\p{Z}\p{C}]*"
 
 
-def fulltext(documents: DataFrame, q: str, top: int = 300) -> DataFrame:
+def tokens(text: Column) -> Column:
+    """Tokens of a text in any script: words of Latin letters in lower case, of runs of other letters every two neighbours, or the only one."""
+    low = F.lower(text)
+    pairs = lambda r: F.when(F.length(r) == 1, F.array(r)).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.length(r) - 1, F.lit(1))), lambda i: F.substr(r, i, F.lit(2))))
+    return F.concat(F.regexp_extract_all(low, F.lit(_WORD), F.lit(0)), F.flatten(F.transform(F.regexp_extract_all(low, F.lit(_RUN), F.lit(0)), pairs)))
+
+
+def candidates(index: DataFrame, q: str) -> DataFrame:
+    """doc_id of the documents that may contain ``q``, from postings (token, doc_id) with the tokens of ``tokens``.
+
+    Words within the query must stand as they are; its first may be the end, its last the
+    begin, a single one a part of a word. None is missed; what lies between tokens is not looked at.
+    """
+    spark = index.sparkSession
+    low = F.lower(F.lit(q))
+    words, runs, whole = spark.range(1).select(F.regexp_extract_all(low, F.lit(_WORD), F.lit(0)), F.regexp_extract_all(low, F.lit(_RUN), F.lit(0)), low).first()
+    while whole and unicodedata.category(whole[0])[0] == "M":  # the rest of a word's letter
+        whole = whole[1:]
+    asked = []
+    for w in dict.fromkeys(words):
+        begins, ends = whole.startswith(w), whole.endswith(w)
+        t = F.col("token")
+        asked.append(F.contains(t, F.lit(w)) if begins and ends else F.endswith(t, F.lit(w)) if begins else F.startswith(t, F.lit(w)) if ends else t == w)
+    for r in runs:
+        asked += [F.contains("token", F.lit(r))] if len(r) == 1 else [F.col("token") == r[i: i + 2] for i in range(len(r) - 1)]
+    if not asked:
+        return index.select("doc_id").distinct()
+    met = F.filter(F.array(*[F.when(c, F.lit(k)) for k, c in enumerate(asked)]), lambda k: k.isNotNull())
+    near = index.select("doc_id", met.alias("met")).filter(F.size("met") > 0).select("doc_id", F.explode("met").alias("k"))
+    return near.groupBy("doc_id").agg(F.count_distinct("k").alias("n")).filter(F.col("n") == len(asked)).select("doc_id")
+
+
+def fulltext(documents: DataFrame, q: str, top: int = 300, index: DataFrame | None = None, only: DataFrame | None = None, facets: dict[str, object] | None = None) -> DataFrame:
     """doc_id, file_id, hits: the ``top`` documents by number of occurrences of q, then id.
 
     Ideographic queries match as they are, others in any case; the empty query finds nothing.
+    ``index``: postings of the documents, which keep all others from being read for the text.
+    ``only``: a table with a fileId column. ``facets``: values that columns of the documents must have.
     """
     text, term = (F.col("text"), q) if is_ideographic(q) else (F.lower("text"), q.lower())
     if not q:
         documents, term = documents.filter(F.lit(False)), " "
+    for column, value in (facets or {}).items():
+        documents = documents.filter(F.col(column) == value)
+    if only is not None:
+        documents = documents.join(only.select(F.col("fileId").alias("file_id")).distinct(), "file_id", "left_semi")
+    if index is not None and q:
+        documents = documents.join(candidates(index, q), "doc_id", "left_semi")
     hits = (F.length(text) - F.length(F.replace(text, F.lit(term), F.lit("")))) / len(term)
     found = documents.filter(F.contains(text, F.lit(term))).select("doc_id", "file_id", hits.cast("int").alias("hits"))
     return found.orderBy(F.col("hits").desc(), "doc_id").limit(top)

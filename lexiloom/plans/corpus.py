@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from lexiloom.functions import ids, routes, text
 from lexiloom.operators import align, dictionary, kwic, lines, search
 from lexiloom.plans import pages
 from lexiloom.plans.index import index_records, postings, search_documents
-from lexiloom.session import table
+from lexiloom.session import materialise, table
 from lexiloom.sources import files, markup
 
 CJK_TERM, LATIN_TERM, PERSON_TERM, TITLE_TERM = "香", "the", "ost", "the"
@@ -208,10 +210,13 @@ def typeahead(s: SparkSession, d: str) -> DataFrame:
 _ALIAS = "al AS (SELECT row_no AS pn, names[1] AS person, unnest(names) AS alias, generate_subscripts(names, 1) - 1 AS an FROM masters)"
 
 
-@query(f"""WITH {_ALIAS}, tb AS (SELECT *, lower(coalesce(zh, '') || ' ' || coalesce(en, '') || ' ' || coalesce(path, '')) AS blob FROM titles)
+@query(f"""WITH p AS (SELECT row_no, list_transform(names, lambda n: list_reverse(string_split(n, ' '))[1]) AS names FROM masters), al AS (SELECT row_no AS pn, unnest(names) AS alias, generate_subscripts(names, 1) - 1 AS an FROM p),
+tb AS (SELECT *, lower(coalesce(zh, '') || ' ' || coalesce(en, '') || ' ' || coalesce(path, '')) AS blob FROM titles)
 SELECT row_no, path, pn AS person_no, an::INT AS alias_no FROM tb JOIN al ON length(alias) >= 2 AND contains(blob, lower(alias)) QUALIFY row_number() OVER (PARTITION BY path ORDER BY pn, an, row_no) = 1""")
 def alias_expansion(s: SparkSession, d: str) -> DataFrame:
-    return search.titles_of_people(table(s, d, "masters"), table(s, d, "titles")).select("row_no", "path", "person_no", "alias_no")
+    """Titles that hold the last word of a person's name, as aliases go."""
+    people = table(s, d, "masters").withColumn("names", F.transform("names", lambda n: F.element_at(F.split(n, " "), -1)))
+    return search.titles_of_people(people, table(s, d, "titles")).select("row_no", "path", "person_no", "alias_no")
 
 
 @query(f"""WITH {_ALIAS}, pat AS (SELECT person, alias FROM al WHERE length(alias) >= 2 UNION SELECT person, w FROM (SELECT person, unnest(string_split(alias, ' ')) AS w FROM al) WHERE length(w) >= 7)
@@ -220,9 +225,24 @@ def person_mentions(s: SparkSession, d: str) -> DataFrame:
     return search.mentions(table(s, d, "documents"), table(s, d, "masters"), 7)
 
 
-@query("SELECT doc_id, file_id, ((length(text) - length(replace(text, '鐘聲', ''))) // 2)::INT AS hits FROM documents WHERE contains(text, '鐘聲') ORDER BY hits DESC, doc_id LIMIT 300")
+PHRASES = ("月", "鐘", "of the", "ed so", "བ")
+
+
+@query(" UNION ALL ".join(f"SELECT * FROM (SELECT '{q}' AS q, doc_id, file_id, ((length(text) - length(replace(lower(text), '{q}', ''))) // {len(q)})::INT AS hits FROM documents WHERE contains(lower(text), '{q}') ORDER BY hits DESC, doc_id LIMIT 300)" for q in PHRASES))
 def phrase_search(s: SparkSession, d: str) -> DataFrame:
-    return search.fulltext(table(s, d, "documents"), "鐘聲")
+    """Phrases and parts of words of several scripts, found in the postings and then in the texts."""
+    docs = table(s, d, "documents")
+    index = materialise(postings(docs), "postings")
+    found = [search.fulltext(docs, q, index=index).select(F.lit(q).alias("q"), "doc_id", "file_id", "hits") for q in PHRASES]
+    return reduce(DataFrame.unionByName, found)
+
+
+@query("""SELECT doc_id, file_id, ((length(text) - length(replace(lower(text), 'the', ''))) // 3)::INT AS hits FROM documents
+WHERE contains(lower(text), 'the') AND source = 'canon' AND file_id IN (SELECT file_id FROM text_lines) ORDER BY hits DESC, doc_id LIMIT 300""")
+def faceted_search(s: SparkSession, d: str) -> DataFrame:
+    """Full text of one source, in the texts that have lines."""
+    only = _lines(s, d).select(F.col("file_id").alias("fileId"))
+    return search.fulltext(table(s, d, "documents"), "the", only=only, facets={"source": "canon"})
 
 
 @query("""SELECT file_id, min(doc_id) AS first_doc, sum(greatest(hits, 1))::BIGINT AS hits FROM (SELECT doc_id, file_id, ((length(text) - length(replace(lower(text), 'cart', ''))) // 4)::INT AS hits FROM documents WHERE contains(lower(text), 'cart') ORDER BY hits DESC, doc_id LIMIT 300)
@@ -231,19 +251,34 @@ def hits_grouped(s: SparkSession, d: str) -> DataFrame:
     return search.grouped_hits(search.fulltext(table(s, d, "documents"), "cart"))
 
 
-@query(f"""WITH w AS (SELECT row_no, names FROM masters WHERE len(list_filter(names, lambda n: contains(lower(n), 'kash'))) > 0 ORDER BY row_no LIMIT 5),
-o AS (SELECT path, fileId, row_no FROM titles WHERE contains({_BLOB}, 'kash') ORDER BY row_no LIMIT 50),
+_FEDERATED = {}
+for _name, _title, _text in (("all", "true", "true"), ("only", "fileId IN (SELECT fileId FROM kept)", "file_id IN (SELECT fileId FROM kept)")):
+    _FEDERATED[_name] = f"""WITH kept AS (SELECT DISTINCT file_id AS fileId FROM text_lines WHERE file_id IS NOT NULL), w AS (SELECT row_no, names FROM masters WHERE len(list_filter(names, lambda n: contains(lower(n), 'kash'))) > 0 ORDER BY row_no LIMIT 5),
+o AS (SELECT path, fileId, row_no FROM titles WHERE contains({_BLOB}, 'kash') AND {_title} ORDER BY row_no LIMIT 50),
 a AS (SELECT row_no AS pn, unnest(names) AS alias, generate_subscripts(names, 1) AS an FROM w),
 m AS (SELECT path, fileId, t.row_no, pn, an FROM titles t JOIN a ON length(alias) >= 2 AND contains(lower(coalesce(zh, '') || ' ' || coalesce(en, '') || ' ' || coalesce(path, '')), lower(alias)) WHERE path NOT IN (SELECT path FROM o) QUALIFY row_number() OVER (PARTITION BY path ORDER BY pn, an, t.row_no) = 1),
-t AS (SELECT fileId FROM (SELECT path, fileId, row_no, 0 AS f, NULL AS pn, NULL AS an FROM o UNION ALL SELECT path, fileId, row_no, 1, pn, an FROM m) ORDER BY f, pn NULLS FIRST, an NULLS FIRST, row_no LIMIT 50),
-x AS (SELECT doc_id FROM documents WHERE contains(lower(text), 'kash') ORDER BY ((length(text) - length(replace(lower(text), 'kash', ''))) // 4)::INT DESC, doc_id LIMIT 300)
-SELECT 'people' AS section, row_no::VARCHAR AS key FROM w UNION ALL SELECT 'titles', coalesce(fileId, '') FROM t UNION ALL SELECT 'fulltext', doc_id::VARCHAR FROM x""")
-def federated_search(s: SparkSession, d: str) -> DataFrame:
-    got = search.federated(table(s, d, "masters"), table(s, d, "titles"), table(s, d, "documents"), "kash")
+t AS (SELECT fileId FROM (SELECT path, fileId, row_no, 0 AS f, NULL AS pn, NULL AS an FROM o UNION ALL SELECT path, fileId, row_no, 1, pn, an FROM m WHERE {_title}) ORDER BY f, pn NULLS FIRST, an NULLS FIRST, row_no LIMIT 50),
+x AS (SELECT doc_id FROM documents WHERE contains(lower(text), 'kash') AND {_text} ORDER BY ((length(text) - length(replace(lower(text), 'kash', ''))) // 4)::INT DESC, doc_id LIMIT 300)
+SELECT 'people' AS section, row_no::VARCHAR AS key FROM w UNION ALL SELECT 'titles', coalesce(fileId, '') FROM t UNION ALL SELECT 'fulltext', doc_id::VARCHAR FROM x"""
+
+
+def _federated(s: SparkSession, d: str, only: DataFrame | None = None) -> DataFrame:
+    got = search.federated(table(s, d, "masters"), table(s, d, "titles"), table(s, d, "documents"), "kash", only=only)
     part = lambda name, key: got[name].select(F.lit(name).alias("section"), key.cast("string").alias("key"))
     return part("people", F.col("row_no")).unionByName(part("titles", F.coalesce("fileId", F.lit("")))).unionByName(part("fulltext", F.col("doc_id")))
 
 
+@query(_FEDERATED["all"])
+def federated_search(s: SparkSession, d: str) -> DataFrame:
+    return _federated(s, d)
+
+
+@query(_FEDERATED["only"])
+def federated_within(s: SparkSession, d: str) -> DataFrame:
+    """The same within the texts that have lines."""
+    return _federated(s, d, _lines(s, d).select(F.col("file_id").alias("fileId")))
+
+
 @query("""WITH n AS (SELECT teacher AS name FROM masters WHERE teacher IS NOT NULL UNION SELECT unnest(students) FROM masters), al AS (SELECT row_no, lower(unnest(names)) AS k FROM masters)
 SELECT name, min(row_no) AS row_no FROM (SELECT DISTINCT name FROM n) JOIN al ON lower(replace(name, '_', ' ')) = k GROUP BY name""")
 def person_by_name(s: SparkSession, d: str) -> DataFrame:
@@ -365,12 +400,14 @@ def witness_labels(s: SparkSession, d: str) -> DataFrame:
 
 # Dictionary: entries from the titles, words from the apparatus
 
-_LINE = "zh || ' ' || zh || ' [t' || row_no || '] /' || coalesce(en, '') || '/' || coalesce(enShort, '') || '/'"
-_ENTRY = """e AS (SELECT row_no, zh AS trad, zh AS simp, 't' || row_no AS pinyin, list_filter([trim(coalesce(en, '')), trim(coalesce(enShort, ''))], lambda x: x <> '') AS defs FROM titles WHERE zh <> '' AND NOT contains(zh, ' ') AND (coalesce(en, '') <> '' OR coalesce(enShort, '') <> '') AND NOT contains(coalesce(en, '') || coalesce(enShort, ''), '/'))"""
+# Every third line is written in another form of its last character, every fifth has no brackets; brackets hold slashes.
+_LINE = "replace(zh, ' ', '_') || ' ' || CASE WHEN row_no % 3 = 0 THEN left(replace(zh, ' ', '_'), char_length(zh) - 1) || '简' ELSE replace(zh, ' ', '_') END || CASE WHEN row_no % 5 = 4 THEN '' ELSE ' [t' || row_no || '/u]' END || ' (x) /' || coalesce(en, '') || '/' || coalesce(enShort, '') || '/'"
+_ENTRY = """e AS (SELECT row_no, replace(zh, ' ', '_') AS trad, CASE WHEN row_no % 3 = 0 THEN left(replace(zh, ' ', '_'), length(zh) - 1) || '简' ELSE replace(zh, ' ', '_') END AS simp, 't' || row_no || '/u' AS pinyin,
+list_filter(list_transform(string_split(coalesce(en, '') || '/' || coalesce(enShort, '') || '/', '/'), lambda x: trim(x)), lambda x: x <> '') AS defs FROM titles WHERE zh <> '' AND row_no % 5 <> 4 AND regexp_matches(coalesce(en, '') || coalesce(enShort, ''), '[^/ ]'))"""
 
 
 def _entries(s: SparkSession, d: str) -> DataFrame:
-    t = table(s, d, "titles").filter("zh <> '' AND NOT contains(zh, ' ') AND NOT contains(coalesce(en, '') || coalesce(enShort, ''), '/')")
+    t = table(s, d, "titles").filter("zh <> ''")
     return dictionary.parsed_entries(t.select("row_no", F.expr(_LINE).alias("line")))
 
 
@@ -384,17 +421,21 @@ def dict_group(s: SparkSession, d: str) -> DataFrame:
     return dictionary.character_index(_entries(s, d))
 
 
-@query(f"WITH {_ENTRY}, t AS (SELECT DISTINCT lem AS term FROM apparatus WHERE lem <> '' UNION SELECT zh FROM titles WHERE zh <> '') SELECT term, row_no, trad, pinyin FROM t JOIN e ON term = trad")
+@query(f"""WITH {_ENTRY}, t AS (SELECT DISTINCT lem AS term FROM apparatus WHERE lem <> '' UNION SELECT zh FROM titles WHERE zh <> '' UNION SELECT left(zh, length(zh) - 1) || '简' FROM titles WHERE zh <> '')
+SELECT term, row_no, trad, pinyin FROM t JOIN e ON term = trad OR term = simp AND left(term, 1) = left(trad, 1)""")
 def dict_lookup(s: SparkSession, d: str) -> DataFrame:
-    terms = table(s, d, "apparatus").select(F.col("lem").alias("term")).unionByName(table(s, d, "titles").select(F.col("zh").alias("term")))
+    t = table(s, d, "titles").filter("zh <> ''")
+    terms = table(s, d, "apparatus").select(F.col("lem").alias("term")).unionByName(t.select(F.col("zh").alias("term"))).unionByName(t.selectExpr("left(zh, char_length(zh) - 1) || '简' AS term"))
     return dictionary.looked_up(terms, _entries(s, d)).select("term", "row_no", "trad", "pinyin")
 
 
-@query(f"""WITH {_ENTRY}, t AS (SELECT DISTINCT zh AS term FROM titles WHERE zh <> ''), f AS (SELECT term, e.* FROM t JOIN e ON term = trad)
-SELECT term, string_agg(pinyin, '|' ORDER BY row_no) AS pinyin, count(*) AS n FROM f GROUP BY term""")
+@query(f"""WITH {_ENTRY}, t AS (SELECT DISTINCT zh AS term FROM titles WHERE zh <> ''), f AS (SELECT term, e.* FROM t JOIN e ON term = trad),
+d AS (SELECT term, row_no, unnest(defs) AS def, generate_subscripts(defs, 1) AS i FROM f), g AS (SELECT term, def, min((row_no, i)) AS o FROM d GROUP BY term, def),
+s AS (SELECT term, string_agg(def, '|' ORDER BY o) AS defs FROM g GROUP BY term)
+SELECT term, string_agg(pinyin, '|' ORDER BY row_no) AS pinyin, count(*) AS n, any_value(s.defs) AS defs, count(DISTINCT trad) + count(DISTINCT simp) FILTER (simp <> trad) AS forms FROM f JOIN s USING (term) GROUP BY term""")
 def dict_merged(s: SparkSession, d: str) -> DataFrame:
     found = dictionary.looked_up(table(s, d, "titles").select(F.col("zh").alias("term")), _entries(s, d))
-    return dictionary.merged_senses(found).select("term", F.array_join("pinyin", "|").alias("pinyin"), F.size("pinyin").cast("long").alias("n"))
+    return dictionary.merged_senses(found).select("term", F.array_join("pinyin", "|").alias("pinyin"), F.size("pinyin").cast("long").alias("n"), F.array_join("defs", "|").alias("defs"), F.size("forms").cast("long").alias("forms"))
 
 
 @query(f"""WITH {_CLEAN}, w AS (SELECT DISTINCT lem FROM apparatus WHERE lem <> ''), p AS (SELECT file_id, line_no, unnest([substr(text, 1, 1), substr(text, 1, 2), substr(text, 1, 3), substr(text, 1, 4)]) AS x FROM rl)
@@ -441,7 +482,8 @@ def search_docs(s: SparkSession, d: str) -> DataFrame:
     return search_documents(table(s, d, "documents"), table(s, d, "titles"), _lines(s, d)).select("doc_id", "title", "title_en", "file_id", "side", "translated", "collection", F.length("content").alias("size"))
 
 
-@query("SELECT t AS token, count(DISTINCT doc_id) AS docs, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS t FROM documents) GROUP BY 1")
+@query("""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{Latin}\\p{Nd}][\\p{Latin}\\p{M}\\p{Nd}]*')) AS token FROM documents
+UNION ALL SELECT doc_id, unnest(CASE WHEN length(r) = 1 THEN [r] ELSE list_transform(range(1, length(r)), lambda i: substr(r, i, 2)) END) FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[^\\p{Latin}\\p{M}\\p{Nd}\\p{P}\\p{S}\\p{Z}\\p{C}][^\\p{Latin}\\p{Nd}\\p{P}\\p{S}\\p{Z}\\p{C}]*')) AS r FROM documents)) SELECT token, count(DISTINCT doc_id) AS docs, count(*) AS n FROM t GROUP BY 1""")
 def index_postings(s: SparkSession, d: str) -> DataFrame:
     return postings(table(s, d, "documents")).groupBy("token").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("n"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiloom.functions.text import text_or_empty
+from lexiloom.operators.search import tokens
 
 
 def search_documents(documents: DataFrame, titles: DataFrame, translated: DataFrame) -> DataFrame:
@@ -30,9 +31,15 @@ def index_records(documents: DataFrame, titles: DataFrame, translated: DataFrame
 
 
 def postings(documents: DataFrame, text: str = "text") -> DataFrame:
-    """token, doc_id, n: Latin words in lower case; counted in the map tasks before they are shuffled."""
-    tokens = documents.select("doc_id", F.explode(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))).alias("token"))
-    return tokens.groupBy("token", "doc_id").agg(F.count(F.lit(1)).alias("n"))
+    """token, doc_id, n: tokens of every script (see ``operators.search.tokens``); counted in the map tasks before they are shuffled."""
+    each = documents.select("doc_id", F.explode(tokens(F.col(text))).alias("token"))
+    return each.groupBy("token", "doc_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+def write_postings(index: DataFrame, path: str, buckets: int = 256) -> None:
+    """Postings as Parquet, in folders by hash of the token and ordered by it, so that a query reads the row groups of its tokens alone."""
+    rows = index.withColumn("bucket", F.pmod(F.xxhash64("token"), F.lit(buckets)).cast("int"))
+    rows.repartition(buckets, "bucket").sortWithinPartitions("bucket", "token", "doc_id").write.partitionBy("bucket").mode("overwrite").parquet(path)
 
 
 def phrase_candidates(index: DataFrame, words: list[str]) -> DataFrame:

@@ -305,7 +305,14 @@ def index_text(xml: Column) -> Column:
     """
     body = F.regexp_extract(xml, r"(?is)<body[^>]*>(.*?)</body>", 1)
     body = F.regexp_replace(body, r"(?is)<rdg(?=[\s>/])[^>]*/>.*$", " ")
-    # Innermost readings first; three passes take three levels.
-    for _ in range(3):
-        body = F.regexp_replace(body, r"(?is)<rdg(?=[\s>/])[^>]*>(?:(?!<rdg(?=[\s>/])).)*?</rdg[^>]*>", " ")
+    # Cut before each begin and end of a reading; what follows is kept where no reading is open.
+    parts = F.split(F.regexp_replace(body, r"(?i)<rdg(?=[\s>/])|</rdg(?=[\s>])", "\x01$0"), "\x01")
+    opens = lambda p: F.when(F.startswith(F.lower(p), F.lit("<rdg")), 1).when(F.startswith(F.lower(p), F.lit("</rdg")), -1).otherwise(0)
+    start = F.struct(F.lit(0).alias("open"), F.array().cast("array<string>").alias("kept"))
+
+    def step(state: Column, p: Column) -> Column:
+        now = F.greatest(state["open"] + opens(p), F.lit(0))
+        return F.struct(now.alias("open"), F.when(now == 0, F.concat(state["kept"], F.array(p))).otherwise(state["kept"]).alias("kept"))
+
+    body = F.aggregate(parts, start, step, lambda state: F.array_join(state["kept"], " "))
     return F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.coalesce(body, F.lit("")), "(?s)<[^>]*>", " "), "\r", ""), "[\n\t \f\x0b]+", " "))

@@ -52,7 +52,7 @@ def test_tables(spark):
 
 
 def test_index_text(spark):
-    rows = [('<body>a<rdg wit="x">b</rdg>c\rd</body>', "a cd"), ("<BODY x='1'>a<b/>  b</BODY>", "a b"), ("no", ""), ("<body>a<rdg/>b</body>", "a"), ("<body>a<rdg><rdg>q</rdg>r</rdg>s</body>", "a s"), (None, "")]
+    rows = [('<body>a<rdg wit="x">b</rdg>c\rd</body>', "a cd"), ("<BODY x='1'>a<b/>  b</BODY>", "a b"), ("no", ""), ("<body>a<rdg/>b</body>", "a"), ("<body>a<rdg><rdg>q</rdg>r</rdg>s</body>", "a s"), ("<body>a <rdg>1<RDG x='2'>2<rdg>3<rdg>4</rdg></rdg>3</rdg >2</rdg> z <rdgGrp>k</rdgGrp></body>", "a z k"), (None, "")]
     df = spark.createDataFrame([(i, x) for i, (x, _) in enumerate(rows)], "i int, x string")
     assert [r["t"] for r in df.orderBy("i").select(markup.index_text(F.col("x")).alias("t")).collect()] == [w for _, w in rows]
 
@@ -105,4 +105,6 @@ def test_grammar_and_index(spark):
     d = spark.createDataFrame([(1, "Old reed, old reed"), (2, "reed"), (3, None), (4, "")], "doc_id long, text string")
     p = postings(d)
     assert {(r["token"], r["doc_id"], r["n"]) for r in p.collect()} == {("old", 1, 2), ("reed", 1, 2), ("reed", 2, 1)}
+    many = postings(spark.createDataFrame([(1, "禪師 a禪 Mé́b2，བོད་ 가"), (2, "x")], "doc_id long, text string"))
+    assert {r["token"] for r in many.filter("doc_id = 1").collect()} == {"禪師", "a", "禪", "mé́b2", "བོ", "ོད", "가"}
     assert [r["doc_id"] for r in phrase_candidates(p, ["Old", "reed"]).collect()] == [1]
