@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lexiloom.functions import ids, routes, text
 from lexiloom.operators import align, dictionary, kwic, lines, search
 from lexiloom.plans import pages
 from lexiloom.plans.index import index_records, postings, search_documents
-from lexiloom.session import materialise, table
+from lexiloom.session import materialise, own_dir, table
 from lexiloom.sources import files, markup
 
 CJK_TERM, LATIN_TERM, PERSON_TERM, TITLE_TERM = "香", "the", "ost", "the"
@@ -374,6 +376,86 @@ def route_parse(s: SparkSession, d: str) -> DataFrame:
     return rows.select(routes.parsed_route(raw).alias("r")).select("r.kind", "r.work", "r.corpus", "r.start_line", "r.end_line", "r.side", "r.user", "r.q")
 
 
+#: Routes of every kind for a title (n: its number, w: its text), and what they mean.
+_ROUTES = (
+    ("'dict/A%20b' || n", dict(kind="dictionary", item="'A b' || n", label="'Dictionary · A b' || n")),
+    ("'/term/w' || n || '/U%20v'", dict(kind="termbase", user="U v", item="'w' || n", label="'Termbase · w' || n")),
+    ("'master/A_b' || n || '/U'", dict(kind="master", user="U", item="'A b' || n", label="'Master · A b' || n")),
+    ("'masters?school=S+' || n", dict(kind="masters", item="'S ' || n", label="'Masters'")),
+    ("'lineage?focus=A_b' || n", dict(kind="lineage", item="'A b' || n", label="'Lineage · A b' || n")),
+    ("'scholar/U/c' || n || '/p1'", dict(kind="scholar", user="U", item="'c' || n || '/p1'", label="'Scholar · c' || n")),
+    ("'scholar/U/c' || n || '/graph'", dict(kind="scholar-graph", user="U", item="'c' || n", label="'Scholar graph'")),
+    ("'tags/' || w || '/U/t' || n", dict(kind="tags", work="w", user="U", item="'t' || n", label="'Tags · ' || w")),
+    ("'search?q=a+b' || n || '&master=M'", dict(kind="search", item="'M'", q="'a b' || n", label="'Search · a b' || n")),
+    ("'compare/' || w || '/GH/a/b' || n || '?from=x&to=y'", dict(kind="compare", work="w", start_line="x", end_line="y", item="'gh/a/b' || n", label="'Compare · ' || w")),
+    ("'nowhere/' || n", dict(kind="unknown", label="''")),
+)
+_ROUTE_SQL = " UNION ALL ".join(
+    f"SELECT {raw} AS raw, '{m['kind']}' AS kind, {m.get('work', chr(39) * 2)} AS work, {_CORPUS.format('w') if 'work' in m else chr(39) * 2} AS corpus, '{m.get('start_line', '')}' AS start_line, '{m.get('end_line', '')}' AS end_line, '' AS side, "
+    f"""'{m.get('user', '')}' AS "user", {m.get('item', chr(39) * 2)} AS item, {m.get('q', chr(39) * 2)} AS q, {m['label']} AS label FROM t""" for raw, m in _ROUTES)
+
+
+@query(f"""WITH t AS (SELECT DISTINCT row_no AS n, fileId AS w FROM titles WHERE fileId <> '') SELECT *, 'https://x.example/#/' || regexp_replace(raw, '^/', '') AS url FROM ({_ROUTE_SQL})""")
+def route_kinds(s: SparkSession, d: str) -> DataFrame:
+    """Routes of every kind, with their parts, label and address to share."""
+    t = table(s, d, "titles").filter("fileId <> ''").select(F.col("row_no").alias("n"), F.col("fileId").alias("w")).distinct()
+    raw = t.select(F.explode(F.array(*[F.expr(r) for r, _ in _ROUTES])).alias("raw")).withColumn("r", routes.parsed_route(F.col("raw")))
+    return raw.select("raw", "r.*", routes.described_route(F.col("r")).alias("label"), routes.share_url(F.col("raw"), "https://x.example/").alias("url"))
+
+
+@query(f"""WITH {_CLEAN}, n AS (SELECT file_id, greatest(1, ceil(count(*) / 10))::INT AS total FROM rl GROUP BY file_id), p AS (SELECT file_id, total, unnest([1, (total + 1) // 2, total]) AS page FROM n)
+SELECT DISTINCT file_id, page::INT AS page, array_to_string(list_sort(list_distinct(list_filter([1, total, page - 1, page, page + 1], lambda x: x >= 1 AND x <= total))), ' ') AS buttons FROM p""")
+def page_numbers(s: SparkSession, d: str) -> DataFrame:
+    """Buttons of the first, middle and last page of every text."""
+    n = lines.pages(lines.with_ordinal(lines.real_lines(_lines(s, d))), 10).groupBy("file_id").agg(F.max("pages").alias("total"))
+    rows = n.select("file_id", "total", F.explode(F.array_distinct(F.array(F.lit(1), F.floor((F.col("total") + 1) / 2).cast("int"), F.col("total")))).alias("page"))
+    return rows.select("file_id", "page", F.array_join(lines.page_buttons(F.col("page"), F.col("total")), " ").alias("buttons"))
+
+
+@query("""WITH g AS (SELECT left(zh, 1) AS c, count(*) AS n FROM titles WHERE zh <> '' GROUP BY 1), t AS (SELECT DISTINCT lem AS term FROM apparatus WHERE lem IS NOT NULL UNION SELECT left(zh, 1) FROM titles WHERE zh <> '')
+SELECT term, CASE WHEN length(term) = 1 AND n IS NOT NULL THEN 'begins ' || n ELSE '' END AS functions FROM t LEFT JOIN g ON c = term""")
+def dict_grammar(s: SparkSession, d: str) -> DataFrame:
+    """Terms with the functions of their character: here, how many titles begin with it."""
+    t = table(s, d, "titles").filter("zh <> ''").select(F.substring("zh", 1, 1).alias("char"))
+    grammar = t.groupBy("char").agg(F.array(F.concat(F.lit("begins "), F.count(F.lit(1)))).alias("functions"))
+    terms = table(s, d, "apparatus").filter("lem is not null").select(F.col("lem").alias("term")).unionByName(t.select(F.col("char").alias("term"))).distinct()
+    return dictionary.with_grammar(terms, grammar).select("term", F.coalesce(F.array_join("functions", "|"), F.lit("")).alias("functions"))
+
+
+# Files: the nations written as files, one each, and read back
+
+def _nation_files(s: SparkSession, d: str, kind: str) -> str:
+    path = f"{own_dir(s)}/nations-{uuid.uuid4().hex}"
+    rows = table(s, d, "nation").select("n_regionkey", F.col("n_name").alias("name"), F.col("n_nationkey").alias("key"))
+    rows = rows.repartition("n_regionkey")
+    if kind == "xml":
+        rows = rows.select("n_regionkey", F.concat(F.lit("<x>"), "name", F.lit("</x>")).alias("value"))
+        rows.write.option("maxRecordsPerFile", 1).partitionBy("n_regionkey").text(path)
+    else:
+        rows.write.option("maxRecordsPerFile", 1).partitionBy("n_regionkey").json(path)
+    return path
+
+
+@query("SELECT '<x>' || n_name || '</x>' AS xml, 'n_regionkey=' || n_regionkey AS folder FROM nation")
+def files_whole(s: SparkSession, d: str) -> DataFrame:
+    """Whole files of a folder, at any depth."""
+    return files.read_documents(s, _nation_files(s, d, "xml"), "*.txt").select(F.trim(F.regexp_replace("xml", "\n", "")).alias("xml"), F.element_at(F.split("path", "/"), -2).alias("folder"))
+
+
+@query("SELECT n_name AS name, n_nationkey::INT AS key FROM nation")
+def files_json(s: SparkSession, d: str) -> DataFrame:
+    """A JSON document a file."""
+    schema = T.StructType([T.StructField("name", T.StringType()), T.StructField("key", T.IntegerType())])
+    return files.read_json(s, _nation_files(s, d, "json"), schema).select("name", "key")
+
+
+@query("SELECT 'n_regionkey=' || n_regionkey AS owner, count(*) AS files FROM nation WHERE length(n_name) + 8 > 14 GROUP BY 1")
+def files_owned(s: SparkSession, d: str) -> DataFrame:
+    """Files that hold something, listed without reading them, by the folder they are in."""
+    rows = files.nonempty(files.listed(s, _nation_files(s, d, "xml"), "*.txt"), 14)
+    return files.owners(rows).join(rows.select(F.element_at(F.split("path", "/"), -2).alias("owner")), "owner").groupBy("owner").agg(F.count(F.lit(1)).alias("files"))
+
+
 # Apparatus
 
 _APP = "ap AS (SELECT file_id, seq, any_value(line_id) AS line_id, any_value(readings) AS readings FROM apparatus GROUP BY file_id, seq)"
@@ -473,6 +555,57 @@ def body_text(s: SparkSession, d: str) -> DataFrame:
     return _markup(s, d).select("file_id", markup.index_text(F.col("xml")).alias("content"))
 
 
+# Markup of texts with apparatus: a document for every entry, with another edition, a division, notes, a contents mark, verse, a glyph, an anchored entry at the end
+
+def _entries_markup(s: SparkSession, d: str) -> DataFrame:
+    e = table(s, d, "apparatus").dropDuplicates(["file_id", "seq"])
+    esc = lambda c: text.escape_html(F.coalesce(c, F.lit("")))
+    readings = F.array_join(F.transform(F.coalesce("readings", F.array().cast(e.schema["readings"].dataType)), lambda r: F.concat(
+        F.lit('<rdg wit="'), esc(r["wit"]), F.when(r["text"].isNull(), F.lit('"/>')).otherwise(F.concat(F.lit('">'), esc(r["text"]), F.lit("<note>no</note></rdg>"))))), "")
+    seq = F.col("seq").cast("string")
+    parts = [
+        F.lit('<TEI xmlns="http://www.tei-c.org/ns/1.0" xmlns:cb="http://x.example"><teiHeader><fileDesc><titleStmt><title xml:lang="zh-Hant">'), esc("lem"), F.lit('</title><title xml:lang="en">E '), seq,
+        F.lit('</title></titleStmt></fileDesc><listWit><witness xml:id="w1"> '), esc("line_id"), F.lit(' </witness></listWit></teiHeader><text><body><lb n="1" ed="X"/><lb n="9" ed="R"/><cb:juan n="'), seq,
+        F.lit('"/><head>H<note>no<lb n="8"/></note>'), seq, F.lit("</head>xx<app><lem>"), esc("lem"), F.lit("</lem>"), readings, F.lit('</app><caesura/><g ref="#g">字</g>y<anchor xml:id="beg1"/>z<cb:mulu>M</cb:mulu><lg><l>v</l></lg><pb/></body>'),
+        F.lit('<back><app from="#beg1"><lem>'), esc("lem"), F.lit('</lem><rdg wit="w9">'), esc("line_id"), F.lit('</rdg></app><app from="#none"><lem>z</lem></app></back></text></TEI>')]
+    return e.select(F.concat_ws("#", "file_id", "seq").alias("file_id"), F.concat(*parts).alias("xml"))
+
+
+_TEI = f"""ap AS (SELECT file_id || '#' || seq AS file_id, seq, any_value(line_id) AS line_id, coalesce(any_value(lem), '') AS lem, any_value(readings) AS readings FROM apparatus GROUP BY file_id, seq),
+x AS (SELECT *, 'H' || seq || 'xx' AS before, 'H' || seq || 'xx' || lem || '　字y' AS upto FROM ap)"""
+
+
+def _normal(c: str) -> str:
+    return f"regexp_replace(regexp_replace(regexp_replace({c}, '[ \\t]*\\n[ \\t]*', chr(10), 'g'), '[ \\t]{{2,}}', ' ', 'g'), '^[{_JSWS}]+|[{_JSWS}]+$', '', 'g')"
+
+
+
+@query(f"""WITH {_TEI} SELECT file_id, 0 AS line_no, '1' AS line_id, {_normal("upto || 'zv'")} AS text, false AS is_synthetic FROM x
+UNION ALL SELECT file_id, i::INT, '__' || k || '_break_' || (i - 1), '', true FROM x, (VALUES (1, 'lg'), (2, 'lg'), (3, 'pb')) AS b(i, k)""")
+def tei_lines(s: SparkSession, d: str) -> DataFrame:
+    return markup.lines(markup.parsed(_entries_markup(s, d)))
+
+
+@query(f"WITH {_TEI} SELECT file_id, 0 AS seq, '1' AS line_id, 'H' || seq AS text, 1 AS level, seq::VARCHAR AS juan FROM x")
+def tei_headings(s: SparkSession, d: str) -> DataFrame:
+    return markup.headings(markup.parsed(_entries_markup(s, d)))
+
+
+@query(f"""WITH {_TEI} SELECT file_id, 0 AS seq, '1' AS line_id, length(before)::INT AS pos, lem, coalesce(array_to_string(list_transform(readings, lambda r: coalesce(r.wit, '') || '=' || coalesce(r.text, '')), '|'), '') AS readings FROM x WHERE lem <> '' OR len(readings) > 0
+UNION ALL SELECT file_id, CASE WHEN lem <> '' OR len(readings) > 0 THEN 1 ELSE 0 END, '1', length(upto)::INT, lem, 'w9=' || line_id FROM x""")
+def tei_apparatus(s: SparkSession, d: str) -> DataFrame:
+    """Entries in the text, and those at the end at the places they are anchored to."""
+    rows = markup.apparatus(markup.parsed(_entries_markup(s, d)))
+    return rows.withColumn("readings", F.array_join(F.transform("readings", lambda r: F.concat(r["wit"], F.lit("="), r["text"])), "|"))
+
+
+@query(f"WITH {_TEI} SELECT file_id, CASE WHEN {_normal('lem')} <> '' THEN {_normal('lem')} ELSE 'E ' || seq END AS title_zh, 'E ' || seq AS title_en, 'w1' AS wit_id, trim(line_id) AS label FROM x")
+def tei_header(s: SparkSession, d: str) -> DataFrame:
+    """Titles and witnesses."""
+    rows = markup.parsed(_entries_markup(s, d))
+    return rows.select("file_id", "title_zh", "title_en").join(markup.witnesses(rows), "file_id")
+
+
 # Index build
 
 @query("""WITH t AS (SELECT fileId, zh, en, path, row_no FROM titles WHERE fileId IS NOT NULL QUALIFY row_number() OVER (PARTITION BY fileId ORDER BY row_no) = 1), l AS (SELECT DISTINCT file_id FROM text_lines)

@@ -272,10 +272,10 @@ def cache_expiry(s: SparkSession, d: str) -> DataFrame:
     return lists.unexpired(rows, "at", "ttl", rows.agg(F.max("at")).first()[0] or 0).select("event_id")
 
 
-@query("""WITH a AS (SELECT vec_id AS id, label AS v FROM embeddings WHERE label < 3), b AS (SELECT doc_id AS id, n_chars::INT AS v FROM documents)
+@query("""WITH a AS (SELECT vec_id AS id, label AS v FROM embeddings), b AS (SELECT doc_id AS id, n_chars::INT AS v FROM documents)
 SELECT id, v, choice::INT AS choice FROM (SELECT id, v, 0 AS choice FROM a UNION ALL SELECT id, v, 1 FROM b) QUALIFY row_number() OVER (PARTITION BY id ORDER BY choice) = 1""")
 def fallback_chain(s: SparkSession, d: str) -> DataFrame:
-    a = table(s, d, "embeddings").filter("label < 3").select(F.col("vec_id").alias("id"), F.col("label").cast("int").alias("v"))
+    a = table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").cast("int").alias("v"))
     b = table(s, d, "documents").select(F.col("doc_id").alias("id"), F.col("n_chars").cast("int").alias("v"))
     return align.first_available([a, b], "id").select("id", "v", "choice")
 
