@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lexiloom.functions.text import encoded
+
 # Publishers of the second corpus, and the two forms of identifiers.
 PUBLISHERS = ("ws", "pd", "ce", "mit")
 CANONICAL = r"^[A-Za-z]{1,3}\d{1,4}n[A-Za-z]?\d{1,5}[A-Za-z]?$"
@@ -87,3 +89,15 @@ def slug(name: Column, form: str = "spaces") -> Column:
 def first_codepoint_bucket(c: Column, buckets: int = 201) -> Column:
     """Bucket of the first character, by code point."""
     return F.ascii(F.substring(c, 1, 1)) % buckets
+
+
+def work_url(file_id: Column, bases: dict[str, str], user: Column | None = None) -> Column:
+    """Address of a work's file under the base of its corpus (by KINDS), in a user's folder if one is given.
+
+    Null where the identifier has no path, the corpus no base, or the user is empty.
+    """
+    base = F.lit(None).cast("string")
+    for kind, b in bases.items():
+        base = F.when(corpus_of_id(file_id) == kind, F.lit(b.rstrip("/") + "/")).otherwise(base)
+    folder = F.lit("") if user is None else F.when(user != "", F.concat(encoded(user), F.lit("/")))
+    return F.concat(base, folder, path_of_id(file_id))

@@ -137,3 +137,28 @@ def citation(style: str, title: Column, work: Column, url: Column, on: str, site
     if style == catalogue:
         return work
     return lit("")
+
+
+def passage_name(summary: Column, zh: Column, passage_id: Column) -> Column:
+    """The name of a passage in an address: the first 50 characters of its summary or text, else its id."""
+    text = F.coalesce(F.nullif(summary, F.lit("")), F.nullif(zh, F.lit("")))
+    return F.coalesce(strip(F.substring(text, 1, 50)), passage_id, F.lit(""))
+
+
+def collection_name(name: Column, collection_id: Column) -> Column:
+    return F.coalesce(F.nullif(name, F.lit("")), collection_id, F.lit(""))
+
+
+def described_mode(side: Column, translator: Column) -> Column:
+    """What a reader sees: the source, or whose translation."""
+    by = F.coalesce(translator, F.lit(""))
+    return F.when(side != "en", F.lit("Chinese source preview")).when(by != "", F.concat(F.lit("Translation by "), by)).otherwise(F.lit("Community translation"))
+
+
+def described_source(source: Column) -> Column:
+    """Label of a compared source: one's own copy, the authoritative one, or that of a user; a dash for none."""
+    s = F.coalesce(source, F.lit(""))
+    low = F.lower(s)
+    return (
+        F.when(s == "", F.lit("—")).when(low == "me", F.lit("My copy (local only)"))
+        .when(low.isin("community", "authoritative", "auth"), F.lit("Authoritative")).otherwise(F.concat(F.lit("Community · "), s)))

@@ -250,3 +250,18 @@ def attestation_class(c: Column) -> Column:
     """D, C or B by the first letter, else other."""
     first = F.upper(F.substring(F.coalesce(c, F.lit("")), 1, 1))
     return F.when(first.isin("D", "C", "B"), first).otherwise(F.lit("other"))
+
+
+def node_color(kind: Column, status: Column, color: Column, palette: list[str], deprecated: str = "#666") -> Column:
+    """Colour of a node: of a concept its own, or grey where deprecated (status 1); else that of its kind in the palette."""
+    own = F.element_at(F.array(*[F.lit(c) for c in palette]), F.coalesce(kind, F.lit(0)) + 1)
+    return F.when((kind == CONCEPT) & (status == 1), F.lit(deprecated)).when((kind == CONCEPT) & (F.coalesce(color, F.lit("")) != ""), color).otherwise(own)
+
+
+def with_people(nodes: DataFrame, persons: DataFrame) -> DataFrame:
+    """Nodes with person_no, and with the first name and the dates of the first person one of whose names a person node has, whatever its case."""
+    alias = persons.select("row_no", F.explode("names").alias("_n")).filter("_n is not null").groupBy(F.lower("_n").alias("_k")).agg(F.min("row_no").alias("person_no"))
+    facts = persons.groupBy(F.col("row_no").alias("person_no")).agg(F.first(F.struct(F.get("names", F.lit(0)).alias("name"), life_dates(F.col("floruit"), F.col("death")).alias("dates"))).alias("_p"))
+    named = nodes.withColumn("_k", F.when(F.col("kind") == PERSON, F.lower(F.regexp_replace("node_id", "^person:", ""))))
+    rows = named.join(alias, "_k", "left").join(facts, "person_no", "left")
+    return rows.select(*[c for c in nodes.columns if c != "label"], F.coalesce(F.col("_p.name"), F.col("label")).alias("label"), "person_no", F.col("_p.dates").alias("dates"))

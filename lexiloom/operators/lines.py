@@ -155,3 +155,13 @@ def snippets(lines: DataFrame, ranges: DataFrame, enough: int = 160, shown: int
     s = F.coalesce("s", F.lit(""))
     cut = F.when(F.length(s) > shown, F.concat(F.substring(s, 1, shown), F.lit("…"))).when(s == "", F.lit("[empty]")).otherwise(s)
     return named.join(joined, "range_id", "left").select("range_id", F.when(F.col("a").isNull(), F.lit("[line not found]")).otherwise(cut).alias("snippet"))
+
+
+def clamped(page: Column, total: Column) -> Column:
+    """The asked page, held within the first and the last."""
+    return F.greatest(F.lit(1), F.least(F.coalesce(page, F.lit(1)), F.greatest(total, F.lit(1))))
+
+
+def start_page(source: Column, translated: Column) -> Column:
+    """Page on which two aligned texts open for a term: the earlier of both that has it, where 1 stands for none."""
+    return F.when(source == 1, translated).when(translated == 1, source).otherwise(F.least(source, translated))

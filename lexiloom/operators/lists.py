@@ -54,3 +54,18 @@ def cooled_down(rows: DataFrame, key: str, at: str, seconds: int, *ties: str, pa
     rows = rows.withColumn("_last", F.lag(micros).over(inside)).join(before, [key, "_part"])
     gap = micros - F.coalesce("_last", "_end")
     return rows.withColumn("shown", gap.isNull() | (gap >= seconds * 1_000_000)).drop("_last", "_end", "_part")
+
+
+def last_read(events: DataFrame, key: list[str], order: str, action: str = "action") -> DataFrame:
+    """The position every reader is left with: the last ``set`` that was not suppressed or cleared.
+
+    ``clear`` forgets the position and suppresses every ``set`` until ``resume``; other actions
+    mean nothing. Keys without position have no row. What counts is taken from the last clear
+    and the first resume after it, without ordering a reader's events.
+    """
+    cleared = events.filter(F.col(action) == "clear").groupBy(*key).agg(F.max(order).alias("_cleared"))
+    rows = events.join(cleared, key, "left")
+    resumed = rows.filter((F.col(action) == "resume") & (F.col(order) > F.col("_cleared"))).groupBy(*key).agg(F.min(order).alias("_resumed"))
+    rows = rows.filter(F.col(action) == "set").join(resumed, key, "left").filter(F.col("_cleared").isNull() | (F.col(order) > F.col("_resumed")))
+    names = [c for c in events.columns if c not in key]
+    return rows.groupBy(*key).agg(F.max_by(F.struct(*names), order).alias("_e")).select(*key, "_e.*")

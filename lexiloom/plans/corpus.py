@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexiloom.functions import ids, routes, text
+from lexiloom.functions import html, ids, routes, text
 from lexiloom.operators import align, dictionary, kwic, lines, search
 from lexiloom.plans import pages
-from lexiloom.plans.index import index_records, postings, search_documents
+from lexiloom.plans.index import family_records, index_records, postings, search_documents
 from lexiloom.session import materialise, own_dir, table
 from lexiloom.sources import files, markup
 
@@ -422,6 +422,89 @@ def dict_grammar(s: SparkSession, d: str) -> DataFrame:
     return dictionary.with_grammar(terms, grammar).select("term", F.coalesce(F.array_join("functions", "|"), F.lit("")).alias("functions"))
 
 
+# Markup of rows and cards, names and addresses
+
+def _esc_sql(c: str) -> str:
+    return f"replace(replace(replace(replace(replace(coalesce({c}, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(34), '&quot;'), chr(39), '&#39;')"
+
+
+@query(f"""SELECT file_id, line_no, CASE WHEN coalesce(is_synthetic, false) THEN '<div class="line-row spacer-row"></div>'
+ELSE '<div class="line-row" data-line-id="' || {_esc_sql('line_id')} || '"><span class="line-id">' || {_esc_sql('line_id')} || '</span><span class="line-text">' || {_esc_sql('text')} || '</span></div>' END AS html FROM text_lines WHERE line_id IS NOT NULL""")
+def line_rows(s: SparkSession, d: str) -> DataFrame:
+    """Lines as the reader shows them; breaks as spacers."""
+    shown = F.when(F.coalesce("is_synthetic", F.lit(False)), F.concat(F.lit("__pb_break_"), F.col("line_no"))).otherwise(F.col("line_id"))
+    return _lines(s, d).filter("line_id is not null").select("file_id", "line_no", html.line_row(shown, F.col("text")).alias("html"))
+
+
+@query(f"""SELECT row_no, '<a class="kwic-row" href="#/' || fileId || '/a' || CASE WHEN row_no % 2 = 0 THEN '-b' ELSE '' END || '?q=' || replace(url_encode(coalesce(zh, '')), '%20', '%20') || '"><span class="kwic-left">' || {_esc_sql('en')} || '</span><span class="kwic-match">' || {_esc_sql('zh')} || '</span><span class="kwic-right">' || {_esc_sql('enShort')} || '</span><span class="kwic-lb">a</span></a>' AS html FROM titles WHERE fileId <> ''""")
+def kwic_rows(s: SparkSession, d: str) -> DataFrame:
+    t = table(s, d, "titles").filter("fileId <> ''")
+    end = F.when(F.col("row_no") % 2 == 0, F.lit("b")).otherwise(F.lit("a"))
+    return t.select("row_no", html.kwic_row(F.col("fileId"), F.lit("a"), end, F.lit("a"), F.col("en"), F.col("zh"), F.col("enShort"), F.coalesce("zh", F.lit(""))).alias("html"))
+
+
+@query(f"""SELECT row_no, CASE WHEN zh IS NULL THEN '<article class="panel lookup-card lookup-card--empty"><header class="lookup-head"><h2 class="lookup-title">Not found</h2></header><p class="lookup-empty-detail">' || {_esc_sql('path')} || '</p></article>' ELSE
+'<article class="panel lookup-card"><header class="lookup-head"><h2 class="lookup-title">' || {_esc_sql('zh')} || '</h2>' || CASE WHEN coalesce(en, '') <> '' THEN '<p class="lookup-subtitle">' || {_esc_sql('en')} || '</p>' ELSE '' END || '</header><div class="lookup-sections">'
+|| '<div class="lookup-section"><p class="lookup-section-heading">Forms</p><div class="lookup-section-body"><ul class="lookup-list"><li>' || {_esc_sql('zh')} || '</li><li>' || {_esc_sql('corpus')} || '</li></ul></div></div>'
+|| CASE WHEN enShort IS NOT NULL THEN '<div class="lookup-section"><p class="lookup-section-heading">Short</p><div class="lookup-section-body"><p class="lookup-paragraph">' || {_esc_sql('enShort')} || '</p></div></div>' ELSE '' END || '</div></article>' END AS html FROM titles""")
+def lookup_cards(s: SparkSession, d: str) -> DataFrame:
+    sections = [("Forms", html.card_list(F.array("zh", "corpus"))), ("Short", html.card_paragraph(F.col("enShort")))]
+    card = F.when(F.col("zh").isNull(), html.empty_card(F.lit(""), F.col("path"))).otherwise(html.lookup_card(F.col("zh"), sections, F.col("en")))
+    return table(s, d, "titles").select("row_no", card.alias("html"))
+
+
+@query(f"""SELECT DISTINCT fileId AS file_id, CASE {_CORPUS.format('fileId')} WHEN 'published' THEN 'https://b.example/' || split_part(fileId, '.', 1) || '/' || p || '/' || p || '.xml' WHEN 'canonical' THEN 'https://a.example/' || regexp_replace(split_part(fileId, 'n', 1), '[0-9]', '', 'g') || '/' || split_part(fileId, 'n', 1) || '/' || fileId || '.xml' END AS source,
+CASE {_CORPUS.format('fileId')} WHEN 'published' THEN 'https://d.example/x/A%20b!/' || split_part(fileId, '.', 1) || '/' || p || '/' || p || '.xml' WHEN 'canonical' THEN 'https://c.example/A%20b!/' || regexp_replace(split_part(fileId, 'n', 1), '[0-9]', '', 'g') || '/' || split_part(fileId, 'n', 1) || '/' || fileId || '.xml' END AS community
+FROM (SELECT fileId, regexp_replace(fileId, '^[^.]+\\.', '') AS p FROM titles WHERE fileId IS NOT NULL)""")
+def work_urls(s: SparkSession, d: str) -> DataFrame:
+    w = F.col("fileId")
+    one = dict(zip(ids.KINDS, ("https://a.example/", "https://b.example")))
+    two = dict(zip(ids.KINDS, ("https://c.example/", "https://d.example/x")))
+    return table(s, d, "titles").filter("fileId is not null").select(w.alias("file_id"), ids.work_url(w, one).alias("source"), ids.work_url(w, two, F.lit("A b!")).alias("community")).distinct()
+
+
+@query(f"""WITH p AS (SELECT DISTINCT p.id AS id, p.summary AS summary, p.zhText AS zh FROM (SELECT unnest(passages) AS p FROM collections) WHERE p IS NOT NULL)
+SELECT id, coalesce(regexp_replace(left(coalesce(nullif(summary, ''), nullif(zh, '')), 50), '^[{_JSWS}]+|[{_JSWS}]+$', '', 'g'), id, '') AS name, CASE WHEN coalesce(id, '') = '' THEN '—' WHEN id = 'p0' THEN 'Community · p0' ELSE 'Community · ' || id END AS source,
+CASE WHEN coalesce(id, '') = '' THEN 'Community translation' ELSE 'Translation by ' || id END AS mode FROM p""")
+def passage_names(s: SparkSession, d: str) -> DataFrame:
+    p = table(s, d, "collections").select(F.explode("passages").alias("p")).filter("p is not null").select("p.id", "p.summary", "p.zhText").distinct()
+    i = F.col("id")
+    return p.select("id", text.passage_name(F.col("summary"), F.col("zhText"), i).alias("name"), text.described_source(i).alias("source"), text.described_mode(F.lit("en"), i).alias("mode"))
+
+
+@query(f"""WITH {_CLEAN}, p AS (SELECT rl.file_id, coalesce(min(CASE WHEN contains(lower(text), 'the') THEN o END) // 20, 0)::INT + 1 AS a, coalesce(min(CASE WHEN contains(lower(coalesce(t, '')), 'an') THEN o END) // 20, 0)::INT + 1 AS b, count(*) AS n FROM rl
+LEFT JOIN (SELECT file_id, line_id, min(lem) AS t FROM apparatus WHERE lem IS NOT NULL GROUP BY file_id, line_id) x USING (file_id, line_id) GROUP BY rl.file_id)
+SELECT file_id, CASE WHEN a = 1 THEN b WHEN b = 1 THEN a ELSE least(a, b) END AS page, least(ceil(n / 20)::INT, 7) AS asked FROM p""")
+def bilingual_page(s: SparkSession, d: str) -> DataFrame:
+    """Where a text and its translation open for a term, and page 7 held within the pages there are."""
+    other = table(s, d, "apparatus").filter("lem is not null").select("file_id", "line_id", F.col("lem").alias("text"))
+    rows = lines.with_ordinal(lines.real_lines(_lines(s, d)))
+    both = align.aligned(rows, other, ["file_id", "line_id"])
+    a = lines.page_of(both, F.contains(F.lower("text"), F.lit("the")), 20).withColumnRenamed("page", "a")
+    b = lines.page_of(both, F.contains(F.lower("translation"), F.lit("an")), 20).withColumnRenamed("page", "b")
+    n = lines.pages(rows, 20).groupBy("file_id").agg(F.max("pages").alias("n"))
+    return a.join(b, "file_id").join(n, "file_id").select("file_id", lines.start_page(F.col("a"), F.col("b")).alias("page"), lines.clamped(F.lit(7), F.col("n")).alias("asked"))
+
+
+_FAMILY = f"""f AS (SELECT file_id, text, 'source' AS family, NULL AS translator FROM documents WHERE file_id IS NOT NULL AND lang = 'zh' UNION ALL SELECT file_id, text, 'translation', NULL FROM documents WHERE file_id IS NOT NULL AND lang = 'en'
+UNION ALL SELECT file_id, text, 'community', source FROM documents WHERE file_id IS NOT NULL AND coalesce(lang, '') NOT IN ('zh', 'en') AND source IS NOT NULL),
+t AS (SELECT fileId AS file_id, nullif(zh, '') AS zh, nullif(en, '') AS en, path FROM titles WHERE fileId IS NOT NULL QUALIFY row_number() OVER (PARTITION BY fileId ORDER BY row_no) = 1),
+c AS (SELECT *, {_CORPUS.format('f.file_id')} <> 'published' AS canonical, f.file_id IN (SELECT file_id FROM f WHERE family = 'translation' AND text <> '') AS has, f.file_id IN (SELECT file_id FROM text_lines WHERE file_id IS NOT NULL) AS pick FROM f LEFT JOIN t USING (file_id) WHERE text <> '')"""
+
+
+@query(f"""WITH {_FAMILY} SELECT '/' || file_id || CASE family WHEN 'source' THEN '' WHEN 'community' THEN '?side=community&translator=' || translator ELSE '?side=en' END AS url, length(text)::INT AS size, CASE WHEN family = 'source' THEN 'zh' ELSE 'en' END AS language,
+CASE WHEN family = 'source' THEN coalesce(zh, file_id) ELSE coalesce(en, zh, file_id) END AS title, coalesce(CASE WHEN family = 'source' THEN en ELSE zh END, '') AS title_other, file_id, CASE WHEN canonical OR family = 'community' THEN 'canonical' ELSE 'published' END AS corpus,
+CASE WHEN family = 'source' THEN has ELSE true END AS translated, CASE WHEN family <> 'source' THEN family END AS side, CASE WHEN family <> 'community' THEN pick AND canonical END AS chosen,
+CASE WHEN family = 'source' THEN CASE WHEN NOT canonical THEN 'published' ELSE coalesce(nullif(split_part(path, '/', 1), ''), 'T') END END AS collection, CASE WHEN family = 'community' THEN translator END AS translator FROM c""")
+def index_five(s: SparkSession, d: str) -> DataFrame:
+    """The records of all five families: Chinese documents as sources, English ones as translations, others as those of users."""
+    docs = table(s, d, "documents").filter("file_id is not null")
+    family = F.when(F.col("lang") == "zh", "source").when(F.col("lang") == "en", "translation").when(F.col("source").isNotNull(), "community")
+    texts = docs.select("file_id", "text", family.alias("family"), F.when(family == "community", F.col("source")).alias("translator")).filter("family is not null")
+    rows = family_records(texts, table(s, d, "titles"), _lines(s, d).filter("file_id is not null"))
+    return rows.select("url", F.length("content").alias("size"), *[c for c in rows.columns if c not in ("url", "content")])
+
+
 # Files: the nations written as files, one each, and read back
 
 def _nation_files(s: SparkSession, d: str, kind: str) -> str:

@@ -260,6 +260,18 @@ def last_write(s: SparkSession, d: str) -> DataFrame:
     return lists.last_write(table(s, d, "events"), ["user_id"], "event_id").select("user_id", "event_id", "event_type")
 
 
+_ACTION = "CASE WHEN event_type = 'purchase' THEN 'clear' WHEN event_id % 5 = 0 THEN 'resume' ELSE 'set' END"
+
+
+@query(f"""WITH e AS (SELECT user_id, event_id, {_ACTION} AS action FROM events), c AS (SELECT user_id, max(event_id) AS cleared FROM e WHERE action = 'clear' GROUP BY user_id),
+r AS (SELECT e.user_id, min(event_id) AS resumed FROM e JOIN c USING (user_id) WHERE action = 'resume' AND event_id > cleared GROUP BY e.user_id)
+SELECT user_id, max(event_id) AS event_id FROM e LEFT JOIN c USING (user_id) LEFT JOIN r USING (user_id) WHERE action = 'set' AND (cleared IS NULL OR event_id > resumed) GROUP BY user_id""")
+def last_read(s: SparkSession, d: str) -> DataFrame:
+    """Readers' last positions, where clearing suppresses them until it is resumed."""
+    events = table(s, d, "events").select("user_id", "event_id", F.expr(_ACTION).alias("action"))
+    return lists.last_read(events, ["user_id"], "event_id").select("user_id", "event_id")
+
+
 @query("""SELECT event_id, user_id FROM (SELECT *, sum(length(coalesce(props, '')) * 2) OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC ROWS UNBOUNDED PRECEDING) AS size FROM events) WHERE size <= 400""")
 def cache_budget(s: SparkSession, d: str) -> DataFrame:
     rows = table(s, d, "events").withColumn("size", F.length(F.coalesce("props", F.lit(""))) * 2)

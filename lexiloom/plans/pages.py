@@ -97,3 +97,8 @@ def labelled(nodes: DataFrame, q: str) -> DataFrame:
 
 def page_link(name: Column, kind: str = "person") -> Column:
     return F.concat(F.lit(f"#/{kind}/"), slug(name))
+
+
+def robots(base: str) -> str:
+    """What crawlers may read, and where the site map is."""
+    return f"User-agent: *\nAllow: /\nSitemap: {base}/sitemap.xml\n"

@@ -91,3 +91,26 @@ def listed_ids(json: DataFrame, column: str) -> DataFrame:
 def people_of(json: DataFrame, column: str = "masters") -> DataFrame:
     """row_no and the members of every person in an array column, in the order of the file."""
     return json.select(F.posexplode(column).alias("row_no", "p")).select(F.col("row_no").cast("long").alias("row_no"), "p.*")
+
+
+def write_manifest(entries: DataFrame, path: str) -> None:
+    """Which bucket has each first character, beside the buckets, by the hash of the character so that a reader opens one file."""
+    first = F.substring("trad", 1, 1)
+    rows = entries.groupBy(first.alias("first_char")).agg(F.count(F.lit(1)).alias("n")).withColumn("in_bucket", first_codepoint_bucket(F.col("first_char")))
+    rows.coalesce(1).write.mode("overwrite").option("compression", "none").json(f"{path}/_manifest")
+
+
+def manifest(spark: SparkSession, path: str) -> DataFrame:
+    """first_char, n, in_bucket of the buckets in a folder."""
+    return spark.read.schema("first_char string, n long, in_bucket int").json(f"{path}/_manifest")
+
+
+def listed_works(spark: SparkSession, *roots: str, pattern: str = "*.xml") -> DataFrame:
+    """fileId of every file below any of several folders, by base name; a folder that is missing has none."""
+    found = spark.createDataFrame([], "fileId string")
+    for root in roots:
+        at = spark._jvm.org.apache.hadoop.fs.Path(root)
+        if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+            name = F.regexp_extract("path", r"([^/]+?)(?:\.[^./]*)?$", 1)
+            found = found.unionByName(listed(spark, root, pattern).select(name.alias("fileId")))
+    return found.distinct()
