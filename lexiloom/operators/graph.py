@@ -12,6 +12,9 @@ from lexiloom.functions.text import life_dates, text_or_empty
 from lexiloom.operators.hierarchy import hierarchy, latest_state
 from lexiloom.operators.lines import with_ordinal
 
+#: Pairs of nodes that a layout holds at a time.
+LAYOUT_CELLS = 4_000_000
+
 # Radius, growth by degree and its cap by node type, and types of relation without direction.
 RADIUS = ((10, 12, 14, 12, 14, 14, 12), (2, 2, 1.5, 1.5, 2, 2, 1.5), (12, 14, 10, 10, 12, 12, 10))
 UNDIRECTED = (
@@ -169,12 +172,15 @@ def _spring(n: int, pairs: list[tuple[int, int]], rounds: int) -> np.ndarray:
     angle = 2 * np.pi * np.arange(n) / n
     at = radius * np.column_stack([np.cos(angle), np.sin(angle)])
     k, heat = np.sqrt(radius * radius * 4 / n), radius / 5
+    some = max(1, LAYOUT_CELLS // n)
     a, b = (np.array(x, int) for x in zip(*pairs)) if pairs else (np.zeros(0, int),) * 2
     for _ in range(rounds):
-        apart = at[:, None, :] - at[None, :, :]
-        far = np.hypot(apart[..., 0], apart[..., 1])
-        far[far == 0] = 0.01
-        move = (apart * (k * k / far ** 2)[..., None]).sum(1)
+        move = np.empty_like(at)
+        for i in range(0, n, some):  # some nodes against all at a time
+            apart = at[i: i + some, None, :] - at[None, :, :]
+            far = np.hypot(apart[..., 0], apart[..., 1])
+            far[far == 0] = 0.01
+            move[i: i + some] = (apart * (k * k / far ** 2)[..., None]).sum(1)
         pull = at[a] - at[b]
         length = np.hypot(pull[:, 0], pull[:, 1])
         length[length == 0] = 0.01

@@ -168,6 +168,26 @@ def graph_layout(s: SparkSession, d: str) -> DataFrame:
     return graph.force_layout(*_graph(s, d))
 
 
+@query(f"WITH {_GRAPH} SELECT cid AS collection_id, count(*) AS nodes, true AS placed, true AS apart FROM nd GROUP BY cid")
+def graph_layout_kept(s: SparkSession, d: str) -> DataFrame:
+    """By graph how many nodes the layout places, and whether each has a place of its own."""
+    at = graph.force_layout(*_graph(s, d))
+    finite = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < 1e9)
+    each = at.groupBy("collection_id").agg(F.count(F.lit(1)).alias("nodes"), F.bool_and(finite("x") & finite("y")).alias("placed"), F.count_distinct("x", "y").alias("places"))
+    return each.select("collection_id", "nodes", "placed", (F.col("nodes") == F.col("places")).alias("apart"))
+
+
+@query(f"""WITH {_GRAPH}, m AS (SELECT lower(n) AS k, min(row_no) AS row_no FROM (SELECT row_no, unnest(names) AS n FROM masters) WHERE n IS NOT NULL GROUP BY 1),
+h AS (SELECT cid, nid, type, status, label, row_no AS person_no FROM nd LEFT JOIN m ON type = 2 AND k = lower(substr(nid, 8)))
+SELECT cid AS collection_id, nid AS node_id, coalesce(names[1], label) AS label, person_no, CASE WHEN p.row_no IS NULL THEN NULL WHEN coalesce(floruit, 0) <> 0 AND coalesce(death, 0) <> 0 THEN floruit || '–' || death WHEN coalesce(floruit, 0) <> 0 THEN 'fl. ' || floruit WHEN coalesce(death, 0) <> 0 THEN 'd. ' || death ELSE '' END AS dates,
+CASE WHEN type = 1 AND status = 1 THEN '#666' ELSE ['#a', '#b', '#c', '#d', '#e', '#f', '#g'][type + 1] END AS color FROM h LEFT JOIN masters p ON p.row_no = person_no""")
+def graph_people(s: SparkSession, d: str) -> DataFrame:
+    """Nodes with the persons they are, and their colour."""
+    rows = graph.with_people(graph.graph_nodes(table(s, d, "collections")).withColumnRenamed("type", "kind"), table(s, d, "masters"))
+    color = graph.node_color(F.col("kind"), F.col("status"), F.lit(None).cast("string"), ["#a", "#b", "#c", "#d", "#e", "#f", "#g"])
+    return rows.select("collection_id", "node_id", "label", "person_no", "dates", color.alias("color"))
+
+
 @query(f"WITH {_GRAPH} SELECT cid AS collection_id, nid AS node_id, label FROM nd WHERE contains(lower(label), 'no')")
 def node_search(s: SparkSession, d: str) -> DataFrame:
     return pages.labelled(graph.graph_nodes(table(s, d, "collections")), "no").select("collection_id", "node_id", "label")

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -44,12 +46,32 @@ def own_dir(spark: SparkSession) -> str:
 def forget(spark: SparkSession) -> None:
     """Delete the intermediate tables of this application. DataFrames that read them are void then."""
     path = getattr(spark.sparkContext, "_lexiloom_own", None)
-    if path and spark.sparkContext._jsc is not None:
-        try:
+    if path:
+        _delete(spark, path)
+
+
+@contextlib.contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Intermediate tables written inside go when the block ends; take or write results before that.
+
+    Without it they go when the driver's Python ends, so that a session of many queries should use it.
+    """
+    context = spark.sparkContext
+    before = getattr(context, "_lexiloom_made", None)
+    context._lexiloom_made = []
+    try:
+        yield
+    finally:
+        for path in context._lexiloom_made:
+            _delete(spark, path)
+        context._lexiloom_made = before
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    if spark.sparkContext._jsc is not None:
+        with contextlib.suppress(Exception):  # the session may be gone already
             at = spark._jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-        except Exception:  # noqa: BLE001  (the session may be gone already)
-            pass
 
 
 def materialise(df: DataFrame, tag: str) -> DataFrame:
@@ -60,6 +82,8 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{own_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    if getattr(spark.sparkContext, "_lexiloom_made", None) is not None:
+        spark.sparkContext._lexiloom_made.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

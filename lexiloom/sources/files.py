@@ -70,7 +70,7 @@ def write_text(lines: DataFrame, column: str, path: str) -> None:
 def read_character(spark: SparkSession, path: str, character: str) -> DataFrame:
     """Dictionary entries of one first character, from the bucket that has it; none if there is no such bucket."""
     bucket = ord(character[0]) % 201 if character else -1
-    return spark.read.json(path).filter((F.col("bucket") == bucket) & (F.col("first_char") == character[:1]))
+    return spark.read.option("basePath", path).json(f"{path}/bucket=*").filter((F.col("bucket") == bucket) & (F.col("first_char") == character[:1]))
 
 
 def owners(files: DataFrame, suffix: str = ".jsonl") -> DataFrame:

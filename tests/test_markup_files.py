@@ -108,3 +108,29 @@ def test_grammar_and_index(spark):
     many = postings(spark.createDataFrame([(1, "禪師 a禪 Mé́b2，བོད་ 가"), (2, "x")], "doc_id long, text string"))
     assert {r["token"] for r in many.filter("doc_id = 1").collect()} == {"禪師", "a", "禪", "mé́b2", "བོ", "ོད", "가"}
     assert [r["doc_id"] for r in phrase_candidates(p, ["Old", "reed"]).collect()] == [1]
+
+
+def test_manifest_and_listings(spark, tmp_path):
+    e = spark.createDataFrame([("菩提", "b"), ("菩", "c"), ("𠀀", "d")], "trad string, x string")
+    files.write_by_character(e, str(tmp_path / "d"))
+    files.write_manifest(e, str(tmp_path / "d"))
+    assert {(r["first_char"], r["n"], r["in_bucket"]) for r in files.manifest(spark, str(tmp_path / "d")).collect()} == {("菩", 2, ord("菩") % 201), ("𠀀", 1, 131072 % 201)}
+    assert [r["x"] for r in files.read_character(spark, str(tmp_path / "d"), "𠀀").collect()] == ["d"]
+    for name in ("a/T/T1.xml", "a/T/x.txt", "b/T1.xml", "b/ws/one/one.xml"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("<x/>")
+    assert sorted(r["fileId"] for r in files.listed_works(spark, str(tmp_path / "a"), str(tmp_path / "b"), str(tmp_path / "none")).collect()) == ["T1", "one"]
+
+
+def test_small_helpers(spark):
+    from lexiloom.functions import html, text
+    from lexiloom.operators.lists import last_read
+    from lexiloom.plans.pages import robots
+
+    one = spark.range(1)
+    got = one.select(*[text.described_source(F.lit(x)).alias(f"s{i}") for i, x in enumerate(("", "ME", "auth", "Bo"))], text.described_mode(F.lit("zh"), F.lit("x")).alias("m"),
+                     text.passage_name(F.lit(" " + "a" * 60), F.lit("z"), F.lit("i")).alias("p"), html.line_row(F.lit(None), F.lit("t")).alias("l"), html.card_list(F.array().cast("array<string>")).alias("c")).first()
+    assert list(got)[:5] == ["—", "My copy (local only)", "Authoritative", "Community · Bo", "Chinese source preview"] and got["p"] == "a" * 49 and got["l"] is None and "—" in got["c"]
+    assert robots("https://x").endswith("https://x/sitemap.xml\n")
+    e = spark.createDataFrame([("a", 1, "set"), ("a", 2, "clear"), ("a", 3, "set"), ("b", 1, "clear"), ("b", 2, "resume"), ("b", 3, "set"), ("b", 4, "other"), ("c", 1, "set"), ("c", 2, "set")], "u string, n int, action string")
+    assert sorted((r["u"], r["n"]) for r in last_read(e, ["u"], "n").collect()) == [("b", 3), ("c", 2)]

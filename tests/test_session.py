@@ -12,6 +12,14 @@ def test_tables_are_written_to_the_shared_folder_and_forgotten(spark):
     assert not os.path.exists(own.removeprefix("file://"))
 
 
+def test_temporary_tables_go_with_their_block(spark):
+    with session.temporary(spark):
+        df = session.materialise(spark.range(3), "three")
+        path = df.inputFiles()[0].removeprefix("file://")
+        assert df.count() == 3 and os.path.exists(path)
+    assert not os.path.exists(path)
+
+
 def test_queries_and_equivalents_have_the_same_names():
     import __spark_entry__ as entry
 
