@@ -64,6 +64,7 @@ _CLOSERS = re.compile("[”’»」』)）\\]］\"＂]+")
 _BLANKLINE = re.compile(r"\n[^\S\n]*\n\s*")
 _NEXTWORD = re.compile(r"[^\W\d_]{1,24}")
 _CJK = re.compile("[⺀-⿟぀-㆏㐀-䶿一-鿿豈-﫿\U00020000-\U000323af]")
+_WIDE_FORMS = re.compile("[\uff10-\uff5a]")
 _MARKS = re.compile("[。！？｡!?]")
 _UNSEEN = "\u00ad\u200b\u200c\u200d\u200e\u200f\u2060\ufe00\ufe01\ufeff\U000e0100\U000e0101"
 OUTER = "".join(c for c in map(chr, range(0x3001)) if c.isspace()) + _UNSEEN
@@ -128,7 +129,7 @@ def _ideographic(ch: str) -> bool:
 def _begins(text: str, at: int, wrapped: bool) -> bool:
     """Whether a sentence may begin after a closing quote that ends at ``at``."""
     n, i = len(text), at
-    while i < n and text[i].isspace():
+    while i < n and (text[i].isspace() or text[i] in _UNSEEN):
         if text[i] == "\n" and not wrapped:
             return True
         i += 1
@@ -165,6 +166,8 @@ def _stop(text: str, i: int, end: int, wrapped: bool) -> bool:
         return False  # a decimal cut by the line
     if i > CONTEXT:
         left = "\0" + left  # not the beginning
+    if _WIDE_FORMS.search(left):
+        left = unicodedata.normalize("NFC", skeletons([left])[0])
     if _ENUM[wrapped].search(left):
         return False
     m = _WORD.search(left)
@@ -239,7 +242,10 @@ def symbols(text: str, wrapped: bool, begin: int = 0, stop: int | None = None) -
         elif ch == "　":
             out.append((WIDE, i, i + 1))
         else:
-            before = text[i - 1] if i else "\n"
+            j = i
+            while j and text[j - 1] in _UNSEEN:
+                j -= 1
+            before = text[j - 1] if j else "\n"
             if ch in '"＂':
                 kind, closing = STRAIGHT, int(not (before.isspace() or before in "([（［“‘«「『"))
             else:
@@ -249,14 +255,14 @@ def symbols(text: str, wrapped: bool, begin: int = 0, stop: int | None = None) -
             if not closing:
                 if kind == BRACKET:
                     j = i
-                    while j and text[j - 1].isspace():
+                    while j and (text[j - 1].isspace() or text[j - 1] in _UNSEEN):
                         j -= 1
                     if j == 0 or text[j - 1] in "!?。！？.":
                         kind = ASIDE
                 out.append((_symbol(kind, 0), i, i))
             else:
                 j = i
-                while j and (text[j - 1] == "\n" and wrapped or text[j - 1] in "”’»」』"):
+                while j and (text[j - 1] == "\n" and wrapped or text[j - 1] in "”’»」』" or text[j - 1] in _UNSEEN):
                     j -= 1
                 ended = j > 0 and text[j - 1] in _ENDS
                 out.append((_symbol(kind, 2 if ended and _begins(text, i + 1, wrapped) else 1), i + 1, i + 1))
