@@ -92,21 +92,20 @@ def read_lines(files: DataFrame) -> DataFrame:
     return doc.filter("schema_of_variant(doc) LIKE 'OBJECT%'").withColumn("id", F.expr("try_variant_get(doc, '$.id', 'string')"))
 
 
-def _members(v: str) -> str:
-    """SQL: the members of an object that have a value."""
-    return f"filter(coalesce(map_entries(try_variant_get({v}, '$', 'map<string,variant>')), array()), m -> NOT is_variant_null(m.value))"
-
-
 def file_schemas(lines: DataFrame) -> DataFrame:
     """feed, file_seq, scope, field, mask, kind: each file's fields, types folded through the lattice.
 
     ``scope`` is the list for fields of its objects, else ''. A field that only empty lists speak for has kind null.
     """
-    shaped = lines.select("feed", "file_seq", F.expr(f"transform({_members('doc')}, m -> struct(m.key AS field, m.value AS v, schema_of_variant(m.value) AS shape))").alias("top"))
-    inner = f"""flatten(transform(filter(top, t -> startswith(t.shape, 'ARRAY<OBJECT')), t -> flatten(transform(try_variant_get(t.v, '$', 'array<variant>'),
-        o -> transform(transform({_members('o')}, m -> struct(m.key AS field, m.value AS v, schema_of_variant(m.value) AS shape)), m -> struct(t.field AS scope, m.field AS field, {_kind('m.v', 'm.shape')} AS kind))))))"""
-    each = shaped.select("feed", "file_seq", F.expr(f"explode(array_distinct(concat(transform(top, t -> struct('' AS scope, t.field AS field, {_kind('t.v', 't.shape')} AS kind)), {inner})))").alias("x"))
-    masks = each.select("feed", "file_seq", "x.scope", "x.field", F.expr(_mask("x.kind")).alias("mask")).groupBy("feed", "file_seq", "scope", "field").agg(F.bit_and("mask").alias("mask"))
+    spark = lines.sparkSession
+    top = spark.sql(
+        """SELECT feed, file_seq, '' AS scope, f.key AS field, f.value AS v, schema_of_variant(f.value) AS shape
+           FROM {lines}, LATERAL variant_explode(doc) AS f WHERE NOT is_variant_null(f.value)""", lines=lines)
+    inner = spark.sql(
+        """SELECT feed, file_seq, field AS scope, f.key AS field, f.value AS v, schema_of_variant(f.value) AS shape
+           FROM {top}, LATERAL variant_explode(v) AS o, LATERAL variant_explode(o.value) AS f WHERE startswith(shape, 'ARRAY<OBJECT') AND NOT is_variant_null(f.value)""", top=top)
+    each = top.unionByName(inner).select("feed", "file_seq", "scope", "field", F.expr(_mask(_kind("v", "shape"))).alias("mask"))
+    masks = each.groupBy("feed", "file_seq", "scope", "field").agg(F.bit_and("mask").alias("mask"))
     return masks.withColumn("kind", _folded(F.col("mask")))
 
 
