@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiloom.operators.drift import ABOVE, BOTTOM, file_schemas, read_lines, schema_changes, unified
+from lexiloom.operators.drift import ABOVE, BOTTOM, PASSES, SAME_CONTENT, SAME_CONTENT_ALIKE, file_schemas, read_lines, schema_changes, unified
 from lexiloom.operators.hierarchy import bare_key, collection_links, conflicts, forest, labelled_pairs, latest_state, person_links, person_statements, tree_of
 from lexiloom.operators.nested import ROOT, flatten_nested
 from lexiloom.session import table
@@ -188,7 +188,52 @@ _TYPES = " ".join(f"WHEN {m} THEN '{k}'" for k, m in ABOVE.items())
 _KIND = """CASE json_type({0}) WHEN 'OBJECT' THEN 'object' WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'ARRAY' THEN
   CASE list_sort(list_distinct([json_type(e) FOR e IN json_extract({0}, '$[*]') IF json_type(e) <> 'NULL'])) WHEN [] THEN NULL WHEN ['OBJECT'] THEN 'list of objects' WHEN ['VARCHAR'] THEN 'list of strings' ELSE 'list of values' END ELSE 'number' END"""
 
+_VALUES = f"""l AS (SELECT feed, file_seq, line_no, CASE WHEN json_valid(body) THEN body END AS b FROM collection_files),
+t AS (SELECT feed, file_seq, line_no, b->>'$.id' AS id, k AS field, json_extract(b, '$."' || k || '"') AS v FROM (SELECT feed, file_seq, line_no, b, unnest(json_keys(b)) AS k FROM l WHERE json_type(b) = 'OBJECT')),
+top AS (SELECT feed, file_seq, line_no, id, field, v, {_KIND.format('v')} AS kind FROM t WHERE json_type(v) <> 'NULL'),
+o AS (SELECT feed, file_seq, line_no, id, field AS scope, unnest(json_extract(v, '$[*]')) AS e, unnest(range(len(json_extract(v, '$[*]')))) AS pos FROM top WHERE kind = 'list of objects'),
+i AS (SELECT feed, file_seq, line_no, id, scope, pos, k AS field, json_extract(e, '$."' || k || '"') AS v FROM (SELECT *, unnest(json_keys(e)) AS k FROM o WHERE json_type(e) = 'OBJECT')),
+vals AS (SELECT feed, file_seq, line_no, id, '' AS scope, -1 AS pos, field, v, kind FROM top UNION ALL SELECT feed, file_seq, line_no, id, scope, pos, field, v, {_KIND.format('v')} FROM i WHERE json_type(v) <> 'NULL'),
+m AS (SELECT feed, file_seq, scope, field, CASE bit_and(CASE kind {_BITS} ELSE {BOTTOM} END) {_TYPES} END AS kind FROM vals GROUP BY feed, file_seq, scope, field)"""
+_LEAF = """list_distinct(list_transform(flatten(list_transform(list_filter(regexp_extract_all({0}::VARCHAR, '"(?:[^"\\\\]|\\\\.)*"\\s*:?|-?\\d[\\d.eE+-]*|true|false'), lambda x: NOT ends_with(x, ':')), lambda x: string_split(regexp_replace(x, '^"|"$', '', 'g'), ', '))),
+  lambda y: CASE WHEN y = 'true' THEN 'yes' WHEN y = 'false' THEN 'no' WHEN regexp_full_match(y, '[0-9]{{13}}') THEN strftime(make_timestamp(CASE WHEN regexp_full_match(y, '[0-9]{{13}}') THEN y::BIGINT ELSE 0 END * 1000), '%Y-%m-%dT%H:%M:%SZ') ELSE y END))"""
+
+
+def _compared(p: str, scopes: str) -> str:
+    """SQL: CTEs of the fields of both sides (b) and the renames (q) of steps with scopes so and sn; best pairs of three rounds."""
+    order = "alike DESC, same DESC, records DESC, levenshtein(old, new), old, new"
+    best = lambda r: f"SELECT * FROM {r} QUALIFY row_number() OVER (PARTITION BY feed, file_seq, so, old ORDER BY {order}) = 1 AND row_number() OVER (PARTITION BY feed, file_seq, so, new ORDER BY {order}) = 1"
+    left = lambda r, q: f"SELECT * FROM {r} WHERE (feed, file_seq, so, old) NOT IN (SELECT feed, file_seq, so, old FROM {q}) AND (feed, file_seq, so, new) NOT IN (SELECT feed, file_seq, so, new FROM {q})"
+    side = lambda mine, seq, scope, other: f"""SELECT b.feed, b.file_seq, b.so, v.id, v.pos, b.field, b.{mine} AS kind, arg_max({_LEAF.format('v.v')}, v.line_no) AS x FROM {p}b b
+  JOIN vals v ON v.feed = b.feed AND v.file_seq = b.{seq} AND v.scope = b.{scope} AND v.field = b.field WHERE b.{other} IS NULL AND v.id IS NOT NULL GROUP BY ALL"""
+    bare = "lower(regexp_replace({0}, '[_-]', '', 'g'))"
+    pairs = " OR ".join(f"(ko = '{x}' AND kn = '{y}') OR (ko = '{y}' AND kn = '{x}')" for x, y in PASSES)
+    return f"""{p}b AS (SELECT feed, file_seq, before, so, sn, field, max(ko) AS ko, max(kn) AS kn, max(io) AS io, max(inn) AS inn FROM (
+  SELECT s.feed, s.file_seq, before, so, sn, field, kind AS ko, NULL AS kn, 1 AS io, NULL AS inn FROM {scopes} s JOIN m ON m.feed = s.feed AND m.file_seq = before AND scope = so
+  UNION ALL SELECT s.feed, s.file_seq, before, so, sn, field, NULL, kind, NULL, 1 FROM {scopes} s JOIN m ON m.feed = s.feed AND m.file_seq = s.file_seq AND scope = sn) GROUP BY ALL),
+{p}o AS ({side('ko', 'before', 'so', 'inn')}), {p}n AS ({side('kn', 'file_seq', 'sn', 'io')}),
+{p}r AS (SELECT feed, file_seq, so, o.field AS old, n.field AS new, o.kind AS ko, n.kind AS kn, sum(len(list_intersect(o.x, n.x))) / greatest(sum(least(len(o.x), len(n.x))), 1) AS same, count(*) AS records, {bare.format('o.field')} = {bare.format('n.field')} AS alike
+  FROM {p}o o JOIN {p}n n USING (feed, file_seq, so, id, pos) GROUP BY ALL HAVING (ko IS NULL OR kn IS NULL OR ko = kn OR {pairs}) AND (same >= {SAME_CONTENT} OR alike AND same >= {SAME_CONTENT_ALIKE})),
+{p}q1 AS ({best(p + 'r')}), {p}r2 AS ({left(p + 'r', p + 'q1')}), {p}q2 AS ({best(p + 'r2')}), {p}r3 AS ({left(p + 'r2', p + 'q2')}), {p}q3 AS ({best(p + 'r3')}),
+{p}q AS (SELECT * FROM {p}q1 UNION ALL SELECT * FROM {p}q2 UNION ALL SELECT * FROM {p}q3)"""
+
+
+def _reported(p: str) -> str:
+    name = lambda scope, f: f"CASE WHEN {scope} = '' THEN {f} ELSE {scope} || '.' || {f} END"
+    free = lambda f: f"(feed, file_seq, so, field) NOT IN (SELECT feed, file_seq, so, {f} FROM {p}q)"
+    return f"""SELECT feed, file_seq, 'removed' AS change_kind, {name('so', 'field')} AS old_field, '' AS new_field FROM {p}b WHERE inn IS NULL AND {free('old')}
+UNION ALL SELECT feed, file_seq, 'added', '', {name('sn', 'field')} FROM {p}b WHERE io IS NULL AND {free('new')}
+UNION ALL SELECT feed, file_seq, 'retyped', {name('so', 'field')}, {name('sn', 'field')} FROM {p}b WHERE io = 1 AND inn = 1 AND ko <> kn
+UNION ALL SELECT q.feed, q.file_seq, unnest(CASE WHEN q.ko <> q.kn THEN ['renamed', 'retyped'] ELSE ['renamed'] END), {name('q.so', 'old')}, {name('s.sn', 'new')} FROM {p}q q JOIN (SELECT DISTINCT feed, file_seq, so, sn FROM {p}b) s USING (feed, file_seq, so)"""
+
+
 ORACLE = _nested_sql() | {
+    "p5_found": f"""WITH {_VALUES},
+steps AS (SELECT *, '' AS so, '' AS sn FROM (SELECT feed, file_seq, lag(file_seq) OVER (PARTITION BY feed ORDER BY file_seq) AS before FROM (SELECT DISTINCT feed, file_seq FROM collection_files)) WHERE before IS NOT NULL),
+{_compared('a', 'steps')},
+lists AS (SELECT s.feed, s.file_seq, s.before, x.old AS so, x.new AS sn FROM steps s JOIN (SELECT feed, file_seq, field AS old, field AS new, ko, kn FROM ab WHERE io = 1 AND inn = 1 UNION ALL SELECT feed, file_seq, old, new, ko, kn FROM aq) x USING (feed, file_seq) WHERE ko = 'list of objects' AND kn = 'list of objects'),
+{_compared('b', 'lists')}
+{_reported('a')} UNION ALL {_reported('b')}""",
     "p5_schemas": f"""
 WITH l AS (SELECT feed, file_seq, CASE WHEN json_valid(body) THEN body END AS b FROM collection_files),
 t AS (SELECT feed, file_seq, k AS field, json_extract(b, '$."' || k || '"') AS v FROM (SELECT feed, file_seq, b, unnest(json_keys(b)) AS k FROM l WHERE json_type(b) = 'OBJECT')),
