@@ -50,6 +50,14 @@ def p7_leaks(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
+def p7_verbatim(spark: SparkSession, d: str) -> DataFrame:
+    """Of the leaks those where the document has the whole item letter for letter, but for case and white space: none of these may be missed."""
+    docs, items = table(spark, d, "documents"), table(spark, d, "eval_items")
+    plain = lambda c: F.lower(F.regexp_replace(c, "[ \\t\\n\\r\\f]+", " "))
+    near = p7_found(spark, d).join(docs.select("doc_id", plain("text").alias("t")), "doc_id").join(items.select("item_id", plain("text").alias("i")), "item_id")
+    return near.filter(F.contains("t", F.col("i"))).select("doc_id", "item_id").distinct()
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return sentences.sentence_units(table(spark, d, "documents")).select("doc_id", "sent_start", "sent_end")
 
@@ -118,7 +126,7 @@ QUERIES = {
     "p2_found": p2_found,
     "p2_sentences": p2_sentences,
     "p2_cover": p2_cover,
-    "p7_found": p7_found, "p7_leaks": p7_leaks, "p3_found": p3_found, "p3_docs": p3_docs, "p6_found": p6_found, "p6_classes": p6_classes}
+    "p7_found": p7_found, "p7_leaks": p7_leaks, "p7_verbatim": p7_verbatim, "p3_found": p3_found, "p3_docs": p3_docs, "p6_found": p6_found, "p6_classes": p6_classes}
 
 _SPANS = """w AS (SELECT doc_id, unnest(range(0, length(text) - 99)) AS p, text FROM documents WHERE length(text) >= 100),
 r AS (SELECT doc_id, p, md5(substr(text, p + 1, 100)) AS h FROM w),
@@ -151,6 +159,8 @@ _OUTER = " || ".join(f"chr({ord(c)})" for c in sentences.OUTER)
 
 ORACLE: dict[str, str] = _looks_sql() | {
     "p2_cover": f"""SELECT doc_id, sum(length(translate(text, {_OUTER}, '')))::BIGINT AS seen, true AS parted FROM documents WHERE length(translate(text, {_OUTER}, '')) > 0 GROUP BY doc_id""",
+    "p7_verbatim": """WITH d AS (SELECT doc_id, lower(regexp_replace(text, '[ \\t\\n\\r\\f]+', ' ', 'g')) AS t FROM documents), i AS (SELECT item_id, lower(regexp_replace(text, '[ \\t\\n\\r\\f]+', ' ', 'g')) AS x FROM eval_items WHERE trim(text) <> '')
+SELECT DISTINCT doc_id, item_id FROM d JOIN i ON contains(t, x)""",
     "p8_kept": """SELECT source, true AS every_use_once, true AS every_place_once, true AS from_source, true AS within_repeats, true AS share_met
 FROM mix_targets WHERE source IN (SELECT source FROM documents)""",
     "p3_found": f"WITH {_SPANS} SELECT doc_id, span_start, span_end FROM spans",
