@@ -81,6 +81,14 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return stuffing.stuffed_pages(table(spark, d, "documents")).select("doc_id")
 
 
+def p9_links(spark: SparkSession, d: str) -> DataFrame:
+    """Of the flagged pages those of twenty words and more of which over four fifths are tags or addresses: none of these may be missed."""
+    words = F.filter(F.split("text", "[ \\t\\n\\r\\f]+"), lambda w: w != "")
+    linked = F.filter(words, lambda w: w.rlike("^#|://"))
+    rows = table(spark, d, "documents").join(p9_found(spark, d), "doc_id", "left_semi")
+    return rows.filter((F.size(words) >= 20) & (F.size(linked) * 5 > F.size(words) * 4)).select("doc_id")
+
+
 def p9_scores(spark: SparkSession, d: str) -> DataFrame:
     """Perplexity and abnormal share of every page."""
     return stuffing.page_scores(table(spark, d, "documents"))
@@ -123,6 +131,7 @@ QUERIES = {
     "p8_kept": p8_kept,
     "p9_found": p9_found,
     "p9_scores": p9_scores,
+    "p9_links": p9_links,
     "p2_found": p2_found,
     "p2_sentences": p2_sentences,
     "p2_cover": p2_cover,
@@ -159,6 +168,8 @@ _OUTER = " || ".join(f"chr({ord(c)})" for c in sentences.OUTER)
 
 ORACLE: dict[str, str] = _looks_sql() | {
     "p2_cover": f"""SELECT doc_id, sum(length(translate(text, {_OUTER}, '')))::BIGINT AS seen, true AS parted FROM documents WHERE length(translate(text, {_OUTER}, '')) > 0 GROUP BY doc_id""",
+    "p9_links": """WITH w AS (SELECT doc_id, list_filter(string_split_regex(text, '[ \\t\\n\\r\\f]+'), lambda x: x <> '') AS w FROM documents)
+SELECT doc_id FROM w WHERE len(w) >= 20 AND len(list_filter(w, lambda x: regexp_matches(x, '^#|://'))) * 5 > len(w) * 4""",
     "p7_verbatim": """WITH d AS (SELECT doc_id, lower(regexp_replace(text, '[ \\t\\n\\r\\f]+', ' ', 'g')) AS t FROM documents), i AS (SELECT item_id, lower(regexp_replace(text, '[ \\t\\n\\r\\f]+', ' ', 'g')) AS x FROM eval_items WHERE trim(text) <> '')
 SELECT DISTINCT doc_id, item_id FROM d JOIN i ON contains(t, x)""",
     "p8_kept": """SELECT source, true AS every_use_once, true AS every_place_once, true AS from_source, true AS within_repeats, true AS share_met
