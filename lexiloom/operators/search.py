@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from lexiloom.functions.text import is_ideographic, text_or_empty
 from lexiloom.operators.hierarchy import plain_name
 
-#: Patterns that one automaton holds; more are searched in blocks.
-AUTOMATON_PATTERNS = 100_000
+#: Patterns, and characters of patterns, that one automaton holds; more are searched in blocks.
+AUTOMATON_PATTERNS, AUTOMATON_CHARS = 100_000, 4_000_000
 
 
 def blob(*columns: str) -> Column:
@@ -65,13 +65,14 @@ def browse(rows: DataFrame, corpus: str | None = None, folder: str | None = None
 def contained(texts: DataFrame, patterns: DataFrame, text: str = "text", pattern: str = "pattern", block: int = AUTOMATON_PATTERNS) -> DataFrame:
     """Rows of texts with (pattern, n): every pattern that a text contains, and how often.
 
-    Each block of at most ``block`` patterns is one automaton that runs once over every text, so
+    Each block of about ``block`` patterns at most, and AUTOMATON_CHARS characters, is one automaton that runs once over every text, so
     that no text is compared with pattern after pattern. Occurrences of one pattern do not overlap.
     Null and empty texts and patterns match nothing.
     """
     spark = texts.sparkSession
     wanted = patterns.select(F.col(pattern).alias("p")).filter("p is not null and p <> ''").distinct()
-    parts = max(1, -(-wanted.count() // block))
+    n, chars = wanted.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("p")), F.lit(0))).first()
+    parts = max(1, -(-n // block), -(-chars // AUTOMATON_CHARS))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.schema) + ", pattern string, n int"
     found = None
     for part in range(parts):
