@@ -34,7 +34,7 @@ from lexiloom.session import materialise
 SHINGLE = 3
 #: Items of an index block, and characters of items in an index (larger test sets are indexed in parts).
 BLOCK_ITEMS = 32
-INDEX_CHARS = 1 << 25
+INDEX_CHARS = 1 << 22
 #: Cells of the filter of terms: FILTER_CELLS at most, a byte each.
 FILTER_CELLS = 1 << 27
 #: Tokens of a passage; half of it is shared with the next.
