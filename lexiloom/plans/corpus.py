@@ -368,12 +368,16 @@ def citations(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "titles").select("row_no", F.explode(F.array(*styles)).alias("c")).select("row_no", "c.*")
 
 
-@query(f"""SELECT DISTINCT 'passage' AS kind, file_id AS work, {_CORPUS.format('file_id')} AS corpus, line_id AS start_line, line_id AS end_line, 'en' AS side, 'A b' AS "user", 'x y' AS q FROM text_lines
-WHERE file_id IS NOT NULL AND regexp_matches(line_id, '^[0-9]{{4}}[abc][0-9]{{2}}$')""")
+_MARK = "CASE WHEN regexp_matches(line_id, '^[0-9]{4}[abc][0-9]{2}$') THEN line_id ELSE '' END"
+
+
+@query(f"""SELECT DISTINCT 'passage' AS kind, file_id AS work, {_CORPUS.format('file_id')} AS corpus, {_MARK} AS start_line, {_MARK} AS end_line, 'en' AS side, 'A b' AS "user", 'x y' AS q FROM text_lines
+WHERE file_id IS NOT NULL AND line_id IS NOT NULL""")
 def route_parse(s: SparkSession, d: str) -> DataFrame:
+    """Routes to every line; ids that are no mark of a line say nothing."""
     raw = F.concat(F.col("file_id"), F.lit("/"), F.col("line_id"), F.lit("/en/A%20b?q=x+y"))
-    rows = _lines(s, d).filter("file_id is not null").filter(F.col("line_id").rlike("^[0-9]{4}[abc][0-9]{2}$")).select("file_id", "line_id").distinct()
-    return rows.select(routes.parsed_route(raw).alias("r")).select("r.kind", "r.work", "r.corpus", "r.start_line", "r.end_line", "r.side", "r.user", "r.q")
+    rows = _lines(s, d).filter("file_id is not null and line_id is not null").select(routes.parsed_route(raw).alias("r"))
+    return rows.select("r.kind", "r.work", "r.corpus", "r.start_line", "r.end_line", "r.side", "r.user", "r.q").distinct()
 
 
 #: Routes of every kind for a title (n: its number, w: its text), and what they mean.
