@@ -274,8 +274,11 @@ def _score(pdf: pd.DataFrame, model: np.ndarray):
     return seq, start, sizes, chars, rows, mean
 
 
-def _normal(sequences: DataFrame, model) -> tuple[np.ndarray, np.ndarray]:
-    """By length bucket the lowest and highest mean score of prose, from a histogram of all prose lines."""
+def _normal(sequences: DataFrame, model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """By length bucket the lowest and highest mean score of prose, and how far its tail goes on, from a histogram of all prose lines.
+
+    The tail is the way to what is rare from what is ten times as frequent.
+    """
 
     def binned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in _blocks(batches):
@@ -295,11 +298,13 @@ def _normal(sequences: DataFrame, model) -> tuple[np.ndarray, np.ndarray]:
     total = hist.sum(1, keepdims=True)
     share = np.cumsum(hist, 1) / np.maximum(total, 1)
     low = np.where(total[:, 0] > 0, (share <= BELOW).sum(1) * WIDTH / 2, 0.0)
-    high = np.where(total[:, 0] > 0, ((share < 1 - ABOVE).sum(1) + 1) * WIDTH, np.inf)
+    high, usual = (np.where(total[:, 0] > 0, ((share < 1 - x).sum(1) + 1) * WIDTH, np.inf) for x in (ABOVE, 10 * ABOVE))
+    with np.errstate(invalid="ignore"):
+        tail = np.where(np.isfinite(high), high - usual, 0.0)
     for k in range(BUCKETS - 2, -1, -1):  # without prose of a length, that of the next length counts
         if not total[k, 0]:
-            low[k], high[k] = low[k + 1], high[k + 1]
-    return low, high
+            low[k], high[k], tail[k] = low[k + 1], high[k + 1], tail[k + 1]
+    return low, high, tail
 
 
 def page_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -313,7 +318,7 @@ def page_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     spark = docs.sparkSession
     sequences = materialise(class_sequences(docs, doc_id, text), "classes")
     model = spark.sparkContext.broadcast(_train(sequences))
-    low, high = _normal(sequences, model)
+    low, high, tail = _normal(sequences, model)
 
     def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in _blocks(batches):
@@ -323,7 +328,8 @@ def page_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
             if got:
                 _, _, sizes, chars, rows, mean = got
                 k = _bucket(sizes)
-                off = (mean > high[k]) | (mean < low[k])
+                # A page of few stretches is judged by few, and so must lie further out.
+                off = (mean > high[k] + tail[k] / np.bincount(rows)[rows]) | (mean < low[k])
                 np.add.at(sums, rows, mean * sizes)
                 np.add.at(tokens, rows, sizes)
                 np.add.at(every, rows, chars)
